@@ -52,7 +52,7 @@ SINGLE = {
 # Signs of ordinary text outside ASCII.
 ORDINARY = set("“”„‘’‚«»‹›¿¡…–—·°€§№ªº½¼¾×±²³®©™£¥•。、，！？：；「」『』（）《》・々ー।॥،؟؛።፣፤፧")
 LOOSE = set("€©®™£¥§±×½¼¾•²³‚‹›")
-RUN = re.compile(r"[^\n]?[^\x00-\x7f]+[^\n]?")
+RUN = re.compile(r"[^\x00-\x7f]+")
 #: A question mark where a letter was: before a small letter, not after the end of a sentence.
 LOST = re.compile(r"(?:(?<=[^\W\d_])|(?<=[\s(«“„])|^)\?+(?=[a-zß-öø-ÿ])")
 
@@ -63,6 +63,13 @@ def _kind(ch: str) -> str:
     return unicodedata.category(ch) + (name if name in ("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "LATIN", "CYRILLIC", "GREEK", "ARABIC", "DEVANAGARI") else "")
 
 
+def _runs(text: str) -> Iterator[str]:
+    """The stretches outside ASCII, each with the character before and after it on its line."""
+    for m in RUN.finditer(text):
+        i, j = max(0, m.start() - 1), m.end() + 1
+        yield text[i:j].strip("\n")
+
+
 def _encode(text: str, codec: str) -> bytes | None:
     """Bytes of ``text``; a lost character becomes a byte that no UTF-8 text has. None if it can't be encoded."""
     try:
@@ -167,8 +174,7 @@ class Plausibility:
 
     def text(self, text: str) -> float:
         total = 0.0
-        for m in RUN.finditer(text):
-            run = m.group()
+        for run in _runs(text):
             total += sum(map(self.pair, run, run[1:]))
             if run[0] >= "\x80":
                 total += _shape(" ", run[0])
@@ -176,7 +182,7 @@ class Plausibility:
 
     def odd(self, text: str) -> bool:
         """Whether ``text`` is implausible enough for a search."""
-        return any(self.pair(a, b) > ODD for m in RUN.finditer(text) for a, b in zip(m.group(), m.group()[1:]))
+        return any(self.pair(a, b) > ODD for run in _runs(text) for a, b in zip(run, run[1:]))
 
 
 def restore(text: str, model: Plausibility) -> tuple[str, tuple[str, ...]]:
@@ -277,8 +283,7 @@ def fit(docs: DataFrame, col: str = "text", alphabet: int = ALPHABET) -> Plausib
             n: Counter[tuple[str, str]] = Counter()
             for t in b["_t"]:
                 if not t.isascii():
-                    for m in RUN.finditer(t):
-                        run = m.group()
+                    for run in _runs(t):
                         n.update(zip(run, run[1:]))
             out: Counter[str] = Counter()
             for (x, y), k in n.items():
