@@ -293,7 +293,7 @@ def normalize(df: DataFrame, rewriter: Rewriter, cols: Iterable[str] = ("text",)
     """``df`` with the consistent form of each text column in ``<column><suffix>``.
 
     Null stays null, empty stays empty; repeated rows stay; texts without any unusual character stay as they
-    are. A column of an added name is replaced. Pure ASCII never leaves the JVM's fast path of the UDF.
+    are. A column of an added name is replaced. Python gets null in place of plain ASCII texts.
     """
     shared = df.sparkSession.sparkContext.broadcast(tuple(sorted(rewriter.counts.items())))  # bounded by the assigned code points
 
@@ -304,7 +304,7 @@ def normalize(df: DataFrame, rewriter: Rewriter, cols: Iterable[str] = ("text",)
 
     for c in cols:
         plain = F.col(c).isNull() | ~F.col(c).rlike(r"[^\x0a\x20-\x7e]")
-        df = df.withColumn(c + suffix, F.when(plain, F.col(c)).otherwise(form(F.col(c))))
+        df = df.withColumn(c + suffix, F.coalesce(form(F.when(~plain, F.col(c))), F.col(c)))
     return df
 
 
@@ -314,7 +314,7 @@ def _restore(state: tuple) -> Rewriter:
 
 
 def evidence_values(page_text: DataFrame, queries: DataFrame, answers: DataFrame) -> DataFrame:
-    """(field, record_id, citation_index, text): every value that is to be compared, each once."""
+    """(field, record_id, citation_index, text): every value that is to be compared; repeated rows stay."""
 
     def part(df: DataFrame, field: str, key: str, text: str, index=F.lit(0)) -> DataFrame:
         return df.select(F.lit(field).alias("field"), F.col(key).alias("record_id"), index.alias("citation_index"), F.col(text).alias("text"))
@@ -326,5 +326,10 @@ def evidence_values(page_text: DataFrame, queries: DataFrame, answers: DataFrame
         .unionByName(part(queries, "queries.query", "query_id", "query"))
         .unionByName(part(cited, "answers.citations.excerpt", "query_id", "excerpt", F.col("citation_index")))
         .filter("text is not null")
-        .dropDuplicates()
     )
+
+
+def changed(values: DataFrame, rewriter: Rewriter) -> DataFrame:
+    """(field, record_id, citation_index) of the values that aren't in the consistent form, each once."""
+    form = normalize(values, rewriter)
+    return form.filter("text_form <> text").select("field", "record_id", "citation_index").distinct()

@@ -304,24 +304,23 @@ def repair_documents(docs: DataFrame, model: Plausibility, id_col: str = "doc_id
 
     ``garbled``: some part was decoded with a wrong encoding, also if it can't be restored; ``lost``: characters
     were lost in it. Null and empty texts stay as they are and are not garbled; repeated rows stay; other columns
-    aren't read. Texts without any suspicious character never leave the JVM.
+    aren't read. Python gets null in place of texts without any suspicious character.
     """
     shared = docs.sparkSession.sparkContext.broadcast((tuple(model.chars.items()), tuple(model.pairs.items())))
 
     @F.pandas_udf("restored STRING, operations ARRAY<STRING>, lost BOOLEAN")
     def run(text: pd.Series) -> pd.DataFrame:
         m = _model(shared.value)
-        rows = [repair(t, m) for t in text]
+        rows = [(None, [], False) if t is None else repair(t, m) for t in text]
         return pd.DataFrame({"restored": [r[0] for r in rows], "operations": [r[1] for r in rows], "lost": [r[2] for r in rows]})
 
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     suspicious = F.col("text").rlike(r"[^\x00-\x7f]|&#?\w+;|\\u[0-9a-fA-F]{4}|%[0-9A-Fa-f]{2}%|=[0-9A-F]{2}=|\?[a-z]")
-    none = F.struct(F.col("text").alias("restored"), F.array().cast("array<string>").alias("operations"), F.lit(False).alias("lost"))
-    rows = rows.withColumn("_r", F.when(F.coalesce(suspicious, F.lit(False)), run(F.coalesce("text", F.lit("")))).otherwise(none))
+    rows = rows.withColumn("_r", run(F.when(suspicious, F.col("text"))))
     return rows.select(
         id_col,
         "text",
-        F.col("_r.restored").alias("restored"),
+        F.coalesce("_r.restored", "text").alias("restored"),
         F.col("_r.operations").alias("operations"),
         ((F.size("_r.operations") > 0) | F.col("_r.lost")).alias("garbled"),
         F.col("_r.lost").alias("lost"),

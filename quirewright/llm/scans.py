@@ -32,7 +32,7 @@ LEAST = 3
 #: Words that are so frequent that tokens of them are set aside before the join.
 FREQUENT = 20_000
 #: Part of a document's pages that must share an edge line that isn't its title.
-REPEATED = 0.3
+REPEATED = 0.12
 #: Pages of a document whose paragraphs are put together in one task.
 PAGES_PER_BLOCK = 256
 
@@ -109,7 +109,7 @@ def page_number_line(line: str) -> int | None:
     name = m["name"]
     if name and alike(name) not in KNOWN_NAMES:
         return _number(name + m["n"]) if not m["all"] and " " not in s else None
-    if not name and not m["all"] and re.search(r"[.:;?!]$", s):
+    if not m["all"] and (not name or not re.search(r"\d", m["n"])) and re.search(r"[.:;?!]$", s):
         return None  # the rest of a sentence
     return _number(m["n"])
 

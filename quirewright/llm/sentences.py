@@ -220,9 +220,9 @@ def split_sentences(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def evidence_texts(chunks: DataFrame, answers: DataFrame) -> DataFrame:
-    """(record_id, citation_index, text) of every chunk and every cited excerpt, each once."""
+    """(record_id, citation_index, text) of every chunk and every cited excerpt; repeated rows stay."""
     of_chunks = chunks.select(F.col("chunk_id").alias("record_id"), F.lit(0).alias("citation_index"), "text")
     of_answers = answers.select("query_id", F.explode("citations").alias("c")).select(
         F.col("query_id").alias("record_id"), F.col("c.citation_index").alias("citation_index"), F.col("c.excerpt").alias("text")
     )
-    return of_chunks.unionByName(of_answers).dropDuplicates(["record_id", "citation_index", "text"])
+    return of_chunks.unionByName(of_answers)
