@@ -1,8 +1,526 @@
-"""Every query of the core, and the SQL that checks it."""
+"""Every query of the core, and the SQL that checks it.
+
+Queries that SQL checks tokenise without full normalisation, which the SQL engine lacks; the exact tokens are
+tested on their own.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import answers, chunking, documents, evaluation, events, pages, quality, retrieval
+from ..session import table
 from . import nested_queries
 
 QUERIES = {**nested_queries.QUERIES}
 SQL = {**nested_queries.SQL}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that must give the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# documents
+
+
+@query("SELECT doc_id, sha256(text) AS fingerprint, length(text) AS characters FROM documents")
+def text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"), F.length("text").alias("characters"))
+
+
+@query("SELECT sha256(text) AS fingerprint, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def content_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.content_groups(table(spark, sf_dir, "documents"))
+
+
+@query("""
+SELECT DISTINCT document_id, coalesce(regexp_full_match(document_id, 'sha256-[0-9a-f]{64}'), false) AS valid_id,
+  coalesce(document_id = 'sha256-' || fingerprint, false) AS same_identity,
+  CASE WHEN media_type = 'application/pdf' THEN 'points' WHEN media_type LIKE 'image/%' THEN 'pixels' END AS dimension_unit,
+  coalesce(media_type LIKE 'image/%' AND page_count <> 1, false) AS page_count_violation,
+  coalesce(byte_size > 104857600 OR page_count > 2000, false) AS limit_violation
+FROM manifests""")
+def manifest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.manifest_audit(table(spark, sf_dir, "manifests"))
+
+
+@query("""
+SELECT document_id, media_type, byte_size, page_count, ingested_at, deliveries FROM (
+  SELECT *, count(*) OVER (PARTITION BY document_id) AS deliveries,
+    row_number() OVER (PARTITION BY document_id ORDER BY ingested_at NULLS FIRST, byte_size NULLS FIRST, page_count NULLS FIRST, media_type NULLS FIRST) AS k
+  FROM manifests) WHERE k = 1""")
+def first_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.first_arrivals(table(spark, sf_dir, "manifests"))
+
+
+@query("""
+SELECT document_id, count(DISTINCT fingerprint) AS fingerprint_values, count(DISTINCT media_type) AS media_type_values FROM manifests
+GROUP BY 1 HAVING greatest(count(DISTINCT fingerprint), count(DISTINCT media_type)) > 1""")
+def manifest_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.conflicts(table(spark, sf_dir, "manifests"), "document_id", "fingerprint", "media_type")
+
+
+@query("""
+SELECT DISTINCT document_id, page_id FROM page_text p
+WHERE NOT EXISTS (SELECT 1 FROM manifests m WHERE m.document_id = p.document_id)""")
+def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    child = table(spark, sf_dir, "page_text").select("document_id", "page_id").distinct()
+    return documents.provenance_breaks(child, table(spark, sf_dir, "manifests"), "document_id").drop("break")
+
+
+# pages
+
+_SEEN = r"coalesce(length(regexp_replace({0}, '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]', '', 'g')), 0)"
+
+
+@query(f"""
+SELECT DISTINCT page_id,
+  CASE WHEN n = 0 THEN 'ocr_candidate' WHEN n < 4 THEN 'sparse_embedded_text' ELSE 'embedded_text' END AS routed_status,
+  CASE WHEN n > 0 THEN text END AS text, CASE WHEN n > 0 THEN length(text) ELSE 0 END AS characters, n AS visible_characters
+FROM (SELECT page_id, text, {_SEEN.format("text")} AS n FROM page_text)""")
+def page_text_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.text_routing(table(spark, sf_dir, "page_text"))
+
+
+@query(f"""
+SELECT DISTINCT page_id, character_count, coalesce(length(text), 0) AS characters, non_whitespace_character_count,
+  {_SEEN.format("text")} AS visible_characters FROM page_text
+WHERE character_count IS DISTINCT FROM coalesce(length(text), 0) OR non_whitespace_character_count IS DISTINCT FROM {_SEEN.format("text")}""")
+def page_count_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.count_audit(table(spark, sf_dir, "page_text"))
+
+
+@query(f"""
+SELECT page_id, routed_status, routed_status IN ('ocr_candidate', 'sparse_embedded_text') AS selected FROM (
+  SELECT DISTINCT page_id, CASE WHEN n = 0 THEN 'ocr_candidate' WHEN n < 4 THEN 'sparse_embedded_text' ELSE 'embedded_text' END AS routed_status
+  FROM (SELECT page_id, text, {_SEEN.format("text")} AS n FROM page_text))""")
+def ocr_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = pages.text_routing(table(spark, sf_dir, "page_text")).select("page_id", "routed_status").distinct()
+    return pages.ocr_selection(routed)
+
+
+_ASSEMBLED = """
+lines AS (SELECT DISTINCT page_id, span_id, span_index, text, confidence FROM spans WHERE source = 'ocr_line'),
+given AS (SELECT page_id, string_agg(text, chr(10) ORDER BY span_index, text) AS text, count(*) AS line_count,
+  round(avg(confidence), 6) AS mean_confidence FROM lines GROUP BY 1)"""
+
+
+@query(f"WITH {_ASSEMBLED} SELECT page_id, text, line_count FROM given")
+def assembled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.assembled_pages(table(spark, sf_dir, "spans")).select("page_id", "text", "line_count")
+
+
+@query(f"""
+WITH {_ASSEMBLED},
+stored AS (SELECT DISTINCT page_id, text, line_count FROM page_ocr WHERE status = 'ocr_text')
+SELECT s.page_id, coalesce(s.text = g.text, false) AS same_text, coalesce(s.line_count = g.line_count, false) AS same_lines
+FROM stored s LEFT JOIN given g ON s.page_id = g.page_id""")
+def ocr_replay_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.replay_audit(table(spark, sf_dir, "page_ocr"), table(spark, sf_dir, "spans"))
+
+
+@query(nested_queries._CTE + """,
+sized AS (
+  SELECT record_id, page_number, w, h FROM (
+    SELECT record_id, CAST(p->>'page_number' AS INT) AS page_number,
+      CAST(ceil(CAST(p->>'width' AS DOUBLE) * 150 / 72) AS BIGINT) AS a, CAST(ceil(CAST(p->>'height' AS DOUBLE) * 150 / 72) AS BIGINT) AS b,
+      coalesce(CAST(p->>'source_rotation_degrees' AS INT) IN (90, 270), false) AS turned,
+      CASE WHEN turned THEN b ELSE a END AS w, CASE WHEN turned THEN a ELSE b END AS h
+    FROM pages))
+SELECT record_id, page_number, w AS pixel_width, h AS pixel_height, w * h AS pixels,
+  CAST(sum(w * h) OVER (PARTITION BY record_id ORDER BY page_number ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_pixels,
+  (w * h > 25000000 OR sum(w * h) OVER (PARTITION BY record_id ORDER BY page_number ROWS UNBOUNDED PRECEDING) > 100000000) AS violation
+FROM sized""")
+def render_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = nested_queries._children(spark, sf_dir)
+    from ..operators.nested import subtype_table
+
+    sized = subtype_table(rows, "page").select(
+        "record_id", F.col("idx1").alias("page_number"), "width", "height", "source_rotation_degrees"
+    )
+    return pages.render_preflight(sized, "record_id")
+
+
+@query("""
+SELECT page_id, span_id, source, span_index,
+  row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN source = 'embedded_word' THEN 0 ELSE 1 END, span_index, span_id) AS place
+FROM (SELECT DISTINCT page_id, span_id, source, span_index FROM spans)""")
+def span_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.span_order(table(spark, sf_dir, "spans"))
+
+
+@query("""
+SELECT page_id, min(b.x0) AS x0, min(b.top) AS top, max(b.x1) AS x1, max(b.bottom) AS bottom,
+  count(*) FILTER (NOT coalesce(b.x0 >= 0 AND b.top >= 0 AND b.x1 > b.x0 AND b.bottom > b.top, false)) AS invalid_boxes
+FROM (SELECT page_id, bounding_box AS b FROM spans) GROUP BY 1""")
+def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_boxes(table(spark, sf_dir, "spans"))
+
+
+@query("""
+SELECT document_id, CAST(sum(n) AS BIGINT) AS spans, max(n) AS page_spans, (sum(n) > 1000000 OR max(n) > 100000) AS violation
+FROM (SELECT document_id, page_id, count(DISTINCT span_id) AS n FROM spans GROUP BY 1, 2) GROUP BY 1""")
+def span_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.span_limits(table(spark, sf_dir, "spans"))
+
+
+# corpora
+
+
+@query()
+def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.number_chunks(chunking.pack_pages(table(spark, sf_dir, "spans")))
+
+
+@query("""
+SELECT page_id, k + 1 AS page_chunk_index, substring(text, k * 4000 + 1, 4000) AS text FROM (
+  SELECT page_id, text, CAST(unnest(generate_series(0, (length(text) - 1) // 4000)) AS INT) AS k
+  FROM (SELECT DISTINCT page_id, text FROM page_text WHERE text IS NOT NULL AND text <> ''))""")
+def fixed_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fixed_slices(table(spark, sf_dir, "page_text"))
+
+
+@query("""
+SELECT DISTINCT chunk_id, character_count IS DISTINCT FROM length(text) AS wrong_count,
+  content_fingerprint IS DISTINCT FROM sha256(text) AS stale_fingerprint,
+  coalesce(chunk_id = 'chunk-sha256-' || sha256(corpus_id || ':' || chunk_index), false) AS derived_id FROM chunks""")
+def chunk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_audit(table(spark, sf_dir, "chunks"))
+
+
+@query("""
+SELECT corpus_id, count(DISTINCT chunk_index) AS chunks, min(chunk_index) AS first_index, max(chunk_index) AS last_index,
+  max(chunk_index) - min(chunk_index) + 1 - count(DISTINCT chunk_index) AS missing FROM chunks GROUP BY 1""")
+def chunk_index_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.index_gaps(table(spark, sf_dir, "chunks"))
+
+
+_FRAGMENTS = "(SELECT chunk_id, text, unnest(fragments) AS f FROM (SELECT DISTINCT chunk_id, text, fragments FROM chunks))"
+
+
+@query(f"""
+SELECT chunk_id, count(*) AS fragments, count(*) FILTER (t IS NULL) AS missing_spans,
+  count(*) FILTER (t IS NOT NULL AND substring(t, f.source_start + 1, f.source_end - f.source_start)
+    <> substring(text, f.chunk_start + 1, f.chunk_end - f.chunk_start)) AS different
+FROM (SELECT c.chunk_id, c.text, c.f, s.text AS t FROM {_FRAGMENTS} c
+  LEFT JOIN (SELECT span_id, min(text) AS text FROM spans GROUP BY 1) s ON s.span_id = c.f.span_id) GROUP BY 1""")
+def fragment_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fragment_audit(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "spans"))
+
+
+@query(f"""
+SELECT chunk_id, min(f.bounding_box.x0) AS x0, min(f.bounding_box.top) AS top, max(f.bounding_box.x1) AS x1, max(f.bounding_box.bottom) AS bottom
+FROM {_FRAGMENTS} GROUP BY 1""")
+def fragment_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fragment_boxes(table(spark, sf_dir, "chunks"))
+
+
+# retrieval
+
+_TOKENS = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*')"
+_POOL = f"""
+pool AS (SELECT corpus_id, chunk_id, min(chunk_index) AS chunk_index, {_TOKENS.format("min(text)")} AS tokens FROM chunks GROUP BY 1, 2),
+each AS (SELECT corpus_id, chunk_id, chunk_index, len(tokens) AS length, unnest(tokens) AS term FROM pool),
+tf AS (SELECT corpus_id, chunk_id, chunk_index, length, term, count(*) AS tf FROM each GROUP BY ALL),
+stats AS (SELECT corpus_id, count(*) AS n, avg(len(tokens)) AS avgdl FROM pool GROUP BY 1)"""
+_TERMS = f"""
+terms AS (SELECT query_id, list_sort(list_distinct(tokens)) AS terms FROM (
+  SELECT DISTINCT query_id, query, {_TOKENS.format("query")} AS tokens FROM queries WHERE query IS NOT NULL)
+  WHERE len(tokens) BETWEEN 1 AND 1000 AND length(query) <= 10000)"""
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.unique_chunks(table(spark, sf_dir, "chunks"))
+
+
+@query(f"SELECT doc_id, len({_TOKENS.format('text')}) AS tokens FROM documents WHERE text IS NOT NULL")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", F.size(text.tokens(F.col("text"))).alias("tokens"))
+
+
+@query(f"WITH {_POOL} SELECT corpus_id, chunk_id, chunk_index, length, term, tf FROM tf")
+def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.term_frequency(_pool(spark, sf_dir), exact=False)
+
+
+@query(f"WITH {_POOL} SELECT corpus_id, term, count(*) AS df FROM tf GROUP BY 1, 2")
+def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.document_frequency(retrieval.term_frequency(_pool(spark, sf_dir), exact=False))
+
+
+@query(f"WITH {_POOL} SELECT corpus_id, n, round(avgdl, 9) AS avgdl FROM stats")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.corpus_stats(_pool(spark, sf_dir), exact=False).withColumn("avgdl", F.round("avgdl", 9))
+
+
+@query(f"""
+SELECT query_id, {_SEEN.format("query")} = 0 AS blank, coalesce(length(query), 0) AS characters, coalesce(len({_TOKENS.format("query")}), 0) AS token_count,
+  {_SEEN.format("query")} > 0 AND coalesce(length(query), 0) <= 10000 AND coalesce(len({_TOKENS.format("query")}), 0) BETWEEN 1 AND 1000 AS valid
+FROM (SELECT DISTINCT query_id, query FROM queries)""")
+def query_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.query_validation(table(spark, sf_dir, "queries"), exact=False)
+
+
+@query(f"WITH {_TERMS} SELECT query_id, array_to_string(terms, ' ') AS terms FROM terms")
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.query_terms(table(spark, sf_dir, "queries"), exact=False).withColumn("terms", F.array_join("terms", " "))
+
+
+def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpora whose chunks an answer cites: what its query is asked against."""
+    cited = table(spark, sf_dir, "answers").select("query_id", F.explode("citations.chunk_id").alias("chunk_id")).distinct()
+    return cited.join(table(spark, sf_dir, "chunks").select("chunk_id", "corpus_id").distinct(), "chunk_id").select("query_id", "corpus_id").distinct()
+
+
+def _corpus_hits(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+    return retrieval.retrieve(table(spark, sf_dir, "queries"), table(spark, sf_dir, "chunks"), _scope(spark, sf_dir), exact=exact)
+
+
+_SCOPE = """
+scope AS (SELECT DISTINCT a.query_id, c.corpus_id FROM (SELECT query_id, unnest(citations).chunk_id AS chunk_id FROM answers) a
+  JOIN chunks c ON a.chunk_id = c.chunk_id)"""
+_HITS = f"""
+WITH {_POOL}, {_TERMS}, {_SCOPE},
+asked AS (SELECT t.query_id, s.corpus_id, unnest(t.terms) AS term FROM terms t JOIN scope s ON t.query_id = s.query_id),
+df AS (SELECT corpus_id, term, count(*) AS df FROM tf GROUP BY 1, 2),
+scored AS (
+  SELECT a.query_id, a.corpus_id, f.chunk_id, f.chunk_index,
+    round(sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * f.tf * (1.2::DOUBLE + 1) / (f.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * f.length / s.avgdl))), 12) AS score,
+    string_agg(a.term, ' ' ORDER BY a.term) AS matched_terms
+  FROM asked a JOIN tf f ON f.corpus_id = a.corpus_id AND f.term = a.term JOIN df d ON d.corpus_id = a.corpus_id AND d.term = a.term
+  JOIN stats s ON s.corpus_id = a.corpus_id GROUP BY 1, 2, 3, 4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY score DESC, chunk_index, chunk_id) AS rank FROM scored WHERE score > 0),
+hits AS (SELECT * FROM ranked WHERE rank <= 10)"""
+
+
+@query(f"{_HITS} SELECT query_id, corpus_id, rank, round(score, 8) AS score, chunk_id, chunk_index, matched_terms FROM hits")
+def retrieval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _corpus_hits(spark, sf_dir)
+    return hits.withColumn("score", F.round("score", 8)).withColumn("matched_terms", F.array_join("matched_terms", " "))
+
+
+@query(f"{_HITS} SELECT query_id, corpus_id FROM scope WHERE (query_id, corpus_id) NOT IN (SELECT query_id, corpus_id FROM hits)")
+def no_hit_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.no_hits(_scope(spark, sf_dir), _corpus_hits(spark, sf_dir))
+
+
+@query("""
+WITH pool AS (SELECT corpus_id, chunk_id, min(chunk_index) AS chunk_index, min(text) AS text FROM chunks GROUP BY 1, 2),
+toks AS (SELECT chunk_id, chunk_index, """ + _TOKENS.format("text") + """ AS tokens FROM pool),
+stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM toks),
+tf AS (SELECT chunk_id, chunk_index, length, term, count(*) AS tf FROM (SELECT chunk_id, chunk_index, len(tokens) AS length, unnest(tokens) AS term FROM toks) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),""" + _TERMS + """,
+asked AS (SELECT query_id, unnest(terms) AS term FROM terms WHERE CAST(regexp_extract(query_id, '[0-9]+$') AS BIGINT) % 50 = 0),
+scored AS (SELECT a.query_id, f.chunk_id, f.chunk_index,
+  round(sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * f.tf * (1.2::DOUBLE + 1) / (f.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * f.length / s.avgdl))), 12) AS score
+  FROM asked a JOIN tf f ON f.term = a.term JOIN df d ON d.term = a.term CROSS JOIN stats s GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index, chunk_id) AS rank FROM scored WHERE score > 0)
+SELECT query_id, rank, round(score, 8) AS score, chunk_id FROM ranked WHERE rank <= 10""")
+def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = retrieval.search_queries(table(spark, sf_dir, "queries"))
+    hits = retrieval.retrieve(asked, table(spark, sf_dir, "chunks"), exact=False)
+    return hits.select("query_id", "rank", F.round("score", 8).alias("score"), "chunk_id")
+
+
+def _judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "answers").select("query_id", F.explode("citations.chunk_id").alias("chunk_id")).distinct()
+
+
+@query("""
+SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, unnest(citations).chunk_id AS chunk_id FROM answers)
+WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunks)""")
+def unknown_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.unknown_judgments(_judgments(spark, sf_dir), table(spark, sf_dir, "chunks"))
+
+
+def _best(hits: DataFrame) -> DataFrame:
+    """One ranking for each query: that of its first corpus."""
+    first = hits.groupBy("query_id").agg(F.min("corpus_id").alias("corpus_id"))
+    return hits.join(first, ["query_id", "corpus_id"])
+
+
+_CASES = f"""{_HITS},
+best AS (SELECT * FROM hits WHERE corpus_id = (SELECT min(h.corpus_id) FROM hits h WHERE h.query_id = hits.query_id)),
+judged AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, unnest(citations).chunk_id AS chunk_id FROM answers)),
+relevant AS (SELECT query_id, count(*) AS relevant FROM judged GROUP BY 1),
+found AS (SELECT b.query_id, b.rank, row_number() OVER (PARTITION BY b.query_id ORDER BY b.rank) AS i
+  FROM best b JOIN judged j ON b.query_id = j.query_id AND b.chunk_id = j.chunk_id),
+got AS (SELECT query_id, count(*) AS found, min(rank) AS first, sum(i / rank) AS precisions, sum(1 / log2(rank + 1)) AS gain FROM found GROUP BY 1),
+cases AS (SELECT r.query_id, relevant, coalesce(found, 0) AS relevant_retrieved,
+  round(coalesce(found / 10, 0), 12) AS precision, round(coalesce(found / relevant, 0), 12) AS recall,
+  round(coalesce(1 / first, 0), 12) AS reciprocal_rank, round(coalesce(precisions / least(relevant, 10), 0), 12) AS average_precision,
+  round(coalesce(gain / list_sum(list_transform(range(1, least(relevant, 10) + 1), lambda k: 1 / log2(k + 1))), 0), 12) AS ndcg
+  FROM relevant r LEFT JOIN got g ON r.query_id = g.query_id)"""
+_NAMES = ("precision", "recall", "reciprocal_rank", "average_precision", "ndcg")
+
+
+@query(_CASES + " SELECT query_id, relevant, relevant_retrieved, " + ", ".join(f"round({m}, 9) AS {m}" for m in _NAMES) + " FROM cases")
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = evaluation.case_metrics(_best(_corpus_hits(spark, sf_dir)), _judgments(spark, sf_dir))
+    return cases.withColumns({m: F.round(m, 9) for m in _NAMES})
+
+
+@query(_CASES + " SELECT count(*) AS cases, " + ", ".join(f"round(avg({m}), 9) AS mean_{m}" for m in _NAMES) + " FROM cases")
+def retrieval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = evaluation.case_metrics(_best(_corpus_hits(spark, sf_dir)), _judgments(spark, sf_dir))
+    means = evaluation.mean_metrics(cases)
+    return means.withColumns({f"mean_{m}": F.round(f"mean_{m}", 9) for m in _NAMES})
+
+
+# answers
+
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SENTENCES = rf"""
+parts AS (
+  SELECT chunk_id, unnest(p) AS part, generate_subscripts(p, 1) AS k FROM (
+    SELECT chunk_id, string_split(regexp_replace(regexp_replace(text, '([\r\n])', chr(1) || '\1' || chr(1), 'g'),
+      '([.!?])({_BLANK})', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p
+    FROM (SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1))),
+placed AS (SELECT chunk_id, part, coalesce(sum(length(part)) OVER (PARTITION BY chunk_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM parts),
+sentences AS (
+  SELECT chunk_id, CAST(off + length(part) - length(regexp_replace(part, '^{_BLANK}+', '')) AS INT) AS start,
+    regexp_replace(regexp_replace(part, '^{_BLANK}+', ''), '{_BLANK}+$', '') AS sentence
+  FROM placed WHERE regexp_replace(part, '{_BLANK}', '', 'g') <> '')"""
+
+
+@query(f'WITH {_SENTENCES} SELECT chunk_id, start, start + length(sentence) AS "end", sentence FROM sentences')
+def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    return answers.sentence_spans(chunks).drop("text")
+
+
+_CANDIDATES = f"""{_CASES.rpartition("judged AS")[0].rstrip().rstrip(",")},
+{_SENTENCES},
+tried AS (
+  SELECT query_id, rank, chunk_id, start, sentence, matched, round(len(matched) / len(terms), 12) AS coverage FROM (
+    SELECT b.query_id, b.rank, b.chunk_id, s.start, s.sentence, t.terms,
+      list_sort(list_intersect(t.terms, {_TOKENS.format("s.sentence")})) AS matched
+    FROM best b JOIN sentences s ON s.chunk_id = b.chunk_id JOIN terms t ON t.query_id = b.query_id)),
+candidates AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, rank, start, start + length(sentence)) AS position
+  FROM tried WHERE len(matched) > 0 AND coverage >= 0.25)"""
+
+
+def _candidate_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    terms = retrieval.query_terms(table(spark, sf_dir, "queries"), exact=False)
+    chunks = table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    return terms, _best(_corpus_hits(spark, sf_dir)), chunks
+
+
+@query(f"{_CANDIDATES} SELECT query_id, rank, chunk_id, start, sentence, array_to_string(matched, ' ') AS matched_terms, round(coverage, 9) AS coverage, position FROM candidates")
+def answer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms, hits, chunks = _candidate_parts(spark, sf_dir)
+    found = answers.candidates(hits, chunks, terms, exact=False).drop("end")
+    return found.withColumn("matched_terms", F.array_join("matched_terms", " ")).withColumn("coverage", F.round("coverage", 9))
+
+
+@query(f"""{_CANDIDATES},
+cited AS (SELECT query_id, string_agg(sentence, chr(10) ORDER BY position) AS answer, count(*) AS citations FROM candidates WHERE position <= 3 GROUP BY 1)
+SELECT t.query_id, CASE WHEN c.query_id IS NOT NULL THEN 'answered' ELSE 'abstained' END AS status,
+  CASE WHEN c.query_id IS NOT NULL THEN NULL WHEN t.query_id NOT IN (SELECT query_id FROM best) THEN 'no_retrieval_hits'
+    ELSE 'insufficient_query_term_coverage' END AS abstention_reason, c.answer, coalesce(c.citations, 0) AS citations
+FROM terms t LEFT JOIN cited c ON t.query_id = c.query_id""")
+def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms, hits, chunks = _candidate_parts(spark, sf_dir)
+    return answers.answers(terms, hits, chunks, exact=False).withColumn("citations", F.size("citations"))
+
+
+@query("""
+SELECT DISTINCT query_id, c.citation_index, c.chunk_id, t.chunk_id IS NOT NULL AS chunk_exists,
+  coalesce(substring(t.text, c.excerpt_start + 1, c.excerpt_end - c.excerpt_start) = c.excerpt, false) AS exact_slice,
+  coalesce(sha256(c.excerpt) = c.excerpt_fingerprint, false) AS right_fingerprint
+FROM (SELECT query_id, unnest(citations) AS c FROM answers) a LEFT JOIN (SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1) t ON t.chunk_id = a.c.chunk_id""")
+def citation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    return answers.citation_audit(table(spark, sf_dir, "answers"), chunks)
+
+
+@query()
+def answer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.answer_audit(table(spark, sf_dir, "answers"))
+
+
+@query("""
+SELECT status, abstention_reason, count(*) AS answers, sum(len(citations)) AS citations FROM (
+  SELECT DISTINCT query_id, status, abstention_reason, coalesce(citations, []) AS citations FROM answers) GROUP BY 1, 2""")
+def abstention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "answers").select("query_id", "status", "abstention_reason", "citations").distinct()
+    n = F.greatest(F.coalesce(F.size("citations"), F.lit(0)), F.lit(0))
+    return rows.groupBy("status", "abstention_reason").agg(F.count("*").alias("answers"), F.sum(n).alias("citations"))
+
+
+# text errors and quality
+
+
+def _excerpt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cited excerpts against the slices of their chunks."""
+    cited = table(spark, sf_dir, "answers").select("query_id", F.explode("citations").alias("c"))
+    chunks = table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    rows = cited.select("query_id", "c.citation_index", "c.chunk_id", "c.excerpt_start", "c.excerpt_end", "c.excerpt").distinct().join(chunks, "chunk_id")
+    return rows.select(
+        F.concat_ws("#", "query_id", "citation_index").alias("case_id"),
+        F.substring("text", F.col("excerpt_start") + 1, F.col("excerpt_end") - F.col("excerpt_start")).alias("reference"),
+        F.col("excerpt").alias("hypothesis"),
+    )
+
+
+@query()
+def excerpt_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.text_errors(_excerpt_pairs(spark, sf_dir))
+
+
+@query()
+def quality_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms, hits, chunks = _candidate_parts(spark, sf_dir)
+    judged = _judgments(spark, sf_dir)
+    made = answers.answers(terms, hits, chunks, exact=False)
+    scores = quality.citation_scores(made.select("query_id", F.col("citations.chunk_id").alias("chunk_ids")), judged)
+    parts = (
+        quality.text_observations(evaluation.text_errors(_excerpt_pairs(spark, sf_dir))),
+        quality.retrieval_observations(evaluation.case_metrics(hits, judged)),
+        quality.provenance_observations(scores),
+        quality.cost_observations(made, terms, hits, chunks),
+    )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# events
+
+
+@query("SELECT event_type, count(*) AS events, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1")
+def event_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.counters(table(spark, sf_dir, "events"))
+
+
+@query("SELECT event_id, event_type, user_id FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 1000")
+def event_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.event_page(table(spark, sf_dir, "events"), 100).select("event_id", "event_type", "user_id")
+
+
+@query("""
+SELECT event_type, count(*) FILTER (ts < TIMESTAMP '2024-01-15') AS eligible, count(*) FILTER (ts >= TIMESTAMP '2024-01-15') AS kept
+FROM events GROUP BY 1""")
+def purge_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.purge_preview(table(spark, sf_dir, "events"), "2024-01-15")
+
+
+@query("""
+SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2""")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.events import windowed_counts
+
+    return windowed_counts(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 4))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +40,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so a lost executor costs no recomputation."""
+    """``df`` computed once, written as a table in the shared folder and read back.
+
+    A lost executor then costs no recomputation of what lies before. The table is removed when the driver ends.
+    """
     spark = df.sparkSession
-    where = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/quirewright-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone already; the folder is temporary
+        pass
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
