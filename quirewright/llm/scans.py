@@ -11,6 +11,7 @@ Pages, lines and words are joined by their keys; no document is gathered in one
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,18 +61,31 @@ MONTHS = set(
 )
 
 
+class _Alike(dict):
+    """Translation table made as characters come: equal for what is confused, none for signs and blanks."""
+
+    def __missing__(self, code: int) -> str | None:
+        ch = chr(code).lower()
+        out = SAME_AS.get(ch, ch) if ch.isalpha() or ch in "+|!0156890" else None
+        self[code] = out
+        return out
+
+
+_ALIKE = _Alike()
+
+
 def alike(line: str) -> str:
     """``line`` with what scanners confuse made equal; without digits, signs and case."""
-    s = line.lower()
-    for a, b in (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w")):
-        s = s.replace(a, b)
-    return "".join(SAME_AS.get(c, c) for c in s if c.isalpha() or c in "+|!0156890")
+    return line.lower().replace("rn", "m").replace("cl", "d").replace("ii", "u").replace("vv", "w").translate(_ALIKE)
+
+
+DIGIT = re.compile(r"\d")
+EDGE_NUMBER = re.compile(r"^\W*\d[\dlISOB]*\W+|\W+[\dlISOB]*\d[\dlISOB]*\W*$")
 
 
 def title_key(line: str) -> str:
     """The comparable form of an edge line without a number in front or behind."""
-    bare = re.sub(r"^[\s\W]*\d[\dlISOB]*[\s\W]+|[\s\W]+[\dlISOB]*\d[\dlISOB]*[\s\W]*$", "", line.strip())
-    return alike(bare)
+    return alike(EDGE_NUMBER.sub("", line.strip()) if DIGIT.search(line) else line)
 
 
 def _number(text: str) -> int | None:
@@ -115,11 +129,9 @@ def page_number_line(line: str) -> int | None:
 
 
 def documents_pages(page_ocr: DataFrame) -> DataFrame:
-    """(document_id, page_id, page_number, text): each page with text once."""
-    return (
-        page_ocr.filter("text is not null and text <> '' and page_id is not null")
-        .select(F.regexp_replace("page_id", "-page-[0-9]+$", "").alias("document_id"), "page_id", "page_number", "text")
-        .dropDuplicates(["page_id", "text"])
+    """(document_id, page_id, page_number, text) of the pages with text; exact copies stay."""
+    return page_ocr.filter("text is not null and text <> '' and page_id is not null").select(
+        F.regexp_replace("page_id", "-page-[0-9]+$", "").alias("document_id"), "page_id", "page_number", "text"
     )
 
 
@@ -139,61 +151,65 @@ def edge_kinds(pages: DataFrame) -> DataFrame:
 
     @F.pandas_udf("key STRING, number INT, numbered BOOLEAN")
     def read(line: pd.Series) -> pd.DataFrame:
-        keys = [title_key(x) for x in line]
         return pd.DataFrame(
             {
-                "key": keys,
+                "key": [title_key(x) for x in line],
                 "number": pd.array([page_number_line(x) for x in line], dtype="Int32"),
-                "numbered": [alike(x) != k or bool(re.search(r"(?:^\W*\d+\W)|(?:\W\d+\W*$)", x)) for x, k in zip(line, keys)],
+                "numbered": [EDGE_NUMBER.search(x.strip()) is not None for x in line],
             }
         )
 
+    # what ends like a sentence is neither, unless it is short enough for a number
+    edges = edges.filter(~F.col("line").rlike(END) | (F.length("line") <= 30)).filter("line <> ''")
     edges = edges.withColumn("_r", read("line")).select("*", "_r.key", "_r.number", "_r.numbered").drop("_r")
-    top = F.col("line_index") <= 2
     textual = (F.length("key") >= 5) & ~F.col("line").rlike(END) & (F.length("line") <= 90) & F.col("number").isNull()
-    edges = cut(edges.withColumn("textual", textual))
-    first = edges.filter((F.col("page_number") == 1) & top & F.col("textual") & ~F.col("numbered"))
-    title = first.groupBy("document_id").agg(
-        F.min(F.struct("line_index", "key", "page_id")).alias("t")
-    ).select("document_id", F.col("t.key").alias("title"), F.col("t.page_id").alias("title_page"), F.col("t.line_index").alias("title_line"))
-    many = edges.filter("textual").groupBy("document_id", "key").agg(F.countDistinct("page_id").alias("pages"))
-    # of a document's frequent edge lines: one count for each key; of its pages: one row for each document
-    size = edges.filter("line_index = 1").groupBy("document_id").agg(F.count("*").alias("of"))
+    edges = edges.withColumn("textual", textual).filter("textual or number is not null")
+    edges = cut(edges.withColumn("offset", F.col("number") - F.col("page_number")))
+    first = (F.col("page_number") == 1) & (F.col("line_index") <= 2) & F.col("textual") & ~F.col("numbered")
+    # one row for each document, for each of its keys, and for each distance of its numbers from the page's own
+    per_doc = edges.groupBy("document_id").agg(F.min(F.when(first, F.struct("line_index", "key", "page_id"))).alias("t"))
+    steady = edges.filter("offset is not null").groupBy("document_id", "offset").agg(F.count_distinct("page_id").alias("same"))
+    most = steady.groupBy("document_id").agg(F.max("same").alias("most"))
+    many = edges.filter("textual").groupBy("document_id", "key").agg(F.count_distinct("page_id").alias("pages"))
+    size = pages.groupBy("document_id").agg(F.count("*").alias("of"))
+    per_doc = per_doc.join(most, "document_id", "left").join(size, "document_id", "left").select(
+        "document_id",
+        F.col("t.key").alias("title"),
+        F.col("t.page_id").alias("title_page"),
+        F.col("t.line_index").alias("title_line"),
+        "most",
+        "of",
+    )
     far = F.levenshtein("key", "title") <= F.greatest(F.lit(2), F.floor(F.length("title") * 0.15))
     shared = (F.col("pages") >= 2) & (F.col("pages") >= REPEATED * F.col("of"))
     is_title = (F.col("page_id") == F.col("title_page")) & (F.col("line_index") == F.col("title_line"))
+    plain = F.col("line").rlike(r"^\s*\d+\s*$")
+    odd = plain & (F.col("same") == 1) & (F.col("most") >= 3)
     judged = (
-        edges.join(title, "document_id", "left")
+        edges.join(per_doc, "document_id", "left")
         .join(many, ["document_id", "key"], "left")
-        .join(size, "document_id", "left")
+        .join(steady, ["document_id", "offset"], "left")
         .withColumn(
             "kind",
             F.when(F.coalesce(is_title, F.lit(False)), "title")
             .when(F.col("textual") & F.coalesce(far | shared, F.lit(False)), "header")
-            .when(F.col("number").isNotNull(), "page_number"),
+            .when(F.col("number").isNotNull() & ~F.coalesce(odd, F.lit(False)), "page_number"),
         )
     )
-    # how many lines of the document say this number in its distance from the page's own
-    offset = F.col("number") - F.col("page_number")
-    steady = judged.filter("kind = 'page_number'").groupBy("document_id", offset.alias("offset")).agg(F.countDistinct("page_id").alias("same"))
-    most = steady.groupBy("document_id").agg(F.max("same").alias("most"))
-    judged = (
-        judged.withColumn("offset", offset)
-        .join(steady, ["document_id", "offset"], "left")
-        .join(most, "document_id", "left")
-    )
-    plain = F.col("line").rlike(r"^\s*\d+\s*$")
-    odd = (F.col("kind") == "page_number") & plain & (F.col("same") == 1) & (F.col("most") >= 3)
-    judged = judged.withColumn("kind", F.when(odd, None).otherwise(F.col("kind")))
     kinds = judged.filter("kind is not null")
     outer = kinds.filter((F.col("line_index") == 1) | (F.col("line_index") == F.col("n")))
     ok = outer.select("page_id", F.when(F.col("line_index") == 1, F.lit(2)).otherwise(F.col("n") - 1).alias("line_index")).distinct()
     inner = kinds.filter((F.col("line_index") > 1) & (F.col("line_index") < F.col("n"))).join(ok, ["page_id", "line_index"], "left_semi")
-    return outer.unionByName(inner.select(outer.columns)).select("page_id", "line_index", "kind", "line")
+    return outer.unionByName(inner.select(outer.columns)).select("page_id", "line_index", "kind").distinct()
+
+
+SUSPECT = re.compile(r"[A-Za-zÀ-ɏ][0-9+|]|[0-9+|][A-Za-zÀ-ɏ]|(?<![\w'’])[lISOBb|](?![\w'’])|[.,][lIOSB|]+\b|\b[lIOSB|]+[.,]\d")
 
 
 def _misread(line: str) -> bool:
     """Whether a line has a character that can't belong to the word or number it stands in."""
+    if SUSPECT.search(line) is None:
+        return False
     if re.search(r"(?<=\d[.,])[lIOSB|]+\b|\b[lIOSB|]+(?=[.,]\d)", line):
         return True
     found = list(TOKEN.finditer(line))
@@ -226,67 +242,98 @@ DIVIDED = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ɏ0-9+|'’-]*[^\W\d_]|[^\W\d_]+)[{
 HEAD = re.compile(r"^[\s«“„\"'(]*([^\W_][\w+|]*(?:['’-][\w+|]+)*)")
 
 
-def _page_tokens(page_id: str, text: str, kinds: list | None, after: dict | None) -> Iterator[tuple]:
-    """(line_index, kind, word, head, tail_page, tail_line) of one page's body lines.
-
-    kind: ``word``; ``bad``, a line with an impossible character; ``divided``, a word that goes on in the next line.
-    """
-    body = _body(text, kinds)
-    taken: dict[int, int] = {}  # line -> characters of it that belong to the line before
+def _divided(page_id: str, body: list[tuple[int, str]], after: dict | None) -> tuple[list[tuple], dict, dict]:
+    """The divided words (line_index, head, tail, tail_page, tail_line) of a page's body, and where in each line
+    the part of the line before ends and where the divided word begins."""
+    out, taken, stop = [], {}, {}
     for k, (i, line) in enumerate(body):
-        if _misread(line):
-            yield i, "bad", None, None, None, None
+        end = line.rstrip()[-1:]
+        m = DIVIDED.search(line, max(0, len(line) - 80)) if end and end in LINE_ENDS else None
+        if not m:
+            continue
+        stop[i] = m.start()
         tail_page, tail_line, rest = page_id, None, None
-        m = DIVIDED.search(line)
-        stop = len(line)
-        if m:
-            stop = m.start()
-            if k + 1 < len(body):
-                tail_line, rest = body[k + 1]
-            elif after:
-                tail_page, tail_line, rest = after["page_id"], after["line_index"], after["line"]
-            t = HEAD.match(rest) if rest is not None else None
-            tail = t.group(1) if t else ""
-            if t and k + 1 < len(body):
-                taken[tail_line] = t.end()
-            yield i, "divided", m.group(1) + "\0" + tail, m.group(1), tail_page, tail_line
-        for x in TOKEN.finditer(line, taken.get(i, 0), stop):
-            w = x.group()
-            if LETTER.search(w) and len(w) <= 60:
-                yield i, "word", w, None, None, None
-
-
-def tokens(pages: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(page_id, line_index, kind, word, head, tail_page, tail_line) of all body lines."""
-    per_page = kinds.groupBy("page_id").agg(F.collect_list(F.struct("line_index", "kind")).alias("kinds"))
-    rows = pages.join(per_page, "page_id", "left")
-
-    @F.pandas_udf("line_index INT, line STRING")
-    def opening(text: pd.Series, kinds: pd.Series) -> pd.DataFrame:
-        first = [next(iter(_body(t, k)), (None, None)) for t, k in zip(text, kinds)]
-        return pd.DataFrame(first, columns=["line_index", "line"]).astype({"line_index": "Int32"})
-
-    as_array = F.coalesce("kinds", F.array().cast("array<struct<line_index:int,kind:string>>"))
-    starts = rows.select(
-        "document_id", (F.col("page_number") - 1).alias("page_number"), "page_id", opening("text", as_array).alias("o")
-    ).filter("o.line_index is not null")
-    starts = starts.groupBy("document_id", "page_number").agg(
+        if k + 1 < len(body):
+            tail_line, rest = body[k + 1]
+        elif after:
+            tail_page, tail_line, rest = after["page_id"], after["line_index"], after["line"]
+        t = HEAD.match(rest) if rest is not None else None
+        if t and k + 1 < len(body):
+            taken[tail_line] = t.end()
+        out.append((i, m.group(1), t.group(1) if t else "", tail_page, tail_line))
+    return out, taken, stop
+
+
+def _words(body: list[tuple[int, str]], taken: dict, stop: dict) -> Iterator[tuple[int, str]]:
+    for i, line in body:
+        for w in TOKEN.findall(line, taken.get(i, 0), stop.get(i, len(line))):
+            if w.strip("0123456789+|") and len(w) <= 60:
+                yield i, w
+
+
+def _with_kinds(pages: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(page_id, text, kinds, after): pages with their edge kinds and the line the next page's body begins with.
+
+    Only what is needed of each page's begin is joined before; the texts move once.
+    """
+    per_page = kinds.filter("kind <> 'title'").groupBy("page_id").agg(F.collect_list(F.struct("line_index", "kind")).alias("kinds"))
+    lines = F.split("text", "\n", 4)
+    numbered = F.transform(F.slice(lines, 1, 3), lambda x, k: F.struct((k + 1).alias("line_index"), x.alias("line")))
+    heads = pages.select("document_id", "page_id", "page_number", numbered.alias("begin")).join(per_page, "page_id", "left")
+    taken = F.transform("kinds", lambda k: k.line_index)
+    body = F.filter("begin", lambda b: (F.trim(b.line) != "") & ~F.coalesce(F.array_contains(taken, b.line_index), F.lit(False)))
+    heads = heads.select("document_id", "page_id", "page_number", "kinds", F.get(body, F.lit(0)).alias("o"))
+    starts = heads.filter("o is not null and page_number is not null").groupBy("document_id", (F.col("page_number") - 1).alias("page_number")).agg(
         F.min(F.struct("page_id", "o.line_index", "o.line")).alias("after")
     )
-    rows = rows.join(starts, ["document_id", "page_number"], "left").select("page_id", "text", "kinds", "after")
+    facts = heads.select("document_id", "page_id", "page_number", "kinds").distinct().join(starts, ["document_id", "page_number"], "left")
+    return pages.select("page_id", "text").join(facts.select("page_id", "kinds", "after"), "page_id", "left")
+
+
+def page_facts(pages: DataFrame) -> DataFrame:
+    """(kind, page_id, line_index, head, tail, tail_page, tail_line, n) of the body lines of pages with kinds.
+
+    kind: ``word`` (n occurrences of ``head``, added up over many pages), ``bad`` (a line with an impossible
+    character), ``divided`` (a word that goes on in the next line).
+    """
+    columns = ["kind", "page_id", "line_index", "head", "tail", "tail_page", "tail_line", "n"]
+    whole = {"line_index": "Int32", "tail_line": "Int32", "n": "Int64"}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[str] = Counter()
+        for b in batches:
+            out = []
+            for p, text, kinds, after in b[["page_id", "text", "kinds", "after"]].itertuples(index=False):
+                body = _body(text, kinds)
+                out += [("bad", p, i, None, None, None, None, None) for i, line in body if _misread(line)]
+                found, taken, stop = _divided(p, body, after)
+                out += [("divided", p, *d, None) for d in found]
+                counts.update(w for _, w in _words(body, taken, stop))
+            if len(counts) > 200_000:
+                out += [("word", None, None, w, None, None, None, n) for w, n in counts.items()]
+                counts = Counter()
+            yield pd.DataFrame(out, columns=columns).astype(whole)
+        yield pd.DataFrame([("word", None, None, w, None, None, None, n) for w, n in counts.items()], columns=columns).astype(whole)
+
+    ddl = "kind STRING, page_id STRING, line_index INT, head STRING, tail STRING, tail_page STRING, tail_line INT, n BIGINT"
+    return pages.mapInPandas(run, ddl)
+
+
+def rare_words(pages: DataFrame, usual: frozenset[str]) -> DataFrame:
+    """(page_id, line_index, word) of the body words that aren't ``usual``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["page_id", "line_index", "kind", "word", "head", "tail_page", "tail_line"]
         for b in batches:
-            out = [
-                (p, *row)
-                for p, text, kinds_, after in b.itertuples(index=False)
-                for row in _page_tokens(p, text, None if kinds_ is None else list(kinds_), after)
-            ]
-            yield pd.DataFrame(out, columns=columns).astype({"line_index": "Int32", "tail_line": "Int32"})
+            out = []
+            for p, text, kinds, after in b[["page_id", "text", "kinds", "after"]].itertuples(index=False):
+                if usual.issuperset(TOKEN.findall(text)):
+                    continue
+                body = _body(text, kinds)
+                _, taken, stop = _divided(p, body, after)
+                out += [(p, i, w) for i, w in set(_words(body, taken, stop)) if w not in usual]
+            yield pd.DataFrame(out, columns=["page_id", "line_index", "word"]).astype({"line_index": "Int32"})
 
-    ddl = "page_id STRING, line_index INT, kind STRING, word STRING, head STRING, tail_page STRING, tail_line INT"
-    return rows.mapInPandas(run, ddl)
+    return pages.mapInPandas(run, "page_id STRING, line_index INT, word STRING")
 
 
 def anagram_hash(word: Column) -> Column:
@@ -359,14 +406,14 @@ class Scans:
     """
 
     def __init__(self, page_ocr: DataFrame) -> None:
-        self.pages = cut(documents_pages(page_ocr))
+        self.pages = documents_pages(page_ocr)
         self.kinds = cut(edge_kinds(self.pages))
-        self.tokens = cut(tokens(self.pages, self.kinds))
-        words = self.tokens.filter("kind = 'word'")
-        self.lexicon = cut(words.groupBy("word").agg(F.count("*").alias("n")))
-        divided = self.tokens.filter("kind = 'divided'").withColumn("tail", F.element_at(F.split("word", "\0"), 2))
-        self.divided = cut(self._judged(divided))
-        joined = self.divided.filter("whole is not null").groupBy(F.col("whole").alias("word")).agg(F.count("*").alias("m"))
+        self.rows = cut(_with_kinds(self.pages, self.kinds))
+        self.facts = cut(page_facts(self.rows))
+        words = self.facts.filter("kind = 'word'").select(F.col("head").alias("word"), "n")
+        self.lexicon = cut(words.groupBy("word").agg(F.sum("n").alias("n")))
+        self.divided = cut(self._judged(self.facts.filter("kind = 'divided'").drop("kind", "n")))
+        joined = self.divided.filter("whole is not null").select(F.col("whole").alias("word")).distinct()
         asked = joined.join(self.lexicon, "word", "full").select("word", F.coalesce("n", F.lit(0)).alias("n"))
         self.fixes = cut(corrections(asked, self.lexicon))
 
@@ -390,10 +437,11 @@ class Scans:
 
     def misread(self) -> DataFrame:
         """(page_id, line_index, word, right): every misread word; ``right`` is null where none is known."""
-        bad = self.tokens.filter("kind = 'bad'").select("page_id", "line_index", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("right"))
-        usual = self.lexicon.join(self.fixes, "word", "left_anti").orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")
-        words = self.tokens.filter("kind = 'word'").join(F.broadcast(usual), "word", "left_anti")
-        found = words.join(self.fixes, "word").select("page_id", "line_index", "word", "right")
+        none = F.lit(None).cast("string")
+        bad = self.facts.filter("kind = 'bad'").select("page_id", "line_index", none.alias("word"), none.alias("right"))
+        frequent = self.lexicon.join(self.fixes, "word", "left_anti").orderBy(F.desc("n"), "word").limit(FREQUENT)
+        usual = frozenset(r["word"] for r in frequent.select("word").collect())
+        found = rare_words(self.rows, usual).join(self.fixes, "word").select("page_id", "line_index", "word", "right")
         parts = self.divided.join(self.fixes.withColumnRenamed("word", "whole"), "whole")
         # the first character that differs lies in the head or in the tail
         same = F.size(
@@ -416,7 +464,7 @@ class Scans:
         return edges.unionByName(hyphens).unionByName(wrong).distinct()
 
     def paragraphs(self) -> DataFrame:
-        """(document_id, page_id, paragraph_index, text): the documents' continuous paragraphs.
+        """(document_id, page_id, paragraph_index, text): the documents' continuous paragraphs; copies of a page count once.
 
         Running titles and page numbers are left out, divided words put together, known misread words corrected.
         A paragraph belongs to the page where it begins; paragraph_index counts on that page from 1.
@@ -426,7 +474,8 @@ class Scans:
         )
         kinds = self.kinds.groupBy("page_id").agg(F.collect_list(F.struct("line_index", "kind")).alias("kinds"))
         kept = self.divided.filter("not hyphenation").groupBy("page_id").agg(F.collect_set("line_index").alias("kept"))
-        rows = self.pages.join(fixes, "page_id", "left").join(kinds, "page_id", "left").join(kept, "page_id", "left")
+        once = self.pages.dropDuplicates(["page_id", "text"])
+        rows = once.join(fixes, "page_id", "left").join(kinds, "page_id", "left").join(kept, "page_id", "left")
 
         @F.pandas_udf("array<struct<text: string, opens: boolean, closes: boolean, divided: int>>")
         def parts(text: pd.Series, fixes: pd.Series, kinds: pd.Series, kept: pd.Series) -> pd.Series:
