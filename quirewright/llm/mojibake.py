@@ -24,16 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_rows
+from ..session import bounded_rows, cut
 
 #: Code points that count by themselves.
 ALPHABET = 1500
 #: What an operation costs, and what a restored text must gain at least.
-STEP, GAIN = 0.8, 2.0
+STEP, GAIN = 0.6, 2.0
 #: A pair's rarity counts from this many nats on, by this weight, up to this much.
 USUAL, WEIGHT, MOST = 7.0, 0.7, 6.0
-#: States expanded for a segment.
-EXPANSIONS = 40
+#: States expanded for a segment, and how much more than the start an intermediate text may cost.
+EXPANSIONS, SLACK = 12, 1.0
 #: A segment with a pair that costs more than this is worth a search.
 ODD = 2.2
 
@@ -53,6 +53,8 @@ SINGLE = {
 ORDINARY = set("“”„‘’‚«»‹›¿¡…–—·°€§№ªº½¼¾×±²³®©™£¥•。、，！？：；「」『』（）《》・々ー।॥،؟؛።፣፤፧")
 LOOSE = set("€©®™£¥§±×½¼¾•²³‚‹›")
 RUN = re.compile(r"[^\x00-\x7f]+")
+OTHER = re.compile(r"[Ͱ-῿぀-퟿]")
+ESCAPED = re.compile(r"&#?\w+;|\\u[0-9a-fA-F]{4}|%[0-9A-Fa-f]{2}%|=[0-9A-F]{2}=")
 #: A question mark where a letter was: before a small letter, not after the end of a sentence.
 LOST = re.compile(r"(?:(?<=[^\W\d_])|(?<=[\s(«“„])|^)\?+(?=[a-zß-öø-ÿ])")
 
@@ -66,8 +68,8 @@ def _kind(ch: str) -> str:
 def _runs(text: str) -> Iterator[str]:
     """The stretches outside ASCII, each with the character before and after it on its line."""
     for m in RUN.finditer(text):
-        i, j = max(0, m.start() - 1), m.end() + 1
-        yield text[i:j].strip("\n")
+        i = m.start()
+        yield (text[i - 1 : m.end() + 1] if i else " " + text[: m.end() + 1]).replace("\n", " ")
 
 
 def _encode(text: str, codec: str) -> bytes | None:
@@ -157,6 +159,8 @@ class Plausibility:
         self.chars, self.pairs = chars, pairs
         self.total = max(1, sum(pairs.values()))
         self.cost_of: dict[tuple[str, str], float] = {}
+        self.words: dict[str, tuple[str, tuple[str, ...]]] = {}
+        self.plain = {p for p in (tuple(k.split("\0")) for k in pairs) if len(p[0]) == len(p[1]) == 1 and self.pair(*p) <= ODD}
 
     def symbol(self, ch: str) -> str:
         return ch if ch in self.chars else _kind(ch)
@@ -176,76 +180,95 @@ class Plausibility:
         total = 0.0
         for run in _runs(text):
             total += sum(map(self.pair, run, run[1:]))
-            if run[0] >= "\x80":
-                total += _shape(" ", run[0])
         return total
 
     def odd(self, text: str) -> bool:
         """Whether ``text`` is implausible enough for a search."""
-        return any(self.pair(a, b) > ODD for run in _runs(text) for a, b in zip(run, run[1:]))
-
-
-def restore(text: str, model: Plausibility) -> tuple[str, tuple[str, ...]]:
+        for run in _runs(text):
+            if not self.plain.issuperset(zip(run, run[1:])) and any(self.pair(a, b) > ODD for a, b in zip(run, run[1:])):
+                return True
+        return False
+
+
+def _steps(state: str, seen: set[int]) -> Iterator[tuple[tuple[str, ...], str]]:
+    """The texts not seen yet that one unescape, or one encode and one decode, lead to from ``state``."""
+    for name, new in _unescape(state):
+        if hash(new) not in seen:
+            seen.add(hash(new))
+            yield (name,), new
+    lost = "�" in state
+    for read in READ_AS:
+        data = _encode(state, read)
+        if data is None or hash((read, data)) in seen:
+            continue
+        seen.add(hash((read, data)))
+        for codec in WRITTEN_IN:
+            # a lost character is a byte that only UTF-8 is sure not to have
+            other = not lost and (codec in MULTI and read == "windows-1252" or (read, codec) in SINGLE)
+            if codec != read and (codec == "utf-8" or other):
+                new = _decode(data, codec)
+                if new is not None and hash(new) not in seen:
+                    seen.add(hash(new))
+                    yield (read, codec), new
+
+
+def restore(text: str, model: Plausibility, gain: float = GAIN) -> tuple[str, tuple[str, ...]]:
     """The cheapest text reachable from ``text`` and the operations that lead there; itself and () if none is better."""
     start = model.text(text)
     best, best_path, best_cost = text, (), start
-    heap: list[tuple[float, int, object, tuple[str, ...]]] = [(start, 0, text, ())]
-    seen = {hash(("t", text))}
+    other = len(OTHER.findall(text))
+    heap: list[tuple[float, int, str, tuple[str, ...]]] = [(start, 0, text, ())]
+    seen = {hash(text)}
     order = expanded = 0
     while heap and expanded < EXPANSIONS:
         cost, _, state, path = heapq.heappop(heap)
+        if cost > best_cost and best_path:
+            break  # what is left costs more than the best already
         expanded += 1
-        steps: list[tuple[str, object]] = []
-        if isinstance(state, bytes):
-            read = path[-1]
-            for codec in WRITTEN_IN:
-                # a lost character is a byte that only UTF-8 is sure not to have
-                other = b"\xff" not in state and (codec in MULTI and read == "windows-1252" or (read, codec) in SINGLE)
-                if codec != read and (codec == "utf-8" or other):
-                    new = _decode(state, codec)
-                    if new is not None:
-                        steps.append((codec, new))
-        else:
-            if len(path) >= 6:
-                continue  # a third round of encode and decode is the last
-            steps += _unescape(state)
-            for codec in READ_AS:
-                data = _encode(state, codec)
-                if data is not None:
-                    steps.append((codec, data))
-        for name, new in steps:
-            mark = hash(("t", new) if isinstance(new, str) else (name, new))
-            if mark in seen:
-                continue
-            seen.add(mark)
-            order += 1
-            to = (*path, name)
-            # bytes carry the cost of the text they come from, so they are decoded next
-            price = cost if isinstance(new, bytes) else model.text(new) + STEP * (len(to) + 1) / 2
-            if isinstance(new, str):
-                # valid UTF-8 is evidence by itself; a second round of other encodings needs more
-                least = GAIN / 2 if name == "utf-8" else GAIN * (4 if len(to) > 2 and "utf-8" not in to else 1)
-                if price < best_cost and price < start - least:
-                    best, best_path, best_cost = new, to, price
-                if price > start + 4:
-                    continue
-            heapq.heappush(heap, (price, order, new, to))
+        if len(path) >= 6:
+            continue  # a third round of encode and decode is the last
+        for names, new in _steps(state, seen):
+            to = (*path, *names)
+            price = model.text(new) + STEP * len(to)
+            # valid UTF-8 is evidence by itself; a second round of other encodings, or a letter or two of another
+            # script, needs more
+            utf8 = names[-1] == "utf-8"
+            few = not utf8 and 0 < len(OTHER.findall(new)) - other < 3
+            least = gain / 2 if utf8 else gain * (4 if few or len(to) > 2 and "utf-8" not in to else 1)
+            if price < best_cost and price < start - least:
+                best, best_path, best_cost = new, to, price
+            if price <= start + SLACK:
+                order += 1
+                heapq.heappush(heap, (price, order, new, to))
     return best, best_path
 
 
+def _word(word: str, model: Plausibility) -> tuple[str, tuple[str, ...]]:
+    """``restore`` of a word, remembered: names and signs come again."""
+    known = model.words.get(word)
+    if known is None:
+        if len(model.words) > 100_000:
+            model.words.clear()
+        known = model.words[word] = restore(word, model, GAIN / 2)
+    return known
+
+
 def repair(text: str, model: Plausibility) -> tuple[str, list[str], bool]:
     """Restored text, the distinct operation paths used, and whether characters are lost in ``text``."""
     lost = "�" in text or LOST.search(text) is not None
-    if text.isascii() and not any(x in text for x in ("&", "\\u", "%", "=")):
+    escaped = ESCAPED.search(text) is not None
+    if not escaped and (text.isascii() or not model.odd(text)):
         return text, [], lost
     out, paths = [], []
     for line in text.split("\n"):
-        if line.isascii() or not model.odd(line):
-            done, path = (line, ()) if not re.search(r"&#?\w+;|\\u[0-9a-f]{4}|%[0-9A-F]{2}%|=[0-9A-F]{2}=", line) else restore(line, model)
+        if escaped and ESCAPED.search(line):
+            done, path = restore(line, model)
+        elif line.isascii() or not any(_word(w, model)[1] for w in line.split(" ") if not w.isascii() and model.odd(w)):
+            done, path = line, ()
         else:
+            # a word of the line is garbled, so perhaps all of it
             done, path = restore(line, model)
             if not path or model.odd(done):
-                # only part of the line may be garbled
                 again = []
                 for word in done.split(" "):
                     new, own = restore(word, model) if not word.isascii() and model.odd(word) else (word, ())
@@ -264,34 +287,33 @@ def fit(docs: DataFrame, col: str = "text", alphabet: int = ALPHABET) -> Plausib
 
     Collected are at most ``alphabet`` code points and the pairs of them and of the kinds of the rest.
     """
-    texts = docs.select(F.col(col).alias("_t")).filter(F.col("_t").isNotNull())
+    texts = docs.select(F.col(col).alias("_t")).filter(F.col("_t").rlike(r"[^\x00-\x7f]"))
 
-    def singles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[tuple[str, str]] = Counter()
         for b in batches:
-            n: Counter[str] = Counter()
             for t in b["_t"]:
-                n.update(t)
-            yield pd.DataFrame({"form": list(n), "n": list(n.values())})
-
-    chars = texts.mapInPandas(singles, "form STRING, n BIGINT").groupBy("form").agg(F.sum("n").alias("n"))
-    top = {r["form"]: r["n"] for r in chars.orderBy(F.desc("n"), "form").limit(alphabet).collect()}
+                for run in _runs(t):
+                    n.update(zip(run, run[1:]))
+            if len(n) > 500_000:
+                yield pd.DataFrame([(x, y, k) for (x, y), k in n.items()], columns=["a", "b", "n"])
+                n = Counter()
+        yield pd.DataFrame([(x, y, k) for (x, y), k in n.items()], columns=["a", "b", "n"])
+
+    # one pass over the texts; what follows is over pairs of code points
+    raw = cut(texts.mapInPandas(count, "a STRING, b STRING, n BIGINT").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    chars = raw.filter(F.col("b").rlike(r"[^\x00-\x7f]")).groupBy("b").agg(F.sum("n").alias("n"))
+    top = {r["b"]: r["n"] for r in chars.orderBy(F.desc("n"), "b").limit(alphabet).collect()}
+    top |= {chr(c): 1 for c in range(128)}
     known = frozenset(top)
 
-    def doubles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         symbol = lru_cache(maxsize=1 << 16)(lambda ch: ch if ch in known else _kind(ch))
         for b in batches:
-            n: Counter[tuple[str, str]] = Counter()
-            for t in b["_t"]:
-                if not t.isascii():
-                    for run in _runs(t):
-                        n.update(zip(run, run[1:]))
-            out: Counter[str] = Counter()
-            for (x, y), k in n.items():
-                out[symbol(x) + "\0" + symbol(y)] += k
-            yield pd.DataFrame({"form": list(out), "n": list(out.values())})
-
-    pairs = texts.mapInPandas(doubles, "form STRING, n BIGINT").groupBy("form").agg(F.sum("n").alias("n"))
-    return Plausibility(top, {r["form"]: r["n"] for r in bounded_rows(pairs, (alphabet + 300) ** 2, "pairs")})
+            yield pd.DataFrame({"form": [symbol(x) + "\0" + symbol(y) for x, y in zip(b["a"], b["b"])], "n": b["n"]})
+
+    pairs = raw.mapInPandas(symbols, "form STRING, n BIGINT").groupBy("form").agg(F.sum("n").alias("n"))
+    return Plausibility(top, {r["form"]: r["n"] for r in bounded_rows(pairs, (alphabet + 500) ** 2, "pairs")})
 
 
 @lru_cache(maxsize=2)
