@@ -104,14 +104,15 @@ CANDIDATE = regex.compile(
     r"(?:[.!?…]+(?:[\"'“”’»)\]]|\s?»)*|[।॥።፧؟۔][\"'”’»)\]]*)(?:(\s+)|$)"
     r"|[。！？｡]+(?:\s?[」』”’）)])*(\s*)"
 )
-WINDOW = 300
+WINDOW, MARGIN = 600, 150
 NONE = regex.compile(r"[\p{Cf}\p{Zs}\p{Block=Halfwidth and Fullwidth Forms}\p{Block=Mathematical Alphanumeric Symbols}--[ ，。！？、：；（）]]", regex.V1)
-SCRIPTS = (
-    ("hi", regex.compile(r"\p{Devanagari}")),
-    ("ar", regex.compile(r"\p{Arabic}")),
-    ("ru", regex.compile(r"\p{Cyrillic}")),
-    ("la", regex.compile(r"\p{Latin}")),
-)
+SCRIPTS = {
+    "hi": regex.compile(r"\p{Devanagari}"),
+    "ar": regex.compile(r"\p{Arabic}"),
+    "ru": regex.compile(r"\p{Cyrillic}"),
+}
+LATIN = regex.compile(r"\p{Latin}")
+LATIN_WORD = regex.compile(r"[a-zß-öø-ÿ]+")
 
 
 @lru_cache(maxsize=None)
@@ -145,14 +146,15 @@ def _plain(text: str) -> tuple[str, list[int] | None]:
 
 def language(text: str) -> str:
     """The language whose rules hold for a stretch of text; "" where only script tells nothing."""
-    counts = {k: len(p.findall(text)) for k, p in SCRIPTS}
-    best = max(counts, key=counts.get)
-    if not counts[best]:
-        return ""
-    if best != "la":
-        return best
+    if not text.isascii():
+        other = [k for k, p in SCRIPTS.items() if p.search(text)]
+        if other:
+            counts = {k: len(SCRIPTS[k].findall(text)) for k in other} | {"": len(LATIN.findall(text))}
+            best = max(counts, key=counts.get)
+            if best:
+                return best
     votes: dict[str, int] = {}
-    for w in regex.findall(r"\p{L}+", text.lower()):
+    for w in LATIN_WORD.findall(text.lower()):
         for k in VOTES.get(w, ()):
             votes[k] = votes.get(k, 0) + 1
     return max(votes, key=votes.get) if votes else ""
@@ -173,7 +175,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
         stop = end - len(blank)
         block = stop // WINDOW
         if block not in known:
-            known[block] = language(form[max(0, (block - 1) * WINDOW) : (block + 2) * WINDOW])
+            known[block] = language(form[max(0, block * WINDOW - MARGIN) : (block + 1) * WINDOW + MARGIN])
         before = form[max(0, stop - 40) : stop]
         after = form[end : end + 20]
         for decides, left, right in _rules(known[block]):
