@@ -220,6 +220,9 @@ class Rewriter:
         sure: list[str] = []  # script that the word must have, "" where its letters don't tell
         for _, w in words:
             own = {self.crossing[c] for c in w if c in self.crossing and c not in self.across}
+            every = Counter(self.crossing[c] for c in w if c in self.crossing).most_common(2)
+            if not own and len(every) == 2 and every[0][1] > every[1][1]:
+                own = {every[0][0]}  # no letter tells, but most are of one script
             sure.append(own.pop() if len(own) == 1 else "mixed" if own else "")
         out, done = [], 0
         for k, (at, w) in enumerate(words):

@@ -202,5 +202,5 @@ class Mix:
         return (
             asked.join(F.broadcast(got), ["mix_id", "source"], "left")
             .fillna(0, ["tokens", "documents", "copies"])
-            .withColumn("share", F.round(F.col("tokens") / F.sum("tokens").over(mine), 9))
+            .withColumn("share", F.round(F.try_divide(F.col("tokens"), F.sum("tokens").over(mine)), 9))
         )

@@ -180,6 +180,8 @@ class Plausibility:
         total = 0.0
         for run in _runs(text):
             total += sum(map(self.pair, run, run[1:]))
+        if ESCAPED.search(text):
+            total += 4.0 * sum(html.unescape(m) != m or m[0] != "&" for m in ESCAPED.findall(text))
         return total
 
     def odd(self, text: str) -> bool:

@@ -122,7 +122,7 @@ def page_number_line(line: str) -> int | None:
         return None
     name = m["name"]
     if name and alike(name) not in KNOWN_NAMES:
-        return _number(name + m["n"]) if not m["all"] and " " not in s else None
+        return _number(name + m["n"]) if not m["all"] and m.end("name") == m.start("n") else None
     if not m["all"] and (not name or not re.search(r"\d", m["n"])) and re.search(r"[.:;?!]$", s):
         return None  # the rest of a sentence
     return _number(m["n"])
