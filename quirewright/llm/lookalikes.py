@@ -218,12 +218,13 @@ class Rewriter:
         """Letters of another script replaced in the words they stand in."""
         words = [(m.start(), m.group()) for m in WORD.finditer(text)]
         sure: list[str] = []  # script that the word must have, "" where its letters don't tell
+        lean: list[str] = []  # the same, or the script of most of its letters
         for _, w in words:
             own = {self.crossing[c] for c in w if c in self.crossing and c not in self.across}
             every = Counter(self.crossing[c] for c in w if c in self.crossing).most_common(2)
-            if not own and len(every) == 2 and every[0][1] > every[1][1]:
-                own = {every[0][0]}  # no letter tells, but most are of one script
             sure.append(own.pop() if len(own) == 1 else "mixed" if own else "")
+            most = every[0][0] if len(every) == 2 and every[0][1] > every[1][1] else ""
+            lean.append(sure[-1] or most)
         out, done = [], 0
         for k, (at, w) in enumerate(words):
             kinds = Counter(self.crossing[c] for c in w if c in self.crossing)
@@ -233,7 +234,7 @@ class Rewriter:
             if want == "mixed":
                 want = kinds.most_common(1)[0][0]
             elif not want:
-                near = self._near(sure, words, k)
+                near = self._near(lean, k)
                 top = kinds.most_common(2)
                 if len(top) > 1 and top[0][1] == top[1][1]:
                     want = near if near in kinds else top[0][0]
@@ -249,7 +250,7 @@ class Rewriter:
         return "".join(out) + text[done:]
 
     @staticmethod
-    def _near(sure: list[str], words: list, k: int) -> str:
+    def _near(sure: list[str], k: int) -> str:
         """The script of the nearest words on both sides that have one, if it is the same."""
         sides = []
         for step in (-1, 1):
