@@ -235,18 +235,17 @@ class Rewriter:
                 want = kinds.most_common(1)[0][0]
             elif not want:
                 near = self._near(lean, k)
-                top = kinds.most_common(2)
-                if len(top) > 1 and top[0][1] == top[1][1]:
-                    want = near if near in kinds else top[0][0]
-                elif len(kinds) > 1:
-                    want = near if near in kinds else top[0][0]
-                else:
-                    want = near or top[0][0]
-            foreign = [c for c in w if c in self.crossing and self.crossing[c] != want]
-            if foreign and all(want in self.across.get(c, ()) for c in foreign):
-                new = "".join(self.across[c][want] if self.crossing.get(c, want) != want else c for c in w)
-                out += (text[done:at], new)
-                done = at + len(w)
+                want = near if near and (near in kinds or len(kinds) == 1) else kinds.most_common(1)[0][0]
+            # the script it should have, else the others of its letters, if all that are foreign then have a fellow there
+            for script_ in dict.fromkeys((want, *kinds)):
+                foreign = [c for c in w if self.crossing.get(c, script_) != script_]
+                if not foreign:
+                    break
+                if all(script_ in self.across.get(c, ()) for c in foreign):
+                    new = "".join(self.across[c][script_] if self.crossing.get(c, script_) != script_ else c for c in w)
+                    out += (text[done:at], new)
+                    done = at + len(w)
+                    break
         return "".join(out) + text[done:]
 
     @staticmethod
