@@ -38,11 +38,12 @@ EXPANSIONS, SLACK = 12, 1.0
 ODD = 2.2
 
 # Encodings a text may have been read in by mistake, and those it may have been written in.
-READ_AS = ("windows-1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "cp1250", "iso8859-2", "iso8859-15", "cp1254")
+READ_AS = ("windows-1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "cp1250", "iso8859-2", "iso8859-15", "cp1254")
 WRITTEN_IN = ("utf-8", "windows-1252", "cp1251", "koi8-r", "cp866", "gb18030", "cp932", "euc_jp", "big5", "euc_kr", "mac_roman", "cp437", "cp1250")
 #: Readings that leave the bytes of another encoding in place; UTF-8 goes with any reading.
 MULTI = ("gb18030", "cp932", "euc_jp", "big5", "euc_kr")
 SINGLE = {
+    ("latin-1", "windows-1252"),
     ("windows-1252", "cp1251"), ("windows-1252", "koi8-r"), ("windows-1252", "cp866"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"),
     ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1250", "windows-1252"), ("iso8859-2", "windows-1252"), ("mac_roman", "windows-1252"),
     ("cp437", "windows-1252"), ("cp850", "windows-1252"), ("cp1251", "windows-1252"), ("windows-1252", "mac_roman"),
@@ -53,6 +54,10 @@ SINGLE = {
 ORDINARY = set("“”„‘’‚«»‹›¿¡…–—·°€§№ªº½¼¾×±²³®©™£¥•。、，！？：；「」『』（）《》・々ー।॥،؟؛።፣፤፧")
 LOOSE = set("€©®™£¥§±×½¼¾•²³‚‹›")
 RUN = re.compile(r"[^\x00-\x7f]+")
+C1 = re.compile("[\x80-\x9f]")
+#: What a UTF-8 sequence looks like when it is read byte by byte in a western encoding.
+_HIGH = "[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+SEQUENCE = re.compile(f"[Â-ß]{_HIGH}|[à-ï]{_HIGH}{{2}}")
 OTHER = re.compile(r"[Ͱ-῿぀-퟿]")
 ESCAPED = re.compile(r"&#?\w+;|\\u[0-9a-fA-F]{4}|%[0-9A-Fa-f]{2}%|=[0-9A-F]{2}=")
 #: A question mark where a letter was: before a small letter, not after the end of a sentence.
@@ -75,6 +80,8 @@ def _runs(text: str) -> Iterator[str]:
 def _encode(text: str, codec: str) -> bytes | None:
     """Bytes of ``text``; a lost character becomes a byte that no UTF-8 text has. None if it can't be encoded."""
     try:
+        if codec == "latin-1" and "�" not in text:
+            return text.encode("latin-1") if C1.search(text) else None
         if codec == "windows-1252":
             try:
                 return text.encode("cp1252")
@@ -186,6 +193,8 @@ class Plausibility:
 
     def odd(self, text: str) -> bool:
         """Whether ``text`` is implausible enough for a search."""
+        if SEQUENCE.search(text):
+            return True
         for run in _runs(text):
             if not self.plain.issuperset(zip(run, run[1:])) and any(self.pair(a, b) > ODD for a, b in zip(run, run[1:])):
                 return True

@@ -35,7 +35,8 @@ def bad(text, written, read, twice=False):
 @pytest.mark.parametrize(
     "k,written,read",
     [(0, "utf-8", "latin-1"), (1, "utf-8", "mac_roman"), (2, "utf-8", "cp437"), (3, "utf-8", "latin-1"), (3, "cp1251", "latin-1"), (3, "koi8-r", "cp1251"),
-     (3, "utf-8", "cp1251"), (4, "gb18030", "latin-1"), (5, "utf-8", "latin-1"), (2, "latin-1", "cp1250"), (6, "utf-8", "latin-1")],
+     (3, "utf-8", "cp1251"), (4, "gb18030", "latin-1"), (5, "utf-8", "latin-1"), (2, "latin-1", "cp1250"), (6, "utf-8", "latin-1"),
+     (6, "cp1252", "latin-1")],
 )
 def test_round_trips(model, k, written, read):
     text = CLEAN[k].replace("„", '"').replace("“", '"').replace("–", "-") if written in ("latin-1",) else CLEAN[k]
@@ -63,6 +64,10 @@ def test_lost_characters(model):
     assert not mojibake.repair("What? yes. (Why?) ok", model)[2]
 
 
+def test_a_frequent_sequence_is_still_seen(model):
+    assert mojibake.repair("Temperatures of 20 Â°C were", model)[0] == "Temperatures of 20 °C were"
+
+
 def test_escapes(model):
     assert mojibake.repair("d&eacute;j&agrave;", model)[0] == "déjà"
 
