@@ -59,6 +59,7 @@ C1 = re.compile("[\x80-\x9f]")
 _HIGH = "[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
 SEQUENCE = re.compile(f"[Â-ß]{_HIGH}|[à-ï]{_HIGH}{{2}}")
 OTHER = re.compile(r"[Ͱ-῿぀-퟿]")
+BEFORE_SMALL = re.compile(r"\?[a-zß-öø-ÿ]")
 ESCAPED = re.compile(r"&#?\w+;|\\u[0-9a-fA-F]{4}|%[0-9A-Fa-f]{2}%|=[0-9A-F]{2}=")
 #: A question mark where a letter was: before a small letter, not after the end of a sentence.
 LOST = re.compile(r"(?:(?<=[^\W\d_])|(?<=[\s(«“„])|^)\?+(?=[a-zß-öø-ÿ])")
@@ -233,8 +234,8 @@ def restore(text: str, model: Plausibility, gain: float = GAIN) -> tuple[str, tu
     order = expanded = 0
     while heap and expanded < EXPANSIONS:
         cost, _, state, path = heapq.heappop(heap)
-        if cost > best_cost and best_path:
-            break  # what is left costs more than the best already
+        if best_path and (cost > best_cost or not model.odd(best)):
+            break  # what is left costs more than the best already, or the best has nothing odd
         expanded += 1
         if len(path) >= 6:
             continue  # a third round of encode and decode is the last
@@ -248,6 +249,8 @@ def restore(text: str, model: Plausibility, gain: float = GAIN) -> tuple[str, tu
             least = gain / 2 if utf8 else gain * (4 if few or len(to) > 2 and "utf-8" not in to else 1)
             if price < best_cost and price < start - least:
                 best, best_path, best_cost = new, to, price
+                if utf8 and not model.odd(new):
+                    return best, best_path  # nothing is left to be doubted
             if price <= start + SLACK:
                 order += 1
                 heapq.heappush(heap, (price, order, new, to))
@@ -266,8 +269,8 @@ def _word(word: str, model: Plausibility) -> tuple[str, tuple[str, ...]]:
 
 def repair(text: str, model: Plausibility) -> tuple[str, list[str], bool]:
     """Restored text, the distinct operation paths used, and whether characters are lost in ``text``."""
-    lost = "�" in text or LOST.search(text) is not None
-    escaped = ESCAPED.search(text) is not None
+    lost = "�" in text or (BEFORE_SMALL.search(text) is not None and LOST.search(text) is not None)
+    escaped = any(x in text for x in "&\\%=") and ESCAPED.search(text) is not None
     if not escaped and (text.isascii() or not model.odd(text)):
         return text, [], lost
     out, paths = [], []
