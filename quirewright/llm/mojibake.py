@@ -258,7 +258,9 @@ def restore(text: str, model: Plausibility, gain: float = GAIN) -> tuple[str, tu
 
 
 def _word(word: str, model: Plausibility) -> tuple[str, tuple[str, ...]]:
-    """``restore`` of a word, remembered: names and signs come again."""
+    """``restore`` of a word, remembered if it is short: names and signs come again."""
+    if len(word) > 40:
+        return restore(word, model, GAIN / 2)
     known = model.words.get(word)
     if known is None:
         if len(model.words) > 100_000:
