@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identity
+from ..session import bounded_rows
 from .pages import box_union
 
 LIMIT, FRAGMENTS = 4000, 10_000
@@ -152,3 +154,34 @@ def fragment_boxes(chunks: DataFrame) -> DataFrame:
     """The box around each chunk's fragments."""
     each = chunks.select("chunk_id", F.explode("fragments").alias("f"))
     return each.groupBy("chunk_id").agg(*box_union(F.col("f.bounding_box")))
+
+
+def rebuilt_corpora(chunks: DataFrame, spans: DataFrame, limits: DataFrame, default_limit: int = LIMIT) -> DataFrame:
+    """The chunks that packing the stored spans again gives, for every page that has stored chunks.
+
+    limits: config_id, max_characters_per_chunk. Result: corpus_id, page_id, page_chunk_index, text. Each limit is
+    packed on its own, and there are few of them.
+    """
+    conf = limits.select("config_id", "max_characters_per_chunk").dropDuplicates(["config_id"])
+    pages = chunks.select("corpus_id", "page_id", "config_id").distinct().join(conf, "config_id", "left")
+    pages = pages.select("corpus_id", "page_id", F.coalesce("max_characters_per_chunk", F.lit(default_limit)).alias("limit"))
+    sizes = sorted(r["limit"] for r in bounded_rows(pages.select("limit").distinct(), 100, "chunk limits"))
+    parts = []
+    for size in sizes:
+        mine = pages.filter(F.col("limit") == size)
+        packed = pack_pages(spans.join(mine.select("page_id").distinct(), "page_id", "left_semi"), Packer(size))
+        parts.append(packed.select("page_id", "page_chunk_index", "text").join(mine.drop("limit"), "page_id"))
+    if not parts:
+        return chunks.select("corpus_id", "page_id", "page_chunk_index", "text").limit(0)
+    return reduce(DataFrame.unionByName, parts).select("corpus_id", "page_id", "page_chunk_index", "text")
+
+
+def rebuild_audit(chunks: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """Per corpus: stored chunks, those that rebuilding gives at the same place, and those it gives elsewhere or not."""
+    keys = ["corpus_id", "page_id", "page_chunk_index"]
+    stored = chunks.select(*keys, F.sha2("text", 256).alias("stored")).dropDuplicates(keys)
+    again = rebuilt.select(*keys, F.sha2("text", 256).alias("again")).dropDuplicates(keys)
+    same = F.coalesce(F.col("stored") == F.col("again"), F.lit(False))
+    return stored.join(again, keys, "full").groupBy("corpus_id").agg(
+        F.count("stored").alias("stored_chunks"), F.count_if(same).alias("same"), F.count_if(~same).alias("different")
+    )

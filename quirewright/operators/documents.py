@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import is_identity
 
@@ -29,6 +31,34 @@ def png_size(content: Column) -> Column:
     return F.when(media_type(content) == "image/png", F.struct(number(17).alias("width"), number(21).alias("height")))
 
 
+@F.pandas_udf(T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())]))
+def jpeg_size(content: pd.Series) -> pd.DataFrame:
+    """Width and height of JPEGs from their frame headers, without decoding; null if there is none."""
+    return pd.DataFrame([_frame(c) for c in content], columns=["width", "height"], dtype="Int64")
+
+
+def _frame(data: bytes | None) -> tuple[int | None, int | None]:
+    at = 2
+    while data is not None and at + 9 < len(data) and data[at] == 0xFF:
+        marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        at += 2 + size
+    return None, None
+
+
+def verified(files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Per stored file (document_id, length, content): whether size and digest are those of its manifest."""
+    want = manifests.select("document_id", F.col("byte_size").alias("_size"), F.col("fingerprint").alias("_digest")).dropDuplicates(["document_id"])
+    got = files.select("document_id", "length", F.sha2("content", 256).alias("digest")).join(want, "document_id", "left")
+    return got.select(
+        "document_id",
+        F.col("_digest").isNotNull().alias("has_manifest"),
+        F.coalesce(F.col("length") == F.col("_size"), F.lit(False)).alias("same_size"),
+        F.coalesce(F.col("digest") == F.col("_digest"), F.lit(False)).alias("same_digest"),
+    )
+
+
 def ingest(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Manifests of ``files`` (path, length, content; Spark's binaryFile source).
 
@@ -38,12 +68,13 @@ def ingest(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """
     ok = (F.col("length") > 0) & (F.col("length") <= max_bytes)
     content = F.when(ok, F.col("content"))
-    size = png_size(content)
+    png = png_size(content)
+    jpeg = jpeg_size(F.when(media_type(content) == "image/jpeg", content))
     rows = files.select(
         F.sha2(content, 256).alias("fingerprint"),
         media_type(content).alias("media_type"),
         F.col("length").alias("byte_size"),
-        (size.width * size.height).alias("pixels"),
+        F.coalesce(png.width * png.height, jpeg.width * jpeg.height).alias("pixels"),
         F.when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too_large").alias("_size"),
     )
     rejection = (

@@ -49,6 +49,41 @@ def ocr_selection(routed: DataFrame, sparse: bool = True) -> DataFrame:
     return routed.withColumn("selected", F.col("routed_status").isin(wanted))
 
 
+def skipped_pages(routed: DataFrame) -> DataFrame:
+    """The rows OCR gives for pages that aren't selected: no text, counts 0."""
+    rows = routed.filter(~F.col("selected"))
+    return rows.select("page_id", F.lit("not_selected").alias("status"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("character_count"), F.lit(0).alias("line_count"))
+
+
+def recognised_pages(lines: DataFrame, least_confidence: float = 0.0) -> DataFrame:
+    """Pages from an engine's lines (page_id, line_index, text, confidence): a page without lines is no row here.
+
+    ``below``: lines under the least confidence, which an engine set to it must not give.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("line_index", "text")))
+    return lines.groupBy("page_id").agg(
+        F.array_join(F.transform(ordered, lambda x: x.text), "\n").alias("text"),
+        F.count("*").alias("line_count"),
+        F.round(F.avg("confidence"), 6).alias("mean_confidence"),
+        F.count_if(F.col("confidence") < least_confidence).alias("below"),
+    )
+
+
+def table_order(tables: DataFrame) -> DataFrame:
+    """table_index and table_id of each page's tables, from 1 by place: top, left, bottom, right."""
+    b = F.col("bounding_box")
+    place = Window.partitionBy("page_id").orderBy(b.top, b.x0, b.bottom, b.x1)
+    rows = tables.withColumn("table_index", F.row_number().over(place))
+    return rows.withColumn("table_id", F.format_string("%s-table-%06d", "page_id", "table_index"))
+
+
+def cells_outside(cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """Cells whose box isn't within that of their table. Both have table_id and bounding_box."""
+    outer = tables.select("table_id", F.col("bounding_box").alias("_outer"))
+    inside = box_within(F.col("bounding_box"), F.col("_outer"))
+    return cells.join(outer, "table_id").filter(~F.coalesce(inside, F.lit(False))).drop("_outer")
+
+
 def assembled_pages(spans: DataFrame) -> DataFrame:
     """What recognition gives for each page from its line spans: text, lines and mean confidence.
 

@@ -139,3 +139,15 @@ def report_status(*results: DataFrame) -> DataFrame:
     return every.agg(
         F.when(failed > 0, "failed").when(missing > 0, "incomplete").when(F.count("*") > 0, "passed").otherwise("observational").alias("status")
     )
+
+
+def suite_violations(answer_cases: DataFrame, text_cases: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(case_id, violation): case ids used twice, and reviews of cases that don't exist."""
+    ids = answer_cases.select("case_id").unionByName(text_cases.select("case_id"))
+    twice = ids.groupBy("case_id").agg(F.count("*").alias("n")).filter("n > 1").select("case_id", F.lit("duplicate_case").alias("violation"))
+    lost = reviews.select("case_id").distinct().join(answer_cases.select("case_id"), "case_id", "left_anti")
+    return twice.unionByName(lost.select("case_id", F.lit("unknown_case").alias("violation")))
+
+
+def ordered_findings(findings: DataFrame) -> DataFrame:
+    return findings.orderBy("dimension", F.coalesce("case_id", F.lit("")), "code")

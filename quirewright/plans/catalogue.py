@@ -524,3 +524,46 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.events import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 4))
+
+
+# more audits
+
+
+@query()
+def corpus_rebuild_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored corpora against what packing their spans again gives."""
+    chunks = table(spark, sf_dir, "chunks")
+    rebuilt = chunking.rebuilt_corpora(chunks, table(spark, sf_dir, "spans"), table(spark, sf_dir, "corpus_configs"))
+    return chunking.rebuild_audit(chunks, rebuilt)
+
+
+@query(nested_queries._CTE + """,
+boxes AS (SELECT record_id, CAST(p->>'page_number' AS INT) AS page_number, ti AS table_index, c->'bounding_box' AS b, t AS tt FROM (
+  SELECT record_id, p, ti, t, unnest(""" + nested_queries._LIST.format("(t->'cells')") + """) AS c FROM tables) WHERE json_type(c) = 'OBJECT'),
+grid AS (SELECT record_id, page_number, table_index, count(*) AS cells FROM boxes GROUP BY 1, 2, 3)
+SELECT record_id, page_number, table_index, cells FROM grid""")
+def table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of every table that has any."""
+    cells = nested_queries._children(spark, sf_dir).filter("child = 'cell'")
+    return cells.groupBy("record_id", F.col("idx1").alias("page_number"), F.col("idx2").alias("table_index")).agg(F.count("*").alias("cells"))
+
+
+@query("""
+SELECT DISTINCT page_id, 'not_selected' AS status, CAST(NULL AS VARCHAR) AS text, 0 AS character_count, 0 AS line_count
+FROM (SELECT page_id, """ + _SEEN.format("text") + """ AS n FROM page_text) WHERE n >= 4""")
+def skipped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = pages.text_routing(table(spark, sf_dir, "page_text")).select("page_id", "routed_status").distinct()
+    return pages.skipped_pages(pages.ocr_selection(routed))
+
+
+@query("""
+SELECT page_id, source, count(DISTINCT span_id) AS spans, round(avg(confidence), 6) AS mean_confidence,
+  count(*) FILTER (confidence IS NULL) AS without_confidence
+FROM (SELECT DISTINCT page_id, span_id, source, confidence FROM spans) GROUP BY 1, 2""")
+def span_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "spans").select("page_id", "span_id", "source", "confidence").distinct()
+    return rows.groupBy("page_id", "source").agg(
+        F.count_distinct("span_id").alias("spans"),
+        F.round(F.avg("confidence"), 6).alias("mean_confidence"),
+        F.count_if(F.col("confidence").isNull()).alias("without_confidence"),
+    )
