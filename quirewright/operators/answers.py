@@ -40,10 +40,12 @@ def candidates(hits: DataFrame, chunks: DataFrame, terms: DataFrame, *, min_cove
     Result: query_id, rank, chunk_id, start, end, sentence, matched_terms, coverage, position (in the order they are
     tried: coverage, rank, place).
     """
-    texts = chunks.select("chunk_id", "text").dropDuplicates(["chunk_id"])
-    each = sentence_spans(hits.select("query_id", "rank", "chunk_id").join(texts, "chunk_id")).drop("text")
+    # a chunk is read once, however many queries hit it
+    texts = chunks.select("chunk_id", "text").dropDuplicates(["chunk_id"]).join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
     words = exact_tokens(F.col("sentence")) if exact else tokens(F.col("sentence"))
-    each = each.join(terms, "query_id").withColumn("matched_terms", F.array_intersect("terms", distinct_terms(words)))
+    parts = sentence_spans(texts).drop("text").withColumn("_words", distinct_terms(words))
+    each = hits.select("query_id", "rank", "chunk_id").join(terms, "query_id").join(parts, "chunk_id")
+    each = each.withColumn("matched_terms", F.array_intersect("terms", "_words")).drop("_words")
     each = each.withColumn("coverage", F.round(F.size("matched_terms") / F.size("terms"), 12))
     kept = each.filter((F.size("matched_terms") > 0) & (F.col("coverage") >= min_coverage))
     order = Window.partitionBy("query_id").orderBy(F.desc("coverage"), "rank", "start", "end")  # sentences of top_k chunks

@@ -6,7 +6,7 @@ tested on their own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -347,8 +347,8 @@ def unknown_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _best(hits: DataFrame) -> DataFrame:
     """One ranking for each query: that of its first corpus."""
-    first = hits.groupBy("query_id").agg(F.min("corpus_id").alias("corpus_id"))
-    return hits.join(first, ["query_id", "corpus_id"])
+    mine = Window.partitionBy("query_id")  # top_k rows for each corpus of a query
+    return hits.withColumn("_first", F.min("corpus_id").over(mine)).filter("corpus_id = _first").drop("_first")
 
 
 _CASES = f"""{_HITS},
@@ -557,13 +557,13 @@ def skipped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, source, count(DISTINCT span_id) AS spans, round(avg(confidence), 6) AS mean_confidence,
+SELECT page_id, source, count(DISTINCT span_id) AS spans, round(avg(confidence), 12) AS mean_confidence,
   count(*) FILTER (confidence IS NULL) AS without_confidence
 FROM (SELECT DISTINCT page_id, span_id, source, confidence FROM spans) GROUP BY 1, 2""")
 def span_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "spans").select("page_id", "span_id", "source", "confidence").distinct()
     return rows.groupBy("page_id", "source").agg(
         F.count_distinct("span_id").alias("spans"),
-        F.round(F.avg("confidence"), 6).alias("mean_confidence"),
+        F.round(F.avg("confidence"), 12).alias("mean_confidence"),
         F.count_if(F.col("confidence").isNull()).alias("without_confidence"),
     )
