@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .sentences import sentence_spans
 
 # What is printed and what is read instead, between letters.
 LETTERS = "e:c n:u i:l l:i a:o h:b v:y f:t u:n c:e o:a t:f b:h y:v ß:B ä:a ö:o ü:u é:e á:a í:i ó:o ú:u ñ:n è:e I:l"
@@ -144,9 +145,12 @@ def edge_kinds(pages: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     n = F.size(lines)
     at = F.array_distinct(F.filter(F.array(F.lit(1), F.lit(2), n - 1, n), lambda i: (i >= 1) & (i <= n)))
-    edges = pages.select("document_id", "page_id", "page_number", n.alias("n"), lines.alias("lines"), F.explode(at).alias("line_index"))
+    edges = pages.select(
+        "document_id", "page_id", "page_number", n.alias("n"), lines.alias("lines"),
+        F.array_max(F.transform(lines, F.length)).alias("width"), F.explode(at).alias("line_index"),
+    )
     edges = edges.select(
-        "document_id", "page_id", "page_number", "n", "line_index", F.element_at("lines", F.col("line_index")).alias("line")
+        "document_id", "page_id", "page_number", "n", "width", "line_index", F.element_at("lines", F.col("line_index")).alias("line")
     )
 
     @F.pandas_udf("key STRING, number INT, numbered BOOLEAN")
@@ -191,7 +195,7 @@ def edge_kinds(pages: DataFrame) -> DataFrame:
         .join(steady, ["document_id", "offset"], "left")
         .withColumn(
             "kind",
-            F.when(F.coalesce(is_title, F.lit(False)), "title")
+            F.when(F.coalesce(is_title, F.lit(False)), F.when((F.col("pages") >= 2) | (F.length("line") <= 0.75 * F.col("width")), "title"))
             .when(F.col("textual") & F.coalesce(far | shared, F.lit(False)), "header")
             .when(F.col("number").isNotNull() & ~F.coalesce(odd, F.lit(False)), "page_number"),
         )
@@ -477,11 +481,9 @@ class Scans:
         once = self.pages.dropDuplicates(["page_id", "text"])
         rows = once.join(fixes, "page_id", "left").join(kinds, "page_id", "left").join(kept, "page_id", "left")
 
-        @F.pandas_udf("array<struct<text: string, opens: boolean, closes: boolean, divided: int>>")
+        @F.pandas_udf("array<struct<text: string, ends: boolean, closes: boolean, divided: int>>")
         def parts(text: pd.Series, fixes: pd.Series, kinds: pd.Series, kept: pd.Series) -> pd.Series:
-            return pd.Series(
-                [page_parts(t, f, k, h) for t, f, k, h in zip(text, fixes, kinds, kept)], dtype=object
-            )
+            return pd.Series([page_parts(t, f, k, h) for t, f, k, h in zip(text, fixes, kinds, kept)], dtype=object)
 
         empty_f = F.array().cast("array<struct<line_index:int,word:string,right:string>>")
         empty_k = F.array().cast("array<struct<line_index:int,kind:string>>")
@@ -491,30 +493,34 @@ class Scans:
             "page_number",
             parts("text", F.coalesce("fixes", empty_f), F.coalesce("kinds", empty_k), F.coalesce("kept", F.array().cast("array<int>"))).alias("parts"),
         )
+        rows = cut(rows.filter(F.size("parts") > 0))
+        # whether a page goes on with the paragraph before: that is open, and ends no sentence or a small letter follows
+        last = F.element_at("parts", -1)
+        before = rows.filter(~last.closes & F.col("page_number").isNotNull()).groupBy("document_id", (F.col("page_number") + 1).alias("page_number")).agg(
+            F.min(last.ends).alias("ended"), F.lit(True).alias("open")
+        )
+        small = F.element_at("parts", 1).text.rlike(r"^\p{Ll}")
+        rows = rows.join(before, ["document_id", "page_number"], "left")
+        rows = rows.withColumn("goes_on", F.coalesce(F.col("open") & (~F.col("ended") | small), F.lit(False)))
         block = F.floor(F.coalesce("page_number", F.lit(0)) / PAGES_PER_BLOCK)
-        each = rows.select("document_id", "page_id", "page_number", F.posexplode("parts").alias("k", "part"))
-        # what goes on from the page before belongs to that page's block
-        goes_on = (F.col("k") == 0) & ~F.col("part.opens") & (F.col("page_number") % PAGES_PER_BLOCK == 0)
-        each = each.withColumn("block", F.when(goes_on, block - 1).otherwise(block))
+        each = rows.select("document_id", "page_id", "page_number", "goes_on", F.posexplode("parts").alias("k", "part"))
+        each = each.withColumn("goes_on", F.col("goes_on") & (F.col("k") == 0))
+        # what goes on from the last page of a block belongs to that block
+        moved = F.col("goes_on") & (F.col("page_number") % PAGES_PER_BLOCK == 0)
+        each = each.withColumn("block", F.when(moved, block - 1).otherwise(block))
 
         def join(g: pd.DataFrame) -> pd.DataFrame:
             out: list[list] = []
-            open_: dict | None = None
+            divided = 0
             number: dict[str, int] = {}
             for r in g.sort_values(["page_number", "page_id", "k"]).itertuples(index=False):
                 p = r.part
-                if open_ is not None and not p["opens"] and r.k == 0 and out:
-                    last = out[-1]
-                    if open_["divided"] == 1:
-                        last[3] = last[3][:-1].rstrip(LINE_ENDS) + p["text"]
-                    elif open_["divided"] == 2:
-                        last[3] += p["text"]
-                    else:
-                        last[3] += " " + p["text"]
+                if r.goes_on and out:
+                    out[-1][3] = _joined(out[-1][3], p["text"], divided)
                 else:
                     number[r.page_id] = number.get(r.page_id, 0) + 1
                     out.append([r.document_id, r.page_id, number[r.page_id], p["text"]])
-                open_ = None if p["closes"] else p
+                divided = p["divided"]
             return pd.DataFrame(out, columns=["document_id", "page_id", "paragraph_index", "text"])
 
         return each.groupBy("document_id", "block").applyInPandas(
@@ -522,50 +528,62 @@ class Scans:
         )
 
 
+def _joined(a: str, b: str, divided: int) -> str:
+    """Two stretches of a paragraph; ``divided`` as in ``page_parts``."""
+    if divided == 1:
+        return a.rstrip().rstrip(LINE_ENDS) + b
+    tight = divided == 2 or (a and b and a[-1] >= "⺀" and b[0] >= "⺀")  # scripts without blanks
+    return a + b if tight else a + " " + b
+
+
 def alike_word(word: str) -> str:
     """The comparable form of a word; hyphens stay."""
     return "-".join(alike(p) for p in word.split("-"))
 
 
+SENTENCE_END = re.compile(r"[.!?…。！？।።؟][\"'”“’»」』)]*$")
+
+
+def _ends(line: str) -> bool:
+    """Whether a sentence ends with the line; an abbreviation before a name doesn't end one."""
+    if SENTENCE_END.search(line) is None:
+        return False
+    tail = line[-80:]
+    return not tail.endswith(".") or len(sentence_spans(tail + " Next")) > len(sentence_spans(tail))
+
+
 def page_parts(text: str, fixes: list, kinds: list, kept: list) -> list[dict]:
     """The paragraphs of one page's body.
 
-    ``opens``: it begins one; ``closes``: it ends one; ``divided``: 1 if its last word is divided by a hyphen to be
-    dropped, 2 by one to be kept, else 0.
+    ``ends``: its last sentence ends; ``closes``: the paragraph does, for its last line is short; ``divided``: 1 if its
+    last word is divided by a hyphen to be dropped, 2 by one to be kept, else 0.
     """
-    by: dict[int, list] = {}
-    for f in fixes:
-        by.setdefault(f["line_index"], []).append((f["word"], f["right"]))
+    words = {f["word"]: f["right"] for f in fixes}
     keep = set(kept)
     body = _body(text, list(kinds))
     width = max((len(x) for _, x in body), default=0)
+    titles = {k["line_index"] for k in kinds if k["kind"] == "title"}
     out: list[dict] = []
     done = True
-    titles = {k["line_index"] for k in kinds if k["kind"] == "title"}
     for i, line in body:
-        for wrong, right in by.get(i, ()):
-            line = re.sub(rf"(?<![\w]){re.escape(wrong)}(?![\w])", right.replace("\\", r"\\"), line)
         line = line.strip()
         if done:
-            out.append({"text": line, "opens": bool(out) or line[:1].isupper() or not line[:1].isalpha(), "closes": False, "divided": 0})
-        elif out[-1]["divided"] == 1:
-            out[-1]["text"] = out[-1]["text"].rstrip().rstrip(LINE_ENDS) + line
-        elif out[-1]["divided"] == 2:
-            out[-1]["text"] += line
+            out.append({"text": line})
         else:
-            out[-1]["text"] += ("" if _tight(out[-1]["text"], line) else " ") + line
-        divided = bool(DIVIDED.search(line))
-        out[-1]["divided"] = 0 if not divided else 2 if i in keep else 1
-        done = i in titles or bool(re.search(r"[.!?…。！？।።؟][\"'”“’»」』)]*$", line)) and len(line) < 0.8 * width
-        out[-1]["closes"] = done
+            out[-1]["text"] = _joined(out[-1]["text"], line, out[-1]["divided"])
+        divided = line[-1:] in LINE_ENDS and DIVIDED.search(line) is not None
+        ends = _ends(line)
+        done = i in titles or ends and len(line) < 0.8 * width
+        out[-1] |= {"divided": 0 if not divided else 2 if i in keep else 1, "ends": i in titles or ends, "closes": done}
     for p in out:
-        words = {w: r for pairs in by.values() for w, r in pairs}
-        for wrong, right in words.items():
-            if wrong in p["text"]:
-                p["text"] = re.sub(rf"(?<!\w){re.escape(wrong)}(?!\w)", lambda _, r=right: r, p["text"])
+        p["text"] = TOKEN.sub(lambda m: _righted(m.group(), words), p["text"])
     return out
 
 
-def _tight(a: str, b: str) -> bool:
-    """Whether two lines join without a blank: between characters of scripts that use none."""
-    return bool(a and b) and a[-1] >= "⺀" and b[0] >= "⺀"
+def _righted(word: str, words: dict[str, str]) -> str:
+    """A word as it was printed, as far as that is known."""
+    if word in words:
+        return words[word]
+    if NUMBERLIKE.match(word) and not word.isdigit() and not UNITS.match(word):
+        return word.translate(DIGITS)
+    return word

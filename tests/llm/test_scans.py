@@ -57,6 +57,22 @@ def test_paragraphs(found):
     assert "- 8 -" not in text and text.count("Report on the bridge") == 1
 
 
+def test_paragraphs_go_on_over_pages(spark):
+    full = "The register was measured before the machine was repaired by the clerk of the"
+    rows = [
+        page("a", 1, "A short title", full, full, "town, asked Mr."),
+        page("a", 2, "Smith before it closed in", full + " end.", "So it ended."),
+        page("a", 3, "A new one begins here and is", "quite short."),
+        page("a", 5, "after a gap this begins.", "x"),
+        page("b", 255, "one " + full, "two " * 15, "red " * 15 + "and"),
+        page("b", 256, "blue " * 14 + "or", "green " * 11, "and here it ends."),
+    ]
+    got = {(r.page_id, r.paragraph_index): r.text for r in scans.Scans(spark.createDataFrame(rows, DDL)).paragraphs().collect()}
+    assert got["a-page-000001", 1] == "A short title" and got["a-page-000001", 2].endswith("asked Mr. Smith before it closed in " + full + " end. So it ended.")
+    assert got["a-page-000003", 1].startswith("A new one") and ("a-page-000002", 1) not in got and ("a-page-000005", 1) in got
+    assert got["b-page-000255", 1].startswith("one The") and got["b-page-000255", 1].endswith("green and here it ends.") and ("b-page-000256", 1) not in got
+
+
 def test_nothing(spark):
     s = scans.Scans(spark.createDataFrame([], DDL))
     assert s.noise().count() == 0 and s.paragraphs().count() == 0
