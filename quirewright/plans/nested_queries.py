@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import nested
 from ..session import table
@@ -20,9 +21,21 @@ def p4_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.variants(_children(spark, sf_dir))
 
 
+def _typed(spark: SparkSession, sf_dir: str, child: str) -> DataFrame:
+    """A subtype table with its box in four columns and its terms as one string."""
+    rows = nested.subtype_table(_children(spark, sf_dir), child).drop("variant", "child")
+    if "bounding_box" in rows.columns:
+        for name in ("x0", "top", "x1", "bottom"):
+            rows = rows.withColumn(name, F.col("bounding_box").getField(name))
+        rows = rows.drop("bounding_box")
+    if "matched_terms" in rows.columns:
+        rows = rows.withColumn("matched_terms", F.array_join("matched_terms", " "))
+    return rows
+
+
 QUERIES = {"p4_found": p4_found, "p4_variants": p4_variants}
 for _child in nested.SUBTYPES:
-    QUERIES[f"p4_{_child}s"] = lambda spark, sf_dir, c=_child: nested.subtype_table(_children(spark, sf_dir), c).drop("variant")
+    QUERIES[f"p4_{_child}s"] = lambda spark, sf_dir, c=_child: _typed(spark, sf_dir, c)
 
 _LIST = """CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'OBJECT' THEN [{0}] ELSE CAST([] AS JSON[]) END"""
 
@@ -32,19 +45,19 @@ WITH parsed AS (
 ),
 roots AS (SELECT record_id, CASE WHEN json_type(j->'artifact') = 'OBJECT' THEN j->'artifact' ELSE j END AS r FROM parsed),
 pages AS (
-    SELECT record_id, p FROM (SELECT record_id, unnest({_LIST.format("(r->'pages')")}) AS p FROM roots) WHERE json_type(p) = 'OBJECT'
+    SELECT record_id, p, CAST(p->>'page_number' AS INT) AS n FROM (SELECT record_id, unnest({_LIST.format("(r->'pages')")}) AS p FROM roots) WHERE json_type(p) = 'OBJECT'
 ),
 spans AS (
-    SELECT record_id, p, s FROM (SELECT record_id, p, unnest({_LIST.format("(p->'spans')")}) AS s FROM pages) WHERE json_type(s) = 'OBJECT'
+    SELECT record_id, n, p, s FROM (SELECT record_id, n, p, unnest({_LIST.format("(p->'spans')")}) AS s FROM pages) WHERE json_type(s) = 'OBJECT'
 ),
 tables AS (
-    SELECT record_id, p, t, coalesce(CAST(t->>'table_index' AS INT), k) AS ti
-    FROM (SELECT record_id, p, unnest(l) AS t, generate_subscripts(l, 1) AS k
-          FROM (SELECT record_id, p, {_LIST.format("(p->'tables')")} AS l FROM pages))
+    SELECT record_id, n, p, t, coalesce(CAST(t->>'table_index' AS INT), k) AS ti
+    FROM (SELECT record_id, n, p, unnest(l) AS t, generate_subscripts(l, 1) AS k
+          FROM (SELECT record_id, n, p, {_LIST.format("(p->'tables')")} AS l FROM pages))
     WHERE json_type(t) = 'OBJECT'
 ),
 cells AS (
-    SELECT record_id, p, ti, c FROM (SELECT record_id, p, ti, unnest({_LIST.format("(t->'cells')")}) AS c FROM tables) WHERE json_type(c) = 'OBJECT'
+    SELECT record_id, n, p, ti, c FROM (SELECT record_id, n, p, ti, unnest({_LIST.format("(t->'cells')")}) AS c FROM tables) WHERE json_type(c) = 'OBJECT'
 ),
 hits AS (SELECT record_id, unnest({_LIST.format("(r->'retrieval'->'hits')")}) AS h FROM roots),
 citations AS (SELECT record_id, unnest({_LIST.format("(r->'citations')")}) AS c FROM roots)
@@ -61,3 +74,44 @@ UNION ALL SELECT record_id, 'hit', CAST(h->>'rank' AS INT), 0, 0, 0 FROM hits
 UNION ALL SELECT record_id, 'citation', CAST(c->>'citation_index' AS INT), CAST(c->>'retrieval_rank' AS INT), 0, 0 FROM citations
 """,
 }
+
+
+def _fields(of: str, **kinds: str) -> str:
+    return ", ".join(f"CAST({of}->>'{name}' AS {kind}) AS {name}" for name, kind in kinds.items())
+
+
+def _box(of: str) -> str:
+    names = ("x0", "top", "x1", "bottom")
+    return ", ".join(
+        f"CASE json_type({of}->'bounding_box') WHEN 'ARRAY' THEN CAST({of}->'bounding_box'->>{k} AS DOUBLE) "
+        f"WHEN 'OBJECT' THEN CAST({of}->'bounding_box'->>'{name}' AS DOUBLE) END AS {name}"
+        for k, name in enumerate(names)
+    )
+
+
+def _keys(idx: str, parent: str, up: str = "0, 0") -> str:
+    own = [*idx.split(", "), "0", "0", "0", "0"][:4]
+    above = up.split(", ")
+    return ", ".join(
+        ["record_id", *(f"{x} AS idx{k}" for k, x in enumerate(own, 1)), f"'{parent}' AS parent", *(f"{x} AS parent_idx{k}" for k, x in enumerate(above, 1))]
+    )
+
+
+def _terms(of: str) -> str:
+    return f"CASE WHEN json_type({of}->'matched_terms') = 'ARRAY' THEN array_to_string(CAST({of}->'matched_terms' AS VARCHAR[]), ' ') END AS matched_terms"
+
+
+SQL |= {
+    "p4_pages": f"""{_CTE} SELECT {_keys("n", "structured_document")},
+        {_fields("p", page_id="VARCHAR", width="DOUBLE", height="DOUBLE", dimension_unit="VARCHAR", coordinate_origin="VARCHAR", source_rotation_degrees="INT")} FROM pages""",
+    "p4_spans": f"""{_CTE} SELECT {_keys("n, CAST(s->>'span_index' AS INT)", "page", "n, 0")},
+        {_fields("s", span_id="VARCHAR", source="VARCHAR", text="VARCHAR", confidence="DOUBLE")}, {_box("s")} FROM spans""",
+    "p4_tables": f"""{_CTE} SELECT {_keys("n, ti", "page", "n, 0")},
+        {_fields("t", table_id="VARCHAR", row_count="INT", column_count="INT")}, {_box("t")} FROM tables""",
+    "p4_cells": f"""{_CTE} SELECT {_keys("n, ti, CAST(c->>'row_index' AS INT), CAST(c->>'column_index' AS INT)", "table", "n, ti")},
+        {_fields("c", text="VARCHAR")}, {_box("c")} FROM cells""",
+    "p4_hits": f"""{_CTE} SELECT {_keys("CAST(h->>'rank' AS INT)", "qa_result")},
+        {_fields("h", chunk_id="VARCHAR", chunk_index="INT", page_id="VARCHAR", page_number="INT", score="DOUBLE", text="VARCHAR")}, {_terms("h")}, {_box("h")} FROM hits""",
+    "p4_citations": f"""{_CTE} SELECT {_keys("CAST(c->>'citation_index' AS INT), CAST(c->>'retrieval_rank' AS INT)", "qa_result")},
+        {_fields("c", chunk_id="VARCHAR", excerpt="VARCHAR", excerpt_start="INT", excerpt_end="INT", query_term_coverage="DOUBLE")}, {_terms("c")} FROM citations""",
+}
