@@ -31,6 +31,9 @@ TYPES = (
     ("box", {"x0", "x1"}, set()),
 )
 
+#: What a payload, or the artifact of a delivery, is by its keys.
+ROOTS = (("structured_document", {"pages"}), ("qa_result", {"retrieval", "citations", "answer_id"}), ("envelope", {"artifact"}))
+
 #: Where children hang: parent state -> (key, child state).
 CHILDREN = {
     "envelope": (("artifact", None),),
@@ -135,9 +138,8 @@ def flatten(payload: str | None, automaton: Automaton) -> Iterator[tuple]:
         if not isinstance(value, dict):
             continue
         state, variant = automaton.classify(value)
-        if wanted is not None and state != wanted:
-            # a sparse object takes the type of its place; its variant keeps its own signature
-            state = wanted
+        # an object takes the type of its place, however sparse; its variant keeps its own signature
+        state = wanted or next((s for s, keys in ROOTS if keys & value.keys()), "object")
         if state in INDEXES:
             own = INDEXES[state]
             if state == "citation":
