@@ -54,6 +54,9 @@ INDEXES = {
     "citation": ("citation_index", "retrieval_rank"),
 }
 
+#: Levels below an object that its variant tells apart.
+DEEPEST = 100
+
 BOX = "STRUCT<x0: DOUBLE, top: DOUBLE, x1: DOUBLE, bottom: DOUBLE>"
 
 #: Typed columns of each subtype table beyond the common keys.
@@ -96,15 +99,17 @@ class Automaton:
             self.seen[keyed] = known
         return known
 
-    def state(self, value: object) -> str:
+    def state(self, value: object, depth: int = 0) -> str:
+        if depth > DEEPEST and isinstance(value, (dict, list)):
+            return "deep"
         if isinstance(value, dict):
-            return self.classify(value)[0]
+            return self.classify(value, depth)[0]
         if isinstance(value, list):
-            return "[" + "|".join(sorted({self.state(x) for x in value})) + "]"
+            return "[" + "|".join(sorted({self.state(x, depth + 1) for x in value})) + "]"
         return _leaf(value)
 
-    def classify(self, value: dict) -> tuple[str, str]:
-        return self.step(tuple(sorted((k, self.state(v)) for k, v in value.items())))
+    def classify(self, value: dict, depth: int = 0) -> tuple[str, str]:
+        return self.step(tuple(sorted((k, self.state(v, depth + 1)) for k, v in value.items())))
 
 
 def _index(value: object) -> int | None:

@@ -64,6 +64,11 @@ def test_automaton_tells_shapes_apart():
 
 def test_long_and_deep(spark):
     deep = "[" * 5000 + "]" * 5000
+    nested_note = {}
+    for _ in range(700):
+        nested_note = {"note": nested_note}
+    inside = {"pages": {"page_number": 1, "note": nested_note, "spans": {"span_index": 2, "text": "x"}}}
+    assert len(rows(spark, inside)[1]) == 2
     many = {"pages": [{"page_number": i, "spans": [{"span_index": 1, "text": "x" * 100_000}]} for i in range(30)]}
     _, got = rows(spark, deep, many)
     assert len(got) == 60
