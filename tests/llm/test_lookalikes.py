@@ -43,6 +43,7 @@ def rewriter(*extra):
         ("اصﻻح کتاب", "اصلاح کتاب"),
         ("كبير‌في", "كبيرفي"),
         ("The о fox", "The o fox"),
+        ("u​̈ber", "über"),
     ],
 )
 def test_rewrites(odd, plain):
