@@ -264,13 +264,16 @@ class Rewriter:
     def rewrite(self, text: str | None) -> str | None:
         if not text or text.isascii() and "\t" not in text:
             return text
-        chars = set(text)
-        for _ in range(3):  # what an invisible character kept apart may be odd again
-            if not chars & self.odd or (new := self._plain(text)) == text:
+        for _ in range(3):  # what one step brings together may be odd again
+            before, chars = text, set(text)
+            if chars & self.odd:
+                text = self._plain(text)
+                chars = set(text)
+            if len({self.crossing[c] for c in chars if c in self.crossing}) > 1:
+                text = self._words(text)
+            if text == before:
                 break
-            text, chars = new, set(new)
-        if len({self.crossing[c] for c in chars if c in self.crossing}) > 1:
-            text = self._words(text)
+        chars = set(text)
         if chars & PERSIAN and chars & set(self.persian) and sum(map(text.count, PERSIAN)) > 2 * sum(map(text.count, "يكةى")):
             for arabic, persian in self.persian.items():
                 text = text.replace(arabic, persian)
