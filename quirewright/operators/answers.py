@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK, distinct_terms, exact_tokens, tokenize, tokens
+from ..session import once
 
 MAX_EVIDENCE, MAX_CHARACTERS, MIN_COVERAGE, SEPARATOR = 3, 4000, 0.25, "\n"
 #: Zero-width places: around line breaks and after a terminator before a blank.
@@ -118,7 +119,7 @@ def answers(
         "array<struct<position:int,rank:int,chunk_id:string,start:int,sentence:string,matched_terms:array<string>,coverage:double>>"
     )
     rows = terms.join(had, "query_id", "left").join(per_query, "query_id", "left")
-    rows = rows.withColumn("citations", take(F.coalesce("found", none), F.col("terms")))
+    rows = rows.withColumn("citations", once(take)(F.coalesce("found", none), F.col("terms")))
     cited = F.size("citations") > 0
     reason = (
         F.when(cited, None)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identity
-from ..session import bounded_rows
+from ..session import bounded_rows, once
 from .pages import box_union
 
 LIMIT, FRAGMENTS = 4000, 10_000
@@ -81,7 +81,7 @@ def pack_pages(spans: DataFrame, packer: Packer | None = None) -> DataFrame:
             dtype=object,
         )
 
-    each = pages.select("document_id", "page_id", "page_number", F.posexplode(fold("spans")).alias("k", "chunk"))
+    each = pages.select("document_id", "page_id", "page_number", F.posexplode(once(fold)("spans")).alias("k", "chunk"))
     return each.select(
         "document_id",
         "page_id",

@@ -60,6 +60,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def once(udf):
+    """``udf`` evaluated once for each row: the optimizer otherwise copies it into filters that an explode or a
+    comparison implies, and Python runs twice."""
+    return udf.asNondeterministic()
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """All rows of a table that must be small; raises where it holds more than ``limit`` rows."""
     rows = df.limit(limit + 1).collect()
