@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import once
+
 # Abbreviations by how they behave, as alternatives of a pattern.
 TITLES = "Mr|Mrs|Ms|Dr|Prof|Fa|Sr|Sra|Srta|Dra|Mme|Mlle|MM|Hr|Fr|Ing|Dipl|Hon|Rev|Gen|Col|Capt|Lt|St|M|Exmo|Exma|Eng"
 BEFORE_NUMBER = (
@@ -209,7 +211,7 @@ def split_sentences(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     added = ["sentence_index", "sentence_start", "sentence_end", "sentence"]
     kept = [c for c in df.columns if c not in added or c == text_col]
-    rows = df.select(*kept).withColumn("_spans", spans(F.col(text_col)))
+    rows = df.select(*kept).withColumn("_spans", once(spans)(F.col(text_col)))
     rows = rows.select(*kept, F.posexplode("_spans").alias("_n", "_span"))
     s, e = F.col("_span.s"), F.col("_span.e")
     return rows.select(
