@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, once
 
 DEFAULT_LIMIT = 4000
 DEFAULT_OVERLAP = 200
@@ -137,7 +137,7 @@ def split_chunks(
     whole = F.array(F.struct(F.lit(0).alias("s"), length.alias("e")))
     # only texts over the limit go to Python; the rest stay in the JVM
     small = rows.filter(length <= F.col("_limit")).withColumn("_cuts", whole)
-    large = rows.filter(length > F.col("_limit")).withColumn("_cuts", ranges("_text", "_limit", "_overlap"))
+    large = rows.filter(length > F.col("_limit")).withColumn("_cuts", once(ranges)("_text", "_limit", "_overlap"))
     each = small.unionByName(large).select("*", F.posexplode("_cuts").alias("_at", "_cut"))
     s, e = F.col("_cut.s"), F.col("_cut.e")
     text = F.substring("_text", s + 1, e - s)
