@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, once
 from .sentences import sentence_spans
 
 # What is printed and what is read instead, between letters.
@@ -136,75 +136,87 @@ def documents_pages(page_ocr: DataFrame) -> DataFrame:
     )
 
 
+EDGE = "line_index INT, g STRING, number INT, title STRING"
+OPEN_END = re.compile(END)
+
+
+def _edges(lines: list, width: int) -> list[dict]:
+    """What a page's edge lines may be: ``g``, what they are counted by, is the comparable form of a text or the
+    distance sign of a number; ``title``, the form of a line that may be the document's title."""
+    out, seen = [], set()
+    for x in lines:
+        line = x["line"]
+        number = page_number_line(line)
+        if number is not None:
+            out.append({"line_index": x["i"], "g": "#plain" if line.strip().isdigit() else "#", "number": number, "title": None})
+            continue
+        if len(line) > 90 or len(line) <= 30 and OPEN_END.search(line):
+            continue  # of the longer ones none ends like a sentence
+        key = title_key(line)
+        if len(key) >= 5 and key not in seen:
+            bare = x["i"] <= 2 and EDGE_NUMBER.search(line.strip()) is None
+            out.append({"line_index": x["i"], "g": key, "number": None, "title": "short" if bare and len(line) <= 0.75 * width else "long" if bare else None})
+    return out
+
+
 def edge_kinds(pages: DataFrame) -> DataFrame:
     """(page_id, line_index, kind): the edge lines that are a header or a page_number, and the document's title.
 
     Candidates are the two outermost lines at either end; an inner one counts only beside an outer one that is
-    of such a kind itself.
+    of such a kind itself. Copies of a page count once.
     """
-    lines = F.split("text", "\n")
-    n = F.size(lines)
-    at = F.array_distinct(F.filter(F.array(F.lit(1), F.lit(2), n - 1, n), lambda i: (i >= 1) & (i <= n)))
-    edges = pages.select(
-        "document_id", "page_id", "page_number", n.alias("n"), lines.alias("lines"),
-        F.array_max(F.transform(lines, F.length)).alias("width"), F.explode(at).alias("line_index"),
-    )
-    edges = edges.select(
-        "document_id", "page_id", "page_number", "n", "width", "line_index", F.element_at("lines", F.col("line_index")).alias("line")
-    )
-
-    @F.pandas_udf("key STRING, number INT, numbered BOOLEAN")
-    def read(line: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "key": [title_key(x) for x in line],
-                "number": pd.array([page_number_line(x) for x in line], dtype="Int32"),
-                "numbered": [EDGE_NUMBER.search(x.strip()) is not None for x in line],
-            }
-        )
-
-    # what ends like a sentence is neither, unless it is short enough for a number
-    edges = edges.filter(~F.col("line").rlike(END) | (F.length("line") <= 30)).filter("line <> ''")
-    edges = edges.withColumn("_r", read("line")).select("*", "_r.key", "_r.number", "_r.numbered").drop("_r")
-    textual = (F.length("key") >= 5) & ~F.col("line").rlike(END) & (F.length("line") <= 90) & F.col("number").isNull()
-    edges = edges.withColumn("textual", textual).filter("textual or number is not null")
-    edges = cut(edges.withColumn("offset", F.col("number") - F.col("page_number")))
-    first = (F.col("page_number") == 1) & (F.col("line_index") <= 2) & F.col("textual") & ~F.col("numbered")
-    # one row for each document, for each of its keys, and for each distance of its numbers from the page's own
-    per_doc = edges.groupBy("document_id").agg(F.min(F.when(first, F.struct("line_index", "key", "page_id"))).alias("t"))
-    steady = edges.filter("offset is not null").groupBy("document_id", "offset").agg(F.count_distinct("page_id").alias("same"))
-    most = steady.groupBy("document_id").agg(F.max("same").alias("most"))
-    many = edges.filter("textual").groupBy("document_id", "key").agg(F.count_distinct("page_id").alias("pages"))
+    text, lf = F.col("text"), "\n"
+    n = F.length(text) - F.length(F.replace(text, F.lit(lf), F.lit(""))) + 1
+
+    def line(i: Column, at: int, inner: int | None = None, least: int = 1) -> Column:
+        """The edge line ``i``, by what is left of the ``at``-th line feed; null on pages of fewer than ``least`` lines."""
+        found = F.substring_index(text, lf, at)
+        return F.when(n >= least, F.struct(i.alias("i"), (found if inner is None else F.substring_index(found, lf, inner)).alias("line")))
+
+    outer_lines = F.array_compact(F.array(line(F.lit(1), 1), line(F.lit(2), 2, -1, 2), line(n - 1, -2, 1, 4), line(n, -1, None, 3)))
+    # blank lines are nothing, nor is what ends like a sentence and is too long for a number
+    maybe = F.filter(outer_lines, lambda x: (F.trim(x.line) != "") & (~x.line.rlike(END) | (F.length(x.line) <= 30)))
+
+    @F.pandas_udf(f"array<struct<{EDGE.replace(' INT', ': int').replace(' STRING', ': string')}>>")
+    def read(lines: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([_edges(x, w) for x, w in zip(lines, width)], dtype=object)
+
+    widest = F.when(F.col("page_number") == 1, F.array_max(F.transform(F.split(text, lf), F.length))).otherwise(0)
+    heads = pages.select("document_id", "page_id", "page_number", n.alias("n"), once(read)(maybe, widest).alias("edges"))
+    edges = heads.select("document_id", "page_id", "page_number", "n", F.inline("edges")).dropDuplicates(["page_id", "line_index"])
+    # numbers are counted by their distance from the page's own
+    g = F.when(F.col("number").isNotNull(), F.concat(F.lit("#"), F.coalesce((F.col("number") - F.col("page_number")).cast("string"), F.lit("?")))).otherwise(F.col("g"))
+    edges = cut(edges.withColumn("plain", F.col("g") == "#plain").withColumn("g", g))
+    first = (F.col("page_number") == 1) & F.col("title").isNotNull()
+    counts = edges.groupBy("document_id", "g").agg(F.count_distinct("page_id").alias("pages"))
+    per_doc = edges.groupBy("document_id").agg(F.min(F.when(first, F.struct("line_index", "g", "page_id"))).alias("t"))
+    most = counts.filter("g like '#%' and g <> '#?'").groupBy("document_id").agg(F.max("pages").alias("most"))
     size = pages.groupBy("document_id").agg(F.count("*").alias("of"))
     per_doc = per_doc.join(most, "document_id", "left").join(size, "document_id", "left").select(
-        "document_id",
-        F.col("t.key").alias("title"),
-        F.col("t.page_id").alias("title_page"),
-        F.col("t.line_index").alias("title_line"),
-        "most",
-        "of",
+        "document_id", F.col("t.g").alias("name"), F.col("t.page_id").alias("title_page"), F.col("t.line_index").alias("title_line"), "most", "of"
     )
-    far = F.levenshtein("key", "title") <= F.greatest(F.lit(2), F.floor(F.length("title") * 0.15))
+    # judged once for each form of a document, then joined to its lines
+    far = F.levenshtein("g", "name") <= F.greatest(F.lit(2), F.floor(F.length("name") * 0.15))
     shared = (F.col("pages") >= 2) & (F.col("pages") >= REPEATED * F.col("of"))
+    is_number = F.col("g").startswith("#")
+    forms = counts.join(per_doc, "document_id").select(
+        "document_id", "g", "pages", "title_page", "title_line",
+        (~is_number & F.coalesce(far | shared, F.lit(False))).alias("header"),
+        (is_number & (F.col("pages") == 1) & F.coalesce(F.col("most") >= 3, F.lit(False))).alias("alone"),
+    )
     is_title = (F.col("page_id") == F.col("title_page")) & (F.col("line_index") == F.col("title_line"))
-    plain = F.col("line").rlike(r"^\s*\d+\s*$")
-    odd = plain & (F.col("same") == 1) & (F.col("most") >= 3)
-    judged = (
-        edges.join(per_doc, "document_id", "left")
-        .join(many, ["document_id", "key"], "left")
-        .join(steady, ["document_id", "offset"], "left")
-        .withColumn(
-            "kind",
-            F.when(F.coalesce(is_title, F.lit(False)), F.when((F.col("pages") >= 2) | (F.length("line") <= 0.75 * F.col("width")), "title"))
-            .when(F.col("textual") & F.coalesce(far | shared, F.lit(False)), "header")
-            .when(F.col("number").isNotNull() & ~F.coalesce(odd, F.lit(False)), "page_number"),
-        )
+    kind = (
+        F.when(F.coalesce(is_title, F.lit(False)), F.when((F.col("pages") >= 2) | (F.col("title") == "short"), "title"))
+        .when(F.col("header"), "header")
+        .when(F.col("number").isNotNull() & ~(F.col("plain") & F.col("alone")), "page_number")
     )
-    kinds = judged.filter("kind is not null")
-    outer = kinds.filter((F.col("line_index") == 1) | (F.col("line_index") == F.col("n")))
-    ok = outer.select("page_id", F.when(F.col("line_index") == 1, F.lit(2)).otherwise(F.col("n") - 1).alias("line_index")).distinct()
-    inner = kinds.filter((F.col("line_index") > 1) & (F.col("line_index") < F.col("n"))).join(ok, ["page_id", "line_index"], "left_semi")
-    return outer.unionByName(inner.select(outer.columns)).select("page_id", "line_index", "kind").distinct()
+    kinds = edges.join(forms, ["document_id", "g"]).select("page_id", "line_index", "n", kind.alias("kind")).filter("kind is not null")
+    outer = (F.col("line_index") == 1) | (F.col("line_index") == F.col("n"))
+    # an inner line needs its outer neighbour: both are in the page's at most four rows
+    mine = Window.partitionBy("page_id")
+    top, bottom = (F.max(x).over(mine) for x in (F.col("line_index") == 1, F.col("line_index") == F.col("n")))
+    beside = (F.col("line_index") == 2) & top | (F.col("line_index") == F.col("n") - 1) & bottom
+    return kinds.withColumn("keep", outer | beside).filter("keep").select("page_id", "line_index", "kind")
 
 
 SUSPECT = re.compile(r"[A-Za-zÀ-ɏ][0-9+|]|[0-9+|][A-Za-zÀ-ɏ]|(?<![\w'’])[lISOBb|](?![\w'’])|[.,][lIOSB|]+\b|\b[lIOSB|]+[.,]\d")
@@ -478,8 +490,8 @@ class Scans:
         )
         kinds = self.kinds.groupBy("page_id").agg(F.collect_list(F.struct("line_index", "kind")).alias("kinds"))
         kept = self.divided.filter("not hyphenation").groupBy("page_id").agg(F.collect_set("line_index").alias("kept"))
-        once = self.pages.dropDuplicates(["page_id", "text"])
-        rows = once.join(fixes, "page_id", "left").join(kinds, "page_id", "left").join(kept, "page_id", "left")
+        single = self.pages.dropDuplicates(["page_id", "text"])
+        rows = single.join(fixes, "page_id", "left").join(kinds, "page_id", "left").join(kept, "page_id", "left")
 
         @F.pandas_udf("array<struct<text: string, ends: boolean, closes: boolean, divided: int>>")
         def parts(text: pd.Series, fixes: pd.Series, kinds: pd.Series, kept: pd.Series) -> pd.Series:
@@ -491,7 +503,7 @@ class Scans:
             "document_id",
             "page_id",
             "page_number",
-            parts("text", F.coalesce("fixes", empty_f), F.coalesce("kinds", empty_k), F.coalesce("kept", F.array().cast("array<int>"))).alias("parts"),
+            once(parts)("text", F.coalesce("fixes", empty_f), F.coalesce("kinds", empty_k), F.coalesce("kept", F.array().cast("array<int>"))).alias("parts"),
         )
         rows = cut(rows.filter(F.size("parts") > 0))
         # whether a page goes on with the paragraph before: that is open, and ends no sentence or a small letter follows
