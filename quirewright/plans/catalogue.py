@@ -30,6 +30,13 @@ def query(sql: str | None = None):
     return add
 
 
+def _micros(df: DataFrame, **names: str) -> DataFrame:
+    """Times as microseconds, which read alike in any time zone."""
+    for old, new in names.items():
+        df = df.withColumn(new, F.unix_micros(F.col(old).cast("timestamp"))).drop(old)
+    return df
+
+
 # documents
 
 
@@ -56,12 +63,12 @@ def manifest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT document_id, media_type, byte_size, page_count, ingested_at, deliveries FROM (
+SELECT document_id, media_type, byte_size, page_count, epoch_us(ingested_at) AS ingested_us, deliveries FROM (
   SELECT *, count(*) OVER (PARTITION BY document_id) AS deliveries,
     row_number() OVER (PARTITION BY document_id ORDER BY ingested_at NULLS FIRST, byte_size NULLS FIRST, page_count NULLS FIRST, media_type NULLS FIRST) AS k
   FROM manifests) WHERE k = 1""")
 def first_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.first_arrivals(table(spark, sf_dir, "manifests"))
+    return _micros(documents.first_arrivals(table(spark, sf_dir, "manifests")), ingested_at="ingested_us")
 
 
 @query("""
@@ -452,7 +459,7 @@ def answer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT status, abstention_reason, count(*) AS answers, sum(len(citations)) AS citations FROM (
+SELECT status, abstention_reason, count(*) AS answers, CAST(sum(len(citations)) AS BIGINT) AS citations FROM (
   SELECT DISTINCT query_id, status, abstention_reason, coalesce(citations, []) AS citations FROM answers) GROUP BY 1, 2""")
 def abstention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "answers").select("query_id", "status", "abstention_reason", "citations").distinct()
@@ -501,9 +508,9 @@ def quality_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # events
 
 
-@query("SELECT event_type, count(*) AS events, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS events, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1")
 def event_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.counters(table(spark, sf_dir, "events"))
+    return _micros(events.counters(table(spark, sf_dir, "events")), first_at="first_us", last_at="last_us")
 
 
 @query("SELECT event_id, event_type, user_id FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 1000")
@@ -519,11 +526,12 @@ def purge_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2""")
+SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS window_us, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2""")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.events import windowed_counts
 
-    return windowed_counts(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 4))
+    counts = windowed_counts(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 4))
+    return _micros(counts, window_start="window_us")
 
 
 # more audits
