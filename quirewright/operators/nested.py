@@ -119,6 +119,17 @@ def _index(value: object) -> int | None:
         return None
 
 
+def _read(value: object) -> tuple[object, bool]:
+    """What a string holds where it is a JSON object or list, however often it was encoded, and whether it was one."""
+    inner = value
+    while isinstance(inner, str):
+        try:
+            inner = json.loads(inner)
+        except (ValueError, RecursionError):
+            return value, False
+    return (inner, inner is not value) if isinstance(inner, (dict, list)) else (value, False)
+
+
 def _many(value: object) -> list:
     """A list as it is, one object as a list of one, anything else as none."""
     return value if isinstance(value, list) else [value] if isinstance(value, dict) else []
@@ -132,14 +143,19 @@ def _box(value: object) -> object:
 
 
 def flatten(payload: str | None, automaton: Automaton) -> Iterator[tuple]:
-    """Rows of ``ROW_DDL`` for one payload; none if it is missing, unreadable or no object of a known type."""
+    """Rows of ``ROW_DDL`` for one payload; none if it is missing, unreadable or no object of a known type.
+
+    A child, or a list of children, that comes as a string of JSON is read like one that doesn't; the variant of the
+    first rows below begins with ``text:``.
+    """
     try:
         root = json.loads(payload) if payload else None
     except (ValueError, RecursionError):
         return
-    stack = [(root, None, "", (), 0)]
+    root, coded = _read(root)
+    stack = [(root, None, "", (), 0, coded)]
     while stack:
-        value, wanted, parent, path, place = stack.pop()
+        value, wanted, parent, path, place, coded = stack.pop()
         if not isinstance(value, dict):
             continue
         state, variant = automaton.classify(value)
@@ -157,16 +173,18 @@ def flatten(payload: str | None, automaton: Automaton) -> Iterator[tuple]:
             nested = {k for k, _ in CHILDREN.get(state, ())}
             body = {k: v for k, v in value.items() if k not in nested}
             if "bounding_box" in body:
-                body["bounding_box"] = _box(body["bounding_box"])
+                body["bounding_box"] = _box(_read(body["bounding_box"])[0])
             full = [*key, 0, 0, 0, 0][:4]
             up = [*path, 0, 0][:2]
-            yield (state, *full, parent, *up, variant, json.dumps(body, ensure_ascii=False))
-            path, parent = key, state
+            yield (state, *full, parent, *up, "text:" + variant if coded else variant, json.dumps(body, ensure_ascii=False))
+            path, parent, coded = key, state, False
         elif parent == "":
             parent = state if state != "envelope" else ""
         for key, child in CHILDREN.get(state, ()):
-            for n, x in enumerate(_many(value.get(key)), 1):
-                stack.append((x, child, parent, path, n))
+            inner, text = _read(value.get(key))
+            for n, x in enumerate(_many(inner), 1):
+                x, own = _read(x)
+                stack.append((x, child, parent, path, n, coded or text or own))
 
 
 def children(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload") -> DataFrame:
@@ -174,7 +192,7 @@ def children(records: DataFrame, id_col: str = "record_id", payload_col: str = "
 
     Result: ``id_col`` and the columns of ``ROW_DDL``. Unused indexes are 0; a null id is kept; missing,
     unreadable and empty payloads give no rows; repeated rows and redeliveries give their rows again; a child
-    given as one object counts as a list of one; null list entries are skipped. Other columns of the input
+    given as one object counts as a list of one, one given as a string of JSON as what it holds; null list entries are skipped. Other columns of the input
     are not read. One pass without a shuffle.
     """
     id_type = records.schema[id_col].dataType.simpleString()

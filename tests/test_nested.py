@@ -72,3 +72,18 @@ def test_long_and_deep(spark):
     many = {"pages": [{"page_number": i, "spans": [{"span_index": 1, "text": "x" * 100_000}]} for i in range(30)]}
     _, got = rows(spark, deep, many)
     assert len(got) == 60
+
+
+def test_children_in_strings(spark):
+    qa = {"answer_id": "a", "retrieval": json.dumps({"query_tokens": ["ü"], "hits": [{"rank": 1}, {"rank": 2}]}), "citations": "not {json"}
+    page = PAGE | {"spans": json.dumps(PAGE["spans"]), "tables": [json.dumps(t) for t in PAGE["tables"]]}
+    twice = {"artifact": json.dumps(json.dumps({"pages": page}))}
+    out, got = rows(spark, qa, twice, json.dumps(json.dumps({"pages": [PAGE]})), {"answer_id": "b", "retrieval": "[" * 5000}, {"pages": ["3", '"x"', "null"]})
+    _, plain = rows(spark, {"pages": PAGE})
+    assert got == {(0, "hit", 1, 0, 0, 0), (0, "hit", 2, 0, 0, 0)} | {(k, *x[1:]) for k in (1, 2) for x in plain}
+    found = {(r.record_id, r.child, r.idx4 or r.idx2): (r.variant, r.parent) for r in out.collect()}
+    assert found[0, "hit", 0] == ("text:hit{rank:number}", "qa_result")
+    assert all(found[k, "page", 0][0].startswith("text:page{") for k in (1, 2))
+    assert found[1, "span", 1][0].startswith("text:span{") and found[2, "span", 1][0].startswith("span{") and found[1, "cell", 2][0].startswith("cell{")
+    boxed = rows(spark, {"pages": PAGE | {"spans": {"span_index": 1, "bounding_box": "[1, 2, 3, 4]"}}})[0]
+    assert nested.subtype_table(boxed, "span").first().bounding_box.x1 == 3.0
