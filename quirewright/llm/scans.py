@@ -33,8 +33,10 @@ SHARE_TWO = 0.02
 LEAST = 3
 #: Words that are so frequent that tokens of them are set aside before the join.
 FREQUENT = 20_000
-#: Part of a document's pages that must share an edge line that isn't its title.
+#: Part of a document's pages, or of neighbouring ones, that must share an edge line that isn't its title.
 REPEATED = 0.12
+#: Pages that count as neighbouring; any half as many that follow one another are in one such range.
+NEIGHBOURS = 64
 #: Pages of a document whose paragraphs are put together in one task.
 PAGES_PER_BLOCK = 256
 
@@ -163,7 +165,8 @@ def edge_kinds(pages: DataFrame) -> DataFrame:
     """(page_id, line_index, kind): the edge lines that are a header or a page_number, and the document's title.
 
     Candidates are the two outermost lines at either end; an inner one counts only beside an outer one that is
-    of such a kind itself. Copies of a page count once.
+    of such a kind itself. Copies of a page count once. In a document of more than ``NEIGHBOURS`` pages a line that
+    isn't the title is a header also where it is frequent among neighbouring pages, as the title of a chapter is.
     """
     text, lf = F.col("text"), "\n"
     n = F.length(text) - F.length(F.replace(text, F.lit(lf), F.lit(""))) + 1
@@ -191,15 +194,19 @@ def edge_kinds(pages: DataFrame) -> DataFrame:
     counts = edges.groupBy("document_id", "g").agg(F.count_distinct("page_id").alias("pages"))
     per_doc = edges.groupBy("document_id").agg(F.min(F.when(first, F.struct("line_index", "g", "page_id"))).alias("t"))
     most = counts.filter("g like '#%' and g <> '#?'").groupBy("document_id").agg(F.max("pages").alias("most"))
-    size = pages.groupBy("document_id").agg(F.count("*").alias("of"))
+    size = pages.groupBy("document_id").agg(F.count_distinct("page_id").alias("of"))
+    half = F.floor(F.col("page_number") / (NEIGHBOURS // 2))
+    texts = edges.filter(~F.col("g").startswith("#") & F.col("page_number").isNotNull()).join(size.filter(F.col("of") > NEIGHBOURS), "document_id")
+    near = texts.select("document_id", "g", "page_id", F.explode(F.array(half - 1, half)).alias("range")).groupBy("document_id", "g", "range")
+    near = near.agg(F.count_distinct("page_id").alias("near")).filter(F.col("near") >= REPEATED * NEIGHBOURS).select("document_id", "g", F.lit(True).alias("near")).distinct()
     per_doc = per_doc.join(most, "document_id", "left").join(size, "document_id", "left").select(
         "document_id", F.col("t.g").alias("name"), F.col("t.page_id").alias("title_page"), F.col("t.line_index").alias("title_line"), "most", "of"
     )
     # judged once for each form of a document, then joined to its lines
     far = F.levenshtein("g", "name") <= F.greatest(F.lit(2), F.floor(F.length("name") * 0.15))
-    shared = (F.col("pages") >= 2) & (F.col("pages") >= REPEATED * F.col("of"))
+    shared = (F.col("pages") >= 2) & (F.col("pages") >= REPEATED * F.col("of")) | F.col("near").isNotNull()
     is_number = F.col("g").startswith("#")
-    forms = counts.join(per_doc, "document_id").select(
+    forms = counts.join(per_doc, "document_id").join(near, ["document_id", "g"], "left").select(
         "document_id", "g", "pages", "title_page", "title_line",
         (~is_number & F.coalesce(far | shared, F.lit(False))).alias("header"),
         (is_number & (F.col("pages") == 1) & F.coalesce(F.col("most") >= 3, F.lit(False))).alias("alone"),

@@ -73,6 +73,26 @@ def test_paragraphs_go_on_over_pages(spark):
     assert got["b-page-000255", 1].startswith("one The") and got["b-page-000255", 1].endswith("green and here it ends.") and ("b-page-000256", 1) not in got
 
 
+WHOLE = "The register was measured before the machine was repaired by the clerk."
+
+
+def headers(spark, rows):
+    kinds = scans.edge_kinds(scans.documents_pages(spark.createDataFrame(rows, DDL)))
+    return {(int(r.page_id[-6:]), r.line_index) for r in kinds.filter("kind = 'header'").collect()}
+
+
+def test_copies_of_a_page_count_once(spark):
+    rows = [page("f", n, *[WHOLE] * 3, "Printed for the county archive") for n in range(1, 31)]
+    assert headers(spark, rows + rows[4:5] * 299) == {(n, 4) for n in range(1, 31)}
+
+
+@pytest.mark.parametrize("of", [100, 305])
+def test_titles_of_chapters(spark, of):
+    heads = {n: ["Remarks upon the several harbours"] for n in range(3, of, 50)} | {n: ["The drainage of the marshes"] for n in range(41, 61)}
+    rows = [page("g", n, *heads.get(n, []), *[WHOLE] * 3) for n in range(1, of + 1)]
+    assert headers(spark, rows) == {(n, 1) for n in range(41, 61)}
+
+
 def test_nothing(spark):
     s = scans.Scans(spark.createDataFrame([], DDL))
     assert s.noise().count() == 0 and s.paragraphs().count() == 0
