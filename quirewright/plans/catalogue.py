@@ -314,6 +314,7 @@ hits AS (SELECT * FROM ranked WHERE rank <= 10)"""
 
 @query(f"{_HITS} SELECT query_id, corpus_id, rank, round(score, 8) AS score, chunk_id, chunk_index, matched_terms FROM hits")
 def retrieval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries whose answers cite a chunk, each against the corpora cited; ``not_asked`` has the others."""
     hits = _corpus_hits(spark, sf_dir)
     return hits.withColumn("score", F.round("score", 8)).withColumn("matched_terms", F.array_join("matched_terms", " "))
 
@@ -341,6 +342,22 @@ def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "rank", F.round("score", 8).alias("score"), "chunk_id")
 
 
+@query()
+def search_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All queries against all chunks, with exact tokens."""
+    hits = retrieval.retrieve(table(spark, sf_dir, "queries"), table(spark, sf_dir, "chunks"))
+    return hits.select("query_id", "rank", F.round("score", 8).alias("score"), "chunk_id", F.array_join("matched_terms", " ").alias("matched_terms"))
+
+
+@query()
+def not_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries that could be asked and that ``retrieval_hits`` doesn't ask, with their hits among all chunks."""
+    queries = table(spark, sf_dir, "queries").join(_scope(spark, sf_dir), "query_id", "left_anti")
+    hits = retrieval.retrieve(queries, table(spark, sf_dir, "chunks")).groupBy("query_id").agg(F.count("*").alias("hits"))
+    asked = retrieval.query_terms(queries).select("query_id").distinct()
+    return asked.join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
 def _judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "answers").select("query_id", F.explode("citations.chunk_id").alias("chunk_id")).distinct()
 
