@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import answers, chunking, documents, evaluation, events, pages, quality, retrieval
+from ..operators import answers, chunking, documents, evaluation, events, nested, pages, quality, retrieval
 from ..session import table
 from . import nested_queries
 
@@ -150,10 +150,7 @@ SELECT record_id, page_number, w AS pixel_width, h AS pixel_height, w * h AS pix
   (w * h > 25000000 OR sum(w * h) OVER (PARTITION BY record_id ORDER BY page_number ROWS UNBOUNDED PRECEDING) > 100000000) AS violation
 FROM sized""")
 def render_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nested_queries._children(spark, sf_dir)
-    from ..operators.nested import subtype_table
-
-    sized = subtype_table(rows, "page").select(
+    sized = nested.subtype_table(table(spark, sf_dir, "artifact_records"), "page").select(
         "record_id", F.col("idx1").alias("page_number"), "width", "height", "source_rotation_degrees"
     )
     return pages.render_preflight(sized, "record_id")
@@ -563,9 +560,7 @@ def corpus_rebuild_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(nested_queries._CTE + """,
-boxes AS (SELECT record_id, CAST(p->>'page_number' AS INT) AS page_number, ti AS table_index, c->'bounding_box' AS b, t AS tt FROM (
-  SELECT record_id, p, ti, t, unnest(""" + nested_queries._LIST.format("(t->'cells')") + """) AS c FROM tables) WHERE json_type(c) = 'OBJECT'),
-grid AS (SELECT record_id, page_number, table_index, count(*) AS cells FROM boxes GROUP BY 1, 2, 3)
+grid AS (SELECT record_id, page_number, table_index, count(*) AS cells FROM (SELECT record_id, n AS page_number, ti AS table_index FROM cells) GROUP BY 1, 2, 3)
 SELECT record_id, page_number, table_index, cells FROM grid""")
 def table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of every table that has any."""

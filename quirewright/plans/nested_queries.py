@@ -23,7 +23,7 @@ def p4_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _typed(spark: SparkSession, sf_dir: str, child: str) -> DataFrame:
     """A subtype table with its box in four columns and its terms as one string."""
-    rows = nested.subtype_table(_children(spark, sf_dir), child).drop("variant", "child")
+    rows = nested.subtype_table(table(spark, sf_dir, "artifact_records"), child).drop("variant", "child")
     if "bounding_box" in rows.columns:
         for name in ("x0", "top", "x1", "bottom"):
             rows = rows.withColumn(name, F.col("bounding_box").getField(name))
@@ -33,34 +33,45 @@ def _typed(spark: SparkSession, sf_dir: str, child: str) -> DataFrame:
     return rows
 
 
-QUERIES = {"p4_found": p4_found, "p4_variants": p4_variants}
+def p4_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.rejects(table(spark, sf_dir, "artifact_records")).select("record_id", "reason", "child")
+
+
+QUERIES = {"p4_found": p4_found, "p4_variants": p4_variants, "p4_rejects": p4_rejects}
 for _child in nested.SUBTYPES:
     QUERIES[f"p4_{_child}s"] = lambda spark, sf_dir, c=_child: _typed(spark, sf_dir, c)
 
-_LIST = """CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'OBJECT' THEN [{0}] ELSE CAST([] AS JSON[]) END"""
+def _read(x: str) -> str:
+    """A value that may be given as a string of JSON, once or twice encoded."""
+    once = f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x}->>'$') THEN CAST({x}->>'$' AS JSON) ELSE {x} END"
+    return f"(SELECT CASE WHEN json_type(v) = 'VARCHAR' AND json_valid(v->>'$') THEN CAST(v->>'$' AS JSON) ELSE v END FROM (SELECT {once} AS v))"
+
+
+def _list(x: str) -> str:
+    return f"(SELECT CASE json_type(w) WHEN 'ARRAY' THEN CAST(w AS JSON[]) WHEN 'OBJECT' THEN [w] ELSE CAST([] AS JSON[]) END FROM (SELECT {_read(x)} AS w))"
+
+
+def _each(keys: str, of: str, x: str, name: str) -> str:
+    """Rows of ``of`` with the objects of the list ``x`` and their places."""
+    return f"""SELECT {keys}, {name}, k FROM (
+        SELECT {keys}, {_read(name)} AS {name}, k FROM (
+            SELECT {keys}, unnest(l) AS {name}, generate_subscripts(l, 1) AS k FROM (SELECT {keys}, {_list(x)} AS l FROM {of})))
+    WHERE json_type({name}) = 'OBJECT'"""
+
 
 _CTE = f"""
 WITH parsed AS (
     SELECT record_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM artifact_records
 ),
-roots AS (SELECT record_id, CASE WHEN json_type(j->'artifact') = 'OBJECT' THEN j->'artifact' ELSE j END AS r FROM parsed),
-pages AS (
-    SELECT record_id, p, CAST(p->>'page_number' AS INT) AS n FROM (SELECT record_id, unnest({_LIST.format("(r->'pages')")}) AS p FROM roots) WHERE json_type(p) = 'OBJECT'
-),
-spans AS (
-    SELECT record_id, n, p, s FROM (SELECT record_id, n, p, unnest({_LIST.format("(p->'spans')")}) AS s FROM pages) WHERE json_type(s) = 'OBJECT'
-),
-tables AS (
-    SELECT record_id, n, p, t, coalesce(CAST(t->>'table_index' AS INT), k) AS ti
-    FROM (SELECT record_id, n, p, unnest(l) AS t, generate_subscripts(l, 1) AS k
-          FROM (SELECT record_id, n, p, {_LIST.format("(p->'tables')")} AS l FROM pages))
-    WHERE json_type(t) = 'OBJECT'
-),
-cells AS (
-    SELECT record_id, n, p, ti, c FROM (SELECT record_id, n, p, ti, unnest({_LIST.format("(t->'cells')")}) AS c FROM tables) WHERE json_type(c) = 'OBJECT'
-),
-hits AS (SELECT record_id, unnest({_LIST.format("(r->'retrieval'->'hits')")}) AS h FROM roots),
-citations AS (SELECT record_id, unnest({_LIST.format("(r->'citations')")}) AS c FROM roots)
+given AS (SELECT record_id, {_read("j")} AS j FROM parsed),
+roots AS (SELECT record_id, CASE WHEN json_type(a) = 'OBJECT' THEN a ELSE j END AS r FROM (SELECT record_id, j, {_read("(j->'artifact')")} AS a FROM given)),
+pages AS (SELECT record_id, p, CAST(p->>'page_number' AS INT) AS n FROM ({_each("record_id", "roots", "(r->'pages')", "p")})),
+spans AS ({_each("record_id, n, p", "pages", "(p->'spans')", "s")}),
+tables AS (SELECT record_id, n, p, t, coalesce(CAST(t->>'table_index' AS INT), k) AS ti FROM ({_each("record_id, n, p", "pages", "(p->'tables')", "t")})),
+cells AS ({_each("record_id, n, p, ti", "tables", "(t->'cells')", "c")}),
+results AS (SELECT record_id, r, {_read("(r->'retrieval')")} AS q FROM roots),
+hits AS ({_each("record_id", "results", "(q->'hits')", "h")}),
+citations AS ({_each("record_id", "roots", "(r->'citations')", "c")})
 """
 
 SQL = {
@@ -83,8 +94,8 @@ def _fields(of: str, **kinds: str) -> str:
 def _box(of: str) -> str:
     names = ("x0", "top", "x1", "bottom")
     return ", ".join(
-        f"CASE json_type({of}->'bounding_box') WHEN 'ARRAY' THEN CAST({of}->'bounding_box'->>{k} AS DOUBLE) "
-        f"WHEN 'OBJECT' THEN CAST({of}->'bounding_box'->>'{name}' AS DOUBLE) END AS {name}"
+        f"(SELECT CASE json_type(b) WHEN 'ARRAY' THEN CAST(b->>{k} AS DOUBLE) "
+        f"WHEN 'OBJECT' THEN CAST(b->>'{name}' AS DOUBLE) END FROM (SELECT {_read(f"({of}->'bounding_box')")} AS b)) AS {name}"
         for k, name in enumerate(names)
     )
 
@@ -102,6 +113,13 @@ def _terms(of: str) -> str:
 
 
 SQL |= {
+    "p4_rejects": _CTE
+    + """
+SELECT record_id, 'missing' AS reason, CAST(NULL AS VARCHAR) AS child FROM artifact_records WHERE coalesce(payload, '') = ''
+UNION ALL SELECT record_id, 'unreadable', NULL FROM artifact_records WHERE payload <> '' AND NOT json_valid(payload)
+UNION ALL SELECT record_id, 'no known type', NULL FROM (SELECT t.record_id, t.r FROM roots t JOIN parsed p ON t.record_id = p.record_id WHERE p.j IS NOT NULL)
+WHERE (json_type(r) <> 'OBJECT' OR NOT list_has_any(json_keys(r), ['pages', 'retrieval', 'citations', 'answer_id', 'artifact']))
+""",
     "p4_pages": f"""{_CTE} SELECT {_keys("n", "structured_document")},
         {_fields("p", page_id="VARCHAR", width="DOUBLE", height="DOUBLE", dimension_unit="VARCHAR", coordinate_origin="VARCHAR", source_rotation_degrees="INT")} FROM pages""",
     "p4_spans": f"""{_CTE} SELECT {_keys("n, CAST(s->>'span_index' AS INT)", "page", "n, 0")},

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from quirewright.operators import nested
 
 DDL = "record_id BIGINT, payload STRING, child STRING"
@@ -47,9 +49,10 @@ def test_null_id_and_repeats(spark):
 
 def test_subtypes_and_variants(spark):
     out, _ = rows(spark, {"pages": [PAGE]})
-    spans = {r.idx2: r for r in nested.subtype_table(out, "span").collect()}
+    records = spark.createDataFrame([(0, json.dumps({"pages": [PAGE]}), "x")], DDL)
+    spans = {r.idx2: r for r in nested.subtype_table(records, "span").collect()}
     assert spans[1].bounding_box.x1 == 3.0 and spans[1].parent == "page" and spans[1].parent_idx1 == 2 and spans[2].text is None
-    cell = nested.subtype_table(out, "cell").first()
+    cell = nested.subtype_table(records, "cell").first()
     assert (cell.parent, cell.parent_idx1, cell.parent_idx2) == ("table", 2, 1)
     kinds = {r.variant for r in nested.variants(out).collect()}
     assert any(v.startswith("span{bounding_box:[number]") for v in kinds)
@@ -57,9 +60,52 @@ def test_subtypes_and_variants(spark):
 
 def test_automaton_tells_shapes_apart():
     a = nested.Automaton()
-    assert a.classify({"rank": 1, "page_number": 2, "page_id": "x"})[0] == "hit"
-    assert a.classify({"page_number": 2})[0] == "page"
-    assert a.classify({"row_index": 1, "column_index": 1, "text": "x"})[1] != a.classify({"row_index": 1, "column_index": 1})[1]
+
+    def shape(value):
+        state, possible, variant, _ = a.read(value)[id(value)]
+        return a.names[state], possible, variant
+
+    assert shape({"rank": 1, "page_number": 2, "page_id": "x"})[:2] == ("hit", {"hit", "page"})
+    assert shape({"page_number": 2})[0] == "page"
+    assert shape({"row_index": 1, "column_index": 1, "text": "x"})[2] != shape({"row_index": 1, "column_index": 1})[2]
+    assert shape({"a": {"b": [{"rank": 1}]}})[0] == "wrapper" and shape({"a": {"b": [1]}})[0] == "object"
+
+
+def test_children_at_unknown_keys_go_where_their_shape_says(spark):
+    page = {"page_number": 2, "layout": {"lines": [{"span_index": 1, "note": {"page_number": 9}}]}, "grids": [[{"table_index": 3, "content": [{"row_index": 1, "column_index": 1}]}]]}
+    _, got = rows(spark, {"artifact": {"content": {"pages": [page]}}}, {"answer_id": "a", "found": {"list": [{"rank": 4, "page_number": 1}]}, "retrieval": {"results": [{"rank": 5}]}})
+    assert got == {(0, "page", 2, 0, 0, 0), (0, "span", 2, 1, 0, 0), (0, "table", 2, 3, 0, 0), (0, "cell", 2, 3, 1, 1), (1, "hit", 5, 0, 0, 0)}
+
+
+def test_rejects(spark):
+    far = {"pages": [{"page_number": 3_000_000_000, "spans": [{"span_index": 1}]}]}
+    payloads = [None, "", "{", "[]", {"a": 1}, far, {"pages": []}, "[" * 100_000 + "]" * 100_000, "[" * 100_000]
+    data = [(i, p if p is None or isinstance(p, str) else json.dumps(p), "x") for i, p in enumerate(payloads)]
+    records = spark.createDataFrame(data, DDL)
+    got = {(r.record_id, r.reason, r.child) for r in nested.rejects(records).collect()}
+    none = {(i, "no known type", None) for i in (3, 4, 7)}
+    assert got == {(0, "missing", None), (1, "missing", None), (2, "unreadable", None), (5, "index out of range", "page"), (8, "unreadable", None)} | none
+    assert {(r.child, r.idx1, r.idx2) for r in nested.children(records).collect()} == {("page", None, 0), ("span", None, 1)}
+
+
+def test_deep_texts_read_like_flat_ones():
+    for text in ('{"a": [1, "x\\u00e9", null, {"b": {}}], "c": []}', "[]", "3", '"s"', "[1,2.5e3,true,-1]", "NaN"):
+        assert str(nested._parsed_deep(text)) == str(json.loads(text))
+    for text in ("", "[", "[1,]", '{"a"}', '{"a":}', "[1 2]", "{]", "1 2", '{"a":1,}', "nul"):
+        with pytest.raises(ValueError):
+            nested._parsed_deep(text)
+    inner = '{"pages": [{"page_number": 7}], "x": ' + '{"n": [' * 50_000 + "]}" * 50_000 + "}"
+    found, rejected = nested.flatten(inner, nested.Automaton())
+    assert [k[:2] for k, _ in found] == [("page", 7)] and rejected == []
+
+
+def test_tables_written_in_one_pass(spark, tmp_path):
+    records = spark.createDataFrame([(0, json.dumps({"pages": [PAGE]}), "x"), (1, None, "x")], DDL)
+    nested.write_tables(records, str(tmp_path / "out"))
+    for child in ("page", "span", "table", "cell"):
+        mine = nested.subtype_table(records, child).drop("child")
+        stored = nested.read_table(spark, str(tmp_path / "out"), child).drop("child").select(*mine.columns)
+        assert sorted(map(str, stored.collect())) == sorted(map(str, mine.collect()))
 
 
 def test_long_and_deep(spark):
@@ -85,5 +131,5 @@ def test_children_in_strings(spark):
     assert found[0, "hit", 0] == ("text:hit{rank:number}", "qa_result")
     assert all(found[k, "page", 0][0].startswith("text:page{") for k in (1, 2))
     assert found[1, "span", 1][0].startswith("text:span{") and found[2, "span", 1][0].startswith("span{") and found[1, "cell", 2][0].startswith("cell{")
-    boxed = rows(spark, {"pages": PAGE | {"spans": {"span_index": 1, "bounding_box": "[1, 2, 3, 4]"}}})[0]
-    assert nested.subtype_table(boxed, "span").first().bounding_box.x1 == 3.0
+    boxed = json.dumps({"pages": PAGE | {"spans": {"span_index": 1, "bounding_box": "[1, 2, 3, 4]"}}})
+    assert nested.subtype_table(spark.createDataFrame([(0, boxed, "x")], DDL), "span").first().bounding_box.x1 == 3.0
