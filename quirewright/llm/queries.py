@@ -83,9 +83,8 @@ def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = _mix(spark, sf_dir).report()
-    asked = F.col("target_share") * F.col("budget_fraction") * F.col("total_tokens")
-    return report.filter(F.col("max_copies") * F.col("source_tokens") < asked).select("mix_id", "source")
+    """The sources of which the scheduled mixture holds less than was asked."""
+    return _mix(spark, sf_dir).report().filter("short").select("mix_id", "source")
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +92,12 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir).report()
+    return _mix(spark, sf_dir).report().withColumn("target_tokens", F.round("target_tokens", 3))
+
+
+def p7_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every source is always within a block of its share."""
+    return _mix(spark, sf_dir).deviation().select("mix_id", "source", (F.col("worst") < 1).alias("within_block"))
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,10 +117,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_paragraphs, p2_found, p2_forms, p2_classes, p3_found, p3_pieces, p5_found, p5_sentences, p6_found,
-        p6_placements, p6_fill, p7_found, p7_mixture, p7_shares, p8_found, p8_restored,
+        p6_placements, p6_fill, p7_found, p7_mixture, p7_shares, p7_deviation, p8_found, p8_restored,
     )
 }
 
+_ALLOTTED = """
+        WITH sized AS (
+            SELECT lower(trim(source)) AS source, coalesce(strlen(text), 0) AS tokens FROM (SELECT DISTINCT doc_id, text, source FROM documents)
+        ),
+        total AS (SELECT CAST(sum(tokens) AS DOUBLE) AS tokens FROM sized),
+        own AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens FROM sized GROUP BY source),
+        asked AS (
+            SELECT t.*, t.target_share * t.budget_fraction * total.tokens AS target, coalesce(own.tokens, 0) AS have
+            FROM mix_targets t CROSS JOIN total LEFT JOIN own ON own.source = lower(trim(t.source))
+        ),
+        allotted AS (SELECT *, CAST(least(ceil(target), max_copies * have) AS BIGINT) AS allot FROM asked)"""
+
 SQL: dict[str, str] = {
     "p3_found": """
         SELECT DISTINCT c.chunk_id
@@ -137,4 +153,11 @@ SQL: dict[str, str] = {
         FROM mix_targets t CROSS JOIN total LEFT JOIN own ON own.source = lower(trim(t.source))
         WHERE t.max_copies * coalesce(own.tokens, 0) < t.target_share * t.budget_fraction * total.tokens
     """,
+    "p7_shares": f"""{_ALLOTTED}
+        SELECT mix_id, source, target_share, max_copies, budget_fraction, round(target, 3) AS target_tokens, allot AS tokens,
+            CAST(CASE WHEN allot > 0 THEN ceil(allot / have) ELSE 0 END AS INT) AS copies, allot < target AS short,
+            round(allot / sum(allot) OVER (PARTITION BY mix_id), 9) AS share
+        FROM allotted
+    """,
+    "p7_deviation": f"""{_ALLOTTED} SELECT mix_id, source, true AS within_block FROM allotted WHERE allot > 0""",
 }
