@@ -1,28 +1,32 @@
 """Splitting oversized items at natural boundaries, range by range.
 
-An item is worked on in ranges of ``PIECES_PER_RANGE`` times its limit, each read with a halo on both sides.
-The worker of a range finds the anchor at its end, the best boundary before the nominal end; its neighbour finds
-the same anchor from its own halo, so ranges are independent. Between two anchors pieces are cut greedily:
-each ends at the strongest boundary in the upper half of what fits, and the next begins the stated overlap
-earlier. For table cells the ranges of one row run one after another in an Arrow batch; for files
-(``split_files``) they are separate tasks that read only their bytes, the boundary tables are stitched, and
-prefix sums of lengths give every piece its offset in the whole file.
+Pieces are cut greedily: each ends at the strongest boundary in the upper half of what fits, and the next begins the
+stated overlap earlier. Where a piece ends depends only on where it begins, so long items are worked on in ranges,
+each read with a halo on both sides, and the pieces are the same for every size of range. The worker of a range doesn't
+know where the piece before it ends; it finds the boundaries at which that may be, at most one limit behind its begin,
+and follows the pieces from each of them through its range. These chains soon run together, so the table
+of a range (cut that enters, cut that leaves, pieces between) is short. Stitching the tables gives every range the
+cut that enters it; prefix sums of lengths and pieces give offsets in the whole item. For files (``split_files``)
+ranges are bytes read by separate tasks, and pieces are emitted by offset without loading a file; for table cells
+they are parts of the text, and only cells longer than a range are shuffled, part by part.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, once
+from ..session import bounded_broadcast, cut, once
 
 DEFAULT_LIMIT = 4000
 DEFAULT_OVERLAP = 200
-PIECES_PER_RANGE = 64
+#: Limits that make a range of a table cell; bytes of a range of a file; ranges of a file that are stitched together.
+LIMITS_PER_RANGE, RANGE_BYTES, RANGES_PER_GROUP = 16, 8 << 20, 1024
 #: Characters looked at before a position to tell which boundary it is.
 CONTEXT = 16
 
@@ -62,56 +66,121 @@ def best_cut(text: str, low: int, high: int) -> int:
     return at if at > low + 1 or not INSIDE.match(text, at) else high
 
 
-def cut_range(text: str, begin: int, end: int, limit: int, overlap: int, first: bool) -> list[tuple[int, int]]:
-    """Pieces that cover [begin, end) of ``text``; unless ``first``, the first one starts ``overlap`` earlier."""
-    overlap = max(0, min(overlap, limit - 1))
-    out: list[tuple[int, int]] = []
-    done = begin
-    while done < end:
-        start = done if first and not out else max(0, done - overlap)
-        if end - start <= limit:
-            stop = end
-        else:
-            stop = best_cut(text, max(done, start + limit // 2), start + limit)
-        out.append((start, stop))
-        done = stop
-    return out
+def next_cut(text: str, done: int, limit: int, overlap: int) -> int:
+    """The end of the piece that follows the cut at ``done``, or that begins the text if ``done`` is 0.
+
+    ``text`` may be a stretch of an item that goes ``overlap`` and ``CONTEXT`` characters back from ``done`` and ``limit``
+    and ``CONTEXT`` on, or to the item's ends.
+    """
+    start = max(0, done - overlap) if done else 0
+    if start + limit >= len(text):
+        return len(text)
+    return best_cut(text, max(done, start + limit // 2), start + limit)
 
 
-def anchors(length: int, limit: int) -> list[int]:
-    """Nominal ends of the ranges inside an item."""
-    span = PIECES_PER_RANGE * limit
-    return list(range(span, length, span)) if length > span + limit else []
+def halo(limit: int, overlap: int) -> tuple[int, int]:
+    """Characters that a range is read with before and behind it."""
+    return overlap + CONTEXT + 2, limit + CONTEXT + 2
 
 
 def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of the pieces of one item."""
     if len(text) <= limit:
         return [(0, len(text))]
-    ends = [best_cut(text, at - limit // 2, at) for at in anchors(len(text), limit)] + [len(text)]
-    out: list[tuple[int, int]] = []
-    begin = 0
-    for end in ends:
-        out += cut_range(text, begin, end, limit, overlap, begin == 0)
-        begin = end
+    overlap = max(0, min(overlap, limit - 1))
+    return _pieces(text, 0, len(text), limit, overlap)
+
+
+def _pieces(text: str, done: int, stop: int, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """The pieces from the cut at ``done`` to the first one that ends at ``stop`` or behind."""
+    out = []
+    while done < stop:
+        end = next_cut(text, done, limit, overlap)
+        out.append((max(0, done - overlap) if done else 0, end))
+        done = end
     return out
 
 
+def entries(text: str, begin: int, limit: int, overlap: int) -> list[int]:
+    """Where the first cut at ``begin`` or behind may be: ends of boundaries, blanks, and what lies in a stretch
+    without boundaries that is long enough for a cut to be forced."""
+    stop = min(len(text), begin + limit - 1)
+    least = min(limit - limit // 2, limit - overlap)
+    low, high = max(0, begin - limit - CONTEXT), min(len(text), stop + limit + CONTEXT)
+    marks = {low, high}
+    for boundary in BOUNDARIES:
+        for m in boundary.finditer(text, low, high):
+            marks.add(m.end())
+            if m.end() - m.start() > 1:
+                marks.update(range(m.start() + 1, m.end()))  # a search that starts inside may end there, or a blank run be cut
+    known = sorted(marks)
+    # how long the outer stretches are can't be seen
+    free = {p for a, b in zip(known, known[1:]) if b - a >= least or a == low or b == high for p in range(a, b)}
+    return sorted(p for p in marks | free if begin <= p <= stop)
+
+
+def chains(text: str, begin: int, end: int, starts: Iterable[int], limit: int, overlap: int) -> dict[int, int]:
+    """The cut after each of ``starts`` and after each cut that follows from them, as long as they lie before ``end``."""
+    after: dict[int, int] = {}
+    for at in starts:
+        while at < end and at not in after:
+            after[at] = at = next_cut(text, at, limit, overlap)
+    return after
+
+
+def crossings(starts: Iterable[int], after: dict[int, int], begin: int, end: int) -> list[tuple[int, int, int, int]]:
+    """(first, last, exit, pieces): from cuts ``first`` to ``last`` behind ``begin`` the chains leave ``exit`` behind ``end``.
+
+    Neighbouring starts with the same way out make one row.
+    """
+    leaves: dict[int, tuple[int, int]] = {}
+
+    def leave(at: int) -> tuple[int, int]:
+        way = []
+        while at < end and at not in leaves:
+            way.append(at)
+            at = after[at]
+        out, pieces = leaves[at] if at < end else (at - end, 0)
+        for x in reversed(way):
+            pieces += 1
+            leaves[x] = out, pieces
+        return out, pieces
+
+    rows: list[tuple[int, int, int, int]] = []
+    for at in starts:
+        out, pieces = leave(at)
+        if rows and rows[-1][2:] == (out, pieces):
+            rows[-1] = (rows[-1][0], at - begin, out, pieces)
+        else:
+            rows.append((at - begin, at - begin, out, pieces))
+    return rows
+
+
+def crossed(rows: list[tuple[int, int, int, int]], entry: int) -> tuple[int, int]:
+    """(exit, pieces) of the chain that enters at ``entry``."""
+    k = bisect_right(rows, (entry, 1 << 62)) - 1
+    if k < 0 or not rows[k][0] <= entry <= rows[k][1]:
+        raise ValueError(f"no piece ends {entry} characters behind the begin of the range")
+    return rows[k][2], rows[k][3]
+
+
 def split_chunks(
     chunks: DataFrame,
     configs: DataFrame,
     *,
     default_limit: int = DEFAULT_LIMIT,
     default_overlap: int = DEFAULT_OVERLAP,
+    limits_per_range: int = LIMITS_PER_RANGE,
 ) -> DataFrame:
-    """Pieces of every chunk within its configuration's limit.
+    """Pieces of every chunk within its configuration's limit; they don't depend on ``limits_per_range``.
 
     Result: the chunk's chunk_id, corpus_id, config_id, page_id and page_number with piece_index, pieces, piece_id,
     piece_start, piece_end (code points of the chunk's text), text, character_count, content_fingerprint and
     fragments whose offsets hold for the piece and which still point to their spans. A chunk within the limit is
     one piece. Lengths are measured, ``character_count`` isn't read. A null or unknown config_id or limit means the
     defaults; an overlap is cut to limit - 1. Null text gives one null piece, empty text one empty piece; null
-    fragments stay null. Repeated rows give their pieces again; other columns aren't read. No shuffle.
+    fragments stay null. Repeated rows give their pieces again; other columns aren't read. Only the parts of texts of
+    more than ``limits_per_range`` limits are shuffled.
     """
     conf = configs.select(
         F.col("config_id").alias("_config"),
@@ -135,10 +204,15 @@ def split_chunks(
         )
 
     whole = F.array(F.struct(F.lit(0).alias("s"), length.alias("e")))
+    one = F.col("_limit").cast("long") * limits_per_range
     # only texts over the limit go to Python; the rest stay in the JVM
     small = rows.filter(length <= F.col("_limit")).withColumn("_cuts", whole)
-    large = rows.filter(length > F.col("_limit")).withColumn("_cuts", once(ranges)("_text", "_limit", "_overlap"))
-    each = small.unionByName(large).select("*", F.posexplode("_cuts").alias("_at", "_cut"))
+    large = rows.filter((length > F.col("_limit")) & (length <= one)).withColumn("_cuts", once(ranges)("_text", "_limit", "_overlap"))
+    key = [F.sha2("_text", 256).alias("_key"), "_limit", "_overlap"]
+    giant = rows.filter(length > one)
+    found = _giant_cuts(giant.select(*key, "_text"), limits_per_range)
+    giant = giant.select("*", key[0]).join(found, ["_key", "_limit", "_overlap"]).drop("_key")
+    each = small.unionByName(large).unionByName(giant).select("*", F.posexplode("_cuts").alias("_at", "_cut"))
     s, e = F.col("_cut.s"), F.col("_cut.e")
     text = F.substring("_text", s + 1, e - s)
     inside = F.filter("_fragments", lambda f: (f.chunk_start < e) & (f.chunk_end > s))
@@ -172,6 +246,48 @@ def split_chunks(
     )
 
 
+def _giant_cuts(texts: DataFrame, limits_per_range: int) -> DataFrame:
+    """(_key, _limit, _overlap, _cuts) of texts of many ranges: each range in its own row, then stitched by its table.
+
+    texts: _key, _limit, _overlap, _text. Copies count once. The table of a range is as long as its pieces and entries.
+    """
+    size = F.col("_limit") * limits_per_range
+    n = F.length("_text")
+    parts = texts.dropDuplicates(["_key", "_limit", "_overlap"]).select(
+        "*", n.alias("_n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).alias("_part")
+    )
+    begin = F.col("_part") * size
+    from_ = F.greatest(begin - F.col("_overlap") - CONTEXT - 2, F.lit(0))
+    to = F.least(begin + size + F.col("_limit") + CONTEXT + 2, F.col("_n"))
+    parts = parts.select(
+        "_key", "_limit", "_overlap", "_part", from_.alias("_from"), begin.alias("_begin"),
+        F.least(begin + size, F.col("_n")).alias("_end"), F.substring("_text", from_ + 1, to - from_).alias("_window"),
+    ).repartition("_key", "_limit", "_overlap", "_part")
+
+    @F.pandas_udf("array<struct<s: int, e: int>>")
+    def table(text: pd.Series, start: pd.Series, begin: pd.Series, end: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
+        out = []
+        for t, f, b, e, m, o in zip(text, start, begin, end, limit, overlap):
+            o = max(0, min(o, m - 1))
+            at = [0] if b == 0 else entries(t, b - f, m, o)
+            out.append([{"s": x + f, "e": y + f} for x, y in chains(t, b - f, e - f, at, m, o).items()])
+        return pd.Series(out, dtype=object)
+
+    tables = parts.select("_key", "_limit", "_overlap", "_part", once(table)("_window", "_from", "_begin", "_end", "_limit", "_overlap").alias("_after"))
+    ends = texts.dropDuplicates(["_key", "_limit", "_overlap"]).select("_key", "_limit", "_overlap", n.alias("_n"))
+
+    def stitch(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        after = {x["s"]: x["e"] for row in g["_after"] for x in row}
+        at, out, overlap, n = 0, [], max(0, min(int(key[2]), int(key[1]) - 1)), int(key[3])
+        while at < n:
+            out.append({"s": max(0, at - overlap) if at else 0, "e": after[at]})
+            at = after[at]
+        return pd.DataFrame([(*key[:3], out)], columns=["_key", "_limit", "_overlap", "_cuts"])
+
+    joined = tables.join(ends, ["_key", "_limit", "_overlap"]).groupBy("_key", "_limit", "_overlap", "_n")
+    return joined.applyInPandas(stitch, "_key STRING, _limit INT, _overlap INT, _cuts ARRAY<STRUCT<s: INT, e: INT>>")
+
+
 def _open(path: str):
     from pyarrow import fs
 
@@ -179,89 +295,122 @@ def _open(path: str):
     return system.open_input_file(inner)
 
 
-def _whole_characters(data: bytes, skip_head: bool) -> tuple[int, bytes]:
-    """``data`` without the rest of a character at its head and the begin of one at its tail."""
-    head = 0
-    while skip_head and head < min(4, len(data)) and data[head] & 0xC0 == 0x80:
-        head += 1
-    tail = len(data)
-    for back in range(1, min(4, tail) + 1):
-        lead = data[tail - back]
-        if lead & 0xC0 != 0x80:
-            need = 1 if lead < 0x80 else 2 if lead >> 5 == 6 else 3 if lead >> 4 == 14 else 4
-            tail -= back if need > back else 0
-            break
-    return head, data[head:tail]
+def _segment(f, size: int, begin: int, end: int) -> str:
+    """The text of the characters that begin at bytes ``begin`` to ``end`` of a file."""
+    begin, end = max(0, begin), min(size, end)
+    if begin >= end:
+        return ""
+    f.seek(begin)
+    data = f.read(min(size, end + 3) - begin)
+    head, tail = 0, end - begin
+    while begin and head < min(3, len(data)) and data[head] & 0xC0 == 0x80:
+        head += 1  # the rest of a character that begins before
+    while end < size and tail < min(end - begin + 3, len(data)) and data[tail] & 0xC0 == 0x80:
+        tail += 1
+    return data[head:tail].decode("utf-8", "replace")
 
 
 def split_files(
-    spark: SparkSession, files: DataFrame, limit: int = DEFAULT_LIMIT, overlap: int = DEFAULT_OVERLAP, range_bytes: int = 8 << 20
-) -> DataFrame:
+    spark: SparkSession, files: DataFrame, limit: int = DEFAULT_LIMIT, overlap: int = DEFAULT_OVERLAP, range_bytes: int = RANGE_BYTES,
+    ranges_per_group: int = RANGES_PER_GROUP,
+) -> DataFrame:
     """Pieces of UTF-8 files, each read in byte ranges; no task holds more than a range and its halo.
 
     files: path STRING (a URI), length BIGINT, as Spark's binaryFile source lists them without content. Result
-    (path, piece_index, piece_start, piece_end, text); offsets are code points of the whole file. Null paths and
-    empty files give no pieces. Undecodable bytes read as U+FFFD.
+    (path, piece_index, piece_start, piece_end, text); offsets are code points of the whole file, and pieces are those
+    of ``cuts`` for its text, whatever the range. Null paths and empty files give no pieces; a path listed more than
+    once counts once. Undecodable bytes read as U+FFFD.
     """
-    halo = 4 * (limit + overlap + CONTEXT) + 8
-    range_bytes = max(range_bytes, 4 * halo)
-    steps = (
-        files.filter("path is not null and length > 0")
-        .select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / range_bytes))).alias("part"))
-        .repartition("path", "part")
-    )
-
-    def load(path: str, size: int, begin: int, end: int) -> tuple[int, str]:
-        """Byte offset and text of the whole characters in [begin, end)."""
-        begin, end = max(0, begin), min(size, end)
+    overlap = max(0, min(overlap, limit - 1))
+    before_chars, after_chars = halo(limit, overlap)
+    given = files.filter("path is not null and length > 0").select("path", "length").dropDuplicates(["path"])
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / range_bytes)))
+    steps = given.select("path", "length", parts.alias("part")).repartition("path", "part")
+
+    def load(path: str, size: int, part: int) -> tuple[str, int, int]:
+        """A range's text with its halo, and where in it the range begins and ends."""
+        begin, end = part * range_bytes, (part + 1) * range_bytes
         with _open(path) as f:
-            f.seek(begin)
-            head, data = _whole_characters(f.read(end - begin), begin > 0)
-        return begin + head, data.decode("utf-8", "replace")
-
-    def anchor(path: str, size: int, part: int) -> int:
-        """Byte at which part ``part`` ends."""
-        nominal = (part + 1) * range_bytes
-        if nominal >= size:
-            return size
-        at, text = load(path, size, nominal - halo, nominal)
-        cut = best_cut(text + "\0", len(text) - limit // 2, len(text)) if text else 0
-        return at + len(text[:cut].encode("utf-8"))
+            before = _segment(f, size, begin - 4 * before_chars, begin)
+            body = _segment(f, size, begin, end)
+            after = _segment(f, size, end, end + 4 * after_chars)
+        return before + body + after, len(before), len(before) + len(body)
+
+    row = "first LONG, last LONG, exit LONG, pieces LONG"
+    rows_ddl = f"ARRAY<STRUCT<{row.replace(' LONG', ': LONG')}>>"
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for path, size, part in b[["path", "length", "part"]].itertuples(index=False):
-                begin = anchor(path, size, part - 1) if part else 0
-                end = anchor(path, size, part)
-                text = load(path, size, begin, end)[1]
-                before = load(path, size, begin - 4 * (overlap + CONTEXT), begin)[1] if part else ""
-                pieces = cut_range(before + text, len(before), len(before) + len(text), limit, overlap, part == 0)
-                out.append((path, part, begin, end, len(text), len(pieces)))
-            yield pd.DataFrame(out, columns=["path", "part", "begin", "end", "characters", "pieces"])
-
-    table = steps.mapInPandas(detect, "path STRING, part BIGINT, begin BIGINT, end BIGINT, characters BIGINT, pieces BIGINT")
-    before_ = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = (
-        table.withColumn("at", F.coalesce(F.sum("characters").over(before_), F.lit(0)))
-        .withColumn("number", F.coalesce(F.sum("pieces").over(before_), F.lit(0)))
-        .join(files.select("path", "length").dropDuplicates(["path"]), "path")
-        .repartition("path", "part")
+                text, begin, end = load(path, size, part)
+                at = entries(text, begin, limit, overlap) if part else [0]
+                found = crossings(at, chains(text, begin, end, at, limit, overlap), begin, end)
+                out.append((path, part, end - begin, _packed(found)))
+            yield pd.DataFrame(out, columns=["path", "part", "characters", "rows"])
+
+    # read once: what follows is some rows of numbers for each range
+    table = cut(steps.mapInPandas(detect, f"path STRING, part LONG, characters LONG, rows {rows_ddl}"))
+    table = table.withColumn("grp", F.floor(F.col("part") / ranges_per_group))
+
+    def compose(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        """The table of neighbouring ranges as if they were one."""
+        g = g.sort_values("part")
+        steps = [_unpacked(r) for r in g["rows"]]
+        out = []
+        for first, last, exit_, pieces in steps[0]:
+            for more in steps[1:]:
+                exit_, n = crossed(more, exit_)
+                pieces += n
+            out.append((first, last, exit_, pieces))
+        return pd.DataFrame([(*key, int(g["characters"].sum()), _packed(out))], columns=["path", "grp", "characters", "rows"])
+
+    groups = table.groupBy("path", "grp").applyInPandas(compose, f"path STRING, grp LONG, characters LONG, rows {rows_ddl}")
+
+    def follow(g: pd.DataFrame, by: str, entry: int, number: int, at: int) -> list[tuple]:
+        """(``by``, entering cut, pieces before, characters before) of each row of tables in order."""
+        out = []
+        for k, characters, rows in g.sort_values(by)[[by, "characters", "rows"]].itertuples(index=False):
+            out.append((k, entry, number, at))
+            entry, n = crossed(_unpacked(rows), entry)
+            number, at = number + n, at + characters
+        return out
+
+    def enter(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in follow(g, "grp", 0, 0, 0)], columns=["path", "grp", "entry", "number", "at"])
+
+    entering = groups.groupBy("path").applyInPandas(enter, "path STRING, grp LONG, entry LONG, number LONG, at LONG")
+
+    def stitch(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        first = g.iloc[0]
+        rows = follow(g, "part", int(first["entry"]), int(first["number"]), int(first["at"]))
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["path", "part", "entry", "number", "at"])
+
+    stitched = table.join(entering, ["path", "grp"]).groupBy("path", "grp").applyInPandas(
+        stitch, "path STRING, part LONG, entry LONG, number LONG, at LONG"
     )
+    todo = stitched.join(given, "path").repartition("path", "part")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                text = load(r.path, r.length, r.begin, r.end)[1]
-                before = load(r.path, r.length, r.begin - 4 * (overlap + CONTEXT), r.begin)[1] if r.part else ""
-                whole, shift = before + text, r.at - len(before)
-                got = cut_range(whole, len(before), len(whole), limit, overlap, r.part == 0)
+                text, begin, end = load(r.path, r.length, r.part)
+                shift = r.at - begin
+                got = _pieces(text, begin + r.entry, end, limit, overlap)
                 yield pd.DataFrame(
-                    [(r.path, r.number + k, s + shift, e + shift, whole[s:e]) for k, (s, e) in enumerate(got, 1)],
+                    [(r.path, r.number + k, s + shift, e + shift, text[s:e]) for k, (s, e) in enumerate(got, 1)],
                     columns=["path", "piece_index", "piece_start", "piece_end", "text"],
                 )
 
-    return stitched.mapInPandas(emit, "path STRING, piece_index BIGINT, piece_start BIGINT, piece_end BIGINT, text STRING")
+    return todo.mapInPandas(emit, "path STRING, piece_index LONG, piece_start LONG, piece_end LONG, text STRING")
+
+
+def _packed(rows: list[tuple]) -> list[dict]:
+    return [dict(zip(("first", "last", "exit", "pieces"), r)) for r in rows]
+
+
+def _unpacked(rows) -> list[tuple[int, int, int, int]]:
+    return [(r["first"], r["last"], r["exit"], r["pieces"]) for r in rows]
 
 
 def oversized(pieces: DataFrame) -> DataFrame:
