@@ -2,9 +2,11 @@
 
 Edge lines are compared with the document's title and with the other pages' edges in a form in which characters
 that scanners confuse are equal. Words are counted over all body lines; each word has an anagram hash, the sum
-of the fifth powers of its code points, so a confusion of characters is one difference of hashes whatever the
-word. Rare words are joined with frequent ones whose hash differs by a known confusion, candidates are checked
-and ranked by frequency. A word divided at a line's end is kept together by what the corpus spells.
+of the fifth powers of its code points modulo a prime, so a confusion of characters is one difference of hashes
+whatever the word. Rare words are joined with frequent ones whose hash differs by a known confusion, candidates are
+checked and ranked by frequency. What no lexicon holds, numbers and words that occur once, is joined in the same way by
+its shape: letters and digits made alike, a rare shape ("0A00", "l May") against the frequent one that it is read
+from ("0000", "0 May"). A word divided at a line's end is kept together by what the corpus spells.
 Pages, lines and words are joined by their keys; no document is gathered in one task.
 """
 
@@ -25,23 +27,30 @@ from .sentences import sentence_spans
 LETTERS = "e:c n:u i:l l:i a:o h:b v:y f:t u:n c:e o:a t:f b:h y:v ß:B ä:a ö:o ü:u é:e á:a í:i ó:o ú:u ñ:n è:e I:l"
 GROUPS = "d:cl m:rn u:ii w:vv ü:ii cl:d rn:m ii:u vv:w"
 SIGNS = "o:0 O:0 l:1 i:1 I:1 s:5 S:5 g:9 q:9 t:+ é:6 ó:6 b:6 B:8 l:| I:| z:2 Z:2 1:l 1:I 0:O 0:o 5:S 8:B 6:b"
+# The same for Cyrillic and Greek letters.
+CYRILLIC, GREEK = "и:н н:и п:н ц:ч ш:щ щ:ш ь:ъ е:с с:е в:з з:в", "ν:υ υ:ν η:π κ:χ ο:σ σ:ο"
+OTHER_SIGNS = "о:0 О:0 з:3 З:3 б:6 ч:4 ο:0 Ο:0 ι:1 ε:3"
 #: Most that a misread form may occur for each occurrence of the right one.
 SHARE = {"letter": 0.08, "group": 0.2, "sign": 0.34}
 #: The same where two confusions are needed.
 SHARE_TWO = 0.02
+#: Shorter words are more often alike by chance: below these lengths each letter less takes ten times the evidence.
+SURE, SURE_TWO = 3, 7
 #: Least occurrences of a word others are read as.
 LEAST = 3
+#: Modulus of anagram hashes.
+PRIME = (1 << 31) - 1
 #: Words that are so frequent that tokens of them are set aside before the join.
 FREQUENT = 20_000
 #: Part of a document's pages, or of neighbouring ones, that must share an edge line that isn't its title.
 REPEATED = 0.12
 #: Pages that count as neighbouring; any half as many that follow one another are in one such range.
 NEIGHBOURS = 64
-#: Pages of a document whose paragraphs are put together in one task.
-PAGES_PER_BLOCK = 256
+#: Pages over which the begin of a paragraph is looked for at once, and those of a document whose rows are joined apart.
+PAGES_PER_BLOCK, HOT = 4096, 10_000
 
 CONFUSIONS = [
-    (*pair.split(":"), kind) for kind, text in (("letter", LETTERS), ("group", GROUPS), ("sign", SIGNS)) for pair in text.split()
+    (*pair.split(":"), kind) for kind, text in (("letter", f"{LETTERS} {CYRILLIC} {GREEK}"), ("group", GROUPS), ("sign", f"{SIGNS} {OTHER_SIGNS}")) for pair in text.split()
 ]
 
 # Characters taken for one another, for comparing whole lines.
@@ -53,15 +62,12 @@ NAMES = r"page|pagc|seite|página|pagina|pag|pág|p|s|стр|с|f|fol|blatt"
 ROMAN = re.compile(r"^m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 DIGITS = str.maketrans("OoQlI|!SsBbgzZ", "00011115586922"[:14])
 END = r"[.!?…。！？।።؟,;:，、»”“\"')）]\s*$"
-TOKEN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ0-9+|]+(?:['’-][A-Za-zÀ-ÖØ-öø-ɏ0-9+|]+)*")
-LETTER = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]")
+# Ranges of the letters of scripts that write words apart and have confusions above.
+SMALL = "A-Za-zÀ-ÖØ-öø-ɏͰ-Ͽἀ-῿Ѐ-ԯ"
+TOKEN = re.compile(rf"[{SMALL}0-9+|]+(?:['’-][{SMALL}0-9+|]+)*")
+LETTER = re.compile(rf"[{SMALL}]")
 UNITS = re.compile(r"^\d+(?:kg|g|mg|t|m|cm|mm|km|l|ml|h|min|s|st|nd|rd|th|e|er|ère|ème|W|V|A|Hz|px|pt|x)$")
 NUMBERLIKE = re.compile(r"^(?=.*\d)[\dOolI|SBbgzZ]+$")
-CUES = {"No", "Nr", "n", "p", "pp", "art", "Fig", "Abb", "S", "pág", "núm", "Item", "Section", "Abschnitt", "Page", "Seite"}
-MONTHS = set(
-    "January February March April May June July August September October November December Januar Februar März Mai Juni Juli Oktober "
-    "Dezember janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split()
-)
 
 
 class _Alike(dict):
@@ -92,30 +98,30 @@ def title_key(line: str) -> str:
 
 
 def _number(text: str) -> int | None:
-    """The value of a number in digits, perhaps misread or spaced, or in small Roman numerals."""
+    """The value of a number in digits, perhaps misread or spaced, or in small Roman numerals; of a BIGINT's size."""
     s = text.replace(" ", "")
     if not s:
         return None
     if s.isascii() and s.isdigit():
-        return int(s) if len(s) <= 5 else None
-    if s.islower() and ROMAN.match(s) and s not in ("mix", "dim", "mild", "civil", "vivid", "livid", "mi", "di"):
+        return int(s) if len(s) <= 18 else None
+    if s != "l" and s.islower() and ROMAN.match(s):
         values = [{"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}[c] for c in s]
         return sum(-a if a < b else a for a, b in zip(values, [*values[1:], 0]))
     t = s.translate(DIGITS)
-    return int(t) if t.isdigit() and len(t) <= 5 and (any(c.isdigit() for c in s) or len(s) == 1) else None
+    return int(t) if t.isdigit() and len(t) <= 18 and (any(c.isdigit() for c in s) or len(s) == 1) else None
 
 
 NUMBER_LINE = re.compile(
     r"^\W*(?:(?P<name>[^\W\d_]{1,6})\.?\s*)?(?P<n>[\dOolI|!SsBbgzZivxlcdm]+(?: [\dOolI|SBb])*)(?:\s*(?:/|of|0f|ot|von|vou|de|dc|sur|из|di|do)\s*(?P<all>[\dOolI|SsBbgzZ]+))?\W*$"
 )
 KNOWN_NAMES = {alike(x) for x in NAMES.split("|")}
-CJK_NUMBER = re.compile(r"^\W*第?\s*(\d{1,5})\s*(?:頁|页|ページ)\W*$")
+CJK_NUMBER = re.compile(r"^\W*第?\s*(\d{1,18})\s*(?:頁|页|ページ)\W*$")
 
 
 def page_number_line(line: str) -> int | None:
     """The number that is all a line says, in any notation; None if it says something else."""
     s = line.strip()
-    if not s or len(s) > 30 or re.search(r"\d[.,]\d", s):
+    if not s or re.search(r"\d[.,]\d", s):
         return None
     m = CJK_NUMBER.match(s)
     if m:
@@ -138,7 +144,7 @@ def documents_pages(page_ocr: DataFrame) -> DataFrame:
     )
 
 
-EDGE = "line_index INT, g STRING, number INT, title STRING"
+EDGE = "line_index INT, g STRING, number BIGINT, title STRING"
 OPEN_END = re.compile(END)
 
 
@@ -150,10 +156,13 @@ def _edges(lines: list, width: int) -> list[dict]:
         line = x["line"]
         number = page_number_line(line)
         if number is not None:
-            out.append({"line_index": x["i"], "g": "#plain" if line.strip().isdigit() else "#", "number": number, "title": None})
+            digits = line.strip()
+            # a large number, or a word that may be a large Roman numeral, is one only by its place in a sequence
+            sure = number < 100_000 and (number == 1 or any(c.isdigit() or c in "OoI|" for c in digits) or not set(digits) & set("lcdm"))
+            out.append({"line_index": x["i"], "g": "#plain" if digits.isdigit() and sure else "#" if sure else "#maybe", "number": number, "title": None})
+            continue
+        if OPEN_END.search(line):
             continue
-        if len(line) > 90 or len(line) <= 30 and OPEN_END.search(line):
-            continue  # of the longer ones none ends like a sentence
         key = title_key(line)
         if len(key) >= 5 and key not in seen:
             bare = x["i"] <= 2 and EDGE_NUMBER.search(line.strip()) is None
@@ -161,6 +170,20 @@ def _edges(lines: list, width: int) -> list[dict]:
     return out
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """The inner join with ``right``, whose keys are unique and whose column ``rows`` tells how large their groups are.
+
+    Large groups don't go to one task: the few rows of ``right`` they belong to are broadcast. There are at most as many
+    as ``left`` has rows by ``HOT``; if they are too many for that, AQE has to split them.
+    """
+    hot = right.filter(F.col(rows) > HOT)
+    found = hot.select(*keys).limit(HOT + 1).count()
+    if not 0 < found <= HOT:
+        return left.join(right, keys)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.filter(F.col(rows) <= HOT), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def edge_kinds(pages: DataFrame) -> DataFrame:
     """(page_id, line_index, kind): the edge lines that are a header or a page_number, and the document's title.
 
@@ -177,10 +200,10 @@ def edge_kinds(pages: DataFrame) -> DataFrame:
         return F.when(n >= least, F.struct(i.alias("i"), (found if inner is None else F.substring_index(found, lf, inner)).alias("line")))
 
     outer_lines = F.array_compact(F.array(line(F.lit(1), 1), line(F.lit(2), 2, -1, 2), line(n - 1, -2, 1, 4), line(n, -1, None, 3)))
-    # blank lines are nothing, nor is what ends like a sentence and is too long for a number
-    maybe = F.filter(outer_lines, lambda x: (F.trim(x.line) != "") & (~x.line.rlike(END) | (F.length(x.line) <= 30)))
+    # blank lines are nothing, nor is what ends like a sentence and has no number in its last word
+    maybe = F.filter(outer_lines, lambda x: (F.trim(x.line) != "") & (~x.line.rlike(END) | x.line.rlike(r"(?:^|[\s\W])[\dOolI|SsBbgzZivxlcdm]+\W*$")))
 
-    @F.pandas_udf(f"array<struct<{EDGE.replace(' INT', ': int').replace(' STRING', ': string')}>>")
+    @F.pandas_udf(f"array<struct<{EDGE.replace(' BIGINT', ': bigint').replace(' INT', ': int').replace(' STRING', ': string')}>>")
     def read(lines: pd.Series, width: pd.Series) -> pd.Series:
         return pd.Series([_edges(x, w) for x, w in zip(lines, width)], dtype=object)
 
@@ -189,24 +212,27 @@ def edge_kinds(pages: DataFrame) -> DataFrame:
     edges = heads.select("document_id", "page_id", "page_number", "n", F.inline("edges")).dropDuplicates(["page_id", "line_index"])
     # numbers are counted by their distance from the page's own
     g = F.when(F.col("number").isNotNull(), F.concat(F.lit("#"), F.coalesce((F.col("number") - F.col("page_number")).cast("string"), F.lit("?")))).otherwise(F.col("g"))
-    edges = cut(edges.withColumn("plain", F.col("g") == "#plain").withColumn("g", g))
+    edges = cut(edges.withColumn("plain", F.col("g") == "#plain").withColumn("maybe", F.col("g") == "#maybe").withColumn("g", g))
     first = (F.col("page_number") == 1) & F.col("title").isNotNull()
     counts = edges.groupBy("document_id", "g").agg(F.count_distinct("page_id").alias("pages"))
     per_doc = edges.groupBy("document_id").agg(F.min(F.when(first, F.struct("line_index", "g", "page_id"))).alias("t"))
     most = counts.filter("g like '#%' and g <> '#?'").groupBy("document_id").agg(F.max("pages").alias("most"))
     size = pages.groupBy("document_id").agg(F.count_distinct("page_id").alias("of"))
     half = F.floor(F.col("page_number") / (NEIGHBOURS // 2))
-    texts = edges.filter(~F.col("g").startswith("#") & F.col("page_number").isNotNull()).join(size.filter(F.col("of") > NEIGHBOURS), "document_id")
+    texts = edges.filter(~F.col("g").startswith("#") & F.col("page_number").isNotNull())
+    texts = _join(texts, size.filter(F.col("of") > NEIGHBOURS), ["document_id"], "of")
     near = texts.select("document_id", "g", "page_id", F.explode(F.array(half - 1, half)).alias("range")).groupBy("document_id", "g", "range")
     near = near.agg(F.count_distinct("page_id").alias("near")).filter(F.col("near") >= REPEATED * NEIGHBOURS).select("document_id", "g", F.lit(True).alias("near")).distinct()
     per_doc = per_doc.join(most, "document_id", "left").join(size, "document_id", "left").select(
         "document_id", F.col("t.g").alias("name"), F.col("t.page_id").alias("title_page"), F.col("t.line_index").alias("title_line"), "most", "of"
     )
     # judged once for each form of a document, then joined to its lines
-    far = F.levenshtein("g", "name") <= F.greatest(F.lit(2), F.floor(F.length("name") * 0.15))
+    most_edits = F.greatest(F.lit(2), F.floor(F.length("name") * 0.15))
+    near_length = F.abs(F.length("g") - F.length("name")) <= most_edits
+    far = F.when(near_length, F.levenshtein("g", "name") <= most_edits).otherwise(near_length)
     shared = (F.col("pages") >= 2) & (F.col("pages") >= REPEATED * F.col("of")) | F.col("near").isNotNull()
     is_number = F.col("g").startswith("#")
-    forms = counts.join(per_doc, "document_id").join(near, ["document_id", "g"], "left").select(
+    forms = _join(counts, per_doc, ["document_id"], "of").join(near, ["document_id", "g"], "left").select(
         "document_id", "g", "pages", "title_page", "title_line",
         (~is_number & F.coalesce(far | shared, F.lit(False))).alias("header"),
         (is_number & (F.col("pages") == 1) & F.coalesce(F.col("most") >= 3, F.lit(False))).alias("alone"),
@@ -215,9 +241,9 @@ def edge_kinds(pages: DataFrame) -> DataFrame:
     kind = (
         F.when(F.coalesce(is_title, F.lit(False)), F.when((F.col("pages") >= 2) | (F.col("title") == "short"), "title"))
         .when(F.col("header"), "header")
-        .when(F.col("number").isNotNull() & ~(F.col("plain") & F.col("alone")), "page_number")
+        .when(F.col("number").isNotNull() & ~(F.col("plain") & F.col("alone")) & ~(F.col("maybe") & (F.col("pages") < 2) & (F.col("g") != "#0")), "page_number")
     )
-    kinds = edges.join(forms, ["document_id", "g"]).select("page_id", "line_index", "n", kind.alias("kind")).filter("kind is not null")
+    kinds = _join(edges, forms, ["document_id", "g"], "pages").select("page_id", "line_index", "n", kind.alias("kind")).filter("kind is not null")
     outer = (F.col("line_index") == 1) | (F.col("line_index") == F.col("n"))
     # an inner line needs its outer neighbour: both are in the page's at most four rows
     mine = Window.partitionBy("page_id")
@@ -226,34 +252,67 @@ def edge_kinds(pages: DataFrame) -> DataFrame:
     return kinds.withColumn("keep", outer | beside).filter("keep").select("page_id", "line_index", "kind")
 
 
-SUSPECT = re.compile(r"[A-Za-zÀ-ɏ][0-9+|]|[0-9+|][A-Za-zÀ-ɏ]|(?<![\w'’])[lISOBb|](?![\w'’])|[.,][lIOSB|]+\b|\b[lIOSB|]+[.,]\d")
+SUSPECT = re.compile(rf"[{SMALL}][0-9+|]|[0-9+|][{SMALL}]|(?<![\w'’])[lISOBb|](?![\w'’])|[.,][lIOSB|]+\b|\b[lIOSB|]+[.,]\d")
+SEPARATED = re.compile(r"[\dlIOSB|]+(?:[.,][\dlIOSB|]+)+")
+LONG_RUN = re.compile(r"(a{4})a+|(0{4})0+")
+
+
+def shape(word: str) -> str:
+    """Small and large letters and digits made alike; what is longer than four of a kind as four of it."""
+    return LONG_RUN.sub(r"\1\2", "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word))
+
 
+def _as_letters(word: str) -> str:
+    return "".join("a" if c in "0123456789+|" else c for c in word)
 
-def _misread(line: str) -> bool:
-    """Whether a line has a character that can't belong to the word or number it stands in."""
+
+def _suspects(line: str) -> list[tuple[str, str]]:
+    """(seen, right) shapes of the words and numbers of a line with a character that may not belong to them.
+
+    A lone letter is given with the word beside it.
+    """
     if SUSPECT.search(line) is None:
-        return False
-    if re.search(r"(?<=\d[.,])[lIOSB|]+\b|\b[lIOSB|]+(?=[.,]\d)", line):
-        return True
+        return []
+    out = []
+    for m in SEPARATED.finditer(line):
+        if re.search(r"(?<=\d[.,])[lIOSB|]+\b|\b[lIOSB|]+(?=[.,]\d)", m.group()):
+            out.append((shape(m.group()), shape(re.sub("[^.,]", "0", m.group()))))
     found = list(TOKEN.finditer(line))
     for k, m in enumerate(found):
         for part in re.split(r"['’-]", m.group()):
             if part.isalpha():
                 if len(part) == 1 and part in "lISOBb" and part == m.group():
-                    before = found[k - 1].group() if k else ""
-                    after = found[k + 1].group() if k + 1 < len(found) else ""
-                    if part == "l" and not line[m.end() : m.end() + 1] in "'’." or after in MONTHS or before in CUES and line[m.end() : m.end() + 1] != ".":
-                        return True
+                    after = line[m.end() : m.end() + 1]
+                    if part == "l" and after not in ("'", "’", "."):
+                        out.append(("l", "0"))
+                    if k and after != ".":
+                        out.append((f"{found[k - 1].group()} {part}", f"{found[k - 1].group()} 0"))
+                    if k + 1 < len(found) and (after != "." or part == "l") and not found[k + 1].group().isdigit():
+                        out.append((f"{part} {found[k + 1].group()}", f"0 {found[k + 1].group()}"))
                 continue
-            if part.isdigit() or not LETTER.search(part) and part.strip("+|"):
-                continue
-            if not LETTER.search(part):
+            if part.isdigit() or not LETTER.search(part):
                 continue
             if UNITS.match(part) or len(part) >= 6 and part.upper() == part and len(re.findall(r"\d", part)) >= 2 and not NUMBERLIKE.match(part):
                 continue
-            if NUMBERLIKE.match(part) or re.search(r"[+|]", part) or re.search(r"[0156892]", part) and len(LETTER.findall(part)) >= 1:
-                return True
-    return False
+            if NUMBERLIKE.match(part):
+                out += [(shape(part), shape("0" * len(part))), (shape(part), shape(_as_letters(part)))]
+            elif re.search(r"[0156892+|]", part):
+                out.append((shape(part), shape(_as_letters(part))))
+    return out
+
+
+def _neighbours(line: str) -> Iterator[str]:
+    """What a number stands beside: shapes that a lone letter is compared with, and those of lone letters."""
+    found = [m.group() for m in TOKEN.finditer(line)]
+    for a, b in zip(found, found[1:]):
+        if a.isdigit():
+            yield f"0 {b}"
+        elif len(a) == 1 and a in "lISOBb":
+            yield f"{a} {b}"
+        if b.isdigit():
+            yield f"{a} 0"
+        elif len(b) == 1 and b in "lISOBb":
+            yield f"{a} {b}"
 
 
 def _body(text: str, kinds: list | None) -> list[tuple[int, str]]:
@@ -261,8 +320,11 @@ def _body(text: str, kinds: list | None) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate(text.split("\n"), 1) if i not in skip and x.strip()]
 
 
-DIVIDED = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ɏ0-9+|'’-]*[^\W\d_]|[^\W\d_]+)[{LINE_ENDS}]\s*$")
-HEAD = re.compile(r"^[\s«“„\"'(]*([^\W_][\w+|]*(?:['’-][\w+|]+)*)")
+NUMBER = re.compile(r"(?<!\w)\d+(?:[.,]\d+)*(?!\w)")
+#: Marks and letters of scripts whose words may end with a mark.
+MARKS = "\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u0652\u0900-\u0963\u0970-\u0e3a\u0e40-\u0e4e\u0e80-\u0ece\u1000-\u103f\u1780-\u17d3"
+DIVIDED = re.compile(rf"([{SMALL}0-9+|'’-]*[^\W\d_]|(?:[^\W\d_]|[{MARKS}])+)[{LINE_ENDS}]\s*$")
+HEAD = re.compile(rf"^[\s«“„\"'(]*([^\W_][\w+|{MARKS}]*(?:['’-][\w+|{MARKS}]+)*)")
 
 
 def _divided(page_id: str, body: list[tuple[int, str]], after: dict | None) -> tuple[list[tuple], dict, dict]:
@@ -290,7 +352,7 @@ def _divided(page_id: str, body: list[tuple[int, str]], after: dict | None) -> t
 def _words(body: list[tuple[int, str]], taken: dict, stop: dict) -> Iterator[tuple[int, str]]:
     for i, line in body:
         for w in TOKEN.findall(line, taken.get(i, 0), stop.get(i, len(line))):
-            if w.strip("0123456789+|") and len(w) <= 60:
+            if w.strip("0123456789+|"):
                 yield i, w
 
 
@@ -316,32 +378,64 @@ def _with_kinds(pages: DataFrame, kinds: DataFrame) -> DataFrame:
 def page_facts(pages: DataFrame) -> DataFrame:
     """(kind, page_id, line_index, head, tail, tail_page, tail_line, n) of the body lines of pages with kinds.
 
-    kind: ``word`` (n occurrences of ``head``, added up over many pages), ``bad`` (a line with an impossible
-    character), ``divided`` (a word that goes on in the next line).
+    kind: ``word`` (n occurrences of ``head``, added up over many pages), ``shape`` (the same of a number's shape or of
+    what stands beside one), ``odd`` (the shape ``head`` of a word in the line may be read from that of ``tail``),
+    ``divided`` (a word that goes on in the next line).
     """
     columns = ["kind", "page_id", "line_index", "head", "tail", "tail_page", "tail_line", "n"]
     whole = {"line_index": "Int32", "tail_line": "Int32", "n": "Int64"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[str] = Counter()
+        shapes: Counter[str] = Counter()
+
+        def counted() -> list[tuple]:
+            return [(kind, None, None, w, None, None, None, n) for kind, c in (("word", counts), ("shape", shapes)) for w, n in c.items()]
+
         for b in batches:
             out = []
             for p, text, kinds, after in b[["page_id", "text", "kinds", "after"]].itertuples(index=False):
                 body = _body(text, kinds)
-                out += [("bad", p, i, None, None, None, None, None) for i, line in body if _misread(line)]
+                for i, line in body:
+                    if DIGIT.search(line) or SUSPECT.search(line):
+                        out += [("odd", p, i, seen, right, None, None, None) for seen, right in set(_suspects(line))]
+                        shapes.update(_neighbours(line))
+                        shapes.update(shape(x) for x in NUMBER.findall(line))
                 found, taken, stop = _divided(p, body, after)
                 out += [("divided", p, *d, None) for d in found]
                 counts.update(w for _, w in _words(body, taken, stop))
-            if len(counts) > 200_000:
-                out += [("word", None, None, w, None, None, None, n) for w, n in counts.items()]
-                counts = Counter()
+            if len(counts) + len(shapes) > 200_000:
+                out += counted()
+                counts, shapes = Counter(), Counter()
             yield pd.DataFrame(out, columns=columns).astype(whole)
-        yield pd.DataFrame([("word", None, None, w, None, None, None, n) for w, n in counts.items()], columns=columns).astype(whole)
+        yield pd.DataFrame(counted(), columns=columns).astype(whole)
 
     ddl = "kind STRING, page_id STRING, line_index INT, head STRING, tail STRING, tail_page STRING, tail_line INT, n BIGINT"
     return pages.mapInPandas(run, ddl)
 
 
+def odd_lines(facts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(page_id, line_index): the lines with a shape that is rarer than the one it is read from.
+
+    Shapes are joined by their anagram hashes, so the place of a character in them doesn't matter.
+    """
+    # the shapes of a word's parts, as ``shape`` makes them
+    part = F.explode(F.split("word", "['’-]"))
+    made = F.regexp_replace(F.regexp_replace(F.regexp_replace("part", r"\d", "0"), r"\p{Lu}", "A"), r"[\p{L}&&[^A]]", "a")
+    made = F.regexp_replace(F.regexp_replace(made, "(a{4})a+", "$1"), "(0{4})0+", "$1")
+    words = lexicon.select(part.alias("part"), "n").select(made.alias("shape"), "n")
+    numbers = facts.filter("kind = 'shape'").select(F.col("head").alias("shape"), "n")
+    lone = lexicon.filter(F.col("word") == "l").select(F.col("word").alias("shape"), "n")
+    every = words.unionByName(numbers).unionByName(lone).groupBy("shape").agg(F.sum("n").alias("n"))
+    known = cut(every.groupBy(anagram_hash(F.col("shape")).alias("hash")).agg(F.sum("n").alias("n")))
+    odd = facts.filter("kind = 'odd'").select("page_id", "line_index", F.col("head").alias("seen"), F.col("tail").alias("right"))
+    pairs = odd.select("seen", "right").distinct().withColumns({"a": anagram_hash(F.col("seen")), "b": anagram_hash(F.col("right"))})
+    pairs = pairs.join(known.select(F.col("hash").alias("a"), F.col("n").alias("rare")), "a", "left")
+    pairs = pairs.join(known.select(F.col("hash").alias("b"), F.col("n").alias("often")), "b")
+    pairs = pairs.filter((F.col("often") >= LEAST) & (F.coalesce("rare", F.lit(0)) < F.col("often"))).select("seen", "right")
+    return odd.join(pairs, ["seen", "right"], "left_semi").select("page_id", "line_index")
+
+
 def rare_words(pages: DataFrame, usual: frozenset[str]) -> DataFrame:
     """(page_id, line_index, word) of the body words that aren't ``usual``."""
 
@@ -360,17 +454,18 @@ def rare_words(pages: DataFrame, usual: frozenset[str]) -> DataFrame:
 
 
 def anagram_hash(word: Column) -> Column:
-    """The sum of the fifth powers of a word's code points."""
+    """The sum of the fifth powers of a word's code points, modulo ``PRIME``."""
 
     def fifth(c: Column) -> Column:
         v = F.ascii(c).cast("long")
-        return v * v * v * v * v
+        square = v * v % PRIME
+        return square * square % PRIME * v % PRIME
 
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda acc, c: F.when(c == "", acc).otherwise(acc + fifth(c)))
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda acc, c: F.when(c == "", acc).otherwise((acc + fifth(c)) % PRIME))
 
 
 def _value(s: str) -> int:
-    return sum(ord(c) ** 5 for c in s)
+    return sum(ord(c) ** 5 for c in s) % PRIME
 
 
 def corrections(asked: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -379,11 +474,11 @@ def corrections(asked: DataFrame, lexicon: DataFrame) -> DataFrame:
     asked: word, n (how often it occurs). lexicon: word, n. A word is taken for misread only if it is rare beside
     the right one; ties go to the alphabetically first.
     """
-    singles = [(seen, _value(true) - _value(seen), kind, SHARE[kind], max(len(true), len(seen))) for true, seen, kind in CONFUSIONS]
+    singles = [(seen, (_value(true) - _value(seen)) % PRIME, kind, SHARE[kind], max(len(true), len(seen))) for true, seen, kind in CONFUSIONS]
     soft = [x for x in CONFUSIONS if x[2] != "sign" and x[0].isascii() and x[0] not in ("cl", "rn", "ii", "vv", "l", "c", "o", "t", "b", "y", "u")]
     soft += [x for x in CONFUSIONS if x[:2] == ("u", "ii")]
     doubles = [
-        (a[1], b[1], _value(a[0]) + _value(b[0]) - _value(a[1]) - _value(b[1]), len(a[1]) + len(b[1]))
+        (a[1], b[1], (_value(a[0]) + _value(b[0]) - _value(a[1]) - _value(b[1])) % PRIME, len(a[1]) + len(b[1]))
         for i, a in enumerate(soft)
         for b in soft[i:]
     ]
@@ -395,29 +490,28 @@ def corrections(asked: DataFrame, lexicon: DataFrame) -> DataFrame:
     known = lexicon.filter(F.col("n") >= LEAST).select(F.col("word").alias("right"), F.col("n").alias("often"), anagram_hash(F.col("word")).alias("target"))
     asked = asked.filter(F.length("word") >= 2).withColumn("hash", anagram_hash(F.col("word")))
 
-    def matched(tries: DataFrame) -> DataFrame:
-        hit = tries.join(known, "target").filter(
+    def matched(tries: DataFrame, sure: int) -> DataFrame:
+        doubt = F.pow(F.lit(10.0), F.least(F.length("word") - sure, F.lit(0)))
+        hit = tries.withColumn("target", (F.col("hash") + F.col("delta")) % PRIME).join(known, "target").filter(
             (F.col("word") != F.col("right"))
-            & (F.col("n") <= F.col("share") * F.col("often"))
+            & (F.greatest("n", F.lit(1)) <= F.col("share") * doubt * F.col("often"))
             & (F.levenshtein("word", "right") <= F.col("edits"))
         )
         best = F.max(F.struct("often", F.col("right").alias("right"), "kind"))
         return hit.groupBy("word").agg(best.alias("b")).select("word", F.col("b.right").alias("right"), F.col("b.kind").alias("kind"))
 
     one = fixed(singles, ["seen", "delta", "kind", "share", "edits"])
-    first = asked.filter(F.length("word") >= 3).select(
+    first = asked.select(
         "*", F.inline(F.filter(one, lambda x: F.col("word").contains(x.seen)))
     )
-    first = matched(first.withColumn("target", F.col("hash") + F.col("delta")))
+    first = matched(first, SURE)
     two = fixed(doubles, ["seen", "seen2", "delta", "edits"])
-    left = asked.filter((F.length("word") >= 7)).join(first, "word", "left_anti")
+    left = asked.join(first, "word", "left_anti")
     second = left.select(
         "*", F.inline(F.filter(two, lambda x: F.col("word").contains(x.seen) & F.col("word").contains(x.seen2)))
     )
-    second = second.withColumns(
-        {"kind": F.lit("two"), "share": F.lit(SHARE_TWO), "target": F.col("hash") + F.col("delta")}
-    )
-    return first.unionByName(matched(second))
+    second = second.withColumns({"kind": F.lit("two"), "share": F.lit(SHARE_TWO)})
+    return first.unionByName(matched(second, SURE_TWO))
 
 
 class Scans:
@@ -461,7 +555,7 @@ class Scans:
     def misread(self) -> DataFrame:
         """(page_id, line_index, word, right): every misread word; ``right`` is null where none is known."""
         none = F.lit(None).cast("string")
-        bad = self.facts.filter("kind = 'bad'").select("page_id", "line_index", none.alias("word"), none.alias("right"))
+        bad = odd_lines(self.facts, self.lexicon).select("page_id", "line_index", none.alias("word"), none.alias("right"))
         frequent = self.lexicon.join(self.fixes, "word", "left_anti").orderBy(F.desc("n"), "word").limit(FREQUENT)
         usual = frozenset(r["word"] for r in frequent.select("word").collect())
         found = rare_words(self.rows, usual).join(self.fixes, "word").select("page_id", "line_index", "word", "right")
@@ -510,10 +604,12 @@ class Scans:
             "document_id",
             "page_id",
             "page_number",
+            F.xxhash64("text").alias("row"),
             once(parts)("text", F.coalesce("fixes", empty_f), F.coalesce("kinds", empty_k), F.coalesce("kept", F.array().cast("array<int>"))).alias("parts"),
         )
         rows = cut(rows.filter(F.size("parts") > 0))
         # whether a page goes on with the paragraph before: that is open, and ends no sentence or a small letter follows
+        n = F.size("parts")
         last = F.element_at("parts", -1)
         before = rows.filter(~last.closes & F.col("page_number").isNotNull()).groupBy("document_id", (F.col("page_number") + 1).alias("page_number")).agg(
             F.min(last.ends).alias("ended"), F.lit(True).alias("open")
@@ -521,31 +617,59 @@ class Scans:
         small = F.element_at("parts", 1).text.rlike(r"^\p{Ll}")
         rows = rows.join(before, ["document_id", "page_number"], "left")
         rows = rows.withColumn("goes_on", F.coalesce(F.col("open") & (~F.col("ended") | small), F.lit(False)))
-        block = F.floor(F.coalesce("page_number", F.lit(0)) / PAGES_PER_BLOCK)
-        each = rows.select("document_id", "page_id", "page_number", "goes_on", F.posexplode("parts").alias("k", "part"))
-        each = each.withColumn("goes_on", F.col("goes_on") & (F.col("k") == 0))
-        # what goes on from the last page of a block belongs to that block
-        moved = F.col("goes_on") & (F.col("page_number") % PAGES_PER_BLOCK == 0)
-        each = each.withColumn("block", F.when(moved, block - 1).otherwise(block))
-
-        def join(g: pd.DataFrame) -> pd.DataFrame:
-            out: list[list] = []
-            divided = 0
-            number: dict[str, int] = {}
-            for r in g.sort_values(["page_number", "page_id", "k"]).itertuples(index=False):
-                p = r.part
-                if r.goes_on and out:
-                    out[-1][3] = _joined(out[-1][3], p["text"], divided)
-                else:
-                    number[r.page_id] = number.get(r.page_id, 0) + 1
-                    out.append([r.document_id, r.page_id, number[r.page_id], p["text"]])
-                divided = p["divided"]
-            return pd.DataFrame(out, columns=["document_id", "page_id", "paragraph_index", "text"])
-
-        return each.groupBy("document_id", "block").applyInPandas(
-            join, "document_id STRING, page_id STRING, paragraph_index INT, text STRING"
+        rows = cut(rows.join(_paragraph_begins(rows.withColumn("n", n)), ["document_id", "page_number"], "left"))
+        each = rows.select("document_id", "page_id", "page_number", "row", "goes_on", "root", n.alias("n"), F.posexplode("parts").alias("k", "part"))
+        on = F.col("goes_on") & (F.col("k") == 0)
+        each = each.select(
+            "document_id", "page_id", "page_number",
+            F.when(on, F.col("root.page_id")).otherwise(F.col("page_id")).alias("of_page"),
+            F.when(on, F.col("root.row")).otherwise(F.col("row")).alias("of_row"),
+            F.when(on, F.col("root.k")).otherwise(F.col("k")).alias("of_k"),
+            F.when(on, F.col("root.at")).otherwise(F.col("k") + 1 - F.col("goes_on").cast("int")).alias("paragraph_index"),
+            (on | (F.col("k") == F.col("n") - 1)).alias("edge"), "part.text", "part.divided",
+        )
+        # only what begins or ends a page can be a part of a paragraph over pages; such a one is gathered alone
+        inner = each.filter(~F.col("edge")).select("document_id", F.col("of_page").alias("page_id"), "paragraph_index", "text")
+        edges = each.filter("edge").groupBy("document_id", "of_page", "of_row", "of_k", "paragraph_index").agg(
+            F.array_sort(F.collect_list(F.struct("page_number", "page_id", "text", "divided"))).alias("of")
         )
 
+        @F.pandas_udf("string")
+        def join(of: pd.Series) -> pd.Series:
+            return pd.Series([_all_joined(x) for x in of], dtype=object)
+
+        whole = F.when(F.size("of") == 1, F.col("of")[0].text).otherwise(join(F.when(F.size("of") > 1, F.col("of"))))
+        return inner.unionByName(edges.select("document_id", F.col("of_page").alias("page_id"), "paragraph_index", whole.alias("text")))
+
+
+def _paragraph_begins(rows: DataFrame) -> DataFrame:
+    """(document_id, page_number, root): where the paragraph that may go on on a page begins: page_id, row, k, at.
+
+    That is the last page before on which a paragraph begins and none ends; found in blocks of pages, then over blocks.
+    """
+    begins = (F.col("n") > 1) | ~F.col("goes_on")
+    root = F.struct("page_id", "row", (F.col("n") - 1).alias("k"), (F.col("n") - F.col("goes_on").cast("int")).alias("at"))
+    pages = rows.filter("page_number is not null").groupBy("document_id", "page_number").agg(F.min(F.when(begins, root)).alias("own"))
+    pages = pages.withColumn("block", F.floor(F.col("page_number") / PAGES_PER_BLOCK))
+    earlier = Window.unboundedPreceding, -1
+    inside = Window.partitionBy("document_id", "block").orderBy("page_number")
+    blocks = pages.groupBy("document_id", "block").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("page_number"))).alias("own"))
+    across = Window.partitionBy("document_id").orderBy("block")  # a row for each 4,096 pages
+    blocks = blocks.select("document_id", "block", F.last("own", ignorenulls=True).over(across.rowsBetween(*earlier)).alias("above"))
+    pages = pages.withColumn("root", F.last("own", ignorenulls=True).over(inside.rowsBetween(*earlier)))
+    return pages.join(blocks, ["document_id", "block"]).select("document_id", "page_number", F.coalesce("root", "above").alias("root"))
+
+
+def _all_joined(of: list | None) -> str | None:
+    """The parts of one paragraph in order."""
+    if of is None:
+        return None
+    out, divided = "", None
+    for p in of:
+        out = p["text"] if divided is None else _joined(out, p["text"], divided)
+        divided = p["divided"]
+    return out
+
 
 def _joined(a: str, b: str, divided: int) -> str:
     """Two stretches of a paragraph; ``divided`` as in ``page_parts``."""
