@@ -1,11 +1,16 @@
 """Text decoded with a wrong encoding: finding and restoring it.
 
 A segment of text is the start of a graph whose edges are encode, decode and unescape operations. Best-first
-search expands the cheapest state first; states already seen are known by their hash. The cost of a text is its
-implausibility: for each pair of neighbouring characters that isn't plain ASCII, what kinds of characters meet
-(controls, odd signs inside words, scripts mixed, capitals after small letters) and how rare the pair is in the
-corpus. The pairs are counted over all documents; code points outside the most frequent ones count by their
-kind, so the table is bounded whatever the corpus holds.
+search expands the cheapest state first; states already seen are known by their hash. The search ends by cost
+alone: when the steps to what is left cost more than the best text, or that has nothing odd. Every step costs more than a text
+may cost more than the one before it, so texts on a path become ever more plausible and paths end.
+
+The cost of a text is its implausibility: for each pair of neighbouring characters that isn't plain ASCII, what
+kinds of characters meet (controls, odd signs inside words, scripts mixed, capitals after small letters) and how
+rare the pair is in the corpus; for each question mark inside a word or before one, that of a lost letter, unless it
+stands in an address, or between words that the corpus has. Pairs are counted over all documents. Kept are those whose
+count changes their cost; code points below a share of the corpus count by their kind. Both are shares, so
+the tables are bounded and a corpus ten times as large is judged alike.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import html
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,14 +32,16 @@ from pyspark.sql import functions as F
 
 from ..session import bounded_rows, cut
 
-#: Code points that count by themselves.
-ALPHABET = 1500
+#: Least share of the characters outside ASCII, or of all words, with which a code point or a word counts by itself.
+LEAST_SHARE = 1e-6
 #: What an operation costs, and what a restored text must gain at least.
 STEP, GAIN = 0.6, 2.0
 #: A pair's rarity counts from this many nats on, by this weight, up to this much.
 USUAL, WEIGHT, MOST = 7.0, 0.7, 6.0
-#: States expanded for a segment, and how much more than the start an intermediate text may cost.
-EXPANSIONS, SLACK = 12, 1.0
+#: How much more than the text before it a text may cost; less than the two steps between them.
+SLACK = 1.0
+#: What a character that can't be read costs, and a letter of the thousands of Chinese and Japanese below the least share.
+UNREADABLE, SELDOM = 8.0, 4.0
 #: A segment with a pair that costs more than this is worth a search.
 ODD = 2.2
 
@@ -63,6 +71,9 @@ BEFORE_SMALL = re.compile(r"\?[a-zß-öø-ÿ]")
 ESCAPED = re.compile(r"&#?\w+;|\\u[0-9a-fA-F]{4}|%[0-9A-Fa-f]{2}%|=[0-9A-F]{2}=")
 #: A question mark where a letter was: before a small letter, not after the end of a sentence.
 LOST = re.compile(r"(?:(?<=[^\W\d_])|(?<=[\s(«“„])|^)\?+(?=[a-zß-öø-ÿ])")
+#: What an address has and a word doesn't.
+ADDRESS = r"[/=&@\\]|www\."
+BEFORE, AFTER, IN_ADDRESS = re.compile(r"[^\W\d_]+$"), re.compile(r"[^\W\d_]+"), re.compile(ADDRESS)
 
 
 def _kind(ch: str) -> str:
@@ -141,7 +152,7 @@ def _shape(a: str, b: str) -> float:
     left, right = _place(a), _place(b)
     if b >= "\x80":
         if kind in ("Cc", "Co", "Cn", "Cs") or b == "�":
-            cost += 8.0
+            cost += UNREADABLE
         elif right:
             cost += 1.0 if right == "LATIN" else 0.5 if right != "HALFWIDTH" else 4.0
         else:
@@ -163,9 +174,16 @@ def _shape(a: str, b: str) -> float:
 class Plausibility:
     """Cost of text by the kinds of neighbouring characters and by how often the corpus has them so."""
 
-    def __init__(self, chars: dict[str, int], pairs: dict[str, int]) -> None:
-        self.chars, self.pairs = chars, pairs
-        self.total = max(1, sum(pairs.values()))
+    def __init__(self, chars: dict[str, int], pairs: dict[str, int], total: int | None = None, known: frozenset[str] = frozenset()) -> None:
+        """``total``: all pairs of the corpus, also those left out; ``known``: words that it has also beside a question mark."""
+        self.chars, self.pairs, self.known = chars, pairs, known
+        self.total = max(1, sum(pairs.values()) if total is None else total)
+        self.least = max(1.0, LEAST_SHARE * sum(chars.values()))
+        self.kinds = Counter()  # how often each kind of the code points that don't count by themselves occurs
+        for form, n in pairs.items():
+            b = form.split("\0")[1]
+            if len(b) > 1:
+                self.kinds[b] += n
         self.cost_of: dict[tuple[str, str], float] = {}
         self.words: dict[str, tuple[str, tuple[str, ...]]] = {}
         self.plain = {p for p in (tuple(k.split("\0")) for k in pairs) if len(p[0]) == len(p[1]) == 1 and self.pair(*p) <= ODD}
@@ -176,11 +194,15 @@ class Plausibility:
     def pair(self, a: str, b: str) -> float:
         known = self.cost_of.get((a, b))
         if known is None:
-            n = self.pairs.get(self.symbol(a) + "\0" + self.symbol(b), 0)
+            x, y = self.symbol(a), self.symbol(b)
+            n = self.pairs.get(x + "\0" + y, 0)
+            for kind in (x, y):
+                if len(kind) > 1 and n:  # one of its kind, and has no more than the least share
+                    n *= min(1.0, self.least / max(1, self.kinds[kind]))
             rare = WEIGHT * (-math.log((n + 0.05) / self.total) - USUAL)
             known = _shape(a, b) + min(MOST, max(0.0, rare))
-            if b >= "\u3400" and b not in self.chars and _place(b) == "CJK":
-                known += 4.0
+            if b not in self.chars and _place(b) == "CJK":
+                known += SELDOM
             self.cost_of[a, b] = known
         return known
 
@@ -188,9 +210,30 @@ class Plausibility:
         total = 0.0
         for run in _runs(text):
             total += sum(map(self.pair, run, run[1:]))
+            if "a" <= run[0] <= "z" and "a" <= run[-1] <= "z" and len(run) > 2 and any(_place(c) == "CJK" for c in run):
+                total += UNREADABLE  # a Latin word isn't written with such letters inside
         if ESCAPED.search(text):
             total += 4.0 * sum(html.unescape(m) != m or m[0] != "&" for m in ESCAPED.findall(text))
-        return total
+        return total + self.marks(text)
+
+    def marks(self, text: str) -> float:
+        """Cost of the question marks of ``text`` that stand for letters."""
+        if BEFORE_SMALL.search(text) is None:
+            return 0.0
+        return UNREADABLE * sum(not self._asks(text, m) for m in LOST.finditer(text))
+
+    def _asks(self, text: str, m: re.Match) -> bool:
+        """Whether a question mark before a small letter is one: in an address, or between words of their own."""
+        begin = max(text.rfind(c, 0, m.start()) for c in " \n\t\u00a0") + 1
+        ends = [e for c in " \n\t\u00a0" if (e := text.find(c, m.end())) >= 0]
+        if IN_ADDRESS.search(text, begin, min(ends, default=len(text))):
+            return True
+        before, after = BEFORE.search(text[begin : m.start()]), AFTER.match(text, m.end())
+        return after.group().lower() in self.known and (before.group().lower() in self.known if before else len(after.group()) > 1)
+
+    def lost(self, text: str) -> bool:
+        """Whether characters of ``text`` are lost: it has marks for them that cost too much to be meant."""
+        return "�" in text or self.marks(text) > ODD
 
     def odd(self, text: str) -> bool:
         """Whether ``text`` is implausible enough for a search."""
@@ -231,14 +274,13 @@ def restore(text: str, model: Plausibility, gain: float = GAIN) -> tuple[str, tu
     other = len(OTHER.findall(text))
     heap: list[tuple[float, int, str, tuple[str, ...]]] = [(start, 0, text, ())]
     seen = {hash(text)}
-    order = expanded = 0
-    while heap and expanded < EXPANSIONS:
+    order = 0
+    while heap:
         cost, _, state, path = heapq.heappop(heap)
-        if best_path and (cost > best_cost or not model.odd(best)):
-            break  # what is left costs more than the best already, or the best has nothing odd
-        expanded += 1
-        if len(path) >= 6:
-            continue  # a third round of encode and decode is the last
+        if best_path and not model.odd(best):
+            break
+        if STEP * (len(path) + 1) >= best_cost:
+            continue  # the steps alone cost as much as the best
         for names, new in _steps(state, seen):
             to = (*path, *names)
             price = model.text(new) + STEP * len(to)
@@ -251,7 +293,7 @@ def restore(text: str, model: Plausibility, gain: float = GAIN) -> tuple[str, tu
                 best, best_path, best_cost = new, to, price
                 if utf8 and not model.odd(new):
                     return best, best_path  # nothing is left to be doubted
-            if price <= start + SLACK:
+            if price <= cost + SLACK:
                 order += 1
                 heapq.heappush(heap, (price, order, new, to))
     return best, best_path
@@ -271,7 +313,7 @@ def _word(word: str, model: Plausibility) -> tuple[str, tuple[str, ...]]:
 
 def repair(text: str, model: Plausibility) -> tuple[str, list[str], bool]:
     """Restored text, the distinct operation paths used, and whether characters are lost in ``text``."""
-    lost = "�" in text or (BEFORE_SMALL.search(text) is not None and LOST.search(text) is not None)
+    lost = model.lost(text)
     escaped = any(x in text for x in "&\\%=") and ESCAPED.search(text) is not None
     if not escaped and (text.isascii() or not model.odd(text)):
         return text, [], lost
@@ -298,12 +340,15 @@ def repair(text: str, model: Plausibility) -> tuple[str, list[str], bool]:
     return "\n".join(out), sorted(set(paths)), lost
 
 
-def fit(docs: DataFrame, col: str = "text", alphabet: int = ALPHABET) -> Plausibility:
+def fit(docs: DataFrame, col: str = "text", least_share: float = LEAST_SHARE) -> Plausibility:
     """The plausibility of a corpus, counted over all its texts.
 
-    Collected are at most ``alphabet`` code points and the pairs of them and of the kinds of the rest.
+    Collected are the code points with ``least_share`` of the characters (at most 1 / ``least_share``, and no more than
+    are assigned), the pairs of them and of the kinds of the rest whose count changes what they cost (at most
+    ``exp(USUAL + MOST / WEIGHT)``, some 6 million in theory), and the words beside question marks with that share.
     """
-    texts = docs.select(F.col(col).alias("_t")).filter(F.col("_t").rlike(r"[^\x00-\x7f]"))
+    every = docs.select(F.col(col).alias("_t"))
+    texts = every.filter(F.col("_t").rlike(r"[^\x00-\x7f]"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[tuple[str, str]] = Counter()
@@ -318,8 +363,11 @@ def fit(docs: DataFrame, col: str = "text", alphabet: int = ALPHABET) -> Plausib
 
     # one pass over the texts; what follows is over pairs of code points
     raw = cut(texts.mapInPandas(count, "a STRING, b STRING, n BIGINT").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    chars = raw.filter(F.col("b").rlike(r"[^\x00-\x7f]")).groupBy("b").agg(F.sum("n").alias("n"))
-    top = {r["b"]: r["n"] for r in chars.orderBy(F.desc("n"), "b").limit(alphabet).collect()}
+    foreign = F.col("b").rlike(r"[^\x00-\x7f]")
+    sums = raw.agg(F.sum("n").alias("pairs"), F.sum(F.when(foreign, F.col("n"))).alias("chars")).first()
+    total, least = sums["pairs"] or 0, (sums["chars"] or 0) * least_share
+    chars = raw.filter(foreign).groupBy("b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    top = {r["b"]: r["n"] for r in bounded_rows(chars, 300_000, "code points")}
     top |= {chr(c): 1 for c in range(128)}
     known = frozenset(top)
 
@@ -329,12 +377,36 @@ def fit(docs: DataFrame, col: str = "text", alphabet: int = ALPHABET) -> Plausib
             yield pd.DataFrame({"form": [symbol(x) + "\0" + symbol(y) for x, y in zip(b["a"], b["b"])], "n": b["n"]})
 
     pairs = raw.mapInPandas(symbols, "form STRING, n BIGINT").groupBy("form").agg(F.sum("n").alias("n"))
-    return Plausibility(top, {r["form"]: r["n"] for r in bounded_rows(pairs, (alphabet + 500) ** 2, "pairs")})
+    pairs = pairs.filter(F.col("n") + 0.05 > total * math.exp(-USUAL - MOST / WEIGHT))  # the others cost what an unseen one does
+    found = {r["form"]: r["n"] for r in bounded_rows(pairs, 6_000_000, "pairs")}
+    return Plausibility(top, found, total, _words_beside_marks(every, least_share))
+
+
+def _words_beside_marks(texts: DataFrame, least_share: float) -> frozenset[str]:
+    """The words that stand before or after a question mark without a blank, and more often by themselves."""
+    tokens = F.filter(F.split("_t", r"\s+"), lambda x: x.rlike(r"\?\p{Ll}") & ~x.rlike(ADDRESS))
+    asked = texts.filter(F.col("_t").rlike(r"\?\p{Ll}")).select(F.explode(tokens).alias("_x"))
+    sides = F.concat(F.regexp_extract_all("_x", F.lit(r"(\p{L}+)\?+(?=\p{Ll})"), F.lit(1)), F.regexp_extract_all("_x", F.lit(r"\?+(\p{Ll}\p{L}*)"), F.lit(1)))
+    asked = cut(asked.select(F.explode(sides).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("beside")))
+    if asked.isEmpty():
+        return frozenset()
+    own = texts.select(F.explode(F.regexp_extract_all(F.lower("_t"), F.lit(r"(?<![\p{L}?])\p{L}+(?![\p{L}?])"), F.lit(0))).alias("word"))
+    counts = cut(own.groupBy("word").agg(F.count("*").alias("n")))
+    least = (counts.agg(F.sum("n")).first()[0] or 0) * least_share
+    usual = counts.join(asked, "word").filter((F.col("n") >= F.greatest(F.lit(3), F.col("beside"))) & (F.col("n") >= least))
+    return frozenset(r["word"] for r in bounded_rows(usual.select("word"), 1_000_000, "words"))
+
+
+_MODELS: dict[str, Plausibility] = {}
 
 
-@lru_cache(maxsize=2)
-def _model(state: tuple) -> Plausibility:
-    return Plausibility(dict(state[0]), dict(state[1]))
+def _model(name: str, state: tuple) -> Plausibility:
+    """The model of a name, built once in a worker."""
+    if name not in _MODELS:
+        if len(_MODELS) > 1:
+            _MODELS.clear()
+        _MODELS[name] = Plausibility(*state)
+    return _MODELS[name]
 
 
 def repair_documents(docs: DataFrame, model: Plausibility, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,11 +416,12 @@ def repair_documents(docs: DataFrame, model: Plausibility, id_col: str = "doc_id
     were lost in it. Null and empty texts stay as they are and are not garbled; repeated rows stay; other columns
     aren't read. Python gets null in place of texts without any suspicious character.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((tuple(model.chars.items()), tuple(model.pairs.items())))
+    shared = docs.sparkSession.sparkContext.broadcast((model.chars, model.pairs, model.total, model.known))
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("restored STRING, operations ARRAY<STRING>, lost BOOLEAN")
     def run(text: pd.Series) -> pd.DataFrame:
-        m = _model(shared.value)
+        m = _model(name, shared.value)
         rows = [(None, [], False) if t is None else repair(t, m) for t in text]
         return pd.DataFrame({"restored": [r[0] for r in rows], "operations": [r[1] for r in rows], "lost": [r[2] for r in rows]})
 

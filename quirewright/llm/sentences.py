@@ -1,17 +1,19 @@
 """Sentence units by cascading tables of break and no-break rules.
 
-Candidate positions follow a run of terminators with its closing quotes and blanks. For each candidate the
-tables of the cascade are read in order: that of the language around it, that of its script, the default. A
-rule is a pair of regular expressions, one for the text that ends at the candidate and one for the text that
-begins there; the first rule whose both sides match decides whether a unit ends. Where no rule matches, none
-does. Offsets are code points of the stored text; matching is done on a form without invisible characters and
-width variants that keeps a map to them.
+Candidate positions follow a run of terminators with its closing quotes and blanks, in Thai and Lao, which have no
+terminators, a blank between letters. For each candidate the tables of the cascade are read in order: that of the
+language around it, that of its script, the default. A rule is a pair of regular expressions, one for the text that
+ends at the candidate and one for the text that begins there; the first rule whose both sides match decides whether
+a unit ends. Where no rule matches, none does. Both sides see the whole text. The language is that of the function
+words and letters around the candidate; each counts the less the farther it stands, and all count. Offsets are code
+points of the stored text; matching is done on a form without invisible characters and width variants that keeps a
+map to them.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
-from bisect import bisect_right
 from functools import lru_cache
 
 import pandas as pd
@@ -55,8 +57,14 @@ TABLES = {
     ),
     "hi": ((False, rf"(?<![\p{{L}}\p{{M}}])(?:{HI_TITLES})\.$", r"."),),
     "ar": ((False, rf"(?<![\p{{L}}\p{{M}}])(?:{AR_TITLES})\.$", r"."),),
+    "el": ((False, r"(?<!\w)(?:κ|κα|δρ|αρ|σελ|βλ|π\.χ|δηλ|κεφ|αι)\.$", r"[\p{Greek}\d]"),),
+    "th": (
+        (False, r"(?<=[ๆຯ])$", r"."),
+        (False, r"", r"(?:[ๆฯຯ]|และ|หรือ|แต่|ที่|ซึ่ง|โดย|เพราะ|ແລະ|ຫຼື)"),
+        (False, r"(?:และ|หรือ|แต่|ที่|ซึ่ง|โดย|ແລະ|ຫຼື)$", r"."),
+        (True, r"[\p{Thai}\p{Lao}]\p{M}*$", r"[\p{Thai}\p{Lao}]"),
+    ),
     "latin": (
-        (False, r"^(?:r|of|rof|f|a|ra)\.$", r"\p{Lu}"),
         (False, rf"(?<![\w.])(?:{TITLES})\.$", r"[\p{Lu}\d]"),
         (False, rf"(?<![\w.])(?:{BEFORE_NUMBER})\.$", r"[\d(]"),
         (False, rf"(?<![\w.])(?:{NEVER_LAST})\.$", r"."),
@@ -72,7 +80,8 @@ TABLES = {
         (False, r"[!?！？。؟｡]\s?[」』”’»)）]+$", rf"(?:\p{{Lo}}|[\p{{P}}--{OPEN}])"),
         (False, r"[。！？｡]\s?[」』”’)）]+$", r"[^「『“\n]"),
         (False, r"[.!?…][^\p{L}\p{N}]*$", r"\p{Ll}"),
-        (True, r"[。！？｡।॥።፧؟۔]\p{P}*$", r"."),
+        (True, r"[。！？｡।॥።፧؟۔։။។៕།༎᠃᠉꧉᭟]\p{P}*$", r"."),
+        (True, r"\p{Greek}\p{M}*;$", rf"(?:\p{{Lu}}|{OPEN})"),
         (True, r"[!?…]\s?[\p{P}]*$", r"."),
         (True, r"\p{L}\p{M}*\p{L}\p{M}*\.\s?[\p{P}]*$", r"\d"),
         (True, r"\.\s?\p{P}*$", rf"(?:[\p{{Lu}}\p{{Lt}}\p{{Lo}}]|{OPEN})"),
@@ -89,38 +98,41 @@ CASCADE = {
     "ru": ("ru", "default"),
     "hi": ("hi", "default"),
     "ar": ("ar", "default"),
+    "el": ("el", "default"),
+    "th": ("th", "default"),
     "": ("latin", "default"),
 }
 
-# Frequent function words of the languages in Latin script.
+# The most frequent function words of the languages in Latin script.
 WORDS = {
-    "en": "the and of was that which by is were be with for not",
-    "de": "der die das und wurde ist wie nach dem den vor nicht am lautet worden bleibt",
-    "fr": "le les du des et est la pour que dans été avait avec ne",
-    "es": "el los del y por que una fue está para con ya la",
-    "pt": "o os do da e não foi por que uma em para já",
+    "en": "the of and to in is that was which by are were be with for not his her they this it as from at an has had have or but its",
+    "de": "der die das und den dem des ein eine ist war wurde nicht mit von zu auf für im sich als auch es an bei nach aus wie vor wird sind",
+    "fr": "le la les des du et est que qui dans pour une un sur par pas avec ne se au ce il elle été sont aux ou plus mais",
+    "es": "el la los las de del y que en un una por con para se no es su al lo como más fue ya está pero sus",
+    "pt": "o a os as do da dos das e que em um uma por com para não se no na ao mais foi é como mas seu sua já",
 }
 VOTES = {w: [k for k, x in WORDS.items() if w in x.split()] for v in WORDS.values() for w in v.split()}
+VOTE = regex.compile(r"\b(?:" + "|".join(sorted(VOTES, key=len, reverse=True)) + r")\b", regex.I)
+#: Characters over which what a word or letter says of the language falls to a third.
+REACH = 300
 
 CANDIDATE = regex.compile(
-    r"(?:[.!?…]+(?:[\"'“”’»)\]]|\s?»)*|[।॥።፧؟۔][\"'”’»)\]]*)(?:(\s+)|$)"
+    r"(?:[.!?…]+(?:[\"'“”’»\)\]]|\s?»)*|(?:[।॥።፧؟۔։။។៕།༎᠃᠉꧉᭟]+|(?<=\p{Greek}\p{M}*);)[\"'”’»\)\]]*)(?:(\s+)|$)"
     r"|[。！？｡]+(?:\s?[」』”’）)])*(\s*)"
+    r"|(?<=[\p{Thai}\p{Lao}]\p{M}*)(\p{Zs}+)(?=[\p{Thai}\p{Lao}])"
+)
+NONE = regex.compile(r"[\p{Cf}\p{Zs}\p{Block=Halfwidth and Fullwidth Forms}\p{Block=Mathematical Alphanumeric Symbols};--[ ，。！？、：；（）]]", regex.V1)
+OTHER = regex.compile(r"[\p{Devanagari}\p{Arabic}\p{Cyrillic}\p{Greek}\p{Thai}\p{Lao}]")
+LETTERS = regex.compile(
+    r"(?P<hi>\p{Devanagari}+)|(?P<ar>\p{Arabic}+)|(?P<ru>\p{Cyrillic}+)|(?P<el>\p{Greek}+)|(?P<th>[\p{Thai}\p{Lao}]+)|(?P<latin>\p{Latin}+)"
 )
-WINDOW, MARGIN = 600, 150
-NONE = regex.compile(r"[\p{Cf}\p{Zs}\p{Block=Halfwidth and Fullwidth Forms}\p{Block=Mathematical Alphanumeric Symbols}--[ ，。！？、：；（）]]", regex.V1)
-SCRIPTS = {
-    "hi": regex.compile(r"\p{Devanagari}"),
-    "ar": regex.compile(r"\p{Arabic}"),
-    "ru": regex.compile(r"\p{Cyrillic}"),
-}
-LATIN = regex.compile(r"\p{Latin}")
-LATIN_WORD = regex.compile(r"[a-zß-öø-ÿ]+")
 
 
 @lru_cache(maxsize=None)
 def _rules(language: str) -> tuple:
+    """(decides, pattern that is matched where the text before a candidate ends)."""
     return tuple(
-        (decides, regex.compile(before, regex.V1), regex.compile(after, regex.V1))
+        (decides, regex.compile((f"(?<={before.removesuffix('$')})" if before else "") + rf"\s*+(?:{after})", regex.V1))
         for name in CASCADE[language]
         for decides, before, after in TABLES[name]
     )
@@ -146,20 +158,36 @@ def _plain(text: str) -> tuple[str, list[int] | None]:
     return "".join(out), at
 
 
-def language(text: str) -> str:
-    """The language whose rules hold for a stretch of text; "" where only script tells nothing."""
-    if not text.isascii():
-        other = [k for k, p in SCRIPTS.items() if p.search(text)]
-        if other:
-            counts = {k: len(SCRIPTS[k].findall(text)) for k in other} | {"": len(LATIN.findall(text))}
-            best = max(counts, key=counts.get)
-            if best:
-                return best
-    votes: dict[str, int] = {}
-    for w in LATIN_WORD.findall(text.lower()):
-        for k in VOTES.get(w, ()):
-            votes[k] = votes.get(k, 0) + 1
-    return max(votes, key=votes.get) if votes else ""
+def _sums(said: list[tuple[int, str, float]], places: list[int]) -> list[dict[str, float]]:
+    """What is said for each name at each place, by all of ``said`` (position, name, weight) on both sides of it."""
+    out: list[dict[str, float]] = [{} for _ in places]
+    for forward in (True, False):
+        sums: dict[str, float] = {}
+        last, k = 0, 0
+        ordered = said if forward else said[::-1]
+        for n in range(len(places)) if forward else range(len(places) - 1, -1, -1):
+            at = places[n]
+            while k < len(ordered) and (ordered[k][0] < at if forward else ordered[k][0] >= at):
+                where, name, weight = ordered[k]
+                faded = math.exp(-abs(where - last) / REACH)
+                sums = {x: v * faded for x, v in sums.items()}
+                sums[name] = sums.get(name, 0.0) + weight
+                last, k = where, k + 1
+            faded = math.exp(-abs(at - last) / REACH)
+            for x, v in sums.items():
+                out[n][x] = out[n].get(x, 0.0) + v * faded
+    return out
+
+
+def languages(text: str, places: list[int]) -> list[str]:
+    """The language whose rules hold at each place of a text; "" where only Latin letters or others are around."""
+    votes = [(m.start(), k, 1.0) for m in VOTE.finditer(text) for k in VOTES.get(m.group().lower(), ())]
+    found = [max(s, key=s.get) if s else "" for s in _sums(votes, places)]
+    if OTHER.search(text):
+        letters = [(m.start(), m.lastgroup, float(len(m.group()))) for m in LETTERS.finditer(text)]
+        scripts = [max(s, key=s.get) if s else "latin" for s in _sums(letters, places)]
+        found = [own if script == "latin" else script for own, script in zip(found, scripts)]
+    return found
 
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:
@@ -167,21 +195,16 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     if not text or text.isspace():
         return []
     form, at = _plain(text)
-    known: dict[int, str] = {}
     starts = [0]
+    places = []
     for m in CANDIDATE.finditer(form):
         end = m.end()
-        if end >= len(form):
-            break
-        blank = m.group(1) or m.group(2) or ""
-        stop = end - len(blank)
-        block = stop // WINDOW
-        if block not in known:
-            known[block] = language(form[max(0, block * WINDOW - MARGIN) : (block + 1) * WINDOW + MARGIN])
-        before = form[max(0, stop - 40) : stop]
-        after = form[end : end + 20]
-        for decides, left, right in _rules(known[block]):
-            if right.match(after) and left.search(before):
+        if end < len(form):
+            blank = m.group(1) or m.group(2) or m.group(3) or ""
+            places.append((end - len(blank), end))
+    for (stop, end), name in zip(places, languages(form, [p[0] for p in places]) if places else ()):
+        for decides, rule in _rules(name):
+            if rule.match(form, stop):
                 if decides:
                     starts.append(end)
                 break

@@ -82,3 +82,29 @@ def test_table(spark):
     assert {r.restored for r in out.filter("doc_id in (901, 902)").collect()} == {None, ""}
     empty = spark.createDataFrame([], "doc_id BIGINT, text STRING")
     assert mojibake.repair_documents(empty, mojibake.fit(empty)).count() == 0
+
+
+def test_question_marks_that_are_none(spark):
+    words = "really no way the page is unknown but cost and item here naive"
+    rows = [(i, t) for i, t in enumerate(CLEAN * 10 + [words] * 40 + ["see https://x.org/a?page=2 and www.y.org?item", "really?no way", "the cost ?unknown here"])]
+    rows += [(1000, "G?nther asked"), (1001, "die T?r f?r uns"), (1002, "(?ber das"), (1003, "a \ufffd b")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    model = mojibake.fit(docs)
+    got = {r.doc_id for r in mojibake.repair_documents(docs, model).filter("garbled").collect()}
+    assert got == {1000, 1001, 1002, 1003}
+
+
+def test_search_ends_by_cost_alone(model):
+    text = CLEAN[0]
+    for _ in range(4):
+        text = text.encode("utf-8").decode("latin-1")
+    assert mojibake.repair(text, model)[0] == CLEAN[0]
+    odd = "".join(chr(0x80 + k * 37 % 2000) for k in range(3000))
+    mojibake.repair(odd, model)
+
+
+def test_what_is_kept_changes_a_cost(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(CLEAN * 20)], "doc_id BIGINT, text STRING")
+    model = mojibake.fit(docs)
+    pruned = mojibake.Plausibility(model.chars, {k: n for k, n in model.pairs.items() if n > 5}, model.total, model.known)
+    assert model.total == sum(model.pairs.values()) and pruned.total == model.total

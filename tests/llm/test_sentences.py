@@ -59,3 +59,36 @@ def test_table(spark):
     got = sorted((r.id, r.sentence_index, r.sentence_start, r.sentence_end, r.sentence) for r in out.collect())
     assert got == sorted([("a", 1, 0, 4, "One."), ("a", 2, 5, 9, "Two.")] * 2)
     assert sentences.split_sentences(spark.createDataFrame([], "text STRING")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "expected",
+    [
+        ["Ինչո՞ւ եկար։", "Նա չգիտի։"],
+        ["Πού είναι η γέφυρα;", "Ο δρ. Παππάς δεν ξέρει.", "Είναι 5 μ. περίπου."],
+        ["ကျွန်တော် သွားမယ်။", "သူ မသွားဘူး။"],
+        ["ខ្ញុំទៅផ្សារ។", "គាត់មិនទៅទេ។"],
+        ["བཀྲ་ཤིས།", "བདེ་ལེགས།"],
+        ["ฉันไปตลาด", "เขาไม่ไป"],
+        ["ຂ້ອຍໄປຕະຫຼາດ", "ລາວບໍ່ໄປ"],
+        ["یہ کتاب ہے۔", "وہ نہیں آیا۔"],
+    ],
+)
+def test_other_scripts(expected):
+    assert units(" ".join(expected)) == expected
+
+
+def test_thai_blanks_inside_sentences():
+    assert units("เขาวิ่งเร็ว ๆ ทุกวัน") == ["เขาวิ่งเร็ว ๆ ทุกวัน"] and units("มา 3 คน และ กลับ") == ["มา 3 คน และ กลับ"]
+
+
+def test_rules_see_the_whole_text():
+    filler = "»" * 60
+    assert units(f"Nobody came.{filler} Next one.") == [f"Nobody came.{filler}", "Next one."]
+    assert units("of. Next we go.") == ["of.", "Next we go."]
+
+
+def test_languages_change_inside_a_text():
+    german, english = "Der Bau kam am 5. Dezember und das ist nicht der 12. Oktober für die Stadt. ", "It was in the year of the 15. The house is by the river and that was it. "
+    got = units(german * 12 + english * 12)
+    assert got.count(german.strip()) == 12 and got.count("It was in the year of the 15.") >= 11
