@@ -4,12 +4,15 @@ Every code point and base-with-marks string of the corpus is counted. Relations
 presentation variants; split and whole letters; letters of different scripts that look alike) are joined by
 union-find, so classes are transitive. The representative of a class in a script is its most frequent member
 there. A multi-pattern automaton finds members that are not the usual ones, longest match first, and rewrites
-them; the word and its neighbours tell in which script a letter stands.
+them; the word and its neighbours tell in which script its letters should stand, and the automaton of that script
+rewrites those of others.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -22,10 +25,10 @@ from pyspark.sql import functions as F
 
 from ..session import bounded_rows
 
-# Letters of three scripts that look alike, one group a word.
+# Letters of Latin, Cyrillic, Greek, Armenian and Cherokee that look alike, one group a word.
 ALIKE = (
-    "aаα AАΑ BВΒ cсϲ CСϹ dԁ eе EЕΕ FϜ gɡ hһ HНΗ iіι IІΙ jјϳ JЈͿ kкκ KКΚ lӏ MМΜ NΝ oоο OОΟ pрρ PРΡ qԛ sѕ SЅ TТΤ "
-    "uυ vѵν wԝ WԜ xхχ XХΧ yуγ YУΥ ZΖ"
+    "aаα AАΑᎪ BВΒᏴ cсϲ CСϹᏟ dԁ DᎠ eе EЕΕᎬ FϜ gɡց GᏀ hһհ HНΗᎻ iіι IІΙ jјϳ JЈͿᎫ kкκ KКΚᏦ lӏ LԼᏞ MМΜᎷ nո NΝ oоοօ OОΟՕ pрρ PРΡᏢ qԛզ RᎡ sѕ "
+    "SЅՏᏚ TТΤᎢ uυս UՍ vѵν VᏙ wԝ WԜᎳ xхχ XХΧ yуγ YУΥ ZΖᏃ"
 ).split()
 # Arabic letters written in two ways, the Persian one first.
 ARABIC = ("یي", "کك", "ہه")
@@ -43,8 +46,12 @@ LETTER = {
     "Cyrillic": regex.compile(r"\p{Cyrillic}"),
     "Greek": regex.compile(r"\p{Greek}"),
     "Arabic": regex.compile(r"\p{Arabic}"),
+    "Armenian": regex.compile(r"\p{Armenian}"),
+    "Cherokee": regex.compile(r"\p{Cherokee}"),
 }
-CROSSING = ("Latin", "Cyrillic", "Greek")
+CROSSING = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
+#: Texts without anything unusual.
+PLAIN = re.compile(r"[\n\x20-\x7e]*\Z")
 TAGS = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<compat>")
 
 
@@ -123,7 +130,11 @@ def build_classes(counts: dict[str, int]) -> Classes:
 
 
 def count_forms(texts: DataFrame, col: str) -> DataFrame:
-    """(form, n): how often each code point and each base with marks that has a whole form occurs."""
+    """(form, n): how often each code point and each base with marks that has a whole form occurs.
+
+    Of a base with more marks than a whole form has, what its first mark makes whole is counted, so there are no more forms
+    than code points and decompositions, whatever the texts.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -133,7 +144,7 @@ def count_forms(texts: DataFrame, col: str) -> DataFrame:
                 for s in LIGATED:
                     n[s] += t.count(s)
                 if not t.isascii():
-                    n.update(s for s in MARKS.findall(t) if len(unicodedata.normalize("NFKC", s)) < len(s))
+                    n.update(s for m in MARKS.findall(t) for s in {m, m[:2]} if len(unicodedata.normalize("NFKC", s)) == 1)
             yield pd.DataFrame([(s, k) for s, k in n.items() if k], columns=["form", "n"])
 
     only = texts.select(F.col(col).alias("_t")).filter("_t is not null")
@@ -186,6 +197,14 @@ class Rewriter:
         if len(self.automaton):
             self.automaton.make_automaton()
         self.odd = set("".join(self.usual)) | self.spaces | self.hidden
+        self.into = {}  # script -> automaton of the letters of others that have a fellow there
+        for name in CROSSING:
+            foreign = {s: reach[name] for s, reach in self.across.items() if name in reach and script(s[0]) != name}
+            self.into[name] = ahocorasick.Automaton()
+            for s, best in foreign.items():
+                self.into[name].add_word(s, (len(s), best))
+            if foreign:
+                self.into[name].make_automaton()
         self.crossing = {s: script(s) for s in counts if len(s) == 1 and script(s) in CROSSING}
         self.persian = {g[1]: g[0] for g in ARABIC[:2]}
 
@@ -214,6 +233,24 @@ class Rewriter:
             done = end + 1
         return "".join(out) + text[done:]
 
+    def _stacked(self, text: str) -> str:
+        """Marks in one order, and whole as far as there is a whole form, on letters with several of them."""
+        out, done = [], 0
+        for m in MARKS.finditer(text):
+            if m.end() - m.start() > 2:
+                new = unicodedata.normalize("NFC", m.group())
+                out += (text[done : m.start()], self.usual.get(new, new))
+                done = m.end()
+        return "".join(out) + text[done:]
+
+    def _across(self, word: str, name: str) -> str:
+        """``word`` with the letters of other scripts replaced by their fellows in script ``name``."""
+        out, done = [], 0
+        for end, (size, best) in self.into[name].iter_long(word):
+            out += (word[done : end - size + 1], best)
+            done = end + 1
+        return "".join(out) + word[done:]
+
     def _words(self, text: str) -> str:
         """Letters of another script replaced in the words they stand in."""
         words = [(m.start(), m.group()) for m in WORD.finditer(text)]
@@ -242,8 +279,7 @@ class Rewriter:
                 if not foreign:
                     break
                 if all(script_ in self.across.get(c, ()) for c in foreign):
-                    new = "".join(self.across[c][script_] if self.crossing.get(c, script_) != script_ else c for c in w)
-                    out += (text[done:at], new)
+                    out += (text[done:at], self._across(w, script_))
                     done = at + len(w)
                     break
         return "".join(out) + text[done:]
@@ -262,17 +298,19 @@ class Rewriter:
         return same if same in CROSSING else ""
 
     def rewrite(self, text: str | None) -> str | None:
-        if not text or text.isascii() and "\t" not in text:
+        if not text or PLAIN.match(text):
             return text
-        for _ in range(3):  # what one step brings together may be odd again
-            before, chars = text, set(text)
+        seen = set()
+        while hash(text) not in seen:  # what one step brings together may be odd again
+            seen.add(hash(text))
+            chars = set(text)
             if chars & self.odd:
                 text = self._plain(text)
                 chars = set(text)
             if len({self.crossing[c] for c in chars if c in self.crossing}) > 1:
                 text = self._words(text)
-            if text == before:
-                break
+            if not text.isascii():
+                text = self._stacked(text)
         chars = set(text)
         if chars & PERSIAN and chars & set(self.persian) and sum(map(text.count, PERSIAN)) > 2 * sum(map(text.count, "يكةى")):
             for arabic, persian in self.persian.items():
@@ -302,11 +340,12 @@ def normalize(df: DataFrame, rewriter: Rewriter, cols: Iterable[str] = ("text",)
     Null stays null, empty stays empty; repeated rows stay; texts without any unusual character stay as they
     are. A column of an added name is replaced. Python gets null in place of plain ASCII texts.
     """
-    shared = df.sparkSession.sparkContext.broadcast(tuple(sorted(rewriter.counts.items())))  # bounded by the assigned code points
+    shared = df.sparkSession.sparkContext.broadcast(rewriter.counts)  # bounded by the assigned code points
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def form(text: pd.Series) -> pd.Series:
-        r = _restore(shared.value)
+        r = _restore(name, shared.value)
         return pd.Series([r.rewrite(t) for t in text], dtype=object)
 
     for c in cols:
@@ -315,9 +354,16 @@ def normalize(df: DataFrame, rewriter: Rewriter, cols: Iterable[str] = ("text",)
     return df
 
 
-@lru_cache(maxsize=4)
-def _restore(state: tuple) -> Rewriter:
-    return Rewriter(dict(state))
+_REWRITERS: dict[str, Rewriter] = {}
+
+
+def _restore(name: str, counts: dict[str, int]) -> Rewriter:
+    """The rewriter of a name, built once in a worker."""
+    if name not in _REWRITERS:
+        if len(_REWRITERS) > 3:
+            _REWRITERS.clear()
+        _REWRITERS[name] = Rewriter(counts)
+    return _REWRITERS[name]
 
 
 def evidence_values(page_text: DataFrame, queries: DataFrame, answers: DataFrame) -> DataFrame:

@@ -1,16 +1,17 @@
 """Filling fixed-capacity containers: conflict-constrained best fit, largest items first.
 
-Items are dealt to groups of a bounded size by a hash of their place in the scan, so no source, key or cluster
-of copies can make one group large. Each group is packed on its own. Bins are kept ordered by residual
-capacity, and every bin carries two bitmaps: the sources and the clusters of equal texts it holds. For an item
-the successor search starts at the smallest residual that is large enough and goes on until a bin is found
-that holds no copy of the item and no source that must be kept apart from its source: the tightest compatible
-bin. Only ids and sizes are shuffled, never texts.
+Items are dealt to groups of a bounded size by a hash of their id, text and number among equal rows, so no source,
+key or cluster of copies can make one group large, and a scan that is repeated or read in other parts gives the same
+groups. Each group is packed on its own. Every bin carries two bitmaps: the sources and the clusters of copies it
+holds. Bins are kept ordered by residual capacity, those with the same sources that matter in one order, so orders
+with a source that must be kept apart from the item's are passed over as a whole. In the others the successor search
+starts at the smallest residual that is large enough and goes on until a bin is found that holds no copy of the
+item; the tightest of these bins takes it. Only ids and sizes are shuffled, never texts.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterable, Sequence
 from math import ceil
@@ -23,6 +24,8 @@ from ..session import bounded_rows
 
 #: Items packed together; the loss is about one container of each size a group.
 ROWS_PER_GROUP = 20_000
+#: Equal rows that one task makes items of.
+COPIES = 10_000
 
 
 def best_fit(
@@ -41,6 +44,7 @@ def best_fit(
     many = Counter(clusters)
     bit = {c: k for k, c in enumerate(c for c, n in many.items() if n > 1)}
     placed: list[tuple[int, int, int, int, int]] = []
+    holds: dict[int, tuple[int, int]] = {}  # bin -> bitmaps of sources and clusters
     rest: list[tuple[int, int, int, int, int]] = []  # -size, cluster, item, piece, start
     empty: list[int] = []
     bins = 0
@@ -51,43 +55,59 @@ def best_fit(
         piece = start = 0
         while size - start > capacity:
             placed.append((i, piece, start, capacity, bins))
+            holds[bins] = (1 << sources[i] if sources[i] >= 0 else 0, 0)
             bins, piece, start = bins + 1, piece + 1, start + capacity
         rest.append((start - size, clusters[i], i, piece, start))
     rest.sort()
-    open_: list[int] = []  # residual << 32 | bin
-    holds: dict[int, tuple[int, int]] = {}  # bin -> bitmaps of sources and clusters
-    last, after = None, -1
+    matter = 0
+    for bitmap in apart.values():
+        matter |= bitmap
+    orders: dict[int, list[int]] = {}  # bitmap of the sources that matter -> residual << 32 | bin, in order
+    last, after = None, {}
     for minus, cluster, i, piece, start in rest:
         size = -minus
         source = sources[i]
         own = 1 << bit[cluster] if cluster in bit else 0
         bad = apart.get(source, 0)
-        # copies follow one another: bins before the last one found were incompatible and still are
-        same = (cluster, size, source) == last
-        at = bisect_right(open_, after) if same else bisect_left(open_, size << 32)
-        found = -1
-        while at < len(open_):
-            b = open_[at] & 0xFFFFFFFF
-            s, c = holds[b]
-            if not c & own and not s & bad:
-                found, residual = b, open_[at] >> 32
-                after = open_[at]
-                del open_[at]
-                break
-            at += 1
-        if found < 0:
+        if (cluster, size, source) != last:
+            last, after = (cluster, size, source), {}
+        best = None
+        for sign, order in orders.items():
+            if sign & bad:
+                continue
+            # copies follow one another: bins before the last one looked at hold a copy and still do
+            at = bisect_left(order, max(size << 32, after.get(sign, 0)))
+            while own and at < len(order) and holds[order[at] & 0xFFFFFFFF][1] & own:
+                at += 1
+            if own:
+                after[sign] = order[at] if at < len(order) else capacity + 1 << 32
+            if at < len(order) and (best is None or order[at] < best[0]):
+                best = order[at], sign, at
+        if best is None:
             found, residual = bins, capacity
             bins += 1
             holds[found] = (0, 0)
-            after = capacity + 1 << 32
-        last = (cluster, size, source)
+        else:
+            found, residual = best[0] & 0xFFFFFFFF, best[0] >> 32
+            del orders[best[1]][best[2]]
         s, c = holds[found]
-        holds[found] = (s | (1 << source if source >= 0 else 0), c | own)
+        s |= 1 << source if source >= 0 else 0
+        holds[found] = (s, c | own)
         placed.append((i, piece, start, size, found))
         if residual > size:
-            insort(open_, (residual - size) << 32 | found)
-    fullest = placed[-1][4] if placed else 0
-    placed.extend((i, 0, 0, 0, fullest) for i in empty)
+            insort(orders.setdefault(s & matter, []), (residual - size) << 32 | found)
+    # empty items need no room, only a bin without a source that is kept apart from theirs
+    where: dict[int, int] = {}
+    for i in empty:
+        source = sources[i]
+        if source not in where:
+            bad = apart.get(source, 0)
+            b = next((b for b in range(bins - 1, -1, -1) if not holds.get(b, (0, 0))[0] & bad), bins)
+            bins = max(bins, b + 1)
+            s, c = holds.get(b, (0, 0))
+            holds[b] = (s | (1 << source if source >= 0 else 0), c)
+            where[source] = b
+        placed.append((i, 0, 0, 0, where[source]))
     return placed
 
 
@@ -98,6 +118,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    cluster_col: str | None = None,
     keep_apart: Iterable[tuple[str, str]] = (),
     rows_per_group: int = ROWS_PER_GROUP,
 ) -> DataFrame:
@@ -105,7 +126,8 @@ def pack(
 
     Result (setting_id, capacity_tokens, container_id, ``id_col``, source, piece, pieces, token_start, tokens):
     one row for each piece; ``pieces`` is 1 unless the item alone exceeds the capacity, then all but the last
-    are full. Size is in tokens, one for each UTF-8 byte. Copies (equal texts) never share a container, nor do
+    are full. Size is in tokens, one for each UTF-8 byte. Copies never share a container: items of one ``cluster_col``, as
+    a near-duplicate detection gives, or, where it is null or not given, of equal texts. Nor do
     sources of a pair in ``keep_apart``. Null texts count as empty; empty items take no room and join a
     container of their group. Each input row is an item, also a repeated row or one with a null id; null
     sources conflict with none. Settings with a null or non-positive capacity give no containers. Other columns
@@ -122,16 +144,27 @@ def pack(
         apart[bits[b]] = apart.get(bits[b], 0) | 1 << bits[a]
     groups = max(1, ceil(items.select(id_col).count() / rows_per_group))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    narrow = items.select(
+    equal = F.xxhash64(text)
+    cluster = equal if cluster_col is None else F.when(F.col(cluster_col).isNull(), equal).otherwise(F.xxhash64(F.lit("cluster"), F.col(cluster_col)))
+    keys = ["_id", "_size", "_cluster", "_text", "_source"]
+    rows = items.select(
         F.col(id_col).alias("_id"),
         F.octet_length(text).alias("_size"),
-        F.xxhash64(text).alias("_cluster"),
+        cluster.alias("_cluster"),
+        equal.alias("_text"),
         F.lower(F.trim(F.col(source_col))).alias("_source"),
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("_group"),
+    ).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    # each of equal rows is an item; very many of them are made in several tasks
+    few = rows.filter(F.col("_rows") <= COPIES).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_rows"))))
+    blocks = rows.filter(F.col("_rows") > COPIES).withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_rows") - 1) / COPIES))))
+    many = blocks.repartition("_id", "_text", "_block").withColumn(
+        "_copy", F.explode(F.sequence(F.col("_block") * COPIES + 1, F.least(F.col("_rows"), (F.col("_block") + 1) * COPIES)))
     )
+    narrow = few.unionByName(many.drop("_block")).drop("_rows").withColumn("_group", F.pmod(F.xxhash64(*keys, "_copy"), F.lit(groups)))
     id_type = items.schema[id_col].dataType.simpleString()
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["_text", "_id", "_source", "_copy"])  # the same whatever came first
         codes, known = pd.factorize(g["_source"])
         places = {k: bits.get(x, len(bits) + k) for k, x in enumerate(known)}
         sources = [places.get(c, -1) for c in codes]

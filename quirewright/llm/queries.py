@@ -78,6 +78,24 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir))
 
 
+#: Pairs of sources that ``p6_apart`` keeps out of one another's containers.
+APART = (("scan_archive", "letters"), ("scan_archive", "minutes"), ("manuals", "catalogue"))
+
+
+def p6_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of each setting that hold both sources of a pair which is kept apart."""
+    placed = packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_settings"), keep_apart=APART)
+    both = [F.count_if(F.array_contains("sources", a) & F.array_contains("sources", b)).alias(f"{a}_{b}") for a, b in APART]
+    return packing.containers(placed).groupBy("setting_id").agg(*both)
+
+
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was placed in each setting."""
+    return _packed(spark, sf_dir).groupBy("setting_id").agg(
+        F.count_if(F.col("piece") == 0).alias("items"), F.count("*").alias("all_pieces"), F.sum("tokens").alias("tokens")
+    )
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
     return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -117,7 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_paragraphs, p2_found, p2_forms, p2_classes, p3_found, p3_pieces, p5_found, p5_sentences, p6_found,
-        p6_placements, p6_fill, p7_found, p7_mixture, p7_shares, p7_deviation, p8_found, p8_restored,
+        p6_placements, p6_fill, p6_apart, p6_totals, p7_found, p7_mixture, p7_shares, p7_deviation, p8_found, p8_restored,
     )
 }
 
@@ -143,6 +161,12 @@ SQL: dict[str, str] = {
         SELECT s.setting_id, d.doc_id
         FROM documents d JOIN container_settings s ON strlen(d.text) > s.capacity_tokens
     """,
+    "p6_apart": "SELECT setting_id, " + ", ".join(f"0 AS {a}_{b}" for a, b in APART) + " FROM container_settings",
+    "p6_totals": """
+        SELECT s.setting_id, count(*) AS items, CAST(sum(greatest(1, ceil(coalesce(strlen(d.text), 0) / s.capacity_tokens))) AS BIGINT) AS all_pieces,
+            CAST(sum(coalesce(strlen(d.text), 0)) AS BIGINT) AS tokens
+        FROM documents d CROSS JOIN container_settings s GROUP BY 1
+    """,
     "p7_found": """
         WITH sized AS (
             SELECT lower(trim(source)) AS source, coalesce(strlen(text), 0) AS tokens FROM documents

@@ -44,6 +44,9 @@ def rewriter(*extra):
         ("كبير‌في", "كبيرفي"),
         ("The о fox", "The o fox"),
         ("u​̈ber", "über"),
+        ("a\fb\vc\x1dd", "a b c d"),
+        ("quiсk fօх", "quick fox"),
+        ("Ꮓebra Ꭲango", "Zebra Tango"),
     ],
 )
 def test_rewrites(odd, plain):
@@ -76,3 +79,18 @@ def test_tables(spark):
     assert lookalikes.normalize(empty, lookalikes.fit(empty)).count() == 0
     again = lookalikes.normalize(out.select("id", out.text_form.alias("text")), lookalikes.fit(df))
     assert again.filter("text <> text_form").count() == 0
+
+
+def test_stacked_marks_are_bounded_and_read_alike(spark):
+    marks = [chr(c) for c in range(0x300, 0x340)]
+    texts = ["e" + "".join(marks[(k * j + j) % 64] for j in range(1, 12)) for k in range(500)] + ["ẹ́ e\u0301\u0323 e\u0323\u0301 é\u0323"]
+    df = spark.createDataFrame([(t,) for t in texts], "text STRING")
+    counted = lookalikes.count_forms(df, "text").filter("length(form) > 1").count()
+    assert counted < 64
+    r = lookalikes.fit(df)
+    assert len(set(r.rewrite(texts[-1]).split())) == 1
+
+
+def test_long_chains_become_stable():
+    odd = "u" + "\u200b\u200d" * 50 + "\u0308ber " + "Ｔ\u200bｈ\u200bｅ"
+    assert rewriter(odd).rewrite(odd) == "über The"
