@@ -50,9 +50,19 @@ def _exact(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else tokenize(t) for t in text], dtype=object)
 
 
+# Ranges whose characters normalisation leaves as they are in any order, and whose lower case is their folded case;
+# in them only blanks and punctuation change, which are in no token.
+UNCHANGED = (
+    r"\x00-\x7e -§©«-®°±¶·»¿-įĴ-ľŁ-ňŊ-ž"
+    r"Ѐ-҂Ҋ-ӿ،-؛؞-ْ٠-ٴٹ-ەऀ-ऻऽ-ॗॠ-ॿሀ-፼"
+    r" -‖‘-‧ 　-〩ぁ-ゖゝゞァ-ヾ㐀-䶿一-鿼가-힣"
+    r"！（），：；？"
+)
+
+
 def exact_tokens(text: Column) -> Column:
-    """Tokens with full normalisation; texts of ASCII and common Latin and Cyrillic letters never reach Python."""
-    simple = F.coalesce(text.rlike(r"^[\x00-\x7e¡§«°»¿À-öø-ÿ–—‘’“”„А-яЁё]*$") & ~text.rlike("[ªºµß]"), F.lit(True))
+    """Tokens with full normalisation; texts that normalisation leaves as they are never reach Python."""
+    simple = F.coalesce(text.rlike(f"^[{UNCHANGED}]*$"), F.lit(True))
     return F.coalesce(_exact(F.when(~simple, text)), tokens(text))
 
 

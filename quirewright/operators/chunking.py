@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identity
-from ..session import bounded_rows, once
+from ..session import bounded_rows, cut, once
 from .pages import box_union
 
 LIMIT, FRAGMENTS = 4000, 10_000
@@ -106,8 +106,10 @@ def fixed_slices(pages: DataFrame, limit: int = LIMIT) -> DataFrame:
 def number_chunks(chunks: DataFrame, corpus_col: str = "document_id") -> DataFrame:
     """Corpus-wide chunk_index and chunk_id of packed chunks: pages in order, chunks in order on them.
 
-    Pages are counted first, so the window holds one small row for each page, and the texts are only joined.
+    Pages are counted first, so the window holds one small row for each page, and the texts are only joined. Packing isn't
+    repeated for that: the chunks are written once.
     """
+    chunks = cut(chunks)
     per_page = chunks.groupBy(corpus_col, "page_number", "page_id").agg(F.count("*").alias("n"))
     before = Window.partitionBy(corpus_col).orderBy("page_number", "page_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_page.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -133,6 +135,24 @@ def index_gaps(chunks: DataFrame) -> DataFrame:
     ).withColumn("missing", F.col("last_index") - F.col("first_index") + 1 - F.col("chunks"))
 
 
+def page_index_gaps(chunks: DataFrame) -> DataFrame:
+    """Per page of a corpus: whether its page_chunk_index counts from 1 without gaps."""
+    of = F.count_distinct("page_chunk_index")
+    whole = (F.min("page_chunk_index") == 1) & (F.max("page_chunk_index") == of)
+    return chunks.groupBy("corpus_id", "page_id").agg(of.alias("chunks"), F.coalesce(whole, F.lit(False)).alias("contiguous"))
+
+
+def corpus_limits(chunks: DataFrame, per_page: int = 10_000, per_document: int = 100_000, fragments: int = 1_000_000, characters: int = 50_000_000) -> DataFrame:
+    """Per corpus its chunks, those of its fullest page, fragments and characters, and whether a limit breaks; nothing is cut."""
+    each = chunks.select("corpus_id", "page_id", "chunk_id", F.greatest(F.coalesce(F.size("fragments"), F.lit(0)), F.lit(0)).alias("f"), F.coalesce(F.length("text"), F.lit(0)).alias("c"))
+    pages = each.groupBy("corpus_id", "page_id", "chunk_id").agg(F.max("f").alias("f"), F.max("c").alias("c")).groupBy("corpus_id", "page_id").agg(
+        F.count("*").alias("n"), F.sum("f").alias("f"), F.sum("c").alias("c")
+    )
+    out = pages.groupBy("corpus_id").agg(F.sum("n").alias("chunks"), F.max("n").alias("page_chunks"), F.sum("f").alias("fragments"), F.sum("c").alias("characters"))
+    wrong = (F.col("chunks") > per_document) | (F.col("page_chunks") > per_page) | (F.col("fragments") > fragments) | (F.col("characters") > characters)
+    return out.withColumn("violation", wrong)
+
+
 def fragment_audit(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     """Per chunk with fragments: fragments, those without their span, and those whose text differs from it."""
     each = chunks.select("chunk_id", "text", "fragments").distinct().select("chunk_id", F.col("text").alias("chunk_text"), F.explode("fragments").alias("f"))

@@ -100,13 +100,14 @@ def assembled_pages(spans: DataFrame) -> DataFrame:
 
 
 def replay_audit(page_ocr: DataFrame, spans: DataFrame) -> DataFrame:
-    """Per recognised page: whether text and line count equal what its line spans give."""
-    stored = page_ocr.filter("status = 'ocr_text'").select("page_id", F.col("text").alias("stored"), F.col("line_count").alias("stored_lines")).distinct()
+    """Per recognised page: whether text, line count and mean confidence equal what its line spans give."""
+    stored = page_ocr.filter("status = 'ocr_text'").select("page_id", F.col("text").alias("stored"), F.col("line_count").alias("stored_lines"), F.col("mean_confidence").alias("stored_mean")).distinct()
     given = assembled_pages(spans)
     return stored.join(given, "page_id", "left").select(
         "page_id",
         F.coalesce(F.col("stored") == F.col("text"), F.lit(False)).alias("same_text"),
         F.coalesce(F.col("stored_lines") == F.col("line_count"), F.lit(False)).alias("same_lines"),
+        F.coalesce(F.abs(F.col("stored_mean") - F.col("mean_confidence")) < 5e-6, F.col("stored_mean").eqNullSafe(F.col("mean_confidence"))).alias("same_mean"),
     )
 
 
@@ -160,6 +161,27 @@ def quad_box(quad: Column, x_scale: Column, y_scale: Column) -> Column:
     )
 
 
+def structure_audit(pages: DataFrame, doc_col: str = "record_id", tolerance: float = 1e-6) -> DataFrame:
+    """Per delivered page whether it agrees with the page's first delivery: size within the tolerance, unit, rotation.
+
+    pages: ``doc_col``, page_id, width, height, dimension_unit, source_rotation_degrees. Pages without an id aren't compared.
+    """
+    values = ["width", "height", "dimension_unit", "source_rotation_degrees"]
+    known = pages.filter("page_id is not null")
+    first = known.groupBy("page_id").agg(F.min(F.struct(doc_col, *values)).alias("_first"))
+
+    def near(name: str) -> Column:
+        a, b = F.col(name), F.col(f"_first.{name}")
+        allowed = F.greatest(F.lit(tolerance), F.greatest(F.abs(a), F.abs(b)) * 1e-9)
+        return F.coalesce(F.abs(a - b) <= allowed, a.eqNullSafe(b))
+
+    return known.join(first, "page_id").select(
+        doc_col, "page_id", (near("width") & near("height")).alias("same_size"),
+        F.col("dimension_unit").eqNullSafe(F.col("_first.dimension_unit")).alias("same_unit"),
+        F.col("source_rotation_degrees").eqNullSafe(F.col("_first.source_rotation_degrees")).alias("same_rotation"),
+    ).distinct()
+
+
 def page_boxes(spans: DataFrame) -> DataFrame:
     """The box around all spans of each page, and how many spans have no valid box."""
     bad = F.count_if(~F.coalesce(box_valid(F.col("bounding_box")), F.lit(False)))

@@ -2,6 +2,11 @@
 
 Statistics are per corpus. A query is asked against given corpora, or against one made of all chunks. Terms are
 de-duplicated; scores are rounded to 12 digits; ties go to the lower chunk_index, then chunk_id.
+
+An ``Index`` tokenises the chunks once and holds, for each term of each chunk, what it adds to a score. ``search``
+finds the best chunks without joining frequent terms to all chunks that have them: a bound of the k-th best score
+comes from the rarest terms of a query; the terms that can't reach it together are left out of the search for
+candidates and only looked up for those found. The ranking is that of the whole corpus.
 """
 
 from __future__ import annotations
@@ -9,11 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import distinct_terms, exact_tokens, is_blank, tokens
+from ..functions.text import distinct_terms, exact_tokens, fingerprint, identity, is_blank, tokens
+from ..session import cut
 
 K1, B, TOP_K = 1.2, 0.75, 10
 MAX_CHARACTERS, MAX_TOKENS = 10_000, 1000
 ALL = "all"
+#: Postings of a query's rarest terms that its bound is found with.
+SEEDS = 400
 
 
 def tokenized(df: DataFrame, text_col: str = "text", exact: bool = True) -> DataFrame:
@@ -29,20 +37,28 @@ def query_validation(queries: DataFrame, exact: bool = True) -> DataFrame:
     length = F.coalesce(F.length("query"), F.lit(0))
     blank = is_blank(F.col("query"))
     valid = ~blank & (length <= MAX_CHARACTERS) & (n > 0) & (n <= MAX_TOKENS)
-    return rows.select("query_id", blank.alias("blank"), length.alias("characters"), n.alias("token_count"), valid.alias("valid"))
+    return rows.select("query_id", blank.alias("blank"), length.alias("characters"), F.greatest(n, F.lit(0)).alias("token_count"), valid.alias("valid"))
 
 
 def query_terms(queries: DataFrame, exact: bool = True) -> DataFrame:
-    """(query_id, terms): the sorted distinct terms of the queries that can be asked."""
-    rows = tokenized(queries.filter("query is not null").select("query_id", "query").distinct(), "query", exact)
+    """(query_id, terms, token_count): the sorted distinct terms, and the tokens, of the queries that can be asked.
+
+    Of several texts of one id the first in order counts.
+    """
+    rows = tokenized(queries.filter("query is not null").groupBy("query_id").agg(F.min("query").alias("query")), "query", exact)
     ok = (F.length("query") <= MAX_CHARACTERS) & F.size("tokens").between(1, MAX_TOKENS)
-    return rows.filter(ok).select("query_id", distinct_terms(F.col("tokens")).alias("terms"))
+    return rows.filter(ok).select("query_id", distinct_terms(F.col("tokens")).alias("terms"), F.size("tokens").alias("token_count"))
 
 
 def unique_chunks(chunks: DataFrame, whole: bool = False) -> DataFrame:
-    """(corpus_id, chunk_id, chunk_index, text): each chunk once; with ``whole`` all in one corpus."""
-    rows = chunks.select("corpus_id", "chunk_id", "chunk_index", "text").dropDuplicates(["corpus_id", "chunk_id"])
-    return rows.withColumn("corpus_id", F.lit(ALL)) if whole else rows
+    """(corpus_id, chunk_id, chunk_index, text): each chunk once; with ``whole`` all in one corpus.
+
+    Of rows that contradict one another the first in order counts.
+    """
+    corpus = F.lit(ALL) if whole else F.col("corpus_id")
+    first = F.min(F.struct("text", "chunk_index"))
+    rows = chunks.groupBy(corpus.alias("corpus_id"), "chunk_id").agg(first.alias("_first"))
+    return rows.select("corpus_id", "chunk_id", "_first.chunk_index", "_first.text")
 
 
 def term_frequency(chunks: DataFrame, exact: bool = True) -> DataFrame:
@@ -68,6 +84,96 @@ def term_score(tf: Column, df: Column, n: Column, length: Column, avgdl: Column,
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
 
 
+class Index:
+    """Chunks tokenised once: postings in a written table, and the statistics of corpora and terms.
+
+    chunks: corpus_id, chunk_id, chunk_index, text; other columns are carried by ``hits``. ``whole``: all chunks are one
+    corpus, named ``ALL``. Repeated chunks count once; null texts have no tokens but count as chunks.
+    """
+
+    def __init__(self, chunks: DataFrame, *, whole: bool = False, exact: bool = True) -> None:
+        self.chunks, self.whole, self.exact = chunks, whole, exact
+        rows = tokenized(unique_chunks(chunks, whole), exact=exact).withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+        keys = ["corpus_id", "chunk_id", "chunk_index"]
+        # a row without a term stands for the chunk itself
+        words = F.concat(F.col("tokens"), F.array(F.lit(None).cast("string")))
+        each = rows.select(*keys, F.size("tokens").alias("length"), F.explode(words).alias("term"))
+        self.rows = cut(each.groupBy(*keys, "length", "term").agg(F.count("*").alias("tf")))
+        self.postings = self.rows.filter("term is not null")
+        self.stats = self.rows.filter("term is null").groupBy("corpus_id").agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
+
+    def search(self, queries: DataFrame, scope: DataFrame | None = None, *, top_k: int = TOP_K, k1: float = K1, b: float = B) -> DataFrame:
+        """(query_id, corpus_id, rank, score, chunk_id, chunk_index, matched_terms): the best chunks of every query.
+
+        scope: (query_id, corpus_id) to be asked; needed unless all chunks are one corpus. A query without hits gives no
+        row (see ``no_hits``). One frequent term of all queries is joined to its chunks only for candidates; the
+        ranking keeps only ``top_k`` rows of each query already before its shuffle.
+        """
+        ask = query_terms(queries, self.exact).select("query_id", F.explode("terms").alias("term"))
+        if scope is None:
+            if not self.whole:
+                raise ValueError("corpora of their own need a scope")
+            ask = ask.withColumn("corpus_id", F.lit(ALL))
+        else:
+            ask = ask.join(scope.select("query_id", "corpus_id").distinct(), "query_id")
+        ask = cut(ask.select("query_id", "corpus_id", "term"))
+        # what is asked and what is counted of it are written tables: Catalyst broadcasts them if their files are small
+        mine = self.postings.join(ask.select("corpus_id", "term").distinct(), ["corpus_id", "term"], "left_semi")
+        freq = cut(mine.groupBy("corpus_id", "term").agg(F.count("*").alias("df")))
+        stats = F.broadcast(self.stats) if self.whole else cut(self.stats)  # one row if there is one corpus
+        scored = self.postings.join(freq, ["corpus_id", "term"]).join(stats, "corpus_id")
+        part = term_score(*(F.col(c) for c in ("tf", "df", "n", "length", "avgdl")), k1, b)
+        scored = cut(scored.select("corpus_id", "term", "chunk_id", "chunk_index", "df", part.alias("part")))
+        most = scored.groupBy("corpus_id", "term").agg(F.max("part").alias("most"), F.max("df").alias("df"))
+        ask = cut(self._essential(ask.join(most, ["corpus_id", "term"]), scored, top_k))
+        chunk = ["query_id", "corpus_id", "chunk_id"]
+        found = scored.join(ask.filter("essential").select("query_id", "corpus_id", "term"), ["corpus_id", "term"])
+        found = cut(found.select(*chunk, "chunk_index", "term", "part"))
+        # terms that can't make a candidate: looked up by term and chunk
+        rest = ask.filter(~F.col("essential")).select("query_id", "corpus_id", "term")
+        more = found.select(*chunk, "chunk_index").distinct().join(rest, ["query_id", "corpus_id"])
+        more = more.join(scored.select("corpus_id", "chunk_id", "term", "part"), ["corpus_id", "chunk_id", "term"])
+        hits = (
+            found.unionByName(more.select(*found.columns))
+            .groupBy(*chunk, "chunk_index")
+            .agg(F.round(F.sum("part"), 12).alias("score"), F.array_sort(F.collect_list("term")).alias("matched_terms"))
+            .filter("score > 0")
+        )
+        order = Window.partitionBy("query_id", "corpus_id").orderBy(F.desc("score"), "chunk_index", "chunk_id")
+        ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+        return ranked.select("query_id", "corpus_id", "rank", "score", "chunk_id", "chunk_index", "matched_terms")
+
+    @staticmethod
+    def _essential(ask: DataFrame, scored: DataFrame, top_k: int) -> DataFrame:
+        """``ask`` (query_id, corpus_id, term, most, df) with ``essential``: whether a chunk with no term but this one and
+        those that add less may be among the best.
+
+        The ``top_k``-th best sum of the rarest terms' parts is a score that ``top_k`` chunks reach; terms whose largest parts
+        add up to less can't lift a chunk to it. A query has at most ``MAX_TOKENS`` rows here.
+        """
+        query = Window.partitionBy("query_id", "corpus_id")
+        rarest = query.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
+        seeds = ask.withColumn("_sum", F.sum("df").over(rarest)).filter(F.col("_sum") <= SEEDS)
+        sums = scored.join(seeds.select("query_id", "corpus_id", "term"), ["corpus_id", "term"])
+        sums = sums.groupBy("query_id", "corpus_id", "chunk_id").agg(F.sum("part").alias("sum"))
+        place = F.row_number().over(query.orderBy(F.desc("sum")))
+        reached = sums.withColumn("_place", place).filter(F.col("_place") == top_k).select("query_id", "corpus_id", F.col("sum").alias("reached"))
+        weakest = query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+        rows = ask.join(reached, ["query_id", "corpus_id"], "left").withColumn("_most", F.sum("most").over(weakest))
+        # a little less than reached, for scores are rounded
+        return rows.withColumn("essential", F.coalesce(F.col("_most") >= F.col("reached") * (1 - 1e-9) - 1e-9, F.lit(True))).drop("_sum", "_most", "reached")
+
+    def provenance(self, hits: DataFrame) -> DataFrame:
+        """``hits`` with the columns of their chunks: home_corpus_id, page_id, page_number, bounding_box, text, and the
+        fingerprint of that text."""
+        carried = [c for c in ("page_id", "page_number", "bounding_box") if c in self.chunks.columns]
+        wanted = hits.select("chunk_id").distinct()
+        value = F.min(F.struct("text", "chunk_index", F.col("corpus_id").alias("home_corpus_id"), *carried)).alias("_c")
+        mine = self.chunks.join(wanted, "chunk_id", "left_semi").groupBy("chunk_id").agg(value)
+        mine = mine.select("chunk_id", "_c.home_corpus_id", *(f"_c.{c}" for c in carried), "_c.text", fingerprint(F.col("_c.text")).alias("content_fingerprint"))
+        return hits.join(mine, "chunk_id")
+
+
 def retrieve(
     queries: DataFrame,
     chunks: DataFrame,
@@ -78,35 +184,16 @@ def retrieve(
     b: float = B,
     exact: bool = True,
 ) -> DataFrame:
-    """(query_id, corpus_id, rank, score, chunk_id, chunk_index, matched_terms): the best chunks of every query.
+    """The best chunks of every query by an index made for them; without ``scope`` all chunks are one corpus."""
+    return Index(chunks, whole=scope is None, exact=exact).search(queries, scope, top_k=top_k, k1=k1, b=b)
 
-    scope: (query_id, corpus_id) to be asked; without it every query asks all chunks as one corpus. A query without
-    hits gives no row (see ``no_hits``). Terms are filtered before anything is counted, the ranking keeps only
-    ``top_k`` rows of each query already before its shuffle.
-    """
-    pool = unique_chunks(chunks, whole=scope is None)
-    if scope is None:
-        scope = queries.select("query_id", F.lit(ALL).alias("corpus_id"))
-    scope = scope.select("query_id", "corpus_id").distinct()
-    terms = query_terms(queries, exact).join(scope, "query_id").select("query_id", "corpus_id", F.explode("terms").alias("term"))
-    tokenised = tokenized(pool, exact=exact).drop("text")
-    stats = tokenised.groupBy("corpus_id").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    keys = ["corpus_id", "chunk_id", "chunk_index"]
-    each = tokenised.select(*keys, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    asked = terms.select("corpus_id", "term").distinct()
-    tf = each.join(asked, ["corpus_id", "term"], "left_semi").groupBy(*keys, "length", "term").agg(F.count("*").alias("tf"))
-    df = document_frequency(tf)
-    scored = tf.join(df, ["corpus_id", "term"]).join(stats, "corpus_id")
-    scored = scored.withColumn("part", term_score(*(F.col(c) for c in ("tf", "df", "n", "length", "avgdl")), k1, b))
-    hits = (
-        terms.join(scored, ["corpus_id", "term"])
-        .groupBy("query_id", *keys)
-        .agg(F.round(F.sum("part"), 12).alias("score"), F.array_sort(F.collect_list("term")).alias("matched_terms"))
-        .filter("score > 0")
-    )
-    order = Window.partitionBy("query_id", "corpus_id").orderBy(F.desc("score"), "chunk_index", "chunk_id")
-    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
-    return ranked.select("query_id", "corpus_id", "rank", "score", "chunk_id", "chunk_index", "matched_terms")
+
+def result_ids(hits: DataFrame) -> DataFrame:
+    """(query_id, corpus_id, result_id, content_fingerprint): a result's identity by what was asked and by what was found."""
+    row = F.concat_ws("\x1f", "rank", F.col("score").cast("string"), "chunk_id", F.array_join("matched_terms", " "))
+    lines = F.array_join(F.array_sort(F.collect_list(F.struct("rank", row.alias("row")))).getField("row"), "\n")
+    each = hits.groupBy("query_id", "corpus_id").agg(fingerprint(lines).alias("content_fingerprint"))
+    return each.select("query_id", "corpus_id", identity("retrieval-sha256-", F.col("query_id"), F.col("corpus_id"), F.col("content_fingerprint")).alias("result_id"), "content_fingerprint")
 
 
 def no_hits(scope: DataFrame, hits: DataFrame) -> DataFrame:
@@ -115,8 +202,9 @@ def no_hits(scope: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def unknown_judgments(judgments: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Judged chunks that don't exist."""
-    return judgments.select("query_id", "chunk_id").distinct().join(chunks.select("chunk_id"), "chunk_id", "left_anti").select("query_id", "chunk_id")
+    """Judged chunks that don't exist, or, where ``judgments`` has a corpus_id, not in the corpus they are judged for."""
+    keys = ["chunk_id"] + (["corpus_id"] if "corpus_id" in judgments.columns else [])
+    return judgments.select("query_id", *keys).distinct().join(chunks.select(*keys), keys, "left_anti").select("query_id", *keys)
 
 
 def search_queries(queries: DataFrame) -> DataFrame:

@@ -1,17 +1,20 @@
 """Every query of the core, and the SQL that checks it.
 
-Queries that SQL checks tokenise without full normalisation, which the SQL engine lacks; the exact tokens are
-tested on their own.
+The SQL engine composes characters but doesn't replace compatibility forms, so its tokens are made from texts in
+which a table made from the Unicode database has replaced those of letters and digits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import unicodedata
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import answers, chunking, documents, evaluation, events, nested, pages, quality, retrieval
-from ..session import table
+from ..session import cut, table
 from . import nested_queries
 
 QUERIES = {**nested_queries.QUERIES}
@@ -123,15 +126,16 @@ given AS (SELECT page_id, string_agg(text, chr(10) ORDER BY span_index, text) AS
   round(avg(confidence), 6) AS mean_confidence FROM lines GROUP BY 1)"""
 
 
-@query(f"WITH {_ASSEMBLED} SELECT page_id, text, line_count FROM given")
+@query(f"WITH {_ASSEMBLED} SELECT page_id, text, line_count, round(mean_confidence, 5) AS mean_confidence FROM given")
 def assembled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.assembled_pages(table(spark, sf_dir, "spans")).select("page_id", "text", "line_count")
+    return pages.assembled_pages(table(spark, sf_dir, "spans")).withColumn("mean_confidence", F.round("mean_confidence", 5))
 
 
 @query(f"""
 WITH {_ASSEMBLED},
-stored AS (SELECT DISTINCT page_id, text, line_count FROM page_ocr WHERE status = 'ocr_text')
-SELECT s.page_id, coalesce(s.text = g.text, false) AS same_text, coalesce(s.line_count = g.line_count, false) AS same_lines
+stored AS (SELECT DISTINCT page_id, text, line_count, mean_confidence FROM page_ocr WHERE status = 'ocr_text')
+SELECT s.page_id, coalesce(s.text = g.text, false) AS same_text, coalesce(s.line_count = g.line_count, false) AS same_lines,
+  coalesce(abs(s.mean_confidence - g.mean_confidence) < 5e-6, s.mean_confidence IS NOT DISTINCT FROM g.mean_confidence) AS same_mean
 FROM stored s LEFT JOIN given g ON s.page_id = g.page_id""")
 def ocr_replay_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.replay_audit(table(spark, sf_dir, "page_ocr"), table(spark, sf_dir, "spans"))
@@ -232,71 +236,82 @@ def fragment_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # retrieval
 
-_TOKENS = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*')"
-_POOL = f"""
-pool AS (SELECT corpus_id, chunk_id, min(chunk_index) AS chunk_index, {_TOKENS.format("min(text)")} AS tokens FROM chunks GROUP BY 1, 2),
+
+def _normal(x: str) -> str:
+    """``x`` normalised as far as letters and digits go."""
+    plain = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (*range(0x80, 0xD800), *range(0xF900, 0x1FFFF))}
+    changed = {a: b for a, b in plain.items() if a != b and unicodedata.normalize("NFC", a) == a and any(c.isalnum() or c == "'" for c in b)}
+    one = {a: b for a, b in changed.items() if len(b) == 1}
+    many = {a: b for a, b in changed.items() if len(b) > 1}
+    to = "".join(one.values()).replace("'", "''")
+    values = ", ".join("'" + b.replace("'", "''") + "'" for b in many.values())
+    one_by_one = f"list_transform(string_split({x}, ''), lambda c: coalesce([{values}][nullif(instr('{''.join(many)}', c), 0)], c))"
+    spread = f"CASE WHEN regexp_matches({x}, '[{''.join(many)}]') THEN array_to_string({one_by_one}, '') ELSE {x} END"
+    return f"nfc_normalize(translate({spread}, '{''.join(one)}', '{to}'))"
+
+
+def _tokens(x: str) -> str:
+    return rf"regexp_extract_all(replace(replace(lower({_normal(x)}), 'ß', 'ss'), 'ς', 'σ'), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*')"
+
+
+def _pool(corpus: str) -> str:
+    return f"""
+pool AS (SELECT corpus_id, chunk_id, chunk_index, coalesce({_tokens("text")}, []) AS tokens FROM (
+  SELECT *, row_number() OVER (PARTITION BY corpus_id, chunk_id ORDER BY text NULLS FIRST, chunk_index NULLS FIRST) AS k
+  FROM (SELECT {corpus} AS corpus_id, chunk_id, chunk_index, text FROM chunks)) WHERE k = 1),
 each AS (SELECT corpus_id, chunk_id, chunk_index, len(tokens) AS length, unnest(tokens) AS term FROM pool),
 tf AS (SELECT corpus_id, chunk_id, chunk_index, length, term, count(*) AS tf FROM each GROUP BY ALL),
 stats AS (SELECT corpus_id, count(*) AS n, avg(len(tokens)) AS avgdl FROM pool GROUP BY 1)"""
+
+
+_POOL = _pool("corpus_id")
 _TERMS = f"""
-terms AS (SELECT query_id, list_sort(list_distinct(tokens)) AS terms FROM (
-  SELECT DISTINCT query_id, query, {_TOKENS.format("query")} AS tokens FROM queries WHERE query IS NOT NULL)
+terms AS (SELECT query_id, list_sort(list_distinct(tokens)) AS terms, len(tokens) AS token_count FROM (
+  SELECT query_id, query, {_tokens("query")} AS tokens FROM (SELECT query_id, min(query) AS query FROM queries WHERE query IS NOT NULL GROUP BY 1))
   WHERE len(tokens) BETWEEN 1 AND 1000 AND length(query) <= 10000)"""
 
 
-def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.unique_chunks(table(spark, sf_dir, "chunks"))
 
 
-@query(f"SELECT doc_id, len({_TOKENS.format('text')}) AS tokens FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, len({_tokens('text')}) AS tokens FROM documents WHERE text IS NOT NULL")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text is not null")
-    return docs.select("doc_id", F.size(text.tokens(F.col("text"))).alias("tokens"))
+    return docs.select("doc_id", F.size(text.exact_tokens(F.col("text"))).alias("tokens"))
 
 
 @query(f"WITH {_POOL} SELECT corpus_id, chunk_id, chunk_index, length, term, tf FROM tf")
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.term_frequency(_pool(spark, sf_dir), exact=False)
+    return retrieval.term_frequency(_unique(spark, sf_dir))
 
 
 @query(f"WITH {_POOL} SELECT corpus_id, term, count(*) AS df FROM tf GROUP BY 1, 2")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.document_frequency(retrieval.term_frequency(_pool(spark, sf_dir), exact=False))
+    return retrieval.document_frequency(retrieval.term_frequency(_unique(spark, sf_dir)))
 
 
 @query(f"WITH {_POOL} SELECT corpus_id, n, round(avgdl, 9) AS avgdl FROM stats")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.corpus_stats(_pool(spark, sf_dir), exact=False).withColumn("avgdl", F.round("avgdl", 9))
+    return retrieval.corpus_stats(_unique(spark, sf_dir)).withColumn("avgdl", F.round("avgdl", 9))
 
 
 @query(f"""
-SELECT query_id, {_SEEN.format("query")} = 0 AS blank, coalesce(length(query), 0) AS characters, coalesce(len({_TOKENS.format("query")}), 0) AS token_count,
-  {_SEEN.format("query")} > 0 AND coalesce(length(query), 0) <= 10000 AND coalesce(len({_TOKENS.format("query")}), 0) BETWEEN 1 AND 1000 AS valid
+SELECT query_id, {_SEEN.format("query")} = 0 AS blank, coalesce(length(query), 0) AS characters, coalesce(len({_tokens("query")}), 0) AS token_count,
+  {_SEEN.format("query")} > 0 AND coalesce(length(query), 0) <= 10000 AND coalesce(len({_tokens("query")}), 0) BETWEEN 1 AND 1000 AS valid
 FROM (SELECT DISTINCT query_id, query FROM queries)""")
 def query_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.query_validation(table(spark, sf_dir, "queries"), exact=False)
+    return retrieval.query_validation(table(spark, sf_dir, "queries"))
 
 
-@query(f"WITH {_TERMS} SELECT query_id, array_to_string(terms, ' ') AS terms FROM terms")
+@query(f"WITH {_TERMS} SELECT query_id, array_to_string(terms, ' ') AS terms, token_count FROM terms")
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.query_terms(table(spark, sf_dir, "queries"), exact=False).withColumn("terms", F.array_join("terms", " "))
-
-
-def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpora whose chunks an answer cites: what its query is asked against."""
-    cited = table(spark, sf_dir, "answers").select("query_id", F.explode("citations.chunk_id").alias("chunk_id")).distinct()
-    return cited.join(table(spark, sf_dir, "chunks").select("chunk_id", "corpus_id").distinct(), "chunk_id").select("query_id", "corpus_id").distinct()
+    return retrieval.query_terms(table(spark, sf_dir, "queries")).withColumn("terms", F.array_join("terms", " "))
 
 
-def _corpus_hits(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
-    return retrieval.retrieve(table(spark, sf_dir, "queries"), table(spark, sf_dir, "chunks"), _scope(spark, sf_dir), exact=exact)
-
-
-_SCOPE = """
-scope AS (SELECT DISTINCT a.query_id, c.corpus_id FROM (SELECT query_id, unnest(citations).chunk_id AS chunk_id FROM answers) a
-  JOIN chunks c ON a.chunk_id = c.chunk_id)"""
-_HITS = f"""
-WITH {_POOL}, {_TERMS}, {_SCOPE},
+def _hits_sql(corpus: str, scope: str) -> str:
+    return f"""
+WITH {_pool(corpus)}, {_TERMS}, {scope},
 asked AS (SELECT t.query_id, s.corpus_id, unnest(t.terms) AS term FROM terms t JOIN scope s ON t.query_id = s.query_id),
 df AS (SELECT corpus_id, term, count(*) AS df FROM tf GROUP BY 1, 2),
 scored AS (
@@ -309,54 +324,53 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id ORDER B
 hits AS (SELECT * FROM ranked WHERE rank <= 10)"""
 
 
-@query(f"{_HITS} SELECT query_id, corpus_id, rank, round(score, 8) AS score, chunk_id, chunk_index, matched_terms FROM hits")
-def retrieval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queries whose answers cite a chunk, each against the corpora cited; ``not_asked`` has the others."""
-    hits = _corpus_hits(spark, sf_dir)
-    return hits.withColumn("score", F.round("score", 8)).withColumn("matched_terms", F.array_join("matched_terms", " "))
+_HITS = _hits_sql("'all'", "scope AS (SELECT DISTINCT query_id, 'all' AS corpus_id FROM queries)")
 
 
-@query(f"{_HITS} SELECT query_id, corpus_id FROM scope WHERE (query_id, corpus_id) NOT IN (SELECT query_id, corpus_id FROM hits)")
-def no_hit_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.no_hits(_scope(spark, sf_dir), _corpus_hits(spark, sf_dir))
+def _search(spark: SparkSession, sf_dir: str) -> tuple[retrieval.Index, DataFrame]:
+    """All queries against all chunks."""
+    index = retrieval.Index(table(spark, sf_dir, "chunks"), whole=True)
+    return index, index.search(table(spark, sf_dir, "queries"))
 
 
-@query("""
-WITH pool AS (SELECT corpus_id, chunk_id, min(chunk_index) AS chunk_index, min(text) AS text FROM chunks GROUP BY 1, 2),
-toks AS (SELECT chunk_id, chunk_index, """ + _TOKENS.format("text") + """ AS tokens FROM pool),
-stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM toks),
-tf AS (SELECT chunk_id, chunk_index, length, term, count(*) AS tf FROM (SELECT chunk_id, chunk_index, len(tokens) AS length, unnest(tokens) AS term FROM toks) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),""" + _TERMS + """,
-asked AS (SELECT query_id, unnest(terms) AS term FROM terms WHERE CAST(regexp_extract(query_id, '[0-9]+$') AS BIGINT) % 50 = 0),
-scored AS (SELECT a.query_id, f.chunk_id, f.chunk_index,
-  round(sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * f.tf * (1.2::DOUBLE + 1) / (f.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * f.length / s.avgdl))), 12) AS score
-  FROM asked a JOIN tf f ON f.term = a.term JOIN df d ON d.term = a.term CROSS JOIN stats s GROUP BY 1, 2, 3),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index, chunk_id) AS rank FROM scored WHERE score > 0)
-SELECT query_id, rank, round(score, 8) AS score, chunk_id FROM ranked WHERE rank <= 10""")
-def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = retrieval.search_queries(table(spark, sf_dir, "queries"))
-    hits = retrieval.retrieve(asked, table(spark, sf_dir, "chunks"), exact=False)
-    return hits.select("query_id", "rank", F.round("score", 8).alias("score"), "chunk_id")
+@query(f"""{_HITS},
+home AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY text NULLS FIRST, chunk_index NULLS FIRST, corpus_id NULLS FIRST, page_id NULLS FIRST) AS k FROM chunks) WHERE k = 1)
+SELECT h.query_id, h.rank, round(h.score, 8) AS score, h.chunk_id, h.chunk_index, h.matched_terms, c.corpus_id AS home_corpus_id, c.page_id, c.page_number,
+  c.bounding_box.x0 AS x0, c.bounding_box.bottom AS bottom, sha256(c.text) AS content_fingerprint, length(c.text) AS characters
+FROM hits h JOIN home c ON h.chunk_id = c.chunk_id""")
+def retrieval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best chunks of all for every query, with where they come from."""
+    index, hits = _search(spark, sf_dir)
+    return index.provenance(hits).select(
+        "query_id", "rank", F.round("score", 8).alias("score"), "chunk_id", "chunk_index", F.array_join("matched_terms", " ").alias("matched_terms"),
+        "home_corpus_id", "page_id", "page_number", "bounding_box.x0", "bounding_box.bottom", "content_fingerprint", F.length("text").alias("characters"),
+    )
 
 
-@query()
-def search_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All queries against all chunks, with exact tokens."""
-    hits = retrieval.retrieve(table(spark, sf_dir, "queries"), table(spark, sf_dir, "chunks"))
-    return hits.select("query_id", "rank", F.round("score", 8).alias("score"), "chunk_id", F.array_join("matched_terms", " ").alias("matched_terms"))
+@query(f"{_HITS} SELECT query_id, 'all' AS corpus_id FROM terms WHERE query_id NOT IN (SELECT query_id FROM hits)")
+def no_hit_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, hits = _search(spark, sf_dir)
+    asked = retrieval.query_terms(table(spark, sf_dir, "queries")).select("query_id", F.lit(retrieval.ALL).alias("corpus_id"))
+    return retrieval.no_hits(asked, hits)
 
 
-@query()
-def not_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queries that could be asked and that ``retrieval_hits`` doesn't ask, with their hits among all chunks."""
-    queries = table(spark, sf_dir, "queries").join(_scope(spark, sf_dir), "query_id", "left_anti")
-    hits = retrieval.retrieve(queries, table(spark, sf_dir, "chunks")).groupBy("query_id").agg(F.count("*").alias("hits"))
-    asked = retrieval.query_terms(queries).select("query_id").distinct()
-    return asked.join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"))
+def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An explicit scope: the corpora that a query is judged for."""
+    judged = _judgments(spark, sf_dir)
+    return judged.join(table(spark, sf_dir, "chunks").select("chunk_id", "corpus_id").distinct(), "chunk_id").select("query_id", "corpus_id").distinct()
+
+
+@query(_hits_sql("corpus_id", """
+scope AS (SELECT DISTINCT a.query_id, c.corpus_id FROM (SELECT query_id, unnest(citations).chunk_id AS chunk_id FROM answers) a
+  JOIN chunks c ON a.chunk_id = c.chunk_id)""") + " SELECT query_id, corpus_id, rank, round(score, 8) AS score, chunk_id, chunk_index, matched_terms FROM hits")
+def corpus_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries against each corpus of their scope, by that corpus' own statistics."""
+    hits = retrieval.Index(table(spark, sf_dir, "chunks")).search(table(spark, sf_dir, "queries"), _scope(spark, sf_dir))
+    return hits.withColumn("score", F.round("score", 8)).withColumn("matched_terms", F.array_join("matched_terms", " "))
 
 
 def _judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "answers").select("query_id", F.explode("citations.chunk_id").alias("chunk_id")).distinct()
+    return table(spark, sf_dir, "answers").select("query_id", F.explode("citations.chunk_id").alias("chunk_id")).filter("chunk_id is not null").distinct()
 
 
 @query("""
@@ -366,18 +380,11 @@ def unknown_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.unknown_judgments(_judgments(spark, sf_dir), table(spark, sf_dir, "chunks"))
 
 
-def _best(hits: DataFrame) -> DataFrame:
-    """One ranking for each query: that of its first corpus."""
-    mine = Window.partitionBy("query_id")  # top_k rows for each corpus of a query
-    return hits.withColumn("_first", F.min("corpus_id").over(mine)).filter("corpus_id = _first").drop("_first")
-
-
 _CASES = f"""{_HITS},
-best AS (SELECT * FROM hits WHERE corpus_id = (SELECT min(h.corpus_id) FROM hits h WHERE h.query_id = hits.query_id)),
-judged AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, unnest(citations).chunk_id AS chunk_id FROM answers)),
+judged AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, unnest(citations).chunk_id AS chunk_id FROM answers) WHERE chunk_id IS NOT NULL),
 relevant AS (SELECT query_id, count(*) AS relevant FROM judged GROUP BY 1),
 found AS (SELECT b.query_id, b.rank, row_number() OVER (PARTITION BY b.query_id ORDER BY b.rank) AS i
-  FROM best b JOIN judged j ON b.query_id = j.query_id AND b.chunk_id = j.chunk_id),
+  FROM hits b JOIN judged j ON b.query_id = j.query_id AND b.chunk_id = j.chunk_id),
 got AS (SELECT query_id, count(*) AS found, min(rank) AS first, sum(i / rank) AS precisions, sum(1 / log2(rank + 1)) AS gain FROM found GROUP BY 1),
 cases AS (SELECT r.query_id, relevant, coalesce(found, 0) AS relevant_retrieved,
   round(coalesce(found / 10, 0), 12) AS precision, round(coalesce(found / relevant, 0), 12) AS recall,
@@ -389,13 +396,13 @@ _NAMES = ("precision", "recall", "reciprocal_rank", "average_precision", "ndcg")
 
 @query(_CASES + " SELECT query_id, relevant, relevant_retrieved, " + ", ".join(f"round({m}, 9) AS {m}" for m in _NAMES) + " FROM cases")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = evaluation.case_metrics(_best(_corpus_hits(spark, sf_dir)), _judgments(spark, sf_dir))
+    cases = evaluation.case_metrics(_search(spark, sf_dir)[1], _judgments(spark, sf_dir))
     return cases.withColumns({m: F.round(m, 9) for m in _NAMES})
 
 
 @query(_CASES + " SELECT count(*) AS cases, " + ", ".join(f"round(avg({m}), 9) AS mean_{m}" for m in _NAMES) + " FROM cases")
 def retrieval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = evaluation.case_metrics(_best(_corpus_hits(spark, sf_dir)), _judgments(spark, sf_dir))
+    cases = evaluation.case_metrics(_search(spark, sf_dir)[1], _judgments(spark, sf_dir))
     means = evaluation.mean_metrics(cases)
     return means.withColumns({f"mean_{m}": F.round(f"mean_{m}", 9) for m in _NAMES})
 
@@ -422,49 +429,78 @@ def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.sentence_spans(chunks).drop("text")
 
 
-_CANDIDATES = f"""{_CASES.rpartition("judged AS")[0].rstrip().rstrip(",")},
+_CANDIDATES = f"""{_CASES},
 {_SENTENCES},
 tried AS (
-  SELECT query_id, rank, chunk_id, start, sentence, matched, round(len(matched) / len(terms), 12) AS coverage FROM (
+  SELECT query_id, rank, chunk_id, start, sentence, matched, terms, round(len(matched) / len(terms), 12) AS coverage FROM (
     SELECT b.query_id, b.rank, b.chunk_id, s.start, s.sentence, t.terms,
-      list_sort(list_intersect(t.terms, {_TOKENS.format("s.sentence")})) AS matched
-    FROM best b JOIN sentences s ON s.chunk_id = b.chunk_id JOIN terms t ON t.query_id = b.query_id)),
+      list_sort(list_intersect(t.terms, s.tokens)) AS matched
+    FROM hits b JOIN (SELECT *, {_tokens("sentence")} AS tokens FROM sentences) s ON s.chunk_id = b.chunk_id JOIN terms t ON t.query_id = b.query_id)),
 candidates AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, rank, start, start + length(sentence)) AS position
   FROM tried WHERE len(matched) > 0 AND coverage >= 0.25)"""
 
 
 def _candidate_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    terms = retrieval.query_terms(table(spark, sf_dir, "queries"), exact=False)
-    chunks = table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(F.min("text").alias("text"))
-    return terms, _best(_corpus_hits(spark, sf_dir)), chunks
+    """(terms, hits, chunks) of all queries against all chunks; the hits are written once."""
+    return retrieval.query_terms(table(spark, sf_dir, "queries")), cut(_search(spark, sf_dir)[1]), table(spark, sf_dir, "chunks")
 
 
 @query(f"{_CANDIDATES} SELECT query_id, rank, chunk_id, start, sentence, array_to_string(matched, ' ') AS matched_terms, round(coverage, 9) AS coverage, position FROM candidates")
 def answer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms, hits, chunks = _candidate_parts(spark, sf_dir)
-    found = answers.candidates(hits, chunks, terms, exact=False).drop("end")
+    found = answers.candidates(hits, chunks, terms).drop("end")
     return found.withColumn("matched_terms", F.array_join("matched_terms", " ")).withColumn("coverage", F.round("coverage", 9))
 
 
-@query(f"""{_CANDIDATES},
-cited AS (SELECT query_id, string_agg(sentence, chr(10) ORDER BY position) AS answer, count(*) AS citations FROM candidates WHERE position <= 3 GROUP BY 1)
-SELECT t.query_id, CASE WHEN c.query_id IS NOT NULL THEN 'answered' ELSE 'abstained' END AS status,
-  CASE WHEN c.query_id IS NOT NULL THEN NULL WHEN t.query_id NOT IN (SELECT query_id FROM best) THEN 'no_retrieval_hits'
-    ELSE 'insufficient_query_term_coverage' END AS abstention_reason, c.answer, coalesce(c.citations, 0) AS citations
-FROM terms t LEFT JOIN cited c ON t.query_id = c.query_id""")
+_MADE = f"""{_CANDIDATES},
+taken AS (SELECT * FROM candidates WHERE position <= 3),
+cited AS (SELECT query_id, string_agg(sentence, chr(10) ORDER BY position) AS answer, count(*) AS citations, list_sort(list_distinct(list(chunk_id))) AS chunk_ids,
+  sum(length(sentence)) AS evidence FROM taken GROUP BY 1),
+made AS (SELECT t.query_id, t.token_count, CASE WHEN c.query_id IS NOT NULL THEN 'answered' ELSE 'abstained' END AS status,
+  CASE WHEN c.query_id IS NOT NULL THEN NULL WHEN t.query_id NOT IN (SELECT query_id FROM hits) THEN 'no_retrieval_hits'
+    ELSE 'insufficient_query_term_coverage' END AS abstention_reason, c.answer, coalesce(c.citations, 0) AS citations,
+  coalesce(c.chunk_ids, []) AS chunk_ids, coalesce(c.evidence, 0) AS evidence
+  FROM terms t LEFT JOIN cited c ON t.query_id = c.query_id)"""
+
+
+def _made(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(answers, terms, hits, chunks)."""
+    terms, hits, chunks = _candidate_parts(spark, sf_dir)
+    return cut(answers.answers(terms, hits, chunks)), terms, hits, chunks
+
+
+@query(f"{_MADE} SELECT query_id, status, abstention_reason, answer, sha256(answer) AS answer_fingerprint, citations FROM made")
 def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms, hits, chunks = _candidate_parts(spark, sf_dir)
-    return answers.answers(terms, hits, chunks, exact=False).withColumn("citations", F.size("citations"))
+    made = answers.answers(terms, hits, chunks)
+    return made.select("query_id", "status", "abstention_reason", "answer", "answer_fingerprint", F.size("citations").alias("citations"))
 
 
-@query("""
-SELECT DISTINCT query_id, c.citation_index, c.chunk_id, t.chunk_id IS NOT NULL AS chunk_exists,
-  coalesce(substring(t.text, c.excerpt_start + 1, c.excerpt_end - c.excerpt_start) = c.excerpt, false) AS exact_slice,
-  coalesce(sha256(c.excerpt) = c.excerpt_fingerprint, false) AS right_fingerprint
-FROM (SELECT query_id, unnest(citations) AS c FROM answers) a LEFT JOIN (SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1) t ON t.chunk_id = a.c.chunk_id""")
+@query(f"""{_MADE}
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY position) AS INT) AS citation_index, rank AS retrieval_rank, chunk_id, start AS excerpt_start,
+  start + length(sentence) AS excerpt_end, sha256(sentence) AS excerpt_fingerprint, array_to_string(matched, ' ') AS matched_terms, round(coverage, 9) AS query_term_coverage FROM taken""")
+def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms, hits, chunks = _candidate_parts(spark, sf_dir)
+    each = answers.answers(terms, hits, chunks).select("query_id", F.explode("citations").alias("c")).select("query_id", "c.*").drop("excerpt")
+    return each.withColumn("matched_terms", F.array_join("matched_terms", " ")).withColumn("query_term_coverage", F.round("query_term_coverage", 9))
+
+
+@query(f"""
+WITH {_TERMS},
+each AS (SELECT DISTINCT query_id, c FROM (SELECT query_id, unnest(citations) AS c FROM answers)),
+joined AS (SELECT e.query_id, e.c, x.text, t.terms, list_sort(list_intersect(t.terms, {_tokens("e.c.excerpt")})) AS found
+  FROM each e LEFT JOIN (SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1) x ON x.chunk_id = e.c.chunk_id LEFT JOIN terms t ON t.query_id = e.query_id),
+numbers AS (SELECT query_id, min(c.citation_index) = 1 AND max(c.citation_index) = count(DISTINCT c.citation_index) AS contiguous FROM each GROUP BY 1)
+SELECT j.query_id, c.citation_index, c.chunk_id, text IS NOT NULL AS chunk_exists,
+  coalesce(substring(text, c.excerpt_start + 1, c.excerpt_end - c.excerpt_start) = c.excerpt, false) AS exact_slice,
+  coalesce(sha256(c.excerpt) = c.excerpt_fingerprint, false) AS right_fingerprint, coalesce(list_sort(c.matched_terms) = found, false) AS right_terms,
+  coalesce(abs(c.query_term_coverage - round(len(found) / len(terms), 12)) < 1e-9, false) AS right_coverage,
+  coalesce(round(len(found) / len(terms), 12) >= 0.25, false) AS enough_coverage,
+  count(*) OVER (PARTITION BY j.query_id, c.chunk_id, c.excerpt_start, c.excerpt_end) = 1 AS unique_slice, coalesce(n.contiguous, false) AS contiguous
+FROM joined j JOIN numbers n ON n.query_id = j.query_id""")
 def citation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(F.min("text").alias("text"))
-    return answers.citation_audit(table(spark, sf_dir, "answers"), chunks)
+    terms = retrieval.query_terms(table(spark, sf_dir, "queries"))
+    return answers.citation_audit(table(spark, sf_dir, "answers"), table(spark, sf_dir, "chunks"), terms)
 
 
 @query()
@@ -501,22 +537,159 @@ def excerpt_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.text_errors(_excerpt_pairs(spark, sf_dir))
 
 
-@query()
-def quality_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms, hits, chunks = _candidate_parts(spark, sf_dir)
+_EXPECTED = f"""{_MADE},
+expected AS (SELECT query_id, min(status) AS expected_status, list_sort(list_distinct(list(answer) FILTER (answer IS NOT NULL))) AS acceptable FROM answers GROUP BY 1),
+judging AS (SELECT m.query_id AS case_id, m.*, e.expected_status, coalesce(e.acceptable, []) AS acceptable FROM made m JOIN expected e ON m.query_id = e.query_id),
+wanted AS (SELECT query_id, list(chunk_id) AS wanted FROM judged GROUP BY 1),
+scores AS (SELECT w.query_id, len(coalesce(m.chunk_ids, [])) AS cited, len(w.wanted) AS relevant, len(list_intersect(coalesce(m.chunk_ids, []), w.wanted)) AS joint
+  FROM wanted w LEFT JOIN made m ON m.query_id = w.query_id),
+sizes AS (SELECT h.query_id, sum(length(c.text)) AS n FROM hits h JOIN (SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1) c ON c.chunk_id = h.chunk_id GROUP BY 1),
+sums AS (SELECT count(*) AS n, sum(token_count) AS tokens, sum(coalesce(s.n, 0)) AS retrieved, sum(length(coalesce(answer, ''))) AS characters, sum(evidence) AS evidence
+  FROM made m LEFT JOIN sizes s ON s.query_id = m.query_id),
+observations AS (
+  SELECT 'retrieval.mean_' || unnest(['reciprocal_rank', 'precision', 'recall', 'average_precision', 'ndcg']) AS metric,
+    unnest([avg(reciprocal_rank), avg(precision), avg(recall), avg(average_precision), avg(ndcg)]) AS value, count(*) AS sample_count FROM cases
+  UNION ALL SELECT 'answer.status_accuracy', avg(CAST(status = expected_status AS INT)), count(*) FROM judging
+  UNION ALL SELECT 'answer.exact_match_rate', avg(CAST(coalesce(list_contains(acceptable, answer), false) AS INT)), count(*) FROM judging WHERE len(acceptable) > 0
+  UNION ALL SELECT 'safety.false_answer_rate', avg(CAST(status = 'answered' AS INT)), count(*) FROM judging WHERE expected_status = 'abstained'
+  UNION ALL SELECT 'provenance.citation_precision', avg(CASE WHEN cited > 0 THEN joint / cited ELSE 0 END), count(*) FROM scores
+  UNION ALL SELECT 'provenance.citation_recall', avg(joint / relevant), count(*) FROM scores
+  UNION ALL SELECT 'provenance.supported_answer_rate', 1.0, count(*) FROM made
+  UNION ALL SELECT 'cost.' || unnest(['query_tokens', 'retrieved_characters', 'answer_characters', 'evidence_characters', 'external_requests', 'estimated_external_usd']),
+    unnest([tokens, retrieved, characters, evidence, 0, 0]), n FROM sums)"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(retrieval cases, citation scores, answer cases, observations): the made answers against the stored ones."""
+    made, terms, hits, chunks = _made(spark, sf_dir)
     judged = _judgments(spark, sf_dir)
-    made = answers.answers(terms, hits, chunks, exact=False)
+    cases = evaluation.case_metrics(hits, judged)
     scores = quality.citation_scores(made.select("query_id", F.col("citations.chunk_id").alias("chunk_ids")), judged)
-    parts = (
-        quality.text_observations(evaluation.text_errors(_excerpt_pairs(spark, sf_dir))),
-        quality.retrieval_observations(evaluation.case_metrics(hits, judged)),
-        quality.provenance_observations(scores),
-        quality.cost_observations(made, terms, hits, chunks),
+    expected = table(spark, sf_dir, "answers").groupBy("query_id").agg(F.min("status").alias("expected_status"), F.collect_set("answer").alias("acceptable_answers"))
+    answered = made.select("query_id", "status", "answer").join(expected, "query_id").withColumn("case_id", F.col("query_id"))
+    audit = answers.citation_audit(made, chunks, terms)
+    marks = [c for c in audit.columns if c not in ("query_id", "citation_index", "chunk_id")]
+    wrong = audit.filter(~reduce(lambda a, b: a & b, (F.col(c) for c in marks))).select("query_id").distinct()
+    supported = made.join(wrong.withColumn("_wrong", F.lit(True)), "query_id", "left").select("query_id", F.col("_wrong").isNull().alias("supported"))
+    seen = (
+        quality.retrieval_observations(cases), quality.answer_observations(answered), quality.provenance_observations(scores),
+        quality.supported_observations(supported), quality.cost_observations(made, terms, hits, chunks),
+    )
+    return cases, scores, answered, reduce(DataFrame.unionByName, seen)
+
+
+@query(f"{_EXPECTED} SELECT metric, round(value, 9) AS value, sample_count FROM observations")
+def quality_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ordered_observations(_cases(spark, sf_dir)[3]).withColumn("value", F.round("value", 9))
+
+
+@query()
+def text_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well cited excerpts agree with their chunks."""
+    return quality.text_observations(evaluation.text_errors(_excerpt_pairs(spark, sf_dir)))
+
+
+@query("""
+SELECT 'text_mismatch' AS code, 'warning' AS severity, 'text' AS dimension, query_id || '#' || citation_index AS case_id,
+  'Predicted text does not exactly match the reference.' AS message
+FROM (SELECT DISTINCT query_id, c.citation_index, c.chunk_id, c.excerpt_start, c.excerpt_end, c.excerpt FROM (SELECT query_id, unnest(citations) AS c FROM answers)) a
+JOIN (SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1) t ON t.chunk_id = a.chunk_id
+WHERE coalesce(substring(text, excerpt_start + 1, excerpt_end - excerpt_start), '') <> coalesce(excerpt, '')""")
+def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = F.coalesce("reference", F.lit("")) == F.coalesce("hypothesis", F.lit(""))
+    return quality.text_findings(_excerpt_pairs(spark, sf_dir).select("case_id", same.alias("exact_match")))
+
+
+@query(f"""{_EXPECTED},
+findings AS (
+  SELECT 'retrieval_zero_recall' AS code, 'warning' AS severity, 'retrieval' AS dimension, query_id AS case_id,
+    'No judged relevant chunk was retrieved at the configured cutoff.' AS message FROM cases WHERE recall = 0
+  UNION ALL SELECT 'citation_not_judged_relevant', 'warning', 'provenance', query_id, 'The answer cites a chunk not judged relevant for this case.' FROM scores WHERE cited > joint
+  UNION ALL SELECT 'relevant_evidence_not_cited', 'warning', 'provenance', query_id, 'The answer omits at least one judged relevant chunk.' FROM scores WHERE relevant > joint
+  UNION ALL SELECT 'false_answer', 'error', 'safety', case_id, 'The system answered a case expected to abstain.' FROM judging WHERE status = 'answered' AND expected_status <> 'answered'
+  UNION ALL SELECT 'unexpected_abstention', 'error', 'safety', case_id, 'The system abstained from a case expected to be answered.' FROM judging
+    WHERE status <> 'answered' AND expected_status = 'answered'
+  UNION ALL SELECT 'answer_exact_mismatch', 'warning', 'answer', case_id, 'Answer text is outside the case''s accepted exact-answer set.' FROM judging
+    WHERE len(acceptable) > 0 AND NOT coalesce(list_contains(acceptable, answer), false))
+SELECT * FROM findings""")
+def quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases, scores, answered, _ = _cases(spark, sf_dir)
+    parts = quality.retrieval_findings(cases), quality.citation_findings(scores), quality.answer_findings(answered)
+    return quality.ordered_findings(reduce(DataFrame.unionByName, parts))
+
+
+#: Gates and rules of regression that the reports below are made with, and what is compared with.
+GATES = (
+    ("retrieval.mean_recall", "minimum", 0.5, 1), ("safety.false_answer_rate", "maximum", 0.05, 1), ("provenance.supported_answer_rate", "minimum", 1.0, 1),
+    ("cost.external_requests", "maximum", 0.0, 1), ("text.exact_match_rate", "minimum", 0.9, 1), ("answer.status_accuracy", "minimum", 0.1, 1_000_000),
+)
+RULES = (
+    ("retrieval.mean_recall", 0.02, 1), ("retrieval.mean_ndcg", 1.0, 1), ("safety.false_answer_rate", 0.01, 1), ("cost.query_tokens", 0.0, 1),
+    ("human.mean_relevance", 0.1, 1), ("provenance.citation_recall", 0.5, 1_000_000),
+)
+BASELINE = (("retrieval.mean_recall", 0.99, 50), ("retrieval.mean_ndcg", 0.9, 50), ("safety.false_answer_rate", 0.5, 50), ("cost.query_tokens", 10.0, 50), ("provenance.citation_recall", 0.9, 50))
+
+
+def _values(rows: tuple) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows) + ")"
+
+
+_GATED = f"""{_EXPECTED},
+gated AS (SELECT g.metric, g.comparator, g.threshold, g.minimum_samples, known, CASE WHEN known THEN round(value, 9) END AS value, CASE WHEN known THEN sample_count ELSE 0 END AS sample_count,
+  CASE WHEN NOT known THEN 'not_evaluated' WHEN (comparator = 'minimum' AND round(value, 12) >= threshold) OR (comparator = 'maximum' AND round(value, 12) <= threshold) THEN 'passed' ELSE 'failed' END AS status
+  FROM (SELECT g.*, o.value, o.sample_count, coalesce(o.sample_count >= g.minimum_samples, false) AS known
+    FROM {_values(GATES)} g(metric, comparator, threshold, minimum_samples) LEFT JOIN observations o ON o.metric = g.metric) g),
+ruled AS (SELECT r.metric, maximum_degradation, CASE WHEN known THEN round(loss, 9) END AS degradation,
+  CASE WHEN NOT known THEN 'not_evaluated' WHEN loss <= maximum_degradation THEN 'passed' ELSE 'failed' END AS status
+  FROM (SELECT r.*, round((b.value - o.value) * d.direction, 12) AS loss,
+      coalesce(least(o.sample_count, b.samples) >= r.minimum_samples, false) AND d.direction <> 0 AND o.metric IS NOT NULL AND b.metric IS NOT NULL AS known
+    FROM {_values(RULES)} r(metric, maximum_degradation, minimum_samples) LEFT JOIN observations o ON o.metric = r.metric
+    LEFT JOIN {_values(BASELINE)} b(metric, value, samples) ON b.metric = r.metric
+    LEFT JOIN {_values(tuple((m, d) for m, d, _, _ in quality.TABLE))} d(metric, direction) ON d.metric = r.metric) r)"""
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(gate results, regression results)."""
+    seen = cut(_cases(spark, sf_dir)[3])
+    gates = quality.gates(spark.createDataFrame(GATES, "metric STRING, comparator STRING, threshold DOUBLE, minimum_samples INT"), seen)
+    rules = spark.createDataFrame(RULES, "metric STRING, maximum_degradation DOUBLE, minimum_samples INT")
+    return gates, quality.regressions(rules, seen, spark.createDataFrame(BASELINE, "metric STRING, value DOUBLE, sample_count LONG"))
+
+
+@query(f"{_GATED} SELECT metric, comparator, threshold, minimum_samples, value, sample_count, status FROM gated")
+def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reports(spark, sf_dir)[0].withColumn("value", F.round("value", 9))
+
+
+@query(f"{_GATED} SELECT metric, maximum_degradation, degradation, status FROM ruled")
+def quality_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reports(spark, sf_dir)[1].select("metric", "maximum_degradation", F.round("degradation", 9).alias("degradation"), "status")
+
+
+@query(f"""{_GATED},
+every AS (SELECT status FROM gated UNION ALL SELECT status FROM ruled)
+SELECT CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (status = 'not_evaluated') > 0 THEN 'incomplete'
+  WHEN count(*) > 0 THEN 'passed' ELSE 'observational' END AS status,
+  (SELECT string_agg('Quality gate failed for ' || metric || '.', ' ' ORDER BY metric) FROM gated WHERE status = 'failed') AS gate_messages,
+  (SELECT string_agg('Metric regressed beyond tolerance: ' || metric || '.', ' ' ORDER BY metric) FROM ruled WHERE status = 'failed') AS regression_messages FROM every""")
+def quality_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's status and the messages of what failed."""
+    gates, rules = _reports(spark, sf_dir)
+
+    def messages(found: DataFrame, name: str) -> DataFrame:
+        joined = F.array_join(F.array_sort(F.collect_list("message")), " ")
+        return found.agg(F.when(F.count("*") > 0, joined).alias(name))
+
+    # one row each
+    return quality.report_status(gates, rules).join(messages(quality.gate_findings(gates), "gate_messages")).join(
+        messages(quality.regression_findings(rules), "regression_messages")
     )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+
+@query("SELECT * FROM " + _values(tuple((m, d, low, -1.0 if high is None else high) for m, d, low, high in quality.TABLE)) + " m(metric, direction, lower, upper)")
+def metric_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric with its direction and bounds; an upper bound of -1 is none."""
+    return quality.metric_table(spark).fillna(-1.0, ["upper"])
 
 
 # events
@@ -587,3 +760,95 @@ def span_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg("confidence"), 12).alias("mean_confidence"),
         F.count_if(F.col("confidence").isNull()).alias("without_confidence"),
     )
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' END AS media_type FROM documents""")
+def sniffed_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media types by first bytes, of texts behind the first bytes of a type or of none."""
+    head = F.element_at(F.array(*(F.unhex(F.lit(x)) for x in ("255044462D312E37", "89504E470D0A1A0A", "FFD8FFE000104A46", "20255044462D"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    content = F.concat(head, F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", documents.media_type(content).alias("media_type"))
+
+
+@query("""
+SELECT DISTINCT f.chunk_id AS document_id, m.fingerprint IS NOT NULL AS has_manifest, coalesce(strlen(f.text) = m.size, false) AS same_size, coalesce(sha256(f.text) = m.fingerprint, false) AS same_digest
+FROM chunks f LEFT JOIN (SELECT chunk_id, min(content_fingerprint) AS fingerprint, min(character_count) AS size FROM chunks GROUP BY 1) m ON m.chunk_id = f.chunk_id""")
+def verified_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as stored files, verified by the size and digest that are stored of them."""
+    chunks = table(spark, sf_dir, "chunks")
+    content = F.encode("text", "UTF-8")
+    files = chunks.select(F.col("chunk_id").alias("document_id"), F.octet_length("text").alias("length"), content.alias("content"))
+    stored = chunks.groupBy(F.col("chunk_id").alias("document_id")).agg(F.min("content_fingerprint").alias("fingerprint"), F.min("character_count").alias("byte_size"))
+    return documents.verified(files, stored).distinct()
+
+
+@query("""
+SELECT DISTINCT o.page_id, o.page_number, CASE WHEN t.page_id IS NULL THEN 'missing_parent' ELSE 'mismatch' END AS "break" FROM page_ocr o
+LEFT JOIN (SELECT page_id, min(page_number) AS page_number FROM page_text GROUP BY 1) t ON t.page_id = o.page_id
+WHERE t.page_id IS NULL OR o.page_number IS DISTINCT FROM t.page_number""")
+def ocr_link_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised pages whose page or number isn't that of the text artifact."""
+    parent = table(spark, sf_dir, "page_text").groupBy("page_id").agg(F.min("page_number").alias("page_number"))
+    child = table(spark, sf_dir, "page_ocr").select("page_id", "page_number").distinct()
+    return documents.provenance_breaks(child, parent, "page_id", ("page_number", "page_number"))
+
+
+@query(nested_queries._CTE + """,
+sized AS (SELECT record_id, p->>'page_id' AS page_id, CAST(p->>'width' AS DOUBLE) AS w, CAST(p->>'height' AS DOUBLE) AS h, p->>'dimension_unit' AS u,
+  CAST(p->>'source_rotation_degrees' AS INT) AS d FROM pages),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY record_id NULLS FIRST, w NULLS FIRST, h NULLS FIRST, u NULLS FIRST, d NULLS FIRST) AS k FROM sized WHERE page_id IS NOT NULL) WHERE k = 1)
+SELECT DISTINCT s.record_id, s.page_id, coalesce(abs(s.w - f.w) <= greatest(1e-6, greatest(abs(s.w), abs(f.w)) * 1e-9), s.w IS NOT DISTINCT FROM f.w)
+  AND coalesce(abs(s.h - f.h) <= greatest(1e-6, greatest(abs(s.h), abs(f.h)) * 1e-9), s.h IS NOT DISTINCT FROM f.h) AS same_size,
+  s.u IS NOT DISTINCT FROM f.u AS same_unit, s.d IS NOT DISTINCT FROM f.d AS same_rotation FROM sized s JOIN first f ON f.page_id = s.page_id""")
+def structure_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured pages against their first delivery."""
+    return pages.structure_audit(nested.subtype_table(table(spark, sf_dir, "artifact_records"), "page"))
+
+
+@query(f"""
+SELECT chunk_id, count(*) AS fragments, count(*) FILTER (NOT coalesce(f.bounding_box.x0 >= b.x0 AND f.bounding_box.top >= b.top AND f.bounding_box.x1 <= b.x1 AND f.bounding_box.bottom <= b.bottom, false)) AS outside
+FROM (SELECT c.chunk_id, c.f, b.b FROM {_FRAGMENTS} c JOIN (SELECT chunk_id, min(bounding_box) AS b FROM chunks GROUP BY 1) b ON b.chunk_id = c.chunk_id) GROUP BY 1""")
+def fragments_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments whose box isn't within that of their chunk."""
+    chunks = table(spark, sf_dir, "chunks")
+    each = chunks.select("chunk_id", "text", "fragments").distinct().select("chunk_id", F.explode("fragments").alias("f"))
+    joined = each.join(chunks.groupBy("chunk_id").agg(F.min("bounding_box").alias("b")), "chunk_id")
+    inside = F.coalesce(pages.box_within(F.col("f.bounding_box"), F.col("b")), F.lit(False))
+    return joined.groupBy("chunk_id").agg(F.count("*").alias("fragments"), F.count_if(~inside).alias("outside"))
+
+
+@query("""
+SELECT DISTINCT span_id, bounding_box.x0 * 0.5 AS x0, bounding_box.top * 2 AS top, bounding_box.x1 * 0.5 AS x1, bounding_box.bottom * 2 AS bottom FROM spans WHERE bounding_box IS NOT NULL""")
+def quad_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of spans from their corners, scaled."""
+    b = F.col("bounding_box")
+    quad = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((b.x1, b.bottom), (b.x0, b.bottom), (b.x0, b.top), (b.x1, b.top))))
+    rows = table(spark, sf_dir, "spans").filter(b.isNotNull())
+    return rows.select("span_id", pages.quad_box(quad, F.lit(0.5), F.lit(2.0)).alias("q")).select("span_id", "q.*").distinct()
+
+
+@query(nested_queries._CTE + """,
+boxed AS (SELECT record_id, n AS page_number, """ + nested_queries._box("t") + """ FROM tables)
+SELECT record_id, page_number, x0, top, x1, bottom, row_number() OVER (PARTITION BY record_id, page_number ORDER BY top NULLS FIRST, x0 NULLS FIRST, bottom NULLS FIRST, x1 NULLS FIRST) AS table_index FROM boxed""")
+def table_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of structured pages numbered by place."""
+    found = nested.subtype_table(table(spark, sf_dir, "artifact_records"), "table")
+    found = found.select("record_id", F.col("idx1").alias("page_number"), F.concat_ws("-", "record_id", F.coalesce(F.col("idx1").cast("string"), F.lit(""))).alias("page_id"), "bounding_box")
+    return pages.table_order(found).select("record_id", "page_number", "bounding_box.x0", "bounding_box.top", "bounding_box.x1", "bounding_box.bottom", "table_index")
+
+
+@query("""
+SELECT corpus_id, page_id, count(DISTINCT page_chunk_index) AS chunks, coalesce(min(page_chunk_index) = 1 AND max(page_chunk_index) = count(DISTINCT page_chunk_index), false) AS contiguous
+FROM chunks GROUP BY 1, 2""")
+def page_index_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.page_index_gaps(table(spark, sf_dir, "chunks"))
+
+
+@query("""
+WITH each AS (SELECT corpus_id, page_id, chunk_id, max(coalesce(len(fragments), 0)) AS f, max(coalesce(length(text), 0)) AS c FROM chunks GROUP BY 1, 2, 3),
+pages AS (SELECT corpus_id, page_id, count(*) AS n, sum(f) AS f, sum(c) AS c FROM each GROUP BY 1, 2)
+SELECT corpus_id, CAST(sum(n) AS BIGINT) AS chunks, max(n) AS page_chunks, CAST(sum(f) AS BIGINT) AS fragments, CAST(sum(c) AS BIGINT) AS characters,
+  (sum(n) > 100000 OR max(n) > 10000 OR sum(f) > 1000000 OR sum(c) > 50000000) AS violation FROM pages GROUP BY 1""")
+def corpus_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.corpus_limits(table(spark, sf_dir, "chunks"))

@@ -34,6 +34,32 @@ def test_citation_scores_and_findings(spark):
     assert {r.metric: r.value for r in quality.answer_observations(cases).collect()} == {"answer.status_accuracy": 0.0, "answer.exact_match_rate": 0.0, "safety.false_answer_rate": 1.0}
 
 
+def test_findings_of_every_kind(spark):
+    texts = spark.createDataFrame([("t1", True), ("t2", False)], "case_id STRING, exact_match BOOLEAN")
+    cases = spark.createDataFrame([("q1", 0.0), ("q2", 0.5)], "query_id STRING, recall DOUBLE")
+    made = spark.createDataFrame([("q1", ["a", "b"]), ("q2", ["c"])], "query_id STRING, chunk_ids ARRAY<STRING>")
+    judged = spark.createDataFrame([("q1", "a"), ("q2", "c"), ("q2", "d")], "query_id STRING, chunk_id STRING")
+    results = spark.createDataFrame([("retrieval.mean_recall", "failed"), ("text.exact_match_rate", "passed")], "metric STRING, status STRING")
+    reviews = spark.createDataFrame([("r", 2, 5, 5, 5), ("s", 3, 3, 3, 3)], "case_id STRING, relevance INT, correctness INT, completeness INT, traceability INT")
+    parts = [quality.text_findings(texts), quality.retrieval_findings(cases), quality.citation_findings(quality.citation_scores(made, judged))]
+    parts += [quality.gate_findings(results), quality.regression_findings(results), quality.low_reviews(reviews)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    got = [(r.dimension, r.case_id, r.code) for r in quality.ordered_findings(every).collect()]
+    assert got == [
+        ("human", "r", "low_human_review_score"), ("provenance", "q1", "citation_not_judged_relevant"), ("provenance", "q2", "relevant_evidence_not_cited"),
+        ("regression", None, "quality_regression"), ("retrieval", None, "quality_gate_failed"), ("retrieval", "q1", "retrieval_zero_recall"), ("text", "t2", "text_mismatch"),
+    ]
+    assert {r.message for r in quality.gate_findings(results).collect()} == {"Quality gate failed for retrieval.mean_recall."}
+
+
+def test_bounds_and_directions(spark):
+    seen = spark.createDataFrame([("text.exact_match_rate", 1.1, 1), ("human.mean_relevance", 0.5, 1), ("cost.query_tokens", 1e9, 1), ("unknown", 0.0, 1), ("retrieval.mean_recall", None, 1)], "metric STRING, value DOUBLE, sample_count LONG")
+    assert {r.metric for r in quality.out_of_bounds(seen).collect()} == {"text.exact_match_rate", "human.mean_relevance", "unknown", "retrieval.mean_recall"}
+    assert quality.metric_table(spark).count() == 24
+
+
 def test_canonical_json(spark):
     assert text.canonical_json({"b": 1e-05, "a": "é\x1b", "n": None}) == '{"a":"é\\u001b","b":1e-05,"n":null}'
     with pytest.raises(ValueError):
