@@ -170,15 +170,16 @@ def _edges(lines: list, width: int) -> list[dict]:
     return out
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, large: bool) -> DataFrame:
     """The inner join with ``right``, whose keys are unique and whose column ``rows`` tells how large their groups are.
 
-    Large groups don't go to one task: the few rows of ``right`` they belong to are broadcast. There are at most as many
-    as ``left`` has rows by ``HOT``; if they are too many for that, AQE has to split them.
+    Where there are ``large`` groups they don't go to one task: the few rows of ``right`` they belong to are broadcast. There
+    are at most as many as ``left`` has rows by ``HOT``; if they are too many for that, AQE has to split them.
     """
+    if not large:
+        return left.join(right, keys)
     hot = right.filter(F.col(rows) > HOT)
-    found = hot.select(*keys).limit(HOT + 1).count()
-    if not 0 < found <= HOT:
+    if hot.select(*keys).limit(HOT + 1).count() > HOT:
         return left.join(right, keys)
     cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.filter(F.col(rows) <= HOT), keys)
     return left.join(F.broadcast(hot), keys).unionByName(cold)
@@ -218,9 +219,11 @@ def edge_kinds(pages: DataFrame) -> DataFrame:
     per_doc = edges.groupBy("document_id").agg(F.min(F.when(first, F.struct("line_index", "g", "page_id"))).alias("t"))
     most = counts.filter("g like '#%' and g <> '#?'").groupBy("document_id").agg(F.max("pages").alias("most"))
     size = pages.groupBy("document_id").agg(F.count_distinct("page_id").alias("of"))
+    # a form is on no more pages than its document has
+    large = size.filter(F.col("of") > HOT).limit(1).count() > 0
     half = F.floor(F.col("page_number") / (NEIGHBOURS // 2))
     texts = edges.filter(~F.col("g").startswith("#") & F.col("page_number").isNotNull())
-    texts = _join(texts, size.filter(F.col("of") > NEIGHBOURS), ["document_id"], "of")
+    texts = _join(texts, size.filter(F.col("of") > NEIGHBOURS), ["document_id"], "of", large)
     near = texts.select("document_id", "g", "page_id", F.explode(F.array(half - 1, half)).alias("range")).groupBy("document_id", "g", "range")
     near = near.agg(F.count_distinct("page_id").alias("near")).filter(F.col("near") >= REPEATED * NEIGHBOURS).select("document_id", "g", F.lit(True).alias("near")).distinct()
     per_doc = per_doc.join(most, "document_id", "left").join(size, "document_id", "left").select(
@@ -232,7 +235,7 @@ def edge_kinds(pages: DataFrame) -> DataFrame:
     far = F.when(near_length, F.levenshtein("g", "name") <= most_edits).otherwise(near_length)
     shared = (F.col("pages") >= 2) & (F.col("pages") >= REPEATED * F.col("of")) | F.col("near").isNotNull()
     is_number = F.col("g").startswith("#")
-    forms = _join(counts, per_doc, ["document_id"], "of").join(near, ["document_id", "g"], "left").select(
+    forms = _join(counts, per_doc, ["document_id"], "of", large).join(near, ["document_id", "g"], "left").select(
         "document_id", "g", "pages", "title_page", "title_line",
         (~is_number & F.coalesce(far | shared, F.lit(False))).alias("header"),
         (is_number & (F.col("pages") == 1) & F.coalesce(F.col("most") >= 3, F.lit(False))).alias("alone"),
@@ -243,7 +246,7 @@ def edge_kinds(pages: DataFrame) -> DataFrame:
         .when(F.col("header"), "header")
         .when(F.col("number").isNotNull() & ~(F.col("plain") & F.col("alone")) & ~(F.col("maybe") & (F.col("pages") < 2) & (F.col("g") != "#0")), "page_number")
     )
-    kinds = _join(edges, forms, ["document_id", "g"], "pages").select("page_id", "line_index", "n", kind.alias("kind")).filter("kind is not null")
+    kinds = _join(edges, forms, ["document_id", "g"], "pages", large).select("page_id", "line_index", "n", kind.alias("kind")).filter("kind is not null")
     outer = (F.col("line_index") == 1) | (F.col("line_index") == F.col("n"))
     # an inner line needs its outer neighbour: both are in the page's at most four rows
     mine = Window.partitionBy("page_id")
