@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import BLANK
+
 METRICS = ("precision", "recall", "reciprocal_rank", "average_precision", "ndcg")
 
 
@@ -60,14 +62,34 @@ def edits(a: list | str, b: list | str) -> int:
 
 
 @F.pandas_udf(T.IntegerType())
-def word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance over blank-separated words."""
+def _long_word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else edits(x.split(), y.split()) for x, y in zip(a, b)], dtype="Int32")
 
 
-@F.pandas_udf(T.IntegerType())
-def word_count(a: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else len(x.split()) for x in a], dtype="Int32")
+def words(text: Column) -> Column:
+    """Blank-separated words."""
+    return F.filter(F.split(text, f"[{BLANK}]+"), lambda w: w != "")
+
+
+def word_edits(a: Column | str, b: Column | str) -> Column:
+    """Edit distance over blank-separated words: that of strings in which each distinct word of both is one character.
+
+    All in the JVM; only pairs with more distinct words than there are two-byte characters go to Python.
+    """
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    known = F.array_distinct(F.concat(words(a), words(b)))
+    most = 0xD7FF
+
+    def coded(text: Column) -> Column:
+        one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w)), 4, "0")), "UTF-16BE")
+        return F.array_join(F.transform(words(text), one), "")
+
+    few = F.size(known) <= most
+    return F.coalesce(F.when(few, F.levenshtein(coded(a), coded(b))), _long_word_edits(F.when(~few, a), F.when(~few, b)))
+
+
+def word_count(text: Column | str) -> Column:
+    return F.size(words(F.col(text) if isinstance(text, str) else text))
 
 
 def error_rate(wrong: Column, length: Column) -> Column:

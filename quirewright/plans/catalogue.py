@@ -186,9 +186,37 @@ def span_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 # corpora
 
 
-@query()
+def _packing(limits: str) -> str:
+    """Packing one fragment a step: ``limits`` gives (key, page_id, size) of what is to be packed.
+
+    ``packed`` has a row for each fragment: the chunk it goes to, the separator before it and its slice.
+    """
+    return f"""
+RECURSIVE limits AS ({limits}),
+ordered AS (SELECT l.key, l.size, s.page_id, s.source, s.text, s.span_id, row_number() OVER (PARTITION BY l.key, s.page_id
+    ORDER BY CASE WHEN s.source = 'embedded_word' THEN 0 ELSE 1 END, s.span_index, s.span_id) AS k
+  FROM (SELECT page_id, span_id, min(span_index) AS span_index, min(source) AS source, min(text) AS text FROM spans WHERE coalesce(text, '') <> '' GROUP BY 1, 2) s
+  JOIN limits l ON l.page_id = s.page_id),
+steps AS (
+  SELECT key, page_id, 1::BIGINT AS k, 0::BIGINT AS pos, 1 AS chunk, 0::BIGINT AS filled, 0 AS fragments, NULL::VARCHAR AS before, NULL::VARCHAR AS piece, 0 AS n FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT key, page_id, CASE WHEN closes THEN k WHEN pos + take = length(text) THEN k + 1 ELSE k END, CASE WHEN closes THEN pos WHEN pos + take = length(text) THEN 0 ELSE pos + take END,
+    CASE WHEN closes THEN chunk + 1 ELSE chunk END, CASE WHEN closes THEN 0 ELSE filled + gap + take END, CASE WHEN closes THEN 0 ELSE fragments + 1 END,
+    CASE WHEN closes THEN NULL ELSE source END, CASE WHEN closes THEN NULL ELSE substring(lines, 1, gap) || substring(text, pos + 1, take) END, n + 1
+  FROM (SELECT *, fragments > 0 AND (filled + gap >= size OR fragments = 10000) AS closes, least(length(text) - pos, size - filled - gap) AS take FROM (
+    SELECT s.*, o.source, o.text, o.size, CASE WHEN s.fragments = 0 THEN 0 ELSE 1 END AS gap,
+      CASE WHEN s.before = 'embedded_word' AND o.source = 'embedded_word' THEN ' ' ELSE chr(10) END AS lines
+    FROM steps s JOIN ordered o ON o.key = s.key AND o.page_id = s.page_id AND o.k = s.k))),
+packed AS (SELECT key, page_id, chunk, string_agg(piece, '' ORDER BY n) AS text, count(*) AS fragments FROM steps WHERE piece IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+@query("WITH " + _packing("SELECT DISTINCT 0 AS key, page_id, 4000 AS size FROM spans") + """,
+numbered AS (SELECT p.*, s.document_id, s.page_number, row_number() OVER (PARTITION BY document_id ORDER BY page_number, p.page_id, chunk) AS chunk_index
+  FROM packed p JOIN (SELECT DISTINCT document_id, page_id, page_number FROM spans) s ON s.page_id = p.page_id)
+SELECT document_id, page_id, page_number, chunk AS page_chunk_index, chunk_index, 'chunk-sha256-' || sha256(document_id || ':' || chunk_index) AS chunk_id, text,
+  length(text) AS character_count, sha256(text) AS content_fingerprint, fragments FROM numbered""")
 def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.number_chunks(chunking.pack_pages(table(spark, sf_dir, "spans")))
+    return chunking.number_chunks(chunking.pack_pages(table(spark, sf_dir, "spans"))).withColumn("fragments", F.size("fragments"))
 
 
 @query("""
@@ -503,7 +531,11 @@ def citation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.citation_audit(table(spark, sf_dir, "answers"), table(spark, sf_dir, "chunks"), terms)
 
 
-@query()
+@query("""
+WITH each AS (SELECT DISTINCT query_id, status, answer, citations FROM answers),
+joined AS (SELECT *, coalesce(len(citations), 0) AS n, array_to_string(list_transform(citations, lambda c: c.excerpt), chr(10)) AS whole FROM each)
+SELECT DISTINCT query_id, status, n AS citation_count, (n = 0 AND answer IS NULL) OR coalesce(whole IS NOT DISTINCT FROM answer, false) AS joined_answer,
+  (status = 'answered') = (n > 0) AS status_agrees FROM joined""")
 def answer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.answer_audit(table(spark, sf_dir, "answers"))
 
@@ -532,9 +564,28 @@ def _excerpt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+# the engine's distance is over bytes: each distinct character, and each distinct word, of a pair becomes one byte
+_ERRORS = rf"""
+WITH pairs AS (
+  SELECT query_id || '#' || citation_index AS case_id, coalesce(substring(text, excerpt_start + 1, excerpt_end - excerpt_start), '') AS a, coalesce(excerpt, '') AS b
+  FROM (SELECT DISTINCT query_id, c.citation_index, c.chunk_id, c.excerpt_start, c.excerpt_end, c.excerpt FROM (SELECT query_id, unnest(citations) AS c FROM answers)) x
+  JOIN (SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1) t ON t.chunk_id = x.chunk_id),
+split AS (SELECT *, list_distinct(string_split(a || b, '')) AS signs, list_filter(string_split_regex(a, '{_BLANK}+'), lambda w: w <> '') AS wa,
+  list_filter(string_split_regex(b, '{_BLANK}+'), lambda w: w <> '') AS wb FROM pairs),
+coded AS (SELECT *, list_distinct(wa || wb) AS known,
+  levenshtein(array_to_string(list_transform(string_split(a, ''), lambda c: chr(CAST(list_position(signs, c) AS INT))), ''),
+    array_to_string(list_transform(string_split(b, ''), lambda c: chr(CAST(list_position(signs, c) AS INT))), '')) AS characters FROM split),
+counted AS (SELECT case_id, a = b AS exact_match, characters, length(a) AS n, len(wa) AS m,
+  levenshtein(array_to_string(list_transform(wa, lambda w: chr(CAST(list_position(known, w) AS INT))), ''),
+    array_to_string(list_transform(wb, lambda w: chr(CAST(list_position(known, w) AS INT))), '')) AS words FROM coded),
+errors AS (SELECT case_id, exact_match, CASE WHEN n > 0 THEN characters / n WHEN characters = 0 THEN 0 ELSE 1 END AS character_error_rate,
+  CASE WHEN m > 0 THEN words / m WHEN words = 0 THEN 0 ELSE 1 END AS word_error_rate FROM counted)"""
+
+
+@query(f"{_ERRORS} SELECT case_id, exact_match, round(character_error_rate, 9) AS character_error_rate, round(word_error_rate, 9) AS word_error_rate FROM errors")
 def excerpt_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.text_errors(_excerpt_pairs(spark, sf_dir))
+    errors = evaluation.text_errors(_excerpt_pairs(spark, sf_dir))
+    return errors.withColumns({c: F.round(c, 9) for c in ("character_error_rate", "word_error_rate")})
 
 
 _EXPECTED = f"""{_MADE},
@@ -583,10 +634,12 @@ def quality_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ordered_observations(_cases(spark, sf_dir)[3]).withColumn("value", F.round("value", 9))
 
 
-@query()
+@query(f"""{_ERRORS}
+SELECT 'text.' || unnest(['exact_match_rate', 'mean_character_error_rate', 'mean_word_error_rate']) AS metric,
+  round(unnest([avg(CAST(exact_match AS INT)), avg(character_error_rate), avg(word_error_rate)]), 9) AS value, count(*) AS sample_count FROM errors""")
 def text_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well cited excerpts agree with their chunks."""
-    return quality.text_observations(evaluation.text_errors(_excerpt_pairs(spark, sf_dir)))
+    return quality.text_observations(evaluation.text_errors(_excerpt_pairs(spark, sf_dir))).withColumn("value", F.round("value", 9))
 
 
 @query("""
@@ -724,7 +777,14 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # more audits
 
 
-@query()
+@query("WITH " + _packing("""
+  SELECT DISTINCT c.corpus_id AS key, c.page_id, coalesce(g.max_characters_per_chunk, 4000) AS size FROM chunks c
+  LEFT JOIN (SELECT config_id, min(max_characters_per_chunk) AS max_characters_per_chunk FROM corpus_configs GROUP BY 1) g ON g.config_id = c.config_id""") + """,
+stored AS (SELECT corpus_id, page_id, page_chunk_index, min(sha256(text)) AS stored FROM chunks GROUP BY 1, 2, 3),
+again AS (SELECT key, page_id, chunk, min(sha256(text)) AS again FROM packed GROUP BY 1, 2, 3)
+SELECT coalesce(s.corpus_id, a.key) AS corpus_id, count(stored) AS stored_chunks, count(*) FILTER (coalesce(stored = again, false)) AS same,
+  count(*) FILTER (NOT coalesce(stored = again, false)) AS different
+FROM stored s FULL JOIN again a ON s.corpus_id = a.key AND s.page_id = a.page_id AND s.page_chunk_index = a.chunk GROUP BY 1""")
 def corpus_rebuild_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored corpora against what packing their spans again gives."""
     chunks = table(spark, sf_dir, "chunks")
