@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import answers, chunking, evaluation, quality, retrieval
+from ..sources.files import write_bundle
 
 
 def corpus(spans: DataFrame, limit: int = chunking.LIMIT) -> DataFrame:
@@ -28,3 +29,11 @@ def report(made: DataFrame, hits: DataFrame, judgments: DataFrame, gates: DataFr
         quality.provenance_observations(quality.citation_scores(cited, judgments))
     )
     return seen, quality.gates(gates, seen)
+
+
+def store(spans: DataFrame, queries: DataFrame, scope: DataFrame, judgments: DataFrame, gates: DataFrame, path: str, top_k: int = 10) -> None:
+    """The whole path into a new bundle: chunks, hits, answers, observations and gate results, with their digests."""
+    chunks = corpus(spans)
+    _, hits, made = ask(queries, chunks, scope, top_k)
+    seen, results = report(made, hits, judgments, gates, top_k)
+    write_bundle({"chunks": chunks, "hits": hits, "answers": made, "observations": seen, "gates": results}, path)

@@ -39,15 +39,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables that ``cut`` has written and nobody has removed.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Removes the tables that ``cut`` has written in this driver, but for the first ``keep``; gives how many there were.
+
+    A long session takes ``written()`` before a job and releases what came after it when the job's result is stored.
+    """
+    gone = _WRITTEN[keep:]
+    del _WRITTEN[keep:]
+    for path in gone:
+        _remove(spark, path)
+    return len(gone)
+
+
+def written() -> int:
+    """Tables that ``cut`` has written and nobody has removed."""
+    return len(_WRITTEN)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, written as a table in the shared folder and read back.
 
-    A lost executor then costs no recomputation of what lies before. The table is removed when the driver ends.
+    A lost executor then costs no recomputation of what lies before. The table is removed when the driver ends, or by
+    ``release`` once nothing made from it is used any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quirewright-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _WRITTEN:
+        atexit.register(release, spark)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
