@@ -129,6 +129,12 @@ def build_classes(counts: dict[str, int]) -> Classes:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
+def _wholes(marked: str) -> tuple[str, ...]:
+    """Of a base with marks and of the base with the first of them, what has a whole form."""
+    return tuple(s for s in {marked, marked[:2]} if len(unicodedata.normalize("NFKC", s)) == 1)
+
+
 def count_forms(texts: DataFrame, col: str) -> DataFrame:
     """(form, n): how often each code point and each base with marks that has a whole form occurs.
 
@@ -144,7 +150,7 @@ def count_forms(texts: DataFrame, col: str) -> DataFrame:
                 for s in LIGATED:
                     n[s] += t.count(s)
                 if not t.isascii():
-                    n.update(s for m in MARKS.findall(t) for s in {m, m[:2]} if len(unicodedata.normalize("NFKC", s)) == 1)
+                    n.update(s for m in MARKS.findall(t) for s in _wholes(m))
             yield pd.DataFrame([(s, k) for s, k in n.items() if k], columns=["form", "n"])
 
     only = texts.select(F.col(col).alias("_t")).filter("_t is not null")
@@ -309,7 +315,7 @@ class Rewriter:
                 chars = set(text)
             if len({self.crossing[c] for c in chars if c in self.crossing}) > 1:
                 text = self._words(text)
-            if not text.isascii():
+            if not unicodedata.is_normalized("NFC", text):
                 text = self._stacked(text)
         chars = set(text)
         if chars & PERSIAN and chars & set(self.persian) and sum(map(text.count, PERSIAN)) > 2 * sum(map(text.count, "يكةى")):
