@@ -400,9 +400,11 @@ def page_facts(pages: DataFrame) -> DataFrame:
             for p, text, kinds, after in b[["page_id", "text", "kinds", "after"]].itertuples(index=False):
                 body = _body(text, kinds)
                 for i, line in body:
-                    if DIGIT.search(line) or SUSPECT.search(line):
+                    digits = DIGIT.search(line) is not None
+                    if digits or SUSPECT.search(line):
                         out += [("odd", p, i, seen, right, None, None, None) for seen, right in set(_suspects(line))]
                         shapes.update(_neighbours(line))
+                    if digits:
                         shapes.update(shape(x) for x in NUMBER.findall(line))
                 found, taken, stop = _divided(p, body, after)
                 out += [("divided", p, *d, None) for d in found]
@@ -492,24 +494,31 @@ def corrections(asked: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     known = lexicon.filter(F.col("n") >= LEAST).select(F.col("word").alias("right"), F.col("n").alias("often"), anagram_hash(F.col("word")).alias("target"))
     asked = asked.filter(F.length("word") >= 2).withColumn("hash", anagram_hash(F.col("word")))
+    most = lexicon.agg(F.max("n")).first()[0] or 0
+
+    def doubt(sure: int) -> Column:
+        return F.pow(F.lit(10.0), F.least(F.length("word") - sure, F.lit(0)))
+
+    def rare(share: float, sure: int) -> Column:
+        """Whether a word is rare beside the most frequent one; else none is frequent enough for it."""
+        return F.greatest("n", F.lit(1)) <= share * doubt(sure) * most
 
     def matched(tries: DataFrame, sure: int) -> DataFrame:
-        doubt = F.pow(F.lit(10.0), F.least(F.length("word") - sure, F.lit(0)))
         hit = tries.withColumn("target", (F.col("hash") + F.col("delta")) % PRIME).join(known, "target").filter(
             (F.col("word") != F.col("right"))
-            & (F.greatest("n", F.lit(1)) <= F.col("share") * doubt * F.col("often"))
+            & (F.greatest("n", F.lit(1)) <= F.col("share") * doubt(sure) * F.col("often"))
             & (F.levenshtein("word", "right") <= F.col("edits"))
         )
         best = F.max(F.struct("often", F.col("right").alias("right"), "kind"))
         return hit.groupBy("word").agg(best.alias("b")).select("word", F.col("b.right").alias("right"), F.col("b.kind").alias("kind"))
 
     one = fixed(singles, ["seen", "delta", "kind", "share", "edits"])
-    first = asked.select(
+    first = asked.filter(rare(max(SHARE.values()), SURE)).select(
         "*", F.inline(F.filter(one, lambda x: F.col("word").contains(x.seen)))
     )
     first = matched(first, SURE)
     two = fixed(doubles, ["seen", "seen2", "delta", "edits"])
-    left = asked.join(first, "word", "left_anti")
+    left = asked.filter(rare(SHARE_TWO, SURE_TWO)).join(first, "word", "left_anti")
     second = left.select(
         "*", F.inline(F.filter(two, lambda x: F.col("word").contains(x.seen) & F.col("word").contains(x.seen2)))
     )
