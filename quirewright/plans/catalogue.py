@@ -692,7 +692,7 @@ gated AS (SELECT g.metric, g.comparator, g.threshold, g.minimum_samples, known,
   CASE WHEN NOT known THEN 'not_evaluated' WHEN (comparator = 'minimum' AND round(value, 12) >= threshold) OR (comparator = 'maximum' AND round(value, 12) <= threshold) THEN 'passed' ELSE 'failed' END AS status
   FROM (SELECT g.*, o.value, o.sample_count, coalesce(o.sample_count >= g.minimum_samples, false) AS known
     FROM {_values(GATES)} g(metric, comparator, threshold, minimum_samples) LEFT JOIN observations o ON o.metric = g.metric) g),
-ruled AS (SELECT r.metric, maximum_degradation, CASE WHEN known THEN round(loss, 9) END AS degradation,
+ruled AS (SELECT r.metric, maximum_degradation, CASE WHEN known THEN round(loss, 9) + 0.0 END AS degradation,
   CASE WHEN NOT known THEN 'not_evaluated' WHEN loss <= maximum_degradation THEN 'passed' ELSE 'failed' END AS status
   FROM (SELECT r.*, round((b.value - o.value) * d.direction, 12) AS loss,
       coalesce(least(o.sample_count, b.samples) >= r.minimum_samples, false) AND d.direction <> 0 AND o.metric IS NOT NULL AND b.metric IS NOT NULL AS known
@@ -774,6 +774,23 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _micros(counts, window_start="window_us")
 
 
+#: A machine over the log's event types.
+MACHINE = (
+    ("visitor", "signup", "member"), ("member", "purchase", "buyer"), ("member", "error", "blocked"), ("buyer", "error", "blocked"),
+    ("blocked", "view", "member"), ("blocked", "click", "visitor"),
+)
+_MOVES = " ".join(f"WHEN s = '{a}' AND e = '{e}' THEN '{b}'" for a, e, b in MACHINE)
+
+
+@query(f"""
+SELECT user_id, list_reduce(list_prepend('visitor', list(event_type ORDER BY ts, event_id)), lambda s, e: CASE {_MOVES} ELSE s END) AS state,
+  count(*) AS events, epoch_us(max(ts)) AS last_us
+FROM (SELECT DISTINCT user_id, event_id, ts, event_type FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL) GROUP BY 1""")
+def event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state that each user's events lead to."""
+    return _micros(events.folded_states(table(spark, sf_dir, "events"), MACHINE, "visitor"), last_at="last_us")
+
+
 # more audits
 
 

@@ -9,7 +9,7 @@ from quirewright.functions.text import canonical_json, strict_json, tokenize
 from quirewright.operators.answers import fill
 from quirewright.operators.chunking import Packer
 from quirewright.operators.evaluation import edits
-from quirewright.operators.nested import Automaton, flatten
+from quirewright.operators.nested import Automaton, _parsed_deep, flatten
 
 plain = st.recursive(st.none() | st.booleans() | st.integers(-9, 9) | st.text(max_size=4), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.sampled_from(["pages", "page_number", "spans", "span_index", "tables", "cells", "rank", "hits", "retrieval", "citations", "artifact", "citation_index", "row_index", "column_index"]), x, max_size=5), max_leaves=25)
 
@@ -17,9 +17,10 @@ plain = st.recursive(st.none() | st.booleans() | st.integers(-9, 9) | st.text(ma
 @settings(max_examples=300, deadline=None)
 @given(plain)
 def test_flattening_never_fails_and_links_to_what_it_gave(value):
-    rows = list(flatten(json.dumps(value), Automaton()))
-    for child, i1, i2, _, _, parent, p1, p2, variant, body in rows:
-        assert child in ("page", "span", "table", "cell", "hit", "citation") and isinstance(json.loads(body), dict) and variant
+    rows, rejects = flatten(json.dumps(value), Automaton())
+    assert all(len(r) == 3 and r[0] for r in rejects)
+    for (child, i1, i2, _, _, parent, p1, p2, variant), body in rows:
+        assert child in ("page", "span", "table", "cell", "hit", "citation") and isinstance(body, dict) and variant
         if child in ("span", "table"):
             assert parent == "page" and p1 == i1
         if child == "cell":
@@ -61,3 +62,24 @@ def test_evidence_fits(texts, items, characters):
     assert len(got) <= items and len("\n".join(c["excerpt"] for c in got)) <= characters
     for c in got:
         assert c["excerpt"] and c["matched_terms"] and c["query_term_coverage"] >= 0.25
+
+
+@settings(max_examples=300, deadline=None)
+@given(plain | st.floats(allow_nan=False), st.sampled_from([None, 1]))
+def test_the_parser_of_deep_texts_reads_what_the_other_does(value, indent):
+    text = json.dumps(value, indent=indent)
+    assert _parsed_deep(text) == json.loads(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("[]{}:,\"a1 ", max_size=12))
+def test_both_parsers_refuse_the_same(text):
+    try:
+        want = json.loads(text)
+    except ValueError:
+        want = ValueError
+    try:
+        got = _parsed_deep(text)
+    except ValueError:
+        got = ValueError
+    assert got == want

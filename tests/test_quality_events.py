@@ -83,3 +83,40 @@ def test_events_and_stream(spark, tmp_path):
     q.awaitTermination(60)
     want = {tuple(r) for r in stream.windowed_counts(df, "10 minutes").collect()}
     assert {tuple(r) for r in spark.table("counts").collect()} == want
+
+
+MACHINE = (("new", "a", "on"), ("on", "b", "off"), ("off", "a", "on"), ("off", "b", "done"), ("on", "c", "new"))
+
+
+def brute_states(rows):
+    """States by one pass over each key's events in order."""
+    goes, out = {(s, e): t for s, e, t in MACHINE}, {}
+    for key, _, _, kind in sorted(set(rows), key=lambda r: (r[0], r[1], r[2])):
+        state, n = out.get(key, ("new", 0))
+        out[key] = (goes.get((state, kind), state), n + 1)
+    return out
+
+
+def test_states_are_folded_in_any_grouping(spark, tmp_path):
+    import random
+
+    random.seed(6)
+    rows = [(random.randint(1, 5), f"2024-01-{random.randint(1, 9):02d} {random.randint(0, 23):02d}:00:00", k, random.choice("abcx")) for k in range(300)]
+    rows += rows[:20]
+    df = spark.createDataFrame([(k, t, i, e) for k, t, i, e in rows] + [(None, "2024-01-01 00:00:00", 900, "a"), (1, None, 901, "a")], "user_id LONG, t STRING, event_id LONG, event_type STRING")
+    df = df.selectExpr("user_id", "timestamp(t) ts", "event_id", "event_type", "'clash' AS state")
+    want = brute_states(rows)
+    for bucket in ("1 hour", "1 day", "30 days"):
+        got = {r.user_id: (r.state, r.events) for r in events.folded_states(df, MACHINE, "new", bucket=bucket).collect()}
+        assert got == want
+    assert events.folded_states(df.limit(0), MACHINE, "new").count() == 0
+    folder = f"{tmp_path}/in"
+    for k, part in enumerate((df.filter("ts < '2024-01-05'"), df.filter("ts >= '2024-01-05' or ts is null"))):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = stream.state_stream(source, MACHINE, "new", late="30 days").writeStream.outputMode("update").format("memory").queryName("states").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    last = {}
+    for r in spark.table("states").collect():
+        last[r.user_id] = max(last.get(r.user_id, (0, "")), (r.events, r.state))
+    assert {k: (s, n) for k, (n, s) in last.items()} == want
