@@ -383,7 +383,10 @@ def fit(docs: DataFrame, col: str = "text", least_share: float = LEAST_SHARE) ->
 
 
 def _words_beside_marks(texts: DataFrame, least_share: float) -> frozenset[str]:
-    """The words that stand before or after a question mark without a blank, and more often by themselves."""
+    """The words that stand before or after a question mark without a blank, and more often by themselves.
+
+    ``least_share`` is of what stands between blanks.
+    """
     tokens = F.filter(F.split("_t", r"\s+"), lambda x: x.rlike(r"\?\p{Ll}") & ~x.rlike(ADDRESS))
     asked = texts.filter(F.col("_t").rlike(r"\?\p{Ll}")).select(F.explode(tokens).alias("_x"))
     sides = F.concat(F.regexp_extract_all("_x", F.lit(r"(\p{L}+)\?+(?=\p{Ll})"), F.lit(1)), F.regexp_extract_all("_x", F.lit(r"\?+(\p{Ll}\p{L}*)"), F.lit(1)))
@@ -391,8 +394,9 @@ def _words_beside_marks(texts: DataFrame, least_share: float) -> frozenset[str]:
     if asked.isEmpty():
         return frozenset()
     own = texts.select(F.explode(F.regexp_extract_all(F.lower("_t"), F.lit(r"(?<![\p{L}?])\p{L}+(?![\p{L}?])"), F.lit(0))).alias("word"))
-    counts = cut(own.groupBy("word").agg(F.count("*").alias("n")))
-    least = (counts.agg(F.sum("n")).first()[0] or 0) * least_share
+    # only words that are asked for are counted, so nothing else is shuffled
+    counts = own.join(asked.select("word"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    least = (texts.agg(F.sum(F.size(F.split("_t", r"\s+")))).first()[0] or 0) * least_share
     usual = counts.join(asked, "word").filter((F.col("n") >= F.greatest(F.lit(3), F.col("beside"))) & (F.col("n") >= least))
     return frozenset(r["word"] for r in bounded_rows(usual.select("word"), 1_000_000, "words"))
 
