@@ -116,56 +116,60 @@ class Index:
             ask = ask.withColumn("corpus_id", F.lit(ALL))
         else:
             ask = ask.join(scope.select("query_id", "corpus_id").distinct(), "query_id")
-        ask = cut(ask.select("query_id", "corpus_id", "term"))
-        # what is asked and what is counted of it are written tables: Catalyst broadcasts them if their files are small
+        ask = ask.select("query_id", "corpus_id", "term")
+        stats = F.broadcast(self.stats) if self.whole else self.stats  # one row if there is one corpus
         mine = self.postings.join(ask.select("corpus_id", "term").distinct(), ["corpus_id", "term"], "left_semi")
-        freq = cut(mine.groupBy("corpus_id", "term").agg(F.count("*").alias("df")))
-        stats = F.broadcast(self.stats) if self.whole else cut(self.stats)  # one row if there is one corpus
-        scored = self.postings.join(freq, ["corpus_id", "term"]).join(stats, "corpus_id")
-        part = term_score(*(F.col(c) for c in ("tf", "df", "n", "length", "avgdl")), k1, b)
-        scored = cut(scored.select("corpus_id", "term", "chunk_id", "chunk_index", "df", part.alias("part")))
-        most = scored.groupBy("corpus_id", "term").agg(F.max("part").alias("most"), F.max("df").alias("df"))
-        ask = cut(self._essential(ask.join(most, ["corpus_id", "term"]), scored, top_k))
-        chunk = ["query_id", "corpus_id", "chunk_id"]
-        found = scored.join(ask.filter("essential").select("query_id", "corpus_id", "term"), ["corpus_id", "term"])
-        found = cut(found.select(*chunk, "chunk_index", "term", "part"))
+        freq = mine.groupBy("corpus_id", "term").agg(F.count("*").alias("df"), F.max("tf").alias("tf"), F.min("length").alias("length")).join(stats, "corpus_id")
+        # no chunk adds more to a score than one with the most occurrences and the least length
+        values = [F.col(c) for c in ("tf", "df", "n", "length", "avgdl")]
+        freq = freq.select("corpus_id", "term", "df", "n", "avgdl", term_score(*values, k1, b).alias("most"))
+        # what is asked is a written table: Catalyst broadcasts it if its files are small
+        terms = cut(ask.join(freq, ["corpus_id", "term"]))
+        part = term_score(*values, k1, b).alias("part")
+        terms = cut(self._essential(terms, part, top_k))
+        chunk = ["query_id", "corpus_id", "chunk_id", "chunk_index"]
+        found = self.postings.join(terms.filter("essential").drop("essential", "most"), ["corpus_id", "term"]).select(*chunk, "term", part)
+        found = found.groupBy(*chunk).agg(F.collect_list(F.struct("term", "part")).alias("_parts"))
         # terms that can't make a candidate: looked up by term and chunk
-        rest = ask.filter(~F.col("essential")).select("query_id", "corpus_id", "term")
-        more = found.select(*chunk, "chunk_index").distinct().join(rest, ["query_id", "corpus_id"])
-        more = more.join(scored.select("corpus_id", "chunk_id", "term", "part"), ["corpus_id", "chunk_id", "term"])
-        hits = (
-            found.unionByName(more.select(*found.columns))
-            .groupBy(*chunk, "chunk_index")
-            .agg(F.round(F.sum("part"), 12).alias("score"), F.array_sort(F.collect_list("term")).alias("matched_terms"))
-            .filter("score > 0")
+        left = F.struct("term", "df", "n", "avgdl")
+        rest = terms.filter(~F.col("essential")).groupBy("query_id", "corpus_id").agg(F.collect_list(left).alias("_rest"))
+        each = found.join(rest, ["query_id", "corpus_id"], "left").select(*chunk, "_parts", F.inline_outer("_rest"))
+        each = each.join(self.postings.select("corpus_id", "chunk_id", "term", "tf", "length"), ["corpus_id", "chunk_id", "term"], "left").select(
+            *chunk, "_parts", "tf", F.struct("term", part).alias("_part")
+        )
+        # at most as many as the query's terms; added in their order, so the sum is the same however it was found
+        more = F.collect_list(F.when(F.col("tf").isNotNull(), F.col("_part")))
+        hits = each.groupBy(*chunk).agg(F.array_sort(F.concat(F.first("_parts"), more)).alias("_parts"))
+        hits = hits.select(
+            *chunk, F.round(F.aggregate("_parts", F.lit(0.0), lambda a, x: a + x.part), 12).alias("score"), F.transform("_parts", lambda x: x.term).alias("matched_terms")
         )
         order = Window.partitionBy("query_id", "corpus_id").orderBy(F.desc("score"), "chunk_index", "chunk_id")
-        ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+        ranked = hits.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
         return ranked.select("query_id", "corpus_id", "rank", "score", "chunk_id", "chunk_index", "matched_terms")
 
-    @staticmethod
-    def _essential(ask: DataFrame, scored: DataFrame, top_k: int) -> DataFrame:
-        """``ask`` (query_id, corpus_id, term, most, df) with ``essential``: whether a chunk with no term but this one and
-        those that add less may be among the best.
+    def _essential(self, terms: DataFrame, part: Column, top_k: int) -> DataFrame:
+        """``terms`` (query_id, corpus_id, term, df, n, avgdl, most) with ``essential``: whether a chunk with no term but this one
+        and those that add less may be among the best.
 
         The ``top_k``-th best sum of the rarest terms' parts is a score that ``top_k`` chunks reach; terms whose largest parts
         add up to less can't lift a chunk to it. A query has at most ``MAX_TOKENS`` rows here.
         """
         query = Window.partitionBy("query_id", "corpus_id")
         rarest = query.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
-        seeds = ask.withColumn("_sum", F.sum("df").over(rarest)).filter(F.col("_sum") <= SEEDS)
-        sums = scored.join(seeds.select("query_id", "corpus_id", "term"), ["corpus_id", "term"])
+        seeds = terms.withColumn("_sum", F.sum("df").over(rarest)).filter(F.col("_sum") <= SEEDS).drop("_sum", "most")
+        sums = self.postings.join(seeds, ["corpus_id", "term"]).select("query_id", "corpus_id", "chunk_id", part)
         sums = sums.groupBy("query_id", "corpus_id", "chunk_id").agg(F.sum("part").alias("sum"))
         place = F.row_number().over(query.orderBy(F.desc("sum")))
         reached = sums.withColumn("_place", place).filter(F.col("_place") == top_k).select("query_id", "corpus_id", F.col("sum").alias("reached"))
         weakest = query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-        rows = ask.join(reached, ["query_id", "corpus_id"], "left").withColumn("_most", F.sum("most").over(weakest))
+        rows = terms.join(reached, ["query_id", "corpus_id"], "left").withColumn("_most", F.sum("most").over(weakest))
         # a little less than reached, for scores are rounded
-        return rows.withColumn("essential", F.coalesce(F.col("_most") >= F.col("reached") * (1 - 1e-9) - 1e-9, F.lit(True))).drop("_sum", "_most", "reached")
+        return rows.withColumn("essential", F.coalesce(F.col("_most") >= F.col("reached") * (1 - 1e-9) - 1e-9, F.lit(True))).drop("_most", "reached")
 
     def provenance(self, hits: DataFrame) -> DataFrame:
         """``hits`` with the columns of their chunks: home_corpus_id, page_id, page_number, bounding_box, text, and the
         fingerprint of that text."""
+        hits = cut(hits)  # read for the chunks that are wanted and for the join with them
         carried = [c for c in ("page_id", "page_number", "bounding_box") if c in self.chunks.columns]
         wanted = hits.select("chunk_id").distinct()
         value = F.min(F.struct("text", "chunk_index", F.col("corpus_id").alias("home_corpus_id"), *carried)).alias("_c")

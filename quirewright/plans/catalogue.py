@@ -344,7 +344,7 @@ asked AS (SELECT t.query_id, s.corpus_id, unnest(t.terms) AS term FROM terms t J
 df AS (SELECT corpus_id, term, count(*) AS df FROM tf GROUP BY 1, 2),
 scored AS (
   SELECT a.query_id, a.corpus_id, f.chunk_id, f.chunk_index,
-    round(sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * f.tf * (1.2::DOUBLE + 1) / (f.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * f.length / s.avgdl))), 12) AS score,
+    round(list_sum(list(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * f.tf * (1.2::DOUBLE + 1) / (f.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * f.length / s.avgdl)) ORDER BY a.term)), 12) AS score,
     string_agg(a.term, ' ' ORDER BY a.term) AS matched_terms
   FROM asked a JOIN tf f ON f.corpus_id = a.corpus_id AND f.term = a.term JOIN df d ON d.corpus_id = a.corpus_id AND d.term = a.term
   JOIN stats s ON s.corpus_id = a.corpus_id GROUP BY 1, 2, 3, 4),
