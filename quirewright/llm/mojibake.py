@@ -127,7 +127,8 @@ def _unescape(text: str) -> Iterator[tuple[str, str]]:
     if "&" in text:
         yield "html", html.unescape(text)
     if "\\u" in text:
-        yield "backslash", re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)
+        units = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)
+        yield "backslash", units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")  # halves of a pair become one
     if re.search(r"%[0-9A-Fa-f]{2}%[0-9A-Fa-f]{2}", text):
         yield "percent", unquote(text, errors="replace")
     if re.search(r"=[0-9A-F]{2}=[0-9A-F]{2}", text):

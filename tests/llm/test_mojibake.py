@@ -108,3 +108,11 @@ def test_what_is_kept_changes_a_cost(spark):
     model = mojibake.fit(docs)
     pruned = mojibake.Plausibility(model.chars, {k: n for k, n in model.pairs.items() if n > 5}, model.total, model.known)
     assert model.total == sum(model.pairs.values()) and pruned.total == model.total
+
+
+def test_escaped_pairs_and_halves(model):
+    pair, half = "ok \\ud83d\\ude00 end", "ok \\ud83d end"
+    steps = dict(mojibake._unescape(pair))
+    assert steps["backslash"] == "ok \U0001f600 end"
+    for text in (pair, half):
+        assert mojibake.repair(text, model)[0].encode()  # nothing that no encoding has
