@@ -110,7 +110,7 @@ class Automaton:
             state = self._id(name if possible or not holds else "wrapper")
             if holds:
                 self.holding.add(state)
-            variant = name + "{" + ",".join(f"{k}:{self.names[s]}" for k, s in sorted(keyed)) + "}"
+            variant = _clean(name + "{" + ",".join(f"{k}:{self.names[s]}" for k, s in sorted(keyed)) + "}")
             known = self.objects[keyed] = (state, frozenset(possible), variant)
         return known
 
@@ -262,11 +262,22 @@ def _double(value: object) -> float | None:
         return None
 
 
+def _clean(text: str) -> str:
+    """``text`` with ``?`` for halves of surrogate pairs, which JSON can escape and no table can hold."""
+    try:
+        text.encode("utf-8")
+    except UnicodeEncodeError:
+        return text.encode("utf-8", "replace").decode("utf-8")
+    return text
+
+
 def _string(value: object) -> str | None:
-    if value is None or isinstance(value, str):
-        return value
+    if value is None:
+        return None
+    if isinstance(value, str):
+        return _clean(value)
     try:
-        return json.dumps(value, ensure_ascii=False)
+        return _clean(json.dumps(value, ensure_ascii=False))
     except RecursionError:
         return None
 

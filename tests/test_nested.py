@@ -133,3 +133,11 @@ def test_children_in_strings(spark):
     assert found[1, "span", 1][0].startswith("text:span{") and found[2, "span", 1][0].startswith("span{") and found[1, "cell", 2][0].startswith("cell{")
     boxed = json.dumps({"pages": PAGE | {"spans": {"span_index": 1, "bounding_box": "[1, 2, 3, 4]"}}})
     assert nested.subtype_table(spark.createDataFrame([(0, boxed, "x")], DDL), "span").first().bounding_box.x1 == 3.0
+
+
+def test_halves_of_pairs_and_odd_numbers(spark):
+    text = '{"pages": [{"page_number": 1, "k\\ud800": 1, "page_id": "a\\ud800b", "width": 1e999, "height": ' + "9" * 400 + ', "spans": [{"span_index": 1.5, "confidence": NaN, "text": {"t": "\\udfff"}}]}]}'
+    records = spark.createDataFrame([(1, text, "x")], DDL)
+    page = nested.subtype_table(records, "page").first()
+    assert page.page_id == "a?b" and "k?" in page.variant and page.width == float("inf") and page.height is None
+    assert nested.subtype_table(records, "span").first().idx2 == 1 and nested.children(records).count() == 2
