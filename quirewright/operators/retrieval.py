@@ -3,14 +3,18 @@
 Statistics are per corpus. A query is asked against given corpora, or against one made of all chunks. Terms are
 de-duplicated; scores are rounded to 12 digits; ties go to the lower chunk_index, then chunk_id.
 
-An ``Index`` tokenises the chunks once and holds, for each term of each chunk, what it adds to a score. ``search``
-finds the best chunks without joining frequent terms to all chunks that have them: a bound of the k-th best score
-comes from the rarest terms of a query; the terms that can't reach it together are left out of the search for
-candidates and only looked up for those found. The ranking is that of the whole corpus.
+An ``Index`` tokenises the chunks once. ``search`` deals parts of the chunks and groups of what is asked to cells, adds
+the scores of a cell in memory and shuffles only the numbers and scores of its best; names, texts and terms are joined
+to what is left. Every chunk that has a term is scored.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +24,8 @@ from ..session import cut
 K1, B, TOP_K = 1.2, 0.75, 10
 MAX_CHARACTERS, MAX_TOKENS = 10_000, 1000
 ALL = "all"
-#: Postings of a query's rarest terms that its bound is found with.
-SEEDS = 400
+#: Of a cell of the search at most: chunks, their tokens, and what is asked. SEEDS is of no effect any more.
+CHUNKS, TOKENS, ASKS, SEEDS = 65_536, 4_000_000, 100_000, 400
 
 
 def tokenized(df: DataFrame, text_col: str = "text", exact: bool = True) -> DataFrame:
@@ -84,8 +88,99 @@ def term_score(tf: Column, df: Column, n: Column, length: Column, avgdl: Column,
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The lengths of a column of lists, and all their elements."""
+    lists = column.combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+
+
+def cell_best(held: pa.Table, asked: pa.Table, top_k: int = TOP_K, k1: float = K1, b: float = B) -> pa.Table:
+    """(ask, nr, raw): the best chunks in ``held`` (corpus, unit, nr, length, avgdl, tokens) of every ask in ``asked`` (corpus, unit,
+    ask, terms in order, idf of each), with the unrounded scores.
+
+    Parts are added in the order of the terms, as everywhere. Chunks within rounding of the last are kept too, and of
+    exactly equal scores only the first ``top_k`` in order, for no other can be among the best.
+    """
+    out: tuple[list, list, list] = [], [], []
+    if held.num_rows and asked.num_rows:
+        # a cell may hold several parts and groups of a corpus: each is a corpus of its own here
+        names = np.unique(np.concatenate([x["corpus"].to_numpy() for x in (held, asked)]))
+        width = 1 + max(x["unit"].to_numpy().max() for x in (held, asked))
+        corpus, home = (np.searchsorted(names, x["corpus"].to_numpy()) * width + x["unit"].to_numpy() for x in (held, asked))
+        nr = held["nr"].to_numpy()
+        order = np.lexsort((nr, corpus))
+        held, corpus, nr = held.take(order), corpus[order], nr[order]
+        corpora, starts = np.unique(corpus, return_index=True)
+        ends = np.append(starts[1:], len(corpus))
+        length, avgdl = (held[c].to_numpy() for c in ("length", "avgdl"))
+        asks, place = asked["ask"].to_numpy(), np.minimum(np.searchsorted(corpora, home), len(corpora) - 1)
+        there = corpora[place] == home
+        home = place
+        # postings: one key for each term of a corpus, in it the chunks in order
+        many, words = _flat(asked["terms"])
+        vocabulary = words.unique()
+        counts, tokens = _flat(held["tokens"])
+        code = pc.fill_null(pc.index_in(tokens, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.repeat(np.arange(len(nr)), counts)
+        at, code = at[code >= 0], code[code >= 0]
+        key = np.searchsorted(corpora, corpus)[at] * len(vocabulary) + code
+        pairs, tf = np.unique(key * len(nr) + at, return_counts=True)
+        key, at = pairs // len(nr), pairs % len(nr)
+        keys, first = np.unique(key, return_index=True)
+        last = np.append(first[1:], len(key))
+        mine = np.repeat(home, many) * len(vocabulary) + pc.index_in(words, value_set=vocabulary).to_numpy(zero_copy_only=False)
+        place = np.searchsorted(keys, mine)
+        known = np.repeat(there, many) & (place < len(keys))
+        known[known] = keys[place[known]] == mine[known]
+        idf = np.zeros(len(keys))
+        idf[place[known]] = _flat(asked["idf"])[1].to_numpy(zero_copy_only=False)[known]
+        part = np.repeat(idf, last - first) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[at] / avgdl[at]))
+        at = at - np.repeat(starts, ends - starts)[at]
+        least = np.full(len(keys), np.nan)
+        room = np.zeros(max(ends - starts))
+        stops = np.cumsum(many)
+        for i in range(len(asks)):
+            ps = place[stops[i] - many[i] : stops[i]][known[stops[i] - many[i] : stops[i]]]
+            if not len(ps):
+                continue
+            sums = room[: ends[home[i]] - starts[home[i]]]
+            sums.fill(0.0)
+            bound = 0.0
+            for p in ps:
+                x = part[first[p] : last[p]]
+                sums[at[first[p] : last[p]]] += x
+                if len(x) >= top_k:
+                    # top_k chunks have this term's top_k-th part at least
+                    if np.isnan(least[p]):
+                        least[p] = np.partition(x, len(x) - top_k)[len(x) - top_k]
+                    bound = max(bound, least[p])
+            chosen = np.flatnonzero(sums >= _below(bound)) if bound else np.flatnonzero(sums)
+            scores = sums[chosen]
+            if len(chosen) > top_k:
+                near = scores >= _below(np.partition(scores, len(scores) - top_k)[len(scores) - top_k])
+                chosen, scores = chosen[near], scores[near]
+            if len(chosen) > top_k:
+                by = np.lexsort((chosen, -scores))
+                chosen, scores = chosen[by], scores[by]
+                new = np.append(True, scores[1:] != scores[:-1])
+                count = np.arange(len(scores))
+                kept = count - np.maximum.accumulate(np.where(new, count, 0)) < top_k
+                chosen, scores = chosen[kept], scores[kept]
+            out[0].append(np.full(len(chosen), asks[i]))
+            out[1].append(nr[starts[home[i]] + chosen])
+            out[2].append(scores)
+    kinds = (np.int64, np.int64, np.float64)
+    return pa.table(dict(zip(("ask", "nr", "raw"), (np.concatenate([np.zeros(0, t), *x]) for t, x in zip(kinds, out)))))
+
+
+def _below(score: float) -> float:
+    """A little less than ``score``, for scores are rounded; never 0."""
+    return max(score * (1 - 1e-9) - 1e-9, np.finfo(float).tiny)
+
+
 class Index:
-    """Chunks tokenised once: postings in a written table, and the statistics of corpora and terms.
+    """Chunks tokenised once in a written table, numbered in the order in which equal scores are ranked.
 
     chunks: corpus_id, chunk_id, chunk_index, text; other columns are carried by ``hits``. ``whole``: all chunks are one
     corpus, named ``ALL``. Repeated chunks count once; null texts have no tokens but count as chunks.
@@ -93,87 +188,68 @@ class Index:
 
     def __init__(self, chunks: DataFrame, *, whole: bool = False, exact: bool = True) -> None:
         self.chunks, self.whole, self.exact = chunks, whole, exact
-        rows = tokenized(unique_chunks(chunks, whole), exact=exact).withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
-        keys = ["corpus_id", "chunk_id", "chunk_index"]
-        # a row without a term stands for the chunk itself
-        words = F.concat(F.col("tokens"), F.array(F.lit(None).cast("string")))
-        each = rows.select(*keys, F.size("tokens").alias("length"), F.explode(words).alias("term"))
-        self.rows = cut(each.groupBy(*keys, "length", "term").agg(F.count("*").alias("tf")))
-        self.postings = self.rows.filter("term is not null")
-        self.stats = self.rows.filter("term is null").groupBy("corpus_id").agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
+        # sorted by ranges, so the numbers of the rows rise with the order
+        rows = unique_chunks(chunks, whole).orderBy("chunk_index", "chunk_id", "corpus_id")
+        rows = tokenized(rows, exact=exact).withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+        self.rows = cut(rows.select("corpus_id", "chunk_id", "chunk_index", F.monotonically_increasing_id().alias("nr"), F.size("tokens").alias("length"), "tokens"))
+        self.stats = self.rows.groupBy("corpus_id").agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"), F.sum("length").alias("size"))
 
     def search(self, queries: DataFrame, scope: DataFrame | None = None, *, top_k: int = TOP_K, k1: float = K1, b: float = B) -> DataFrame:
         """(query_id, corpus_id, rank, score, chunk_id, chunk_index, matched_terms): the best chunks of every query.
 
         scope: (query_id, corpus_id) to be asked; needed unless all chunks are one corpus. A query without hits gives no
-        row (see ``no_hits``). One frequent term of all queries is joined to its chunks only for candidates; the
-        ranking keeps only ``top_k`` rows of each query already before its shuffle.
+        row (see ``no_hits``). Queries with the same terms are asked once. No posting is shuffled: a cell has a part of the
+        chunks and a group of what is asked, and gives ``top_k`` numbers and scores of each, and those that rounding may make equal.
         """
-        ask = query_terms(queries, self.exact).select("query_id", F.explode("terms").alias("term"))
+        who = query_terms(queries, self.exact).select("query_id", "terms")
         if scope is None:
             if not self.whole:
                 raise ValueError("corpora of their own need a scope")
-            ask = ask.withColumn("corpus_id", F.lit(ALL))
+            who = who.withColumn("corpus_id", F.lit(ALL))
         else:
-            ask = ask.join(scope.select("query_id", "corpus_id").distinct(), "query_id")
-        ask = ask.select("query_id", "corpus_id", "term")
-        stats = F.broadcast(self.stats) if self.whole else self.stats  # one row if there is one corpus
-        mine = self.postings.join(ask.select("corpus_id", "term").distinct(), ["corpus_id", "term"], "left_semi")
-        freq = mine.groupBy("corpus_id", "term").agg(F.count("*").alias("df"), F.max("tf").alias("tf"), F.min("length").alias("length")).join(stats, "corpus_id")
-        # no chunk adds more to a score than one with the most occurrences and the least length
-        values = [F.col(c) for c in ("tf", "df", "n", "length", "avgdl")]
-        freq = freq.select("corpus_id", "term", "df", "n", "avgdl", term_score(*values, k1, b).alias("most"))
-        # what is asked is a written table: Catalyst broadcasts it if its files are small
-        terms = cut(ask.join(freq, ["corpus_id", "term"]))
-        part = term_score(*values, k1, b).alias("part")
-        terms = cut(self._essential(terms, part, top_k))
-        chunk = ["query_id", "corpus_id", "chunk_id", "chunk_index"]
-        found = self.postings.join(terms.filter("essential").drop("essential", "most"), ["corpus_id", "term"]).select(*chunk, "term", part)
-        found = found.groupBy(*chunk).agg(F.collect_list(F.struct("term", "part")).alias("_parts"))
-        # terms that can't make a candidate: looked up by term and chunk
-        left = F.struct("term", "df", "n", "avgdl")
-        rest = terms.filter(~F.col("essential")).groupBy("query_id", "corpus_id").agg(F.collect_list(left).alias("_rest"))
-        each = found.join(rest, ["query_id", "corpus_id"], "left").select(*chunk, "_parts", F.inline_outer("_rest"))
-        each = each.join(self.postings.select("corpus_id", "chunk_id", "term", "tf", "length"), ["corpus_id", "chunk_id", "term"], "left").select(
-            *chunk, "_parts", "tf", F.struct("term", part).alias("_part")
-        )
-        # at most as many as the query's terms; added in their order, so the sum is the same however it was found
-        more = F.collect_list(F.when(F.col("tf").isNotNull(), F.col("_part")))
-        hits = each.groupBy(*chunk).agg(F.array_sort(F.concat(F.first("_parts"), more)).alias("_parts"))
-        hits = hits.select(
-            *chunk, F.round(F.aggregate("_parts", F.lit(0.0), lambda a, x: a + x.part), 12).alias("score"), F.transform("_parts", lambda x: x.term).alias("matched_terms")
-        )
-        order = Window.partitionBy("query_id", "corpus_id").orderBy(F.desc("score"), "chunk_index", "chunk_id")
-        ranked = hits.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
-        return ranked.select("query_id", "corpus_id", "rank", "score", "chunk_id", "chunk_index", "matched_terms")
-
-    def _essential(self, terms: DataFrame, part: Column, top_k: int) -> DataFrame:
-        """``terms`` (query_id, corpus_id, term, df, n, avgdl, most) with ``essential``: whether a chunk with no term but this one
-        and those that add less may be among the best.
-
-        The ``top_k``-th best sum of the rarest terms' parts is a score that ``top_k`` chunks reach; terms whose largest parts
-        add up to less can't lift a chunk to it. A query has at most ``MAX_TOKENS`` rows here.
-        """
-        query = Window.partitionBy("query_id", "corpus_id")
-        rarest = query.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
-        seeds = terms.withColumn("_sum", F.sum("df").over(rarest)).filter(F.col("_sum") <= SEEDS).drop("_sum", "most")
-        sums = self.postings.join(seeds, ["corpus_id", "term"]).select("query_id", "corpus_id", "chunk_id", part)
-        sums = sums.groupBy("query_id", "corpus_id", "chunk_id").agg(F.sum("part").alias("sum"))
-        place = F.row_number().over(query.orderBy(F.desc("sum")))
-        reached = sums.withColumn("_place", place).filter(F.col("_place") == top_k).select("query_id", "corpus_id", F.col("sum").alias("reached"))
-        weakest = query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-        rows = terms.join(reached, ["query_id", "corpus_id"], "left").withColumn("_most", F.sum("most").over(weakest))
-        # a little less than reached, for scores are rounded
-        return rows.withColumn("essential", F.coalesce(F.col("_most") >= F.col("reached") * (1 - 1e-9) - 1e-9, F.lit(True))).drop("_most", "reached")
+            who = who.join(scope.select("query_id", "corpus_id").distinct(), "query_id")
+        what = cut(who.select("corpus_id", "terms").distinct().withColumn("ask", F.monotonically_increasing_id()))
+        # corpora that are asked, by numbers; a large one is divided in parts, what is asked of it in groups
+        asks = what.groupBy("corpus_id").agg(F.count("*").alias("asks"))
+        parts = F.ceil(F.greatest(F.col("n") / CHUNKS, F.col("size") / TOKENS)).cast("int")
+        corpora = self.stats.join(asks, "corpus_id").select("corpus_id", "n", "avgdl", "size", "asks", parts.alias("parts"), F.ceil(F.col("asks") / ASKS).cast("int").alias("groups"))
+        corpora = cut(corpora.withColumn("corpus", F.monotonically_increasing_id()))
+        needed = corpora.agg(F.sum(F.greatest(F.col("n") / CHUNKS, F.col("size") / TOKENS) * F.col("groups")), F.sum(F.col("asks") / ASKS * F.col("parts"))).first()
+        cells = max(1, *(math.ceil(x or 0) for x in needed))
+        unit = (F.col("part") * F.col("groups") + F.col("group")).alias("unit")
+        cell = F.pmod(F.xxhash64("corpus") + unit, F.lit(cells)).cast("int").alias("cell")
+
+        terms = what.select("ask", "corpus_id", F.explode("terms").alias("term"))
+        each = self.rows.select("corpus_id", F.explode(F.array_distinct("tokens")).alias("term"))
+        if not self.whole:  # else there are few terms after they are counted in part
+            each = each.join(terms.select("corpus_id", "term").distinct(), ["corpus_id", "term"], "left_semi")
+        freq = each.groupBy("corpus_id", "term").agg(F.count("*").alias("df")).join(corpora, "corpus_id")
+        n, df = F.col("n"), F.col("df")
+        freq = freq.select("corpus_id", "corpus", "parts", "groups", "term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+        # at most MAX_TOKENS of one ask; terms that no chunk has are left out
+        asked = terms.join(freq, ["corpus_id", "term"]).groupBy("ask", "corpus", "parts", "groups").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("t"))
+        asked = asked.withColumn("group", F.pmod(F.xxhash64("ask"), "groups")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        asked = asked.select(cell, unit, F.col("corpus").alias("corpus"), "ask", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))
+        held = self.rows.join(corpora.select("corpus_id", "corpus", "avgdl", "parts", "groups"), "corpus_id").withColumn("part", F.pmod(F.xxhash64("nr"), "parts"))
+        held = held.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(cell, unit, F.col("corpus").alias("corpus"), "nr", "length", "avgdl", "tokens")
+
+        def best(held: pa.Table, asked: pa.Table) -> pa.Table:
+            return cell_best(held, asked, top_k, k1, b)
+
+        found = held.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(best, "ask LONG, nr LONG, raw DOUBLE")
+        order = Window.partitionBy("ask").orderBy(F.desc("score"), "nr")
+        found = found.select("ask", "nr", F.round("raw", 12).alias("score")).filter("score > 0")
+        ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+        # one shuffle of all hits: what was asked is where the ranks are, then numbers get their names
+        named = ranked.join(who.join(what, ["corpus_id", "terms"]), "ask").drop("ask").join(self.rows.select("nr", "chunk_id", "chunk_index", "tokens"), "nr")
+        return named.select("query_id", "corpus_id", "rank", "score", "chunk_id", "chunk_index", F.array_intersect("terms", "tokens").alias("matched_terms"))
 
     def provenance(self, hits: DataFrame) -> DataFrame:
         """``hits`` with the columns of their chunks: home_corpus_id, page_id, page_number, bounding_box, text, and the
         fingerprint of that text."""
-        hits = cut(hits)  # read for the chunks that are wanted and for the join with them
         carried = [c for c in ("page_id", "page_number", "bounding_box") if c in self.chunks.columns]
-        wanted = hits.select("chunk_id").distinct()
         value = F.min(F.struct("text", "chunk_index", F.col("corpus_id").alias("home_corpus_id"), *carried)).alias("_c")
-        mine = self.chunks.join(wanted, "chunk_id", "left_semi").groupBy("chunk_id").agg(value)
+        mine = self.chunks.groupBy("chunk_id").agg(value)
         mine = mine.select("chunk_id", "_c.home_corpus_id", *(f"_c.{c}" for c in carried), "_c.text", fingerprint(F.col("_c.text")).alias("content_fingerprint"))
         return hits.join(mine, "chunk_id")
 
