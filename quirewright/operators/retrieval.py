@@ -25,7 +25,7 @@ K1, B, TOP_K = 1.2, 0.75, 10
 MAX_CHARACTERS, MAX_TOKENS = 10_000, 1000
 ALL = "all"
 #: Of a cell of the search at most: chunks, their tokens, and what is asked. SEEDS is of no effect any more.
-CHUNKS, TOKENS, ASKS, SEEDS = 65_536, 4_000_000, 100_000, 400
+CHUNKS, TOKENS, ASKS, SEEDS = 65_536, 4_000_000, 200_000, 400
 
 
 def tokenized(df: DataFrame, text_col: str = "text", exact: bool = True) -> DataFrame:
@@ -191,7 +191,7 @@ class Index:
         # sorted by ranges, so the numbers of the rows rise with the order
         rows = unique_chunks(chunks, whole).orderBy("chunk_index", "chunk_id", "corpus_id")
         rows = tokenized(rows, exact=exact).withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
-        self.rows = cut(rows.select("corpus_id", "chunk_id", "chunk_index", F.monotonically_increasing_id().alias("nr"), F.size("tokens").alias("length"), "tokens"))
+        self.rows = cut(rows.select("corpus_id", "chunk_id", "chunk_index", F.monotonically_increasing_id().alias("nr"), F.size("tokens").alias("length"), "tokens"), tidy=True)
         self.stats = self.rows.groupBy("corpus_id").agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"), F.sum("length").alias("size"))
 
     def search(self, queries: DataFrame, scope: DataFrame | None = None, *, top_k: int = TOP_K, k1: float = K1, b: float = B) -> DataFrame:
@@ -213,7 +213,7 @@ class Index:
         asks = what.groupBy("corpus_id").agg(F.count("*").alias("asks"))
         parts = F.ceil(F.greatest(F.col("n") / CHUNKS, F.col("size") / TOKENS)).cast("int")
         corpora = self.stats.join(asks, "corpus_id").select("corpus_id", "n", "avgdl", "size", "asks", parts.alias("parts"), F.ceil(F.col("asks") / ASKS).cast("int").alias("groups"))
-        corpora = cut(corpora.withColumn("corpus", F.monotonically_increasing_id()))
+        corpora = cut(corpora.withColumn("corpus", F.monotonically_increasing_id()), tidy=True)
         needed = corpora.agg(F.sum(F.greatest(F.col("n") / CHUNKS, F.col("size") / TOKENS) * F.col("groups")), F.sum(F.col("asks") / ASKS * F.col("parts"))).first()
         cells = max(1, *(math.ceil(x or 0) for x in needed))
         unit = (F.col("part") * F.col("groups") + F.col("group")).alias("unit")

@@ -470,7 +470,8 @@ candidates AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cover
 
 def _candidate_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(terms, hits, chunks) of all queries against all chunks; the hits are written once."""
-    return retrieval.query_terms(table(spark, sf_dir, "queries")), cut(_search(spark, sf_dir)[1]), table(spark, sf_dir, "chunks")
+    hits = _search(spark, sf_dir)[1].select("query_id", "rank", "chunk_id")
+    return retrieval.query_terms(table(spark, sf_dir, "queries")), cut(hits, tidy=True), table(spark, sf_dir, "chunks")
 
 
 @query(f"{_CANDIDATES} SELECT query_id, rank, chunk_id, start, sentence, array_to_string(matched, ' ') AS matched_terms, round(coverage, 9) AS coverage, position FROM candidates")
@@ -494,7 +495,7 @@ made AS (SELECT t.query_id, t.token_count, CASE WHEN c.query_id IS NOT NULL THEN
 def _made(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(answers, terms, hits, chunks)."""
     terms, hits, chunks = _candidate_parts(spark, sf_dir)
-    return cut(answers.answers(terms, hits, chunks)), terms, hits, chunks
+    return cut(answers.answers(terms, hits, chunks), tidy=True), terms, hits, chunks
 
 
 @query(f"{_MADE} SELECT query_id, status, abstention_reason, answer, sha256(answer) AS answer_fingerprint, citations FROM made")

@@ -60,11 +60,12 @@ def written() -> int:
     return len(_WRITTEN)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     """``df`` computed once, written as a table in the shared folder and read back.
 
     A lost executor then costs no recomputation of what lies before. The table is removed when the driver ends, or by
-    ``release`` once nothing made from it is used any more.
+    ``release`` once nothing made from it is used any more. ``tidy``: what was shuffled for it is removed at once, else
+    when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quirewright-{uuid.uuid4().hex}"
@@ -72,6 +73,8 @@ def cut(df: DataFrame) -> DataFrame:
     if not _WRITTEN:
         atexit.register(release, spark)
     _WRITTEN.append(path)
+    if tidy:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
