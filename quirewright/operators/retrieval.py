@@ -4,8 +4,8 @@ Statistics are per corpus. A query is asked against given corpora, or against on
 de-duplicated; scores are rounded to 12 digits; ties go to the lower chunk_index, then chunk_id.
 
 An ``Index`` tokenises the chunks once. ``search`` deals parts of the chunks and groups of what is asked to cells, adds
-the scores of a cell in memory and shuffles only the numbers and scores of its best; names, texts and terms are joined
-to what is left. Every chunk that has a term is scored.
+the scores of a cell in memory and shuffles only the numbers, scores and places of terms of its best; names are joined
+to what is left. Terms are counted where their corpus is, and only those of a divided corpus before. Every chunk that has a term is scored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ MAX_CHARACTERS, MAX_TOKENS = 10_000, 1000
 ALL = "all"
 #: Of a cell of the search at most: chunks, their tokens, and what is asked. SEEDS is of no effect any more.
 CHUNKS, TOKENS, ASKS, SEEDS = 65_536, 4_000_000, 200_000, 400
+#: Cells in place of one where corpora needn't be divided.
+FINE = 4
 
 
 def tokenized(df: DataFrame, text_col: str = "text", exact: bool = True) -> DataFrame:
@@ -96,27 +98,31 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
 
 
 def cell_best(held: pa.Table, asked: pa.Table, top_k: int = TOP_K, k1: float = K1, b: float = B) -> pa.Table:
-    """(ask, nr, raw): the best chunks in ``held`` (corpus, unit, nr, length, avgdl, tokens) of every ask in ``asked`` (corpus, unit,
-    ask, terms in order, idf of each), with the unrounded scores.
+    """(ask, nr, raw, found): the best chunks in ``held`` (corpus, unit, nr, length, avgdl, tokens) of every ask in ``asked`` (corpus,
+    unit, ask, terms in order, idf of each), with the unrounded scores and the places of the terms that they have.
 
-    Parts are added in the order of the terms, as everywhere. Chunks within rounding of the last are kept too, and of
-    exactly equal scores only the first ``top_k`` in order, for no other can be among the best.
+    Of a corpus that is here as a whole avgdl is null and idf empty: both follow from its chunks. Parts are added in the order
+    of the terms, as everywhere. Chunks within rounding of the last are kept too, and of exactly equal scores only the first
+    ``top_k`` in order, for no other can be among the best.
     """
     out: tuple[list, list, list] = [], [], []
+    found = pa.array([], pa.list_(pa.int16()))
     if held.num_rows and asked.num_rows:
         # a cell may hold several parts and groups of a corpus: each is a corpus of its own here
-        names = np.unique(np.concatenate([x["corpus"].to_numpy() for x in (held, asked)]))
+        names = pa.chunked_array([*held["corpus"].chunks, *asked["corpus"].chunks]).unique()
         width = 1 + max(x["unit"].to_numpy().max() for x in (held, asked))
-        corpus, home = (np.searchsorted(names, x["corpus"].to_numpy()) * width + x["unit"].to_numpy() for x in (held, asked))
+        corpus, home = (pc.index_in(x["corpus"], value_set=names).to_numpy().astype(np.int64) * width + x["unit"].to_numpy() for x in (held, asked))
         nr = held["nr"].to_numpy()
         order = np.lexsort((nr, corpus))
         held, corpus, nr = held.take(order), corpus[order], nr[order]
-        corpora, starts = np.unique(corpus, return_index=True)
-        ends = np.append(starts[1:], len(corpus))
-        length, avgdl = (held[c].to_numpy() for c in ("length", "avgdl"))
+        corpora, starts, sizes = np.unique(corpus, return_index=True, return_counts=True)
         asks, place = asked["ask"].to_numpy(), np.minimum(np.searchsorted(corpora, home), len(corpora) - 1)
         there = corpora[place] == home
         home = place
+        length = held["length"].to_numpy()
+        mean = np.repeat(np.add.reduceat(length.astype(np.int64), starts) / sizes, sizes)
+        avgdl = held["avgdl"].to_numpy().astype(float)
+        avgdl = np.where(np.isnan(avgdl), mean, avgdl)
         # postings: one key for each term of a corpus, in it the chunks in order
         many, words = _flat(asked["terms"])
         vocabulary = words.unique()
@@ -127,24 +133,27 @@ def cell_best(held: pa.Table, asked: pa.Table, top_k: int = TOP_K, k1: float = K
         key = np.searchsorted(corpora, corpus)[at] * len(vocabulary) + code
         pairs, tf = np.unique(key * len(nr) + at, return_counts=True)
         key, at = pairs // len(nr), pairs % len(nr)
-        keys, first = np.unique(key, return_index=True)
-        last = np.append(first[1:], len(key))
+        keys, first, df = np.unique(key, return_index=True, return_counts=True)
+        last = first + df
         mine = np.repeat(home, many) * len(vocabulary) + pc.index_in(words, value_set=vocabulary).to_numpy(zero_copy_only=False)
         place = np.searchsorted(keys, mine)
         known = np.repeat(there, many) & (place < len(keys))
         known[known] = keys[place[known]] == mine[known]
-        idf = np.zeros(len(keys))
-        idf[place[known]] = _flat(asked["idf"])[1].to_numpy(zero_copy_only=False)[known]
-        part = np.repeat(idf, last - first) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[at] / avgdl[at]))
-        at = at - np.repeat(starts, ends - starts)[at]
+        rare, which = np.unique(1 + (sizes[keys // len(vocabulary)] - df + 0.5) / (df + 0.5), return_inverse=True)
+        idf = np.array([math.log(x) for x in rare])[which]
+        given, values = _flat(asked["idf"])
+        told = np.repeat(given > 0, many)
+        idf[place[known & told]] = values.to_numpy(zero_copy_only=False)[known[told]]
+        part = np.repeat(idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[at] / avgdl[at]))
+        at = at - np.repeat(starts, sizes)[at]
         least = np.full(len(keys), np.nan)
-        room = np.zeros(max(ends - starts))
+        room = np.zeros(max(sizes))
         stops = np.cumsum(many)
         for i in range(len(asks)):
             ps = place[stops[i] - many[i] : stops[i]][known[stops[i] - many[i] : stops[i]]]
             if not len(ps):
                 continue
-            sums = room[: ends[home[i]] - starts[home[i]]]
+            sums = room[: sizes[home[i]]]
             sums.fill(0.0)
             bound = 0.0
             for p in ps:
@@ -167,11 +176,28 @@ def cell_best(held: pa.Table, asked: pa.Table, top_k: int = TOP_K, k1: float = K
                 count = np.arange(len(scores))
                 kept = count - np.maximum.accumulate(np.where(new, count, 0)) < top_k
                 chosen, scores = chosen[kept], scores[kept]
-            out[0].append(np.full(len(chosen), asks[i]))
-            out[1].append(nr[starts[home[i]] + chosen])
+            out[0].append(np.full(len(chosen), i))
+            out[1].append(starts[home[i]] + chosen)
             out[2].append(scores)
+        row, chunk = (np.concatenate([np.zeros(0, np.int64), *x]) for x in out[:2])
+        # the terms that a hit has: their postings are looked up, a block of hits at a time
+        block = np.cumsum(many[row]) // 1_000_000
+        found = [found]
+        for cut_at in np.split(np.arange(len(row)), np.flatnonzero(np.diff(block)) + 1):
+            n = many[row[cut_at]]
+            hit = np.repeat(np.arange(len(cut_at)), n)
+            nth = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+            term = (stops - many)[row[cut_at]][hit] + nth
+            hit, nth, term = (x[known[term]] for x in (hit, nth, term))
+            posting = mine[term] * len(nr) + chunk[cut_at][hit]
+            has = pairs[np.minimum(np.searchsorted(pairs, posting), len(pairs) - 1)] == posting if len(pairs) else np.zeros(0, bool)
+            ends = np.append(0, np.cumsum(np.bincount(hit[has], minlength=len(cut_at))))
+            found.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(nth[has], pa.int16())))
+        found = pa.concat_arrays(found)
+        out = [asks[row]], [nr[chunk]], out[2]
     kinds = (np.int64, np.int64, np.float64)
-    return pa.table(dict(zip(("ask", "nr", "raw"), (np.concatenate([np.zeros(0, t), *x]) for t, x in zip(kinds, out)))))
+    made = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip(kinds, out))
+    return pa.table(dict(zip(("ask", "nr", "raw"), made)) | {"found": found})
 
 
 def _below(score: float) -> float:
@@ -208,41 +234,53 @@ class Index:
             who = who.withColumn("corpus_id", F.lit(ALL))
         else:
             who = who.join(scope.select("query_id", "corpus_id").distinct(), "query_id")
-        what = cut(who.select("corpus_id", "terms").distinct().withColumn("ask", F.monotonically_increasing_id()))
-        # corpora that are asked, by numbers; a large one is divided in parts, what is asked of it in groups
+        who = cut(who, tidy=True)
+        what = cut(who.select("corpus_id", "terms").distinct().withColumn("ask", F.monotonically_increasing_id()), tidy=True)
+        # a large corpus is divided in parts, what is asked of it in groups
         asks = what.groupBy("corpus_id").agg(F.count("*").alias("asks"))
-        parts = F.ceil(F.greatest(F.col("n") / CHUNKS, F.col("size") / TOKENS)).cast("int")
-        corpora = self.stats.join(asks, "corpus_id").select("corpus_id", "n", "avgdl", "size", "asks", parts.alias("parts"), F.ceil(F.col("asks") / ASKS).cast("int").alias("groups"))
-        corpora = cut(corpora.withColumn("corpus", F.monotonically_increasing_id()), tidy=True)
-        needed = corpora.agg(F.sum(F.greatest(F.col("n") / CHUNKS, F.col("size") / TOKENS) * F.col("groups")), F.sum(F.col("asks") / ASKS * F.col("parts"))).first()
-        cells = max(1, *(math.ceil(x or 0) for x in needed))
-        unit = (F.col("part") * F.col("groups") + F.col("group")).alias("unit")
-        cell = F.pmod(F.xxhash64("corpus") + unit, F.lit(cells)).cast("int").alias("cell")
+        share = F.greatest(F.col("n") / CHUNKS, F.col("size") / TOKENS)
+        parts, groups = F.ceil(share).cast("int").alias("parts"), F.ceil(F.col("asks") / ASKS).cast("int").alias("groups")
+        corpora = cut(self.stats.join(asks, "corpus_id").select("corpus_id", "n", "avgdl", "size", "asks", F.greatest(parts, F.lit(1)).alias("parts"), groups), tidy=True)
+        needed = corpora.agg(F.sum(share * F.col("groups")), F.sum(F.col("asks") / ASKS * F.col("parts")), F.count("*")).first()
+        # undivided corpora can be spread finely
+        cells = max(1, *(math.ceil((x or 0) * (1 if self.whole else FINE)) for x in needed[:2]))
+        large = corpora.filter("parts > 1 or groups > 1").select("corpus_id", "n", "avgdl", "parts", "groups")
+        large = large if self.whole else cut(large)
+        divided = large.filter("parts > 1")
+
+        def dealt(df: DataFrame, *columns: str) -> DataFrame:
+            return df.join(large.select("corpus_id", "parts", "groups", *columns), "corpus_id", "left").fillna(1, ["parts", "groups"])
 
-        terms = what.select("ask", "corpus_id", F.explode("terms").alias("term"))
-        each = self.rows.select("corpus_id", F.explode(F.array_distinct("tokens")).alias("term"))
-        if not self.whole:  # else there are few terms after they are counted in part
-            each = each.join(terms.select("corpus_id", "term").distinct(), ["corpus_id", "term"], "left_semi")
-        freq = each.groupBy("corpus_id", "term").agg(F.count("*").alias("df")).join(corpora, "corpus_id")
+        unit = (F.col("part") * F.col("groups") + F.col("group")).alias("unit")
+        place = F.pmod(F.xxhash64("corpus_id") + unit, F.lit(cells)).cast("int").alias("cell"), F.col("corpus_id").alias("corpus"), unit
+        # only a divided corpus' terms are counted outside of its cells; at most MAX_TOKENS of one ask, those that no chunk has without idf
+        terms = what.join(divided.select("corpus_id", "n"), "corpus_id").select("ask", "corpus_id", "n", F.explode("terms").alias("term"))
+        each = self.rows.join(divided.select("corpus_id"), "corpus_id", "left_semi").select("corpus_id", F.explode(F.array_distinct("tokens")).alias("term"))
+        freq = each.groupBy("corpus_id", "term").agg(F.count("*").alias("df"))
         n, df = F.col("n"), F.col("df")
-        freq = freq.select("corpus_id", "corpus", "parts", "groups", "term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
-        # at most MAX_TOKENS of one ask; terms that no chunk has are left out
-        asked = terms.join(freq, ["corpus_id", "term"]).groupBy("ask", "corpus", "parts", "groups").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("t"))
-        asked = asked.withColumn("group", F.pmod(F.xxhash64("ask"), "groups")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        asked = asked.select(cell, unit, F.col("corpus").alias("corpus"), "ask", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))
-        held = self.rows.join(corpora.select("corpus_id", "corpus", "avgdl", "parts", "groups"), "corpus_id").withColumn("part", F.pmod(F.xxhash64("nr"), "parts"))
-        held = held.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(cell, unit, F.col("corpus").alias("corpus"), "nr", "length", "avgdl", "tokens")
+        rated = terms.join(freq, ["corpus_id", "term"], "left").select("ask", "corpus_id", "term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+        rated = rated.groupBy("ask", "corpus_id").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("t")).select("ask", "corpus_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))
+        plain = what.join(divided.select("corpus_id"), "corpus_id", "left_anti").select("ask", "corpus_id", "terms", F.array().cast("array<double>").alias("idf"))
+        asked = dealt(rated.unionByName(plain)).withColumn("group", F.pmod(F.xxhash64("ask"), "groups")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        asked = asked.select(*place, "ask", "terms", "idf")
+        held = self.rows
+        if not self.whole and needed[2] <= 10_000:
+            held = held.join(F.broadcast(corpora.select("corpus_id")), "corpus_id", "left_semi")
+        held = dealt(held, "avgdl").withColumn("part", F.pmod(F.xxhash64("nr"), "parts")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        held = held.select(*place, "nr", "length", F.when(F.col("parts") > 1, F.col("avgdl")).alias("avgdl"), "tokens")
 
         def best(held: pa.Table, asked: pa.Table) -> pa.Table:
             return cell_best(held, asked, top_k, k1, b)
 
-        found = held.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(best, "ask LONG, nr LONG, raw DOUBLE")
+        found = held.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(best, "ask LONG, nr LONG, raw DOUBLE, found ARRAY<SHORT>")
         order = Window.partitionBy("ask").orderBy(F.desc("score"), "nr")
-        found = found.select("ask", "nr", F.round("raw", 12).alias("score")).filter("score > 0")
+        found = found.select("ask", "nr", F.round("raw", 12).alias("score"), "found").filter("score > 0")
         ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
         # one shuffle of all hits: what was asked is where the ranks are, then numbers get their names
-        named = ranked.join(who.join(what, ["corpus_id", "terms"]), "ask").drop("ask").join(self.rows.select("nr", "chunk_id", "chunk_index", "tokens"), "nr")
-        return named.select("query_id", "corpus_id", "rank", "score", "chunk_id", "chunk_index", F.array_intersect("terms", "tokens").alias("matched_terms"))
+        matched = F.transform("found", lambda i: F.get(F.col("terms"), i.cast("int"))).alias("matched_terms")
+        named = ranked.join(who.join(what, ["corpus_id", "terms"]), "ask").select("nr", "query_id", "rank", "score", matched)
+        named = named.join(self.rows.select("nr", "corpus_id", "chunk_id", "chunk_index"), "nr")
+        return named.select("query_id", "corpus_id", "rank", "score", "chunk_id", "chunk_index", "matched_terms")
 
     def provenance(self, hits: DataFrame) -> DataFrame:
         """``hits`` with the columns of their chunks: home_corpus_id, page_id, page_number, bounding_box, text, and the
