@@ -62,6 +62,14 @@ def candidates(hits: DataFrame, chunks: DataFrame, terms: DataFrame, *, min_cove
     )
 
 
+def reachable(found: DataFrame, max_items: int = MAX_EVIDENCE, max_characters: int = MAX_CHARACTERS, separator: str = SEPARATOR) -> DataFrame:
+    """The candidates that ``fill`` may come to: where the first ``max_items`` of a query fit as they are only those, else all."""
+    size = F.when(F.col("position") <= max_items, F.length("sentence") + len(separator)).otherwise(0)
+    order = Window.partitionBy("query_id").orderBy(F.desc("coverage"), "rank", "start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    sized = found.withColumn("_size", F.sum(size).over(order))
+    return sized.filter((F.col("position") <= max(max_items, 1)) | (F.col("_size") > max_characters + len(separator))).drop("_size")
+
+
 def fill(
     found: list[dict], terms: list[str], max_items: int = MAX_EVIDENCE, max_characters: int = MAX_CHARACTERS,
     min_coverage: float = MIN_COVERAGE, separator: str = SEPARATOR,
@@ -112,7 +120,7 @@ def answers(
 
     ``content_fingerprint`` is that of status, reason, answer and citations; ``answer_id`` adds what was asked. Only candidates that may be reached are kept: a query's are at most the sentences of its ``top_k`` hits.
     """
-    found = candidates(hits, chunks, terms, min_coverage=min_coverage, exact=exact)
+    found = reachable(candidates(hits, chunks, terms, min_coverage=min_coverage, exact=exact), max_items, max_characters, separator)
     item = F.struct("position", "rank", "chunk_id", "start", "sentence", "matched_terms", "coverage")
     per_query = found.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("found"))
     had = hits.groupBy("query_id").agg(F.count("*").alias("hits"))
