@@ -611,8 +611,8 @@ observations AS (
     unnest([tokens, retrieved, characters, evidence, 0, 0]), n FROM sums)"""
 
 
-def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(retrieval cases, citation scores, answer cases, observations): the made answers against the stored ones."""
+def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """(retrieval cases, citation scores, answer cases, kinds of observations): the made answers against the stored ones."""
     made, terms, hits, chunks = _made(spark, sf_dir)
     judged = _judgments(spark, sf_dir)
     cases = evaluation.case_metrics(hits, judged)
@@ -627,12 +627,17 @@ def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
         quality.retrieval_observations(cases), quality.answer_observations(answered), quality.provenance_observations(scores),
         quality.supported_observations(supported), quality.cost_observations(made, terms, hits, chunks),
     )
-    return cases, scores, answered, reduce(DataFrame.unionByName, seen)
+    return cases, scores, answered, seen
+
+
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind is a few rows and written by itself, so what is shuffled for one is gone before the next."""
+    return reduce(DataFrame.unionByName, (cut(kind, tidy=True) for kind in _cases(spark, sf_dir)[3]))
 
 
 @query(f"{_EXPECTED} SELECT metric, round(value, 9) AS value, sample_count FROM observations")
 def quality_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.ordered_observations(_cases(spark, sf_dir)[3]).withColumn("value", F.round("value", 9))
+    return quality.ordered_observations(_observations(spark, sf_dir)).withColumn("value", F.round("value", 9))
 
 
 @query(f"""{_ERRORS}
@@ -704,7 +709,7 @@ ruled AS (SELECT r.metric, maximum_degradation, CASE WHEN known THEN round(loss,
 
 def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(gate results, regression results)."""
-    seen = cut(_cases(spark, sf_dir)[3])
+    seen = _observations(spark, sf_dir)
     gates = quality.gates(spark.createDataFrame(GATES, "metric STRING, comparator STRING, threshold DOUBLE, minimum_samples INT"), seen)
     rules = spark.createDataFrame(RULES, "metric STRING, maximum_degradation DOUBLE, minimum_samples INT")
     return gates, quality.regressions(rules, seen, spark.createDataFrame(BASELINE, "metric STRING, value DOUBLE, sample_count LONG"))
