@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: With it Spark removes the shuffles of a job that has ended; without effect where Spark does not know it.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables that ``cut`` has written and nobody has removed.
 _WRITTEN: list[str] = []
 
@@ -69,7 +71,13 @@ def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quirewright-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # a collection alone leaves the shuffles of the job that has just ended, for they are still held
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true" if tidy else before)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     if not _WRITTEN:
         atexit.register(release, spark)
     _WRITTEN.append(path)
